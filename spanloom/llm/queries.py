@@ -7,8 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm import bpe, line_dedup, mixing, sharding
-from spanloom.llm.common import table
+from spanloom.llm import bpe, html_text, lang_id, line_dedup, mixing, sharding, toxicity
+from spanloom.llm.common import crc32_mod, table
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's toxicity, learned from four fifths of the labelled rows."""
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(documents, table(spark, sf_dir, "labels").filter(crc32_mod(F.col("doc_id"), 5) != 0))
+    scored = toxicity.score(documents, model)
+    return scored.select("doc_id", (crc32_mod(F.col("doc_id"), 5) == 0).alias("held_out"), "score", "predicted")
 
 
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,6 +25,14 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op6_lang_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's language, learned from two thirds of the rows."""
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = lang_id.fit(documents.filter(crc32_mod(F.col("doc_id"), 3) != 1))
+    scored = lang_id.predict(documents.select("doc_id", "text"), model)
+    return scored.select("doc_id", (crc32_mod(F.col("doc_id"), 3) == 1).alias("held_out"), "lang_pred", "score")
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many words of each document the mix takes."""
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
@@ -36,7 +52,9 @@ WITH lines AS (
   FROM documents
 ), keyed AS (
   SELECT doc_id, n, line,
-         translate(regexp_replace(line, '^[ 	-]+|[ 	-]+$', '', 'g'),
+         translate(regexp_replace(line, '^[ 	-
+]+|[ 	-
+]+$', '', 'g'),
                    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k
   FROM lines
 ), owners AS (
@@ -65,8 +83,22 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    found = html_text.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return found.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op4_sharding": op4_sharding, "op7_mixing": op7_mixing, "op8_line_dedup": op8_line_dedup, "op9_bpe": op9_bpe}
+    return {
+        "op1_toxicity": op1_toxicity,
+        "op4_sharding": op4_sharding,
+        "op6_lang_id": op6_lang_id,
+        "op7_mixing": op7_mixing,
+        "op8_line_dedup": op8_line_dedup,
+        "op9_bpe": op9_bpe,
+        "op10_html_text": op10_html_text,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
