@@ -26,6 +26,8 @@ columns of the input do not matter: only doc_id, text and source are read.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -70,25 +72,41 @@ def _draw(*of: Column) -> Column:
     return F.shiftrightunsigned(F.xxhash64(*of), 11) * F.lit(2.0**-53)
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _moves(a: Column, b: Column, level: int) -> Column:
+    """The words that can move up to a or down from it, and a draw."""
+    up = F.least((1 - a["p"]) * a["size"], b["p"] * b["size"])
+    down = F.least(a["p"] * a["size"], (1 - b["p"]) * b["size"])
+    return F.struct(up.alias("up"), down.alias("down"), _draw(a["doc_id"], b["doc_id"], a["size"], b["size"], F.lit(level)).alias("draw"))
+
+
+def _ends(a: Column, b: Column, y: Column) -> Column:
+    """The words that move to a, and whether that makes a's fraction, rather than b's, 0 or 1."""
+    rise = y["draw"] * (y["up"] + y["down"]) < y["down"]
+    return F.when(rise, F.struct(F.lit(True).alias("rise"), y["up"].alias("by"), ((1 - a["p"]) * a["size"] <= b["p"] * b["size"]).alias("a_ends"))).otherwise(
+        F.struct(F.lit(False).alias("rise"), (-y["down"]).alias("by"), (a["p"] * a["size"] <= (1 - b["p"]) * b["size"]).alias("a_ends"))
+    )
+
+
+def _moved(done: Column, a: Column, b: Column, z: Column) -> Column:
+    """The state after the move: the ended one, whose fraction is exactly 0 or 1, is done, and the other open."""
+    to_one = z["rise"] == z["a_ends"]
+    ended = F.when(z["a_ends"], a).otherwise(b)
+    stays = F.when(z["a_ends"], b).otherwise(a)
+    left = stays["p"] + F.when(z["a_ends"], -z["by"]).otherwise(z["by"]) / stays["size"]
+    return F.struct(F.concat(done, F.array(_item(ended, F.when(to_one, 1.0).otherwise(0.0)))).alias("done"), _item(stays, left).alias("open"))
+
+
 def _pivot(items: Column, level: int) -> Column:
     """Rounds an array of (doc_id, size, p) in order; every item comes back, all but at most one with p 0 or 1."""
 
     def step(state: Column, k: Column) -> Column:
-        a, b = state["open"], items[k]
-        up = F.least((1 - a["p"]) * a["size"], b["p"] * b["size"])
-        down = F.least(a["p"] * a["size"], (1 - b["p"]) * b["size"])
-        rise = _draw(a["doc_id"], b["doc_id"], a["size"], b["size"], F.lit(level)) * (up + down) < down
-        a_up = a["p"] + up / a["size"]
-        a_down = a["p"] - down / a["size"]
-        b_down = b["p"] - up / b["size"]
-        b_up = b["p"] + down / b["size"]
-        a_ends = F.when(rise, (1 - a["p"]) * a["size"] <= b["p"] * b["size"]).otherwise(a["p"] * a["size"] <= (1 - b["p"]) * b["size"])
-        # Whichever of the two ended has p exactly 0 or 1; the other stays open.
-        done_p = F.when(rise, F.when(a_ends, 1.0).otherwise(0.0)).otherwise(F.when(a_ends, 0.0).otherwise(1.0))
-        open_p = F.when(a_ends, F.when(rise, b_down).otherwise(b_up)).otherwise(F.when(rise, a_up).otherwise(a_down))
-        done = F.when(a_ends, _item(a, done_p)).otherwise(_item(b, done_p))
-        left = F.when(a_ends, _item(b, open_p)).otherwise(_item(a, open_p))
-        return F.struct(F.concat(state["done"], F.array(done)).alias("done"), left.alias("open"))
+        pair = F.struct(state["open"].alias("a"), items[k].alias("b"))
+        return _let(pair, lambda x: _let(_moves(x["a"], x["b"], level), lambda y: _let(_ends(x["a"], x["b"], y), lambda z: _moved(state["done"], x["a"], x["b"], z))))
 
     first = F.struct(F.slice(items, 1, 0).alias("done"), items[0].alias("open"))
     return F.aggregate(F.when(F.size(items) > 1, F.sequence(F.lit(1), F.size(items) - 1)).otherwise(F.array().cast("array<int>")), first, step)
