@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm import bpe, html_text, lang_id, line_dedup, mixing, sharding, toxicity
+from spanloom.llm import bpe, html_text, lang_id, line_dedup, mixing, ngram_join, sharding, toxicity
 from spanloom.llm.common import crc32_mod, table
 
 
@@ -25,6 +25,11 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The groups of documents with similar shingles."""
+    return ngram_join.jaccard_groups(table(spark, sf_dir, "documents"))
+
+
 def op6_lang_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's language, learned from two thirds of the rows."""
     documents = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
@@ -93,6 +98,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity": op1_toxicity,
         "op4_sharding": op4_sharding,
+        "op5_ngram_join": op5_ngram_join,
         "op6_lang_id": op6_lang_id,
         "op7_mixing": op7_mixing,
         "op8_line_dedup": op8_line_dedup,
