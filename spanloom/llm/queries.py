@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm import bpe, html_text, lang_id, line_dedup, mixing, ngram_join, sharding, toxicity
+from spanloom.llm import ann, bpe, html_text, lang_id, line_dedup, mixing, ngram_join, sharding, toxicity
 from spanloom.llm.common import crc32_mod, table
 
 
@@ -19,6 +19,12 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (crc32_mod(F.col("doc_id"), 5) == 0).alias("held_out"), "score", "predicted")
 
 
+def op2_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest vectors of every twentieth one."""
+    vectors = table(spark, sf_dir, "embeddings")
+    return ann.nearest(vectors, vectors.filter(F.col("vec_id") % 20 == 0), 20)
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 16 shards of near equal bytes."""
     placed = sharding.shard(table(spark, sf_dir, "documents"), 16)
@@ -97,6 +103,7 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity": op1_toxicity,
+        "op2_ann": op2_ann,
         "op4_sharding": op4_sharding,
         "op5_ngram_join": op5_ngram_join,
         "op6_lang_id": op6_lang_id,
