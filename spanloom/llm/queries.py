@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm import ann, bpe, html_text, lang_id, line_dedup, mixing, ngram_join, sharding, toxicity
+from spanloom.llm import ann, bm25, bpe, html_text, lang_id, line_dedup, mixing, ngram_join, sharding, toxicity
 from spanloom.llm.common import crc32_mod, table
 
 
@@ -25,6 +25,34 @@ def op2_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(vectors, vectors.filter(F.col("vec_id") % 20 == 0), 20)
 
 
+def op3_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best documents for every benchmark item."""
+    return bm25.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 20)
+
+
+OP3_SQL = r"""
+WITH docs AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words
+  FROM documents
+), stats AS (
+  SELECT count(*)::DOUBLE AS n, sum(len(words))::DOUBLE / count(*) AS mean FROM docs
+), asked AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')) AS word
+  FROM benchmark
+), tf AS (
+  SELECT doc_id, len(words) AS dl, word, count(*) AS tf FROM (SELECT doc_id, words, unnest(words) AS word FROM docs) GROUP BY doc_id, dl, word
+), df AS (
+  SELECT word, count(*)::DOUBLE AS df FROM tf GROUP BY word
+), shares AS (
+  SELECT item_id, doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / mean))), 6) AS score
+  FROM asked JOIN tf USING (word) JOIN df USING (word) CROSS JOIN stats GROUP BY item_id, doc_id
+), ranked AS (
+  SELECT item_id AS query_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score FROM shares
+)
+SELECT * FROM ranked WHERE rank <= 20
+"""
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 16 shards of near equal bytes."""
     placed = sharding.shard(table(spark, sf_dir, "documents"), 16)
@@ -104,6 +132,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity": op1_toxicity,
         "op2_ann": op2_ann,
+        "op3_bm25": op3_bm25,
         "op4_sharding": op4_sharding,
         "op5_ngram_join": op5_ngram_join,
         "op6_lang_id": op6_lang_id,
@@ -115,4 +144,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_line_dedup": OP8_SQL}
+    return {"op3_bm25": OP3_SQL, "op8_line_dedup": OP8_SQL}
