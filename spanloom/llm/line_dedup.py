@@ -20,12 +20,13 @@ columns of the input are ignored. Texts are processed whole.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from spanloom.llm.common import SPACES, shared_dir, shuffle_width
 
@@ -54,9 +55,11 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _filter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds the counts and the kept text to columns whose second and third are the text and the keys to drop."""
     for batch in batches:
         for at in range(0, batch.num_rows, 1000):
-            ids, texts, drops = batch.slice(at, 1000).columns
+            part = batch.slice(at, 1000)
+            texts, drops = part.column(1), part.column(2)
             total, dropped, kept = [], [], []
             for text, drop in zip(texts.to_pylist(), drops.to_pylist(), strict=True):
                 lines = (text or "").encode().split(b"\n")
@@ -66,7 +69,8 @@ def _filter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     lines = [x for x in lines if line_key(x) not in drop]
                 dropped.append(total[-1] - len(lines))
                 kept.append(b"\n".join(lines).decode())
-            yield pa.RecordBatch.from_arrays([ids, pa.array(total, pa.int64()), pa.array(dropped, pa.int64()), pa.array(kept, pa.string())], names=["doc_id", "n_lines", "n_dropped", "kept"])
+            added = [pa.array(total, pa.int64()), pa.array(dropped, pa.int64()), pa.array(kept, pa.string())]
+            yield pa.RecordBatch.from_arrays([part.column(0), texts, *part.columns[3:], *added], names=["doc_id", "text", *part.schema.names[3:], "n_lines", "n_dropped", "kept"])
 
 
 class LineRuns:
@@ -93,7 +97,7 @@ class LineRuns:
 
     def add(self, pairs: DataFrame) -> None:
         """Adds the keys that no run holds, each with the smallest doc_id of the batch."""
-        fresh = pairs.repartition(self.buckets, "key").groupBy("key").agg(F.min("doc_id").alias("owner"))
+        fresh = pairs.groupBy("key").agg(F.min("doc_id").alias("owner"))
         for name in self.runs():
             fresh = fresh.join(self.spark.table(name).select("key").hint("merge"), "key", "left_anti")
         self._write(fresh, 0)
@@ -120,13 +124,13 @@ class LineRuns:
         return self.spark.read.parquet(*(self.paths[name] for name in self.runs()))
 
 
-def dedup_lines(documents: DataFrame, batches: int = BATCHES, fanout: int = FANOUT) -> DataFrame:
-    """(doc_id, n_lines, n_dropped, kept): each text without the lines that a smaller doc_id holds."""
+def dedup_lines(documents: DataFrame, batches: int = BATCHES, fanout: int = FANOUT, keep: Sequence[str] = ()) -> DataFrame:
+    """(doc_id, text, the columns of ``keep``, n_lines, n_dropped, kept): each text without the lines that a smaller doc_id holds."""
     spark = documents.sparkSession
-    documents = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    documents = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *keep)
     runs = LineRuns(spark, fanout)
     pairs_at = f"{runs.folder}/pairs"
-    documents.filter("doc_id IS NOT NULL").mapInArrow(_keys, "doc_id long, key binary").write.parquet(pairs_at)
+    documents.filter("doc_id IS NOT NULL").select("doc_id", "text").mapInArrow(_keys, "doc_id long, key binary").write.parquet(pairs_at)
     pairs = spark.read.parquet(pairs_at)
     cuts = pairs.agg(F.percentile_approx("doc_id", [k / batches for k in range(1, batches)], 1000)).first()[0] or []
     edges = [None, *sorted(set(cuts)), None]
@@ -134,4 +138,6 @@ def dedup_lines(documents: DataFrame, batches: int = BATCHES, fanout: int = FANO
         part = pairs if low is None else pairs.filter(F.col("doc_id") > low)
         runs.add(part if high is None else part.filter(F.col("doc_id") <= high))
     drops = pairs.join(runs.owners(), "key").filter(F.col("doc_id") != F.col("owner")).groupBy("doc_id").agg(F.collect_set("key").alias("drops"))
-    return documents.join(drops.withColumnRenamed("doc_id", "_id"), F.col("doc_id") == F.col("_id"), "left").select("doc_id", "text", "drops").mapInArrow(_filter, "doc_id long, n_lines long, n_dropped long, kept string")
+    joined = documents.join(drops.withColumnRenamed("doc_id", "_id"), F.col("doc_id") == F.col("_id"), "left").select("doc_id", "text", "drops", *keep)
+    schema = T.StructType([*documents.schema.fields, *(T.StructField(n, T.LongType()) for n in ("n_lines", "n_dropped")), T.StructField("kept", T.StringType())])
+    return joined.mapInArrow(_filter, schema)
