@@ -93,7 +93,10 @@ def cluster_points(points: DataFrame, by: list[str], eps: int = 300, min_pts: in
             out.insert(k, b, group[b].iloc[0])
         return out
 
-    large = points.withColumn("_n", F.count("*").over(enough)).filter(F.col("_n") >= min_pts).select(*by, "low", "high", "id")
+    # A core point's neighbours start within 2 * eps and the longest length of each other.
+    ahead = F.lead("low", min_pts - 1).over(Window.partitionBy(*by).orderBy("low"))
+    dense = F.max(ahead - F.col("low") <= 2 * eps + F.col("_longest")).over(enough)
+    large = points.withColumn("_longest", F.max(F.col("high") - F.col("low")).over(enough)).withColumn("_dense", dense).filter("_dense").select(*by, "low", "high", "id")
     return large.groupBy(*by).applyInPandas(run, schema)
 
 

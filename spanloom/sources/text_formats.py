@@ -58,7 +58,7 @@ def parse_gff(text: DataFrame) -> DataFrame:
     pair = lambda x: F.struct(
         F.regexp_extract(x, r"^([^ =]+)", 1).alias("key"), F.btrim(F.btrim(F.regexp_extract(x, r"^[^ =]+[ =](.*)$", 1)), F.lit('"')).alias("value")
     )
-    attributes = F.transform(F.filter(F.transform(F.split(fields[8], ";"), F.trim), lambda x: x != ""), pair)
+    attributes = F.transform(F.filter(F.transform(F.split(fields[8], ";"), lambda x: F.trim(x)), lambda x: x != ""), pair)
     return body.select(
         fields[0].alias("seqname"),
         fields[1].alias("source"),
