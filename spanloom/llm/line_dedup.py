@@ -121,7 +121,7 @@ class LineRuns:
 
     def owners(self) -> DataFrame:
         """All runs as plain files, so that a join with them is free to shuffle and to split hot keys."""
-        return self.spark.read.parquet(*(self.paths[name] for name in self.runs()))
+        return self.spark.read.schema("key binary, owner long").parquet(*(self.paths[name] for name in self.runs()))
 
 
 def dedup_lines(documents: DataFrame, batches: int = BATCHES, fanout: int = FANOUT, keep: Sequence[str] = ()) -> DataFrame:
@@ -131,7 +131,7 @@ def dedup_lines(documents: DataFrame, batches: int = BATCHES, fanout: int = FANO
     runs = LineRuns(spark, fanout)
     pairs_at = f"{runs.folder}/pairs"
     documents.filter("doc_id IS NOT NULL").select("doc_id", "text").mapInArrow(_keys, "doc_id long, key binary").write.parquet(pairs_at)
-    pairs = spark.read.parquet(pairs_at)
+    pairs = spark.read.schema("doc_id long, key binary").parquet(pairs_at)
     cuts = pairs.agg(F.percentile_approx("doc_id", [k / batches for k in range(1, batches)], 1000)).first()[0] or []
     edges = [None, *sorted(set(cuts)), None]
     for low, high in zip(edges, edges[1:], strict=False):

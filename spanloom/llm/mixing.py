@@ -140,7 +140,7 @@ def mix(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: float =
     # A join with one row per source and size class; where it shuffles, Spark may split a hot source.
     rated = (
         sized.join(by_class, F.col("source").eqNullSafe(F.col("_source")) & (_size_class() == F.col("_class")))
-        .withColumn("base", F.floor(rate))
+        .withColumn("base", F.when(F.col("size") > 0, F.floor(rate)).otherwise(0))
         .withColumn("p", F.when(F.col("size") > 0, rate - F.floor(rate)).otherwise(0.0))
     )
     group = ["source", "source_size", "target", "base"]

@@ -1,0 +1,68 @@
+"""The pipeline's stages against brute force on a small corpus, and its registration."""
+
+import random
+
+import corpus_pipeline as P
+import pytest
+
+from spanloom.llm.components import connected_components
+
+pytest.importorskip("public_tokenizers")
+
+
+@pytest.fixture(scope="module")
+def corpus(spark, tmp_path_factory):
+    draw = random.Random(12)
+    rows, labels = [], []
+    for d in range(240):
+        words = [f"word{draw.randrange(300)}" for _ in range(draw.randint(12, 60))]
+        toxic = d % 6 == 1
+        if toxic:
+            words.insert(3, "nastyword")
+        rows.append((d, " ".join(words), "en", f"src{d % 3}", 1))
+        labels.append((d, 1, int(toxic)))
+    rows += [(240 + k, rows[k][1] + f"\nan extra line {k} at the end", "en", "src0", 1) for k in (0, 2, 3)]
+    rows += [(300, None, None, None, None), (301, "", "en", "src1", 0)]
+    top = tmp_path_factory.mktemp("corpus")
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(top / "documents.parquet"))
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(top / "labels.parquet"))
+    return str(top), rows
+
+
+def test_stages_keep_columns_and_take_effect(spark, corpus):
+    folder, rows = corpus
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    clean = P.drop_toxic(spark, docs, folder)
+    kept = {r["doc_id"] for r in clean.collect()}
+    assert clean.columns == docs.columns and kept == {d for d, *_ in rows if not (d < 240 and d % 6 == 1)}
+    lines = P.drop_repeated_lines(spark, clean, folder)
+    texts = {r["doc_id"]: r["text"] for r in lines.collect()}
+    assert lines.columns == docs.columns and texts[240] == "an extra line 0 at the end" and texts[300] is None and texts[0] == rows[0][1]
+    single = P.drop_near_copies(spark, docs, folder)
+    assert {r["doc_id"] for r in single.collect()} >= {0, 2, 3, 300, 301} and single.columns == docs.columns
+    mixed = P.mix_sources(spark, docs, folder)
+    assert mixed.columns == docs.columns and mixed.filter("text IS NULL OR text = ''").count() == 0
+
+
+def test_run_encodes_what_is_left(spark, corpus):
+    out = P.run(spark, corpus[0]).collect()
+    assert out and all(r["decodes"] and r["n_tokens"] == len(r["ids"]) for r in out)
+    assert not {r["doc_id"] for r in out} & {d for d in range(240) if d % 6 == 1}
+
+
+def test_components_equal_union_find(spark):
+    draw = random.Random(2)
+    links = [(draw.randrange(300), draw.randrange(300)) for _ in range(200)] + [(400 + k, 401 + k) for k in range(40)] + [(600, 600 + k) for k in range(50)]
+    label = {}
+
+    def find(x):
+        while label.setdefault(x, x) != x:
+            x = label[x]
+        return x
+
+    for a, b in links:
+        x, y = find(a), find(b)
+        label[max(x, y)] = min(x, y)
+    got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == {x: find(x) for a, b in links if a != b for x in (a, b)}
+    assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
