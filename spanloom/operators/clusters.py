@@ -150,7 +150,8 @@ def cluster_windows(clustering: DataFrame, alignments: DataFrame) -> DataFrame:
     """(id, sid, chr, start, end, gene_name) of every cluster."""
     spots = alignments.select(F.col("id").alias("alignment_id"), "chr", "pos", (F.col("pos") + F.col("rlen") - 1).alias("_end"))
     return (
-        clustering.join(spots, "alignment_id")
+        clustering.select("cluster_id", "cluster_sid", "alignment_id", "gene_name")
+        .join(spots, "alignment_id")
         .groupBy(F.col("cluster_id").alias("id"), F.col("cluster_sid").alias("sid"))
         .agg(F.min("chr").alias("chr"), F.min("pos").alias("start"), F.max("_end").alias("end"), F.min("gene_name").alias("gene_name"))
     )
