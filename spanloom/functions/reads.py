@@ -18,7 +18,7 @@ def operations(cigar: Column | str, kinds: str) -> Column:
     """The summed lengths of a cigar's operations of the given kinds."""
     column = F.col(cigar) if isinstance(cigar, str) else cigar
     found = F.regexp_extract_all(F.coalesce(column, F.lit("")), F.lit(rf"(\d+)[{kinds}]"), F.lit(1))
-    return F.aggregate(found, F.lit(0).cast("long"), lambda total, n: total + n.cast("long"))
+    return F.aggregate(found, F.lit(0).cast("long"), lambda total, n: total + F.coalesce(n.try_cast("long"), F.lit(0)))
 
 
 def reference_length(cigar: Column | str = "cigar") -> Column:

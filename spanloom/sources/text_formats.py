@@ -63,8 +63,8 @@ def parse_gff(text: DataFrame) -> DataFrame:
         fields[0].alias("seqname"),
         fields[1].alias("source"),
         fields[2].alias("feature"),
-        fields[3].cast("long").alias("start"),
-        fields[4].cast("long").alias("end"),
+        fields[3].try_cast("long").alias("start"),
+        fields[4].try_cast("long").alias("end"),
         F.when(fields[5] == ".", -1.0).otherwise(fields[5].try_cast("double")).alias("score"),
         fields[6].alias("strand"),
         number(fields[7]).alias("frame"),
@@ -117,8 +117,8 @@ def parse_bed(text: DataFrame) -> DataFrame:
     body = _checked(body, F.coalesce(f[2].isNotNull() & f[1].try_cast("long").isNotNull() & f[2].try_cast("long").isNotNull(), F.lit(False)), "bad BED line")
     return body.select(
         f[0].alias("chrom"),
-        f[1].cast("long").alias("start"),
-        f[2].cast("long").alias("end"),
+        f[1].try_cast("long").alias("start"),
+        f[2].try_cast("long").alias("end"),
         f[3].alias("name"),
         f[4].try_cast("int").alias("score"),
         f[5].alias("strand"),
@@ -163,15 +163,15 @@ def parse_sam(text: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     return body.select(
         *keep,
         at(1).alias("qname"),
-        at(2).cast("int").alias("flag"),
+        at(2).try_cast("int").alias("flag"),
         R.standard_chromosome(at(3)).alias("chr"),
-        at(4).cast("long").alias("pos"),
-        at(5).cast("int").alias("mapq"),
+        at(4).try_cast("long").alias("pos"),
+        at(5).try_cast("int").alias("mapq"),
         cigar.alias("cigar"),
         R.query_length(cigar).cast("int").alias("qlen"),
         R.reference_length(cigar).cast("int").alias("rlen"),
         R.standard_chromosome(mate).alias("chr_next"),
-        at(8).cast("long").alias("pos_next"),
+        at(8).try_cast("long").alias("pos_next"),
         at(10).alias("seq"),
     )
 
