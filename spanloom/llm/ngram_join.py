@@ -12,9 +12,14 @@ documents link when their sets' Jaccard similarity is at least 0.8.
 3. Each list of two or more documents proposes a pair of each document with
    the list's smallest doc_id. Pairs are verified by T-occurrence search
    (below), and links and equal sets make components.
+   A pair is left out if its sizes and the shingle's places in both orders
+   rule out the required overlap, were it the first shingle they share.
 4. Lists whose documents are still in different components propose the pairs
    across those components, and no others. A group of near copies thus costs
    its size, not the square of it, yet no link between components is missed.
+   Where these pairs outnumber the documents, one in ``SAMPLE`` of them, drawn
+   by a hash, is verified first, as its links merge most components; then all
+   pairs across what is left are.
 
 T-occurrence search takes one document of a group as the query and the others,
 in blocks of bounded size, as an index: inverted lists of the query's shingles.
@@ -39,6 +44,7 @@ from collections.abc import Iterator
 from itertools import groupby
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -56,24 +62,62 @@ CHUNK = 1 << 21
 COMMON = 1 << 18
 PER_LIST_TASK = 1 << 20
 BLOCK = 1024
+SAMPLE = 8
+#: Bits of the bitmap of documents that some pair needs: 8 MB.
+BITS = 1 << 26
 #: DivideSkip's weight of a probe against a merge step.
 MU = 0.0085
 
 
+class _Powers:
+    """Powers of an odd number and of its inverse modulo 2**64, as far as they were needed."""
+
+    BASE = 0x9E3779B97F4A7C15
+
+    def __init__(self):
+        self.up = self.down = np.ones(1, np.uint64)
+
+    def to(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.up) < n:
+            size = 1 << n.bit_length()
+            with np.errstate(over="ignore"):
+                self.up = np.cumprod(np.r_[np.uint64(1), np.full(size - 1, self.BASE, np.uint64)], dtype=np.uint64)
+                self.down = np.cumprod(np.r_[np.uint64(1), np.full(size - 1, pow(self.BASE, -1, 1 << 64), np.uint64)], dtype=np.uint64)
+        return self.up, self.down
+
+
+_powers = _Powers()
+#: A random number for each byte.
+_BYTES = np.random.default_rng(5).integers(0, 1 << 64, 256, dtype=np.uint64)
+#: Words hashed at a time.
+WORDS = 1 << 16
+
+
+def _hash_words(words: list[bytes], size: int) -> np.ndarray:
+    """64-bit hashes of all runs of ``size`` words, from sums of byte values times powers along the text."""
+    text = np.frombuffer(b" ".join(words), np.uint8)
+    up, down = _powers.to(len(text) + 1)
+    sums = np.zeros(len(text) + 1, np.uint64)
+    np.cumsum(_BYTES[text] * up[: len(text)], out=sums[1:])
+    gaps = np.flatnonzero(text == 32)
+    starts, ends = np.r_[0, gaps + 1], np.r_[gaps, len(text)]
+    many = len(words) - size + 1
+    starts, ends = starts[:many], ends[size - 1 :]
+    k = (sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64)
+    k ^= k >> np.uint64(29)
+    k *= np.uint64(0xBF58476D1CE4E5B9)
+    k ^= k >> np.uint64(32)
+    return k
+
+
 def shingle_set(text: str | None) -> np.ndarray:
     """Sorted distinct 64-bit shingle hashes; bytes.split and bytes.lower know just the ASCII white space and letters."""
     words = (text or "").encode().lower().split()
     if not words:
         return np.empty(0, np.uint64)
-    h = np.array(list(map(xxhash.xxh3_64_intdigest, words)), np.uint64)
-    many = max(len(words) - SHINGLE + 1, 1)
-    k = np.full(many, min(len(words), SHINGLE), np.uint64)
-    for j in range(min(SHINGLE, len(words))):
-        k = k * np.uint64(0x9E3779B97F4A7C15) + h[j : j + many]
-    k ^= k >> np.uint64(29)
-    k *= np.uint64(0xBF58476D1CE4E5B9)
-    k ^= k >> np.uint64(32)
-    return np.unique(k)
+    size = min(len(words), SHINGLE)
+    found = [_hash_words(words[at : at + WORDS + size - 1], size) for at in range(0, len(words) - size + 1, WORDS)]
+    return np.unique(np.concatenate(found))
 
 
 def required_overlap(a: int, b: int) -> int:
@@ -85,8 +129,9 @@ def prefix_length(n: int) -> int:
     return n - -(-PERCENT * n // 100) + 1 if n else 0
 
 
-def similar_sizes(a, b):
-    return 100 * np.minimum(a, b) >= PERCENT * np.maximum(a, b)
+def may_link(n1, at1, n2, at2):
+    """Whether documents of these sizes can link if the shingle at these places of their orders is the first they share."""
+    return (100 + PERCENT) * np.minimum(n1 - at1, n2 - at2) >= PERCENT * (n1 + n2)
 
 
 def t_occurrence(query: np.ndarray, members: list[np.ndarray]) -> list[tuple[int, int]]:
@@ -154,7 +199,7 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield counted(chunk)
 
 
-ENTRY = np.dtype([("shingle", "<u8"), ("doc", "<i8"), ("n", "<i8")])
+ENTRY = np.dtype([("shingle", "<u8"), ("doc", "<i8"), ("n", "<i4"), ("at", "<i4")])
 
 
 def _list_prefixes(common: np.ndarray, times: np.ndarray, parts: int):
@@ -169,13 +214,15 @@ def _list_prefixes(common: np.ndarray, times: np.ndarray, parts: int):
                 if not len(found) or key in seen:
                     continue
                 seen.add(key)
-                rank = np.zeros(len(found), np.int64)
+                first = found
                 if len(common):
                     at = np.minimum(np.searchsorted(common, found), len(common) - 1)
-                    rank = np.where(common[at] == found, times[at], 0)
-                first = found[np.lexsort((found, rank))[: prefix_length(len(found))]]
+                    known = common[at] == found
+                    late = found[known][np.argsort(times[at[known]], kind="stable")]
+                    first = np.concatenate([found[~known], late])
+                first = first[: prefix_length(len(found))]
                 entry = np.empty(len(first), ENTRY)
-                entry["shingle"], entry["doc"], entry["n"] = first, doc, len(found)
+                entry["shingle"], entry["doc"], entry["n"], entry["at"] = first, doc, len(found), np.arange(len(first))
                 entries.append(entry)
             packed = np.concatenate([*entries, np.empty(0, ENTRY)])
             part = (packed["shingle"] % np.uint64(parts)).astype(np.int64)
@@ -189,14 +236,17 @@ def _list_prefixes(common: np.ndarray, times: np.ndarray, parts: int):
 
 
 def _lists(table: pa.Table) -> pa.Table:
-    """The entries of shingles that two or more documents are listed under, with the smallest doc_id of each."""
+    """The entries of shingles that two or more documents are listed under, the smallest doc_id of each, and whether the two may link."""
     packed = np.concatenate([np.frombuffer(x.as_py(), ENTRY) for x in table.column("entries")])
     packed = packed[np.lexsort((packed["doc"], packed["shingle"]))]
     starts = np.flatnonzero(np.r_[True, packed["shingle"][1:] != packed["shingle"][:-1]])
     lengths = np.diff(np.r_[starts, len(packed)])
     many = np.repeat(lengths, lengths) > 1
-    columns = [packed["shingle"].view(np.int64), packed["doc"], packed["n"], np.repeat(packed["doc"][starts], lengths), np.repeat(packed["n"][starts], lengths)]
-    return pa.table([pa.array(np.ascontiguousarray(c[many])) for c in columns], names=["shingle", "doc", "n", "first", "first_n"])
+    head = packed[np.repeat(starts, lengths)][many]
+    rows = packed[many]
+    star = (rows["doc"] != head["doc"]) & may_link(rows["n"].astype(np.int64), rows["at"], head["n"].astype(np.int64), head["at"])
+    columns = [rows["shingle"].view(np.int64), rows["doc"], rows["n"], rows["at"], head["doc"], star]
+    return pa.table([pa.array(np.ascontiguousarray(c)) for c in columns], names=["shingle", "doc", "n", "at", "first", "star"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -241,9 +291,32 @@ def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush()
 
 
+def _probably(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    """The rows whose key is in a one-column frame, and few others.
+
+    A bitmap of ``BITS`` bits, of that size for any input, is broadcast; it
+    keeps texts that no pair needs out of the shuffle that follows.
+    """
+    spot = F.pmod(F.xxhash64(F.col(wanted.columns[0])), F.lit(BITS))
+    words = wanted.select(spot.alias("spot")).selectExpr("shiftright(spot, 5) AS word", "shiftleft(1L, cast(spot & 31 AS int)) AS bit")
+    found = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()
+    bitmap = np.zeros(BITS >> 5, np.uint32)
+    bitmap[found["word"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64).astype(np.uint32)
+    shared = rows.sparkSession.sparkContext.broadcast(bitmap)
+
+    @F.pandas_udf("boolean")
+    def held(spots: pd.Series) -> pd.Series:
+        at = spots.to_numpy(np.int64)
+        return pd.Series((shared.value[at >> 5] >> (at & 31).astype(np.uint32)) & 1 == 1)
+
+    return rows.filter(held(F.pmod(F.xxhash64(key), F.lit(BITS))))
+
+
 def _verified(documents: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs (a, b) that link."""
     width = shuffle_width(documents.sparkSession)
+    pairs = checkpointed(pairs)
+    documents = _probably(documents, "doc_id", pairs.select("a").unionByName(pairs.select(F.col("b").alias("a"))))
     sizes = pairs.groupBy("a").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("blocks"))
     pairs = pairs.join(sizes, "a")
     members = pairs.select("a", F.pmod(F.xxhash64("b"), "blocks").alias("block"), F.lit(1).alias("role"), F.col("b").alias("doc"))
@@ -255,40 +328,50 @@ def _verified(documents: DataFrame, pairs: DataFrame) -> DataFrame:
     return checkpointed(sorted_sets.mapInArrow(_search, "a long, b long, overlap long"))
 
 
-def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The pairs of similar size in each list whose components differ; rows come sorted by shingle."""
-
-    def pairs(doc: np.ndarray, n: np.ndarray, label: np.ndarray) -> Iterator[np.ndarray]:
-        for at in range(0, len(doc), BLOCK):
-            rows = slice(at, at + BLOCK)
-            for to in range(at, len(doc), BLOCK):
-                cols = slice(to, to + BLOCK)
-                i, j = np.nonzero((label[rows, None] != label[None, cols]) & similar_sizes(n[rows, None], n[None, cols]))
-                found = np.stack([doc[rows][i], doc[cols][j]], axis=1)
-                yield np.unique(np.sort(found, axis=1), axis=0)
+def _across(sample: int):
+    """Proposes the pairs of each list that may link and whose components differ, or a hash's share of them; rows come sorted by shingle."""
+
+    def pairs(rows: np.ndarray) -> Iterator[np.ndarray]:
+        """Of whole lists: every row with the one after it, the one two after it and so on, all lists at once."""
+        doc, n, place, label = rows[:, 1], rows[:, 2], rows[:, 3], rows[:, 4]
+        starts = np.flatnonzero(np.r_[True, rows[1:, 0] != rows[:-1, 0]])
+        end = np.repeat(np.r_[starts[1:], len(rows)], np.diff(np.r_[starts, len(rows)]))
+        i, step = np.arange(len(rows)), 0
+        while len(i):
+            step += 1
+            i = i[i + step < end[i]]
+            j = i + step
+            ok = (label[i] != label[j]) & may_link(n[i], place[i], n[j], place[j])
+            a, b = np.minimum(doc[i[ok]], doc[j[ok]]), np.maximum(doc[i[ok]], doc[j[ok]])
+            if sample > 1:
+                mixed = (a.astype(np.uint64) * np.uint64(_Powers.BASE) ^ b.astype(np.uint64)) * np.uint64(0xBF58476D1CE4E5B9)
+                drawn = (mixed >> np.uint64(40)) % np.uint64(sample) == 0
+                a, b = a[drawn], b[drawn]
+            if len(a):
+                yield np.stack([a, b], axis=1)
 
     def out(found: list[np.ndarray]) -> pa.RecordBatch:
         found = np.unique(np.concatenate([*found, np.empty((0, 2), np.int64)]), axis=0)
         return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(found[:, k])) for k in (0, 1)], names=["a", "b"])
 
-    held = np.empty((0, 4), np.int64)
-    found, many = [], 0
-    for batch in batches:
-        held = np.concatenate([held, np.stack([batch.column(k).to_numpy(zero_copy_only=False) for k in range(4)], axis=1)])
-        ends = np.flatnonzero(held[1:, 0] != held[:-1, 0]) + 1
-        if not len(ends):
-            continue
-        for one in np.split(held[: ends[-1]], ends[:-1]):
-            for x in pairs(one[:, 1], one[:, 2], one[:, 3]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.empty((0, 5), np.int64)
+        found, many = [], 0
+        for batch in batches:
+            held = np.concatenate([held, np.stack([batch.column(k).to_numpy(zero_copy_only=False) for k in range(5)], axis=1)])
+            ends = np.flatnonzero(held[1:, 0] != held[:-1, 0]) + 1
+            if not len(ends):
+                continue
+            for x in pairs(held[: ends[-1]]):
                 found.append(x)
                 many += len(x)
                 if many > CHUNK:
                     yield out(found)
                     found, many = [], 0
-        held = held[ends[-1] :]
-    if len(held):
-        found += pairs(held[:, 1], held[:, 2], held[:, 3])
-    yield out(found)
+            held = held[ends[-1] :]
+        yield out([*found, *pairs(held)])
+
+    return run
 
 
 def jaccard_groups(documents: DataFrame) -> DataFrame:
@@ -305,26 +388,44 @@ def jaccard_groups(documents: DataFrame) -> DataFrame:
     total = rows.agg(F.sum("n")).first()[0] or 0
     parts = max(width, math.ceil(total * (100 - PERCENT) / 100 / PER_LIST_TASK))
     packed = known.mapInArrow(_list_prefixes(ids[order], common["times"].to_numpy(np.int64)[order], parts), "part long, entries binary")
-    lists = checkpointed(packed.groupBy("part").applyInArrow(_lists, "shingle long, doc long, n long, first long, first_n long"))
+    lists = checkpointed(packed.groupBy("part").applyInArrow(_lists, "shingle long, doc long, n int, at int, first long, star boolean"))
     del packed
-    similar = (100 * F.least("n", "first_n") >= PERCENT * F.greatest("n", "first_n")) & (F.col("doc") != F.col("first"))
-    stars = lists.filter(similar).select(F.col("first").alias("a"), F.col("doc").alias("b")).distinct()
+    _release(spark)
+    stars = lists.filter("star").select(F.col("first").alias("a"), F.col("doc").alias("b")).distinct()
     links = _verified(known, stars).select("a", "b")
+    _release(spark)
     # Equal sets are one node, named by their smallest doc_id.
     classes = rows.filter("n > 0 AND doc_id IS NOT NULL").groupBy("signature").agg(F.min("doc_id").alias("rep"))
     reps = checkpointed(rows.filter("n > 0 AND doc_id IS NOT NULL").join(classes, "signature").select("doc_id", "rep").distinct())
     labels = _labels(reps, links)
-    placed = lists.select("shingle", "doc", "n").join(labels, F.col("doc") == F.col("doc_id")).select("shingle", "doc", "n", "label")
-    mixed = placed.groupBy("shingle").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("shingle")
-    open_lists = placed.join(mixed, "shingle", "left_semi").repartition(width, "shingle").sortWithinPartitions("shingle")
-    rest = open_lists.mapInArrow(_across, "a long, b long").distinct()
+    open_lists = _open(lists, labels, width)
+    some = checkpointed(open_lists.mapInArrow(_across(SAMPLE), "a long, b long").distinct())
+    if 2 * some.count() > open_lists.select("doc").distinct().count():
+        links = checkpointed(links.unionByName(_verified(known, some).select("a", "b")))
+        labels = _labels(reps, links)
+        open_lists = _open(open_lists.drop("label"), labels, width)
+        _release(spark)
+    rest = open_lists.mapInArrow(_across(1), "a long, b long").distinct()
     links = checkpointed(links.unionByName(_verified(known, rest).select("a", "b")))
     labels = _labels(reps, links)
-    gc.collect()
+    _release(spark)
     found = rows.join(labels.withColumnRenamed("doc_id", "_id"), F.col("doc_id") == F.col("_id"), "left")
     return found.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("label", "doc_id").alias("component_id"))
 
 
+def _open(lists: DataFrame, labels: DataFrame, width: int) -> DataFrame:
+    """The lists whose documents have more than one label, with the labels, each list together."""
+    placed = lists.select("shingle", "doc", "n", "at").join(labels, F.col("doc") == F.col("doc_id")).select("shingle", "doc", "n", "at", "label")
+    mixed = placed.groupBy("shingle").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("shingle")
+    return checkpointed(placed.join(mixed, "shingle", "left_semi").repartition(width, "shingle").sortWithinPartitions("shingle"))
+
+
+def _release(spark) -> None:
+    """Lets Spark delete the shuffle files of frames that were checkpointed and are no longer held."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def _labels(reps: DataFrame, links: DataFrame) -> DataFrame:
     """(doc_id, label) of every document with a set; the label is the smallest doc_id of its component."""
     one = reps.select(F.col("doc_id").alias("a"), F.col("rep").alias("ra"))
