@@ -136,6 +136,21 @@ def test_ngram_join_equals_brute_force(spark, seed):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute_groups(rows)
 
 
+@pytest.mark.parametrize("short", [2, 64])
+def test_pairs_across_components_equal_brute_force(monkeypatch, short):
+    import pyarrow as pa
+
+    monkeypatch.setattr(ngram_join, "SHORT", short)
+    draw = np.random.default_rng(short)
+    rows = [(s, d, 20 + d % 3, int(draw.integers(0, 4)), d % 4) for s in range(30) for d in draw.choice(200, draw.integers(2, 12), replace=False).tolist()]
+    want = {(min(x[1], y[1]), max(x[1], y[1])) for x in rows for y in rows if x[0] == y[0] and x[1] < y[1] and x[4] != y[4] and ngram_join.may_link(x[2], x[3], y[2], y[3])}
+    table = pa.table([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=["shingle", "doc", "n", "at", "label"])
+    for sample in (1, 8):
+        out = pa.Table.from_batches(ngram_join._across(sample)(iter(table.to_batches(max_chunksize=7)))).to_pydict()
+        got = set(zip(out["a"], out["b"], strict=True))
+        assert got == want if sample == 1 else got < want
+
+
 def test_ngram_join_of_one_large_group(spark):
     draw = random.Random(9)
     base = [f"v{draw.randrange(10**6)}" for _ in range(200)]
