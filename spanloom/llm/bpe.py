@@ -22,7 +22,6 @@ import base64
 import re
 import struct
 from collections.abc import Iterable, Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -88,15 +87,17 @@ class Codec:
     def __init__(self, ranks: dict[bytes, int], model: bytes, pattern: str):
         import sentencepiece
 
-        self.ranks = ranks
         self.pieces = sorted(ranks, key=ranks.__getitem__)
+        # Ids are kept as packed 32-bit integers: joining bytes is all that a known part costs.
+        self.packed = [struct.pack("<i", r) for r in range(len(self.pieces))]
+        self.ids = dict(zip(self.pieces, self.packed, strict=True))
         self.processor = sentencepiece.SentencePieceProcessor(model_proto=model)
         self.map = dict(enumerate(byte_characters()))
         # White space is Unicode's property, not the wider str.isspace().
         self.pattern = regex.compile(pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}"))
         self.whole_words = r" ?\p{L}+|" in pattern and r" ?[^\s\p{L}\p{N}]+" in pattern
-        self.plain: dict[str, list[int]] = {}
-        self.spaced: dict[str, list[int]] = {}
+        self.plain: dict[str, bytes] = {}
+        self.spaced: dict[str, bytes] = {}
 
     def pre_tokens(self, text: str) -> list[str]:
         """The pattern's matches; a word, with its space before and one mark after, needs no search if words stay whole."""
@@ -108,50 +109,60 @@ class Codec:
                 return [text[:-1], text[-1]]
         return self.pattern.findall(text)
 
-    def _encode_new(self, texts: list[str]) -> list[list[int]]:
-        """The ids of each text: a pre-token that is a token is its rank, as the pattern's matches need no merges then."""
-        found: list[list] = []
-        open_at: list[tuple[int, int]] = []
+    def _encode_new(self, texts: list[str]) -> list[bytes]:
+        """The packed ids of each text: a pre-token that is a token is its rank, others go through the model's merges."""
+        found: list[list[bytes | None]] = []
         mapped: list[str] = []
-        for k, text in enumerate(texts):
-            ids: list = []
-            for token in self.pre_tokens(text):
-                raw = token.encode()
-                rank = self.ranks.get(raw)
-                if rank is None:
-                    open_at.append((k, len(ids)))
-                    mapped.append(raw.decode("latin-1").translate(self.map))
-                ids.append(rank)
+        for text in texts:
+            raw = [token.encode() for token in self.pre_tokens(text)]
+            ids = [self.ids.get(x) for x in raw]
+            if None in ids:
+                mapped += [x.decode("latin-1").translate(self.map) for x, packed in zip(raw, ids, strict=True) if packed is None]
             found.append(ids)
-        if mapped:
-            merged: dict[int, dict[int, list[int]]] = {}
-            for (k, at), ids in zip(open_at, self.processor.encode(mapped, num_threads=1), strict=True):
-                merged.setdefault(k, {})[at] = ids
-            for k, at in merged.items():
-                found[k] = list(chain.from_iterable(at[i] if i in at else (x,) for i, x in enumerate(found[k])))
-        return found
-
-    def _known(self, cache: dict[str, list[int]], parts: list[str], prefix: str) -> None:
+        merged = iter(self.processor.encode(mapped, num_threads=1) if mapped else ())
+        pack = self.packed.__getitem__
+        return [b"".join([b"".join(map(pack, next(merged))) if x is None else x for x in ids]) for ids in found]
+
+    def _known(self, cache: dict[str, bytes], parts: set[str], prefix: str) -> None:
         if len(cache) > CACHE_ENTRIES:
             cache.clear()
-        if new := [p for p in set(parts) if p not in cache]:
+        if new := [p for p in parts if p not in cache]:
             cache.update(zip(new, self._encode_new([prefix + p for p in new]), strict=True))
 
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """The packed ids of each text.
+
+        A single space before a visible character always begins a pre-token,
+        so the parts between such spaces are encoded, and remembered, apart;
+        those that are new go to the model in one call, as a call is dear.
+        """
+        plain: set[str] = set()
+        spaced: set[str] = set()
+        cut = []
+        for text in texts:
+            if _ODD_SPACE.search(text):
+                parts = _BEFORE_WORD.split(text)
+                plain.update(parts)
+                cut.append((parts, ()))
+            else:
+                first, *rest = text.split(" ")
+                plain.add(first)
+                spaced.update(rest)
+                cut.append(((first,), rest))
+        self._known(self.plain, plain, "")
+        self._known(self.spaced, spaced, " ")
+        plain_ids, spaced_ids = self.plain.__getitem__, self.spaced.__getitem__
+        return [b"".join(map(plain_ids, parts)) + b"".join(map(spaced_ids, rest)) for parts, rest in cut]
+
     def encode(self, text: str) -> list[int]:
-        """A single space before a visible character always begins a pre-token, so the parts between such spaces are encoded, and remembered, apart."""
-        if _ODD_SPACE.search(text):
-            parts = _BEFORE_WORD.split(text)
-            self._known(self.plain, parts, "")
-            return list(chain.from_iterable(map(self.plain.__getitem__, parts)))
-        first, *rest = text.split(" ")
-        self._known(self.plain, [first], "")
-        self._known(self.spaced, rest, " ")
-        return [*self.plain[first], *chain.from_iterable(map(self.spaced.__getitem__, rest))]
+        return np.frombuffer(self.encode_all([text])[0], np.int32).tolist()
 
     def decode(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.pieces.__getitem__, ids))
 
 
+#: Texts encoded together.
+ROWS = 250
 _MARKS = tuple(".,;:!?")
 _ODD_SPACE = re.compile(r" (?:\s|\Z)")
 _BEFORE_WORD = re.compile(r"(?= \S)")
@@ -193,14 +204,14 @@ def encode_documents(documents: DataFrame, ranks_path: str, pattern: str, text:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(shared)
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
-                found = [codec.encode(t or "") for t in part.column(text).to_pylist()]
-                ends = np.cumsum([0, *map(len, found)], dtype=np.int32)
-                values = np.fromiter(chain.from_iterable(found), np.int32, int(ends[-1]))
+            for at in range(0, batch.num_rows, ROWS):
+                part = batch.slice(at, ROWS)
+                found = codec.encode_all([t or "" for t in part.column(text).to_pylist()])
+                ends = np.cumsum([0, *(len(x) // 4 for x in found)], dtype=np.int32)
+                values = np.frombuffer(b"".join(found), np.int32)
                 columns = [part.column(n) for n in names] + [pa.ListArray.from_arrays(pa.array(ends), pa.array(values))]
                 if decoded:
-                    columns.append(pa.array([codec.decode(x) for x in found], pa.binary()))
+                    columns.append(pa.array([codec.decode(np.frombuffer(x, np.int32).tolist()) for x in found], pa.binary()))
                 yield pa.RecordBatch.from_arrays(columns, names=[*names, ids, *([decoded] if decoded else [])])
 
     return documents.mapInArrow(run, schema)
