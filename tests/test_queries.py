@@ -46,3 +46,16 @@ def test_query_equals_its_sql(spark, duck, name):
     assert sorted(names) == columns
     order = [names.index(c) for c in columns]
     assert got == sorted(str([same(row[k]) for k in order]) for row in table.fetchall())
+
+
+@needs_tables
+@pytest.mark.parametrize("name", ["flagship_overlaps", "overlap_join", "blacklist_overlap", "blacklist_anti_padded", "point_in_interval", "near_gene_symmetric", "crossing_reads", "dbscan_core_points"])
+def test_interval_plans_have_no_nested_loop(spark, name):
+    plan = proxy_queries.queries()[name](spark, SF_DIR)._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+@needs_tables
+def test_scans_read_only_what_they_need(spark):
+    plan = proxy_queries.queries()["gene_extent"](spark, SF_DIR)._jdf.queryExecution().executedPlan().toString()
+    assert "p_name" not in plan and "p_retailprice" not in plan
