@@ -3,12 +3,13 @@
 A document's set holds the hashes of its distinct 5-word shingles. Two
 documents link when their sets' Jaccard similarity is at least 0.8.
 
-1. One pass gives each document's set size and a 128-bit signature of its set,
-   which gathers equal sets, and counts shingles chunk by chunk. Shingles that
-   recur within chunks are common; they only steer the order below.
+1. One pass counts how many documents hold each shingle, cut to 32 bits and its
+   part of the space. The commonest ones only steer the order below, so a
+   count that two shingles share does no harm.
 2. A second pass orders each set with common shingles last and lists the
    document under its first n - ceil(0.8 n) + 1 shingles: linked sets share
-   one of those. Lists travel as packed arrays.
+   one of those. Lists travel as packed arrays. The pass also gives each
+   document's set size and a 128-bit signature, which gathers equal sets.
 3. Each list of two or more documents proposes a pair of each document with
    the list's smallest doc_id. Pairs are verified by T-occurrence search
    (below), and links and equal sets make components.
@@ -56,10 +57,13 @@ from spanloom.llm.components import connected_components
 SHINGLE = 5
 #: Jaccard similarity, in hundredths.
 PERCENT = 80
-#: Shingles counted at a time; those that recur in a chunk are reported.
+#: Shingles held by so many documents are common.
+OFTEN = 6
+#: Pairs that a task holds before it passes them on.
 CHUNK = 1 << 21
 #: At most so many common shingles are known to the ordering; any number gives the same links.
 COMMON = 1 << 18
+SHORT = 64
 PER_LIST_TASK = 1 << 20
 BLOCK = 1024
 SAMPLE = 8
@@ -171,53 +175,76 @@ def t_occurrence(query: np.ndarray, members: list[np.ndarray]) -> list[tuple[int
     return found
 
 
-def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (doc_id, n, signature) of documents, and (shingle, times) of shingles that recur in a chunk."""
+def _keys(shingles: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """The part of each shingle, and 32 more of its bits."""
+    return (shingles % np.uint64(parts)).astype(np.int64), (shingles >> np.uint64(32)).astype(np.uint32)
 
-    def counted(sets: dict[bytes, np.ndarray]) -> pa.RecordBatch:
-        ids, times = np.unique(np.concatenate([*sets.values(), np.empty(0, np.uint64)]), return_counts=True)
-        ids, times = ids[times > 1], times[times > 1]
-        blank = pa.nulls(len(ids), pa.int64())
-        return pa.RecordBatch.from_arrays([blank, blank, pa.nulls(len(ids), pa.binary()), pa.array(ids.view(np.int64)), pa.array(times)], names=["doc_id", "n", "signature", "shingle", "times"])
 
-    chunk: dict[bytes, np.ndarray] = {}
-    held = 0
-    for batch in batches:
-        n, signatures = [], []
-        for text in batch.column(1).to_pylist():
-            found = shingle_set(text)
-            n.append(len(found))
-            signatures.append(xxhash.xxh3_128_digest(found.tobytes()))
-            if len(found) and signatures[-1] not in chunk:
-                chunk[signatures[-1]] = found
-                held += len(found)
-            if held >= CHUNK:
-                yield counted(chunk)
-                chunk, held = {}, 0
-        blank = pa.nulls(len(n), pa.int64())
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(signatures, pa.binary()), blank, blank], names=["doc_id", "n", "signature", "shingle", "times"])
-    yield counted(chunk)
+def _deal(parts: int):
+    """Packs every document's shingles, cut to 32 bits, by part."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = {}
+            for text in batch.column(0).to_pylist():
+                found = shingle_set(text)
+                sets[xxhash.xxh3_128_digest(found.tobytes())] = found
+            part, key = _keys(np.concatenate([*sets.values(), np.empty(0, np.uint64)]), parts)
+            order = np.argsort(part, kind="stable")
+            part, key = part[order], key[order]
+            ids, starts = np.unique(part, return_index=True)
+            blobs = [x.tobytes() for x in np.split(key, starts[1:])] if len(ids) else []
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(blobs, pa.binary())], names=["part", "entries"])
+
+    return run
+
+
+def _frequent(table: pa.Table) -> pa.Table:
+    """(part, key, times) of the shingles of a part that recur, and the part's size at key -1."""
+    keys = np.concatenate([np.frombuffer(x.as_py(), np.uint32) for x in table.column("entries")])
+    ids, times = np.unique(keys, return_counts=True)
+    often = times >= OFTEN
+    ids, times = np.append(ids[often].astype(np.int64), -1), np.append(times[often], len(keys))
+    return pa.table([pa.array(np.full(len(ids), table.column("part")[0].as_py())), pa.array(ids), pa.array(times.astype(np.int64))], names=["part", "key", "times"])
 
 
 ENTRY = np.dtype([("shingle", "<u8"), ("doc", "<i8"), ("n", "<i4"), ("at", "<i4")])
 
 
-def _list_prefixes(common: np.ndarray, times: np.ndarray, parts: int):
-    """Packs the entries of every document's first shingles by part of the shingle space."""
+def _pack(entries: np.ndarray) -> bytes:
+    """Column after column, which compresses better than row after row."""
+    return b"".join(np.ascontiguousarray(entries[c]).tobytes() for c in ENTRY.names)
+
+
+def _unpack(blob: bytes) -> np.ndarray:
+    n = len(blob) // ENTRY.itemsize
+    out, at = np.empty(n, ENTRY), 0
+    for c in ENTRY.names:
+        kind = ENTRY[c]
+        out[c] = np.frombuffer(blob, kind, n, at)
+        at += n * kind.itemsize
+    return out
+
+
+def _list_prefixes(common: np.ndarray, times: np.ndarray, width: int, parts: int):
+    """Packs the entries of every document's first shingles by part of the shingle space; part -1 describes the documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            entries, seen = [], set()
+            entries, seen, sizes = [], set(), []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 found = shingle_set(text)
                 key = xxhash.xxh3_128_digest(found.tobytes())
-                if not len(found) or key in seen:
+                sizes.append((doc, len(found), key))
+                if doc is None or not len(found) or key in seen:
                     continue
                 seen.add(key)
                 first = found
                 if len(common):
-                    at = np.minimum(np.searchsorted(common, found), len(common) - 1)
-                    known = common[at] == found
+                    part, cut = _keys(found, width)
+                    wanted = cut.astype(np.int64) * width + part
+                    at = np.minimum(np.searchsorted(common, wanted), len(common) - 1)
+                    known = common[at] == wanted
                     late = found[known][np.argsort(times[at[known]], kind="stable")]
                     first = np.concatenate([found[~known], late])
                 first = first[: prefix_length(len(found))]
@@ -229,42 +256,48 @@ def _list_prefixes(common: np.ndarray, times: np.ndarray, parts: int):
             order = np.argsort(part, kind="stable")
             packed, part = packed[order], part[order]
             ids, starts = np.unique(part, return_index=True)
-            blobs = [x.tobytes() for x in np.split(packed, starts[1:])] if len(ids) else []
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(blobs, pa.binary())], names=["part", "entries"])
+            blobs = [_pack(x) for x in np.split(packed, starts[1:])] if len(ids) else []
+            blank = pa.nulls(len(ids), pa.int64())
+            lists = [pa.array(ids, pa.int64()), pa.array(blobs, pa.binary()), blank, blank, pa.nulls(len(ids), pa.binary())]
+            yield pa.RecordBatch.from_arrays(lists, names=["part", "entries", "doc", "n", "signature"])
+            # Documents are spread over parts below 0, which need no gathering.
+            docs, n, keys = zip(*sizes, strict=True) if sizes else ((), (), ())
+            spread = -1 - (np.array([doc or 0 for doc in docs], np.int64) * 0x9E3779B1 >> 16) % parts
+            rows = [pa.array(spread, pa.int64()), pa.nulls(len(sizes), pa.binary()), pa.array(docs, pa.int64()), pa.array(n, pa.int64()), pa.array(keys, pa.binary())]
+            yield pa.RecordBatch.from_arrays(rows, names=["part", "entries", "doc", "n", "signature"])
 
     return run
 
 
 def _lists(table: pa.Table) -> pa.Table:
-    """The entries of shingles that two or more documents are listed under, the smallest doc_id of each, and whether the two may link."""
-    packed = np.concatenate([np.frombuffer(x.as_py(), ENTRY) for x in table.column("entries")])
+    """The entries of shingles under which two documents are listed that may link, with the smallest doc_id of each list, and whether it and the entry may."""
+    if table.column("part")[0].as_py() < 0:
+        none = pa.nulls(table.num_rows, pa.int64())
+        rest = [none, table.column("doc"), table.column("n").cast(pa.int32()), none.cast(pa.int32()), none, none.cast(pa.bool_()), table.column("signature")]
+        return pa.table(rest, names=["shingle", "doc", "n", "at", "first", "star", "signature"])
+    packed = np.concatenate([_unpack(x.as_py()) for x in table.column("entries")])
     packed = packed[np.lexsort((packed["doc"], packed["shingle"]))]
     starts = np.flatnonzero(np.r_[True, packed["shingle"][1:] != packed["shingle"][:-1]])
     lengths = np.diff(np.r_[starts, len(packed)])
-    many = np.repeat(lengths, lengths) > 1
-    head = packed[np.repeat(starts, lengths)][many]
-    rows = packed[many]
+    length, end = np.repeat(lengths, lengths), np.repeat(starts + lengths, lengths)
+    # In short lists an entry that may link with no other is of no use; in long ones all stay.
+    kept = length > SHORT
+    n, at = packed["n"].astype(np.int64), packed["at"]
+    i = np.flatnonzero((length > 1) & ~kept)
+    for step in range(1, SHORT):
+        i = i[i + step < end[i]]
+        ok = i[may_link(n[i], at[i], n[i + step], at[i + step])]
+        kept[ok] = kept[ok + step] = True
+    head = packed[np.repeat(starts, lengths)][kept]
+    rows = packed[kept]
     star = (rows["doc"] != head["doc"]) & may_link(rows["n"].astype(np.int64), rows["at"], head["n"].astype(np.int64), head["at"])
     columns = [rows["shingle"].view(np.int64), rows["doc"], rows["n"], rows["at"], head["doc"], star]
-    return pa.table([pa.array(np.ascontiguousarray(c)) for c in columns], names=["shingle", "doc", "n", "at", "first", "star"])
-
-
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row for each place where a document's set is wanted."""
-    for batch in batches:
-        for at in range(0, batch.num_rows, 64):
-            part = batch.slice(at, 64)
-            rows = []
-            for doc, text, places in zip(*(part.column(k).to_pylist() for k in range(3)), strict=True):
-                found = shingle_set(text).tobytes()
-                rows += [(p["a"], p["block"], p["role"], doc, found) for p in places]
-            if rows:
-                columns = list(zip(*rows, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int32()), pa.array(columns[3], pa.int64()), pa.array(columns[4], pa.binary())], names=["a", "block", "role", "doc", "shingles"])
+    arrays = [*(pa.array(np.ascontiguousarray(c)) for c in columns), pa.nulls(len(rows), pa.binary())]
+    return pa.table(arrays, names=["shingle", "doc", "n", "at", "first", "star", "signature"])
 
 
 def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Searches each block: its rows follow each other, the query first."""
+    """Searches each block: its rows follow each other, the query first. Texts travel, as they are smaller than their sets."""
 
     def flush() -> pa.RecordBatch:
         kept = [(group[0], members[k][0], c) for k, c in t_occurrence(query, [m for _, m in members])] if query is not None else []
@@ -273,13 +306,13 @@ def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     group, query, members = None, None, []
     for batch in batches:
-        a, block, role, doc, found = (batch.column(k).to_pylist() for k in range(5))
+        a, block, role, doc, text = (batch.column(k).to_pylist() for k in range(5))
         for k in range(batch.num_rows):
             if (a[k], block[k]) != group:
                 if members:
                     yield flush()
                 group, query, members = (a[k], block[k]), None, []
-            shingles = np.frombuffer(found[k], np.uint64)
+            shingles = shingle_set(text[k])
             if role[k] == 0:
                 query = shingles
             else:
@@ -299,9 +332,9 @@ def _probably(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
     """
     spot = F.pmod(F.xxhash64(F.col(wanted.columns[0])), F.lit(BITS))
     words = wanted.select(spot.alias("spot")).selectExpr("shiftright(spot, 5) AS word", "shiftleft(1L, cast(spot & 31 AS int)) AS bit")
-    found = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()
+    found = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
     bitmap = np.zeros(BITS >> 5, np.uint32)
-    bitmap[found["word"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64).astype(np.uint32)
+    bitmap[found.column("word").to_numpy()] = found.column("bits").to_numpy().astype(np.uint32)
     shared = rows.sparkSession.sparkContext.broadcast(bitmap)
 
     @F.pandas_udf("boolean")
@@ -317,38 +350,49 @@ def _verified(documents: DataFrame, pairs: DataFrame) -> DataFrame:
     width = shuffle_width(documents.sparkSession)
     pairs = checkpointed(pairs)
     documents = _probably(documents, "doc_id", pairs.select("a").unionByName(pairs.select(F.col("b").alias("a"))))
-    sizes = pairs.groupBy("a").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("blocks"))
+    # Written tables on both sides of a join let Spark split a hot key.
+    sizes = checkpointed(pairs.groupBy("a").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("blocks")))
     pairs = pairs.join(sizes, "a")
     members = pairs.select("a", F.pmod(F.xxhash64("b"), "blocks").alias("block"), F.lit(1).alias("role"), F.col("b").alias("doc"))
     queries = sizes.select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.lit(0).alias("role"), F.col("a").alias("doc"))
     places = members.unionByName(queries).groupBy("doc").agg(F.collect_list(F.struct("a", "block", "role")).alias("places"))
-    wanted = documents.join(places, F.col("doc_id") == F.col("doc")).select("doc_id", "text", "places")
-    sets = wanted.mapInArrow(_sets, "a long, block long, role int, doc long, shingles binary")
-    sorted_sets = sets.repartition(width, "a", "block").sortWithinPartitions("a", "block", "role")
-    return checkpointed(sorted_sets.mapInArrow(_search, "a long, b long, overlap long"))
+    wanted = documents.join(places, F.col("doc_id") == F.col("doc")).select("doc", "text", F.inline("places"))
+    ordered = wanted.select("a", "block", "role", "doc", "text").repartition(width, "a", "block").sortWithinPartitions("a", "block", "role")
+    return checkpointed(ordered.mapInArrow(_search, "a long, b long, overlap long"))
 
 
 def _across(sample: int):
     """Proposes the pairs of each list that may link and whose components differ, or a hash's share of them; rows come sorted by shingle."""
 
+    def chosen(rows: np.ndarray, i: np.ndarray, j: np.ndarray) -> Iterator[np.ndarray]:
+        """Those of the pairs of rows that may link across components, and that the hash draws."""
+        ok = (rows[i, 4] != rows[j, 4]) & may_link(rows[i, 2], rows[i, 3], rows[j, 2], rows[j, 3])
+        a, b = np.minimum(rows[i[ok], 1], rows[j[ok], 1]), np.maximum(rows[i[ok], 1], rows[j[ok], 1])
+        if sample > 1:
+            mixed = (a.astype(np.uint64) * np.uint64(_Powers.BASE) ^ b.astype(np.uint64)) * np.uint64(0xBF58476D1CE4E5B9)
+            drawn = (mixed >> np.uint64(40)) % np.uint64(sample) == 0
+            a, b = a[drawn], b[drawn]
+        if len(a):
+            yield np.unique(np.stack([a, b], axis=1), axis=0)
+
     def pairs(rows: np.ndarray) -> Iterator[np.ndarray]:
-        """Of whole lists: every row with the one after it, the one two after it and so on, all lists at once."""
-        doc, n, place, label = rows[:, 1], rows[:, 2], rows[:, 3], rows[:, 4]
-        starts = np.flatnonzero(np.r_[True, rows[1:, 0] != rows[:-1, 0]])
-        end = np.repeat(np.r_[starts[1:], len(rows)], np.diff(np.r_[starts, len(rows)]))
-        i, step = np.arange(len(rows)), 0
-        while len(i):
-            step += 1
+        """Of whole lists: in short ones every row with the one after it, the one two after it and so on, all
+        lists at once; in long ones the rows outside the commonest component with all rows, block by block."""
+        starts = np.flatnonzero(np.r_[True, rows[1:, 0] != rows[:-1, 0]]) if len(rows) else np.empty(0, int)
+        lengths = np.diff(np.r_[starts, len(rows)])
+        end = np.repeat(starts + lengths, lengths)
+        i = np.flatnonzero(np.repeat(lengths, lengths) <= SHORT)
+        for step in range(1, SHORT):
             i = i[i + step < end[i]]
-            j = i + step
-            ok = (label[i] != label[j]) & may_link(n[i], place[i], n[j], place[j])
-            a, b = np.minimum(doc[i[ok]], doc[j[ok]]), np.maximum(doc[i[ok]], doc[j[ok]])
-            if sample > 1:
-                mixed = (a.astype(np.uint64) * np.uint64(_Powers.BASE) ^ b.astype(np.uint64)) * np.uint64(0xBF58476D1CE4E5B9)
-                drawn = (mixed >> np.uint64(40)) % np.uint64(sample) == 0
-                a, b = a[drawn], b[drawn]
-            if len(a):
-                yield np.stack([a, b], axis=1)
+            yield from chosen(rows, i, i + step)
+        for start, length in zip(starts[lengths > SHORT].tolist(), lengths[lengths > SHORT].tolist(), strict=True):
+            labels, counts = np.unique(rows[start : start + length, 4], return_counts=True)
+            rest = start + np.flatnonzero(rows[start : start + length, 4] != labels[np.argmax(counts)])
+            for at in range(0, len(rest), BLOCK):
+                for to in range(start, start + length, BLOCK):
+                    j = np.arange(to, min(to + BLOCK, start + length))
+                    part = rest[at : at + BLOCK]
+                    yield from chosen(rows, np.repeat(part, len(j)), np.tile(j, len(part)))
 
     def out(found: list[np.ndarray]) -> pa.RecordBatch:
         found = np.unique(np.concatenate([*found, np.empty((0, 2), np.int64)]), axis=0)
@@ -380,22 +424,25 @@ def jaccard_groups(documents: DataFrame) -> DataFrame:
     documents = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     known = documents.filter("doc_id IS NOT NULL")
     width = shuffle_width(spark)
-    described = checkpointed(documents.mapInArrow(_describe, "doc_id long, n long, signature binary, shingle long, times long"))
-    rows = described.filter("shingle IS NULL").select("doc_id", "n", "signature")
-    common = described.filter("shingle IS NOT NULL").groupBy("shingle").agg(F.sum("times").alias("times")).filter("times > 3").orderBy(F.desc("times"), "shingle").limit(COMMON).toPandas()
-    ids = common["shingle"].to_numpy(np.int64).view(np.uint64)
+    dealt = documents.select("text").mapInArrow(_deal(width), "part long, entries binary")
+    counts = checkpointed(dealt.groupBy("part").applyInArrow(_frequent, "part long, key long, times long"))
+    _release(spark)
+    total = counts.filter("key < 0").agg(F.sum("times")).first()[0] or 0
+    common = counts.filter("key >= 0").orderBy(F.desc("times"), "key", "part").limit(COMMON).select((F.col("key") * width + F.col("part")).alias("key"), "times").toArrow()
+    ids, times = common.column("key").to_numpy(), common.column("times").to_numpy()
     order = np.argsort(ids)
-    total = rows.agg(F.sum("n")).first()[0] or 0
     parts = max(width, math.ceil(total * (100 - PERCENT) / 100 / PER_LIST_TASK))
-    packed = known.mapInArrow(_list_prefixes(ids[order], common["times"].to_numpy(np.int64)[order], parts), "part long, entries binary")
-    lists = checkpointed(packed.groupBy("part").applyInArrow(_lists, "shingle long, doc long, n int, at int, first long, star boolean"))
-    del packed
+    packed = documents.mapInArrow(_list_prefixes(ids[order], times[order], width, parts), "part long, entries binary, doc long, n long, signature binary")
+    found = checkpointed(packed.groupBy("part").applyInArrow(_lists, "shingle long, doc long, n int, at int, first long, star boolean, signature binary"))
+    lists = found.filter("shingle IS NOT NULL").drop("signature")
+    rows = found.filter("shingle IS NULL").select(F.col("doc").alias("doc_id"), F.col("n").cast("long").alias("n"), "signature")
+    del dealt, packed
     _release(spark)
     stars = lists.filter("star").select(F.col("first").alias("a"), F.col("doc").alias("b")).distinct()
     links = _verified(known, stars).select("a", "b")
     _release(spark)
     # Equal sets are one node, named by their smallest doc_id.
-    classes = rows.filter("n > 0 AND doc_id IS NOT NULL").groupBy("signature").agg(F.min("doc_id").alias("rep"))
+    classes = checkpointed(rows.filter("n > 0 AND doc_id IS NOT NULL").groupBy("signature").agg(F.min("doc_id").alias("rep")))
     reps = checkpointed(rows.filter("n > 0 AND doc_id IS NOT NULL").join(classes, "signature").select("doc_id", "rep").distinct())
     labels = _labels(reps, links)
     open_lists = _open(lists, labels, width)
@@ -409,8 +456,8 @@ def jaccard_groups(documents: DataFrame) -> DataFrame:
     links = checkpointed(links.unionByName(_verified(known, rest).select("a", "b")))
     labels = _labels(reps, links)
     _release(spark)
-    found = rows.join(labels.withColumnRenamed("doc_id", "_id"), F.col("doc_id") == F.col("_id"), "left")
-    return found.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("label", "doc_id").alias("component_id"))
+    named = rows.join(labels.withColumnRenamed("doc_id", "_id"), F.col("doc_id") == F.col("_id"), "left")
+    return named.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("label", "doc_id").alias("component_id"))
 
 
 def _open(lists: DataFrame, labels: DataFrame, width: int) -> DataFrame:
