@@ -204,11 +204,13 @@ def test_language_on_awkward_rows(awkward, empty):
     assert {r["lang_pred"] for r in lang_id.predict(awkward, lang_id.fit(empty)).collect()} == {"und"}
 
 
-def test_counts_do_not_depend_on_the_piece(monkeypatch):
+def test_pieces_differ_only_where_they_meet(monkeypatch):
     text = "abc def " * 50
-    assert lang_id.ngram_counts(text).sum() == lang_id.ngram_counts(text[:200]).sum() + lang_id.ngram_counts(text[200:]).sum() - lang_id.ngram_counts("").sum() or True
-    monkeypatch.setattr(lang_id, "PIECE", 16)
-    assert lang_id.ngram_counts(text).sum() > 0
+    whole = lang_id.ngram_counts(text)
+    monkeypatch.setattr(lang_id, "PIECE", 100)
+    pieces = lang_id.ngram_counts(text)
+    # Each of the three seams puts at most two blanks, and their n-grams, between the pieces.
+    assert np.abs(whole - pieces).sum() <= 3 * 12 < whole.sum() / 10
 
 
 # -- toxicity --
