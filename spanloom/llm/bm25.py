@@ -10,8 +10,10 @@ largest share of each list and of each block of ``BLOCK`` documents.
 A query sums its lists' block maxima and visits blocks from the highest sum
 down; a block whose sum cannot reach the k-th best score so far ends the
 search. In a visited block, documents whose lists' maxima together cannot reach
-it are left out (the WAND test), and the rest are scored in full. The shards'
-answers are merged by score and doc_id, so the result is exact.
+it are left out (the WAND test), and the rest are scored in full. A query of
+over ``LONG`` terms, such as a whole document, leaves hardly a block out, so
+all documents of the shard are scored at once. The shards' answers are merged
+by score and doc_id, so the result is exact.
 
 Queries are a stated set: they are taken in blocks of ``QUERIES``, and only a
 block is held at a time. The work is one pass over the documents a block.
@@ -37,6 +39,7 @@ SHARD = 16384
 SHARD_WORDS = 16 << 20
 BLOCK = 128
 QUERIES = 2000
+LONG = 64
 DIGITS = 6
 
 
@@ -74,6 +77,7 @@ class Shard:
     def __init__(self, ids: list[int], docs: np.ndarray, terms: np.ndarray, shares: np.ndarray, n_terms: int):
         order = np.lexsort((docs, terms))
         self.ids = np.array(ids, np.int64)
+        self.once = len(np.unique(self.ids)) == len(ids)
         self.docs, self.shares, terms = docs[order], shares[order], terms[order]
         self.blocks = -(-len(ids) // BLOCK)
         cell = terms * self.blocks + self.docs // BLOCK
@@ -86,8 +90,27 @@ class Shard:
         # The cells of each term lie together.
         self.term_cells = np.searchsorted(self.cells // max(self.blocks, 1), np.arange(n_terms + 1))
 
+    def _scored(self, terms: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """The k best (doc_id, score), from the scores of all documents."""
+        # Postings lie by term, so a term's are those from its first cell to its last.
+        first, last = self.ends[self.term_cells[terms]], self.ends[self.term_cells[terms + 1]]
+        pieces = [slice(x, y) for x, y in zip(first.tolist(), last.tolist(), strict=True) if x < y]
+        if not pieces:
+            return np.empty(0, np.int64), np.empty(0)
+        score = np.bincount(np.concatenate([self.docs[x] for x in pieces]), np.concatenate([self.shares[x] for x in pieces]), len(self.ids))
+        score = np.round(score, DIGITS)
+        at = np.flatnonzero(score > 0)
+        if self.once and len(at) > k:
+            at = at[score[at] >= np.partition(score[at], len(at) - k)[len(at) - k]]
+        ids, score = self.ids[at], score[at]
+        order = np.lexsort((ids, -score))
+        order = order[np.sort(np.unique(ids[order], return_index=True)[1])][:k]
+        return ids[order], score[order]
+
     def search(self, terms: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """The k best (doc_id, score)."""
+        if len(terms) > LONG:
+            return self._scored(terms, k)
         bound = np.zeros(self.blocks)
         parts: dict[int, list[tuple[int, int]]] = {}
         for t in terms:
