@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import functools
+import re
 from collections.abc import Callable
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -75,7 +78,17 @@ judged AS (
 """
 
 
+#: Whether the query that is being built takes all reads.
+_all_reads: ContextVar[bool] = ContextVar("all_reads", default=False)
+
+
 # The same parts for Spark.
+def _reads(spark: SparkSession, d: str, cut: str) -> DataFrame:
+    """The alignments that the query's SQL takes, or all of them."""
+    rows = X.alignments(spark, d)
+    return rows if _all_reads.get() else rows.filter(cut)
+
+
 def _kept(spark: SparkSession, d: str) -> DataFrame:
     return P.fragment_filter(X.alignments(spark, d))
 
@@ -88,7 +101,7 @@ def _typed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame
 
 def _strip(spark: SparkSession, d: str) -> DataFrame:
     """A clustering: strips of 20,000 positions, with the source as sub-number."""
-    rows = X.alignments(spark, d).filter("mapq >= 20")
+    rows = _reads(spark, d, "mapq >= 20")
     strips = rows.select("chr", F.floor(F.col("pos") / 20000).alias("strip")).distinct()
     ids = strips.withColumn("cluster_id", F.row_number().over(Window.orderBy("chr", "strip")).cast("long"))
     joined = rows.withColumn("strip", F.floor(F.col("pos") / 20000)).join(ids, ["chr", "strip"])
@@ -305,7 +318,7 @@ FROM judged j JOIN (SELECT 1 AS store UNION ALL SELECT 2) s ON s.store = CASE WH
 JOIN exon e ON j.chr = e.chr AND j.pos <= e.end_pos AND j.high >= e.start_pos AND e.id % 3 <> CASE WHEN s.store = 1 THEN 0 ELSE 1 END
 WHERE j.mapq >= 40""")
 def union_remap(spark, d):
-    reads, exons = X.alignments(spark, d).filter("mapq >= 40"), X.exons(spark, d)
+    reads, exons = _reads(spark, d, "mapq >= 40"), X.exons(spark, d)
     one = _store(reads.filter("source_id = 1"), exons.filter("id % 3 <> 0"))
     two = _store(reads.filter("source_id <> 1"), exons.filter("id % 3 <> 1"))
     both = P.union_stores([one, two])
@@ -369,7 +382,7 @@ def source_cross_retrocopy(spark, d):
   SELECT *, CASE WHEN reach IS NULL OR pos > reach THEN 1 ELSE 0 END AS new FROM (
     SELECT id, chr, pos, high, max(high) OVER (PARTITION BY chr ORDER BY pos, high, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM judged WHERE mapq >= 45))""")
 def window_islands(spark, d):
-    rows = X.alignments(spark, d).filter("mapq >= 45").select("id", "chr", "pos", R.end_position().alias("high"))
+    rows = _reads(spark, d, "mapq >= 45").select("id", "chr", "pos", R.end_position().alias("high"))
     return E.islands(rows, ["chr"], "pos", "high", ["id"]).select("id", "island")
 
 
@@ -451,7 +464,7 @@ def spearman_rho(spark, d):
 
 @query()
 def spearman_permutation_p(spark, d):
-    reads = X.alignments(spark, d).filter("mapq >= 48").select(F.floor(F.col("pos") / 20000).alias("g"), F.col("pos").alias("x"), F.col("pos_next").alias("y"))
+    reads = X.alignments(spark, d).select(F.floor(F.col("pos") / 20000).alias("g"), F.col("pos").alias("x"), F.col("pos_next").alias("y"))
     return S.spearman_test(reads, "g")
 
 
@@ -529,7 +542,7 @@ def fasta_parse(spark, d):
 
 @query("SELECT qname, flag, chr, pos, mapq, cigar, chr_next, pos_next FROM aln WHERE mapq >= 30")
 def sam_parse(spark, d):
-    a = X.alignments(spark, d).filter("mapq >= 30")
+    a = _reads(spark, d, "mapq >= 30")
     mate = F.when(F.col("chr") == F.col("chr_next"), "=").otherwise(F.col("chr_next"))
     number = lambda c: F.col(c).cast("string")
     text = _text(a, "qname", number("flag"), F.substring("chr", 4, 9), number("pos"), number("mapq"), "cigar", mate, number("pos_next"), F.lit("0"), F.lit("ACGT"), F.lit("IIII"))
@@ -610,3 +623,28 @@ def set_algebra(spark, d):
 def map_lookup(spark, d):
     regions = spark.read.parquet(f"{d}/region.parquet").agg(F.map_from_entries(F.collect_list(F.struct("r_regionkey", "r_name"))).alias("names"))
     return spark.read.parquet(f"{d}/nation.parquet").crossJoin(F.broadcast(regions)).select("n_nationkey", F.try_element_at("names", "n_regionkey").alias("r_name"))
+
+
+# -- the same over all reads --
+
+STRIPS = """blacklist_overlap near_gene_compat near_gene_symmetric support_having distinct_depth split_read_depth concat_distinct_genes island_parent_split_levels
+cluster_windows cluster_filter_mask clip_mode_insertion_point spearman_rho genotype_likelihood genotype_call crossing_reads vcf_info_string""".split()
+#: Row filters of the SQL that are no feature of an operator.
+CUT = re.compile(r"\s(?:WHERE|AND) (?:\w\.)?mapq >= (?:20|30|40|45)\b")
+
+
+def _over_all_reads(run: Query) -> Query:
+    @functools.wraps(run)
+    def whole(spark, d):
+        token = _all_reads.set(True)
+        try:
+            return run(spark, d)
+        finally:
+            _all_reads.reset(token)
+
+    return whole
+
+
+for _name in ["union_remap", "window_islands", "sam_parse", *STRIPS]:
+    _queries[f"{_name}_whole"] = _over_all_reads(_queries[_name])
+    _sql[f"{_name}_whole"] = CUT.sub("", _sql[_name])
