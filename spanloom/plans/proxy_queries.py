@@ -648,3 +648,49 @@ def _over_all_reads(run: Query) -> Query:
 for _name in ["union_remap", "window_islands", "sam_parse", *STRIPS]:
     _queries[f"{_name}_whole"] = _over_all_reads(_queries[_name])
     _sql[f"{_name}_whole"] = CUT.sub("", _sql[_name])
+
+
+GRID = """, crossed AS (
+  SELECT e.id AS retrocopy_id, j.source_id, count(*) AS n, sum(log10(2 * power(10.0, -mapq / 10.0))) AS wrong, sum(log10(2 * (1 - power(10.0, -mapq / 10.0)))) AS good
+  FROM event e JOIN judged j ON e.chr = j.chr AND e.insertion_point BETWEEN j.pos AND j.high
+  WHERE (j.flag & 3) = 3 AND (j.flag & 3084) = 0 AND j.mapq >= 8
+    AND e.insertion_point - cast(floor((j.high - j.pos + 1) / 20) AS bigint) >= j.pos AND e.insertion_point + cast(floor((j.high - j.pos + 1) / 20) AS bigint) <= j.high
+  GROUP BY e.id, j.source_id
+), listed AS (
+  SELECT cluster_id AS retrocopy_id, source_id, count(*) AS n, sum(log10(2 * power(10.0, -mapq / 10.0))) AS wrong, sum(log10(2 * (1 - power(10.0, -mapq / 10.0)))) AS good
+  FROM strip GROUP BY cluster_id, source_id
+), depth AS (
+  SELECT s.source_id, e.id AS retrocopy_id, coalesce(c.n, 0) AS reference_depth, coalesce(l.n, 0) AS alternate_depth, -(coalesce(c.n, 0) + coalesce(l.n, 0)) * log10(2) AS het,
+         coalesce(l.wrong, 0) + coalesce(c.good, 0) AS r, coalesce(c.wrong, 0) + coalesce(l.good, 0) AS a
+  FROM (SELECT DISTINCT source_id FROM aln) s CROSS JOIN event e LEFT JOIN crossed c ON c.retrocopy_id = e.id AND c.source_id = s.source_id
+  LEFT JOIN listed l ON l.retrocopy_id = e.id AND l.source_id = s.source_id
+), grid AS (SELECT *, het + r AS ref, het + a AS alt FROM depth)
+"""
+
+
+def _grid(spark: SparkSession, d: str) -> DataFrame:
+    """The genotype table of every source and event, from crossing and abnormal reads."""
+    reads, events = X.alignments(spark, d), _events(spark, d)
+    sources = reads.select(F.col("source_id").alias("id")).distinct()
+    return E.genotypes(sources, events, E.crossing_reads(reads, events), E.abnormal_scores(_merging(spark, d), _strip(spark, d), reads))
+
+
+@query(GRID + f"SELECT source_id, retrocopy_id, reference_depth::INTEGER AS reference_depth, alternate_depth::INTEGER AS alternate_depth, {CALL} AS genotype FROM grid")
+@_over_all_reads
+def source_cross_retrocopy_whole(spark, d):
+    call = S.call(F.col("ho_ref_likelihood"), F.col("he_likelihood"), F.col("ho_alt_likelihood"))
+    return _grid(spark, d).select("source_id", "retrocopy_id", "reference_depth", "alternate_depth", call.alias("genotype"))
+
+
+@query(DESCRIBED + GRID + f""", shown AS (
+  SELECT retrocopy_id AS id, string_agg(concat({CALL}, ':', reference_depth, ',', alternate_depth, ':', format('{{:g}}', ref), ',', format('{{:g}}', het), ',', format('{{:g}}', alt)), chr(9) ORDER BY source_id) AS cells
+  FROM grid GROUP BY retrocopy_id
+) SELECT l.chr, l.insertion_point, concat_ws(chr(9), l.chr, CASE WHEN l.insertion_point = 1 THEN 1 ELSE l.insertion_point - 1 END, '.', 'N', '<INS:ME:RTC>', '.', 'PASS', l.info, 'GT:DP2:GL', s.cells) AS line
+FROM line l JOIN shown s ON l.id = s.id""")
+@_over_all_reads
+def vcf_body_pivot_whole(spark, d):
+    return V.body(_described(spark, d), _grid(spark, d), [1, 2, 3]).select("chr", "insertion_point", "line")
+
+
+for _name in ["source_cross_retrocopy_whole", "vcf_body_pivot_whole"]:
+    _sql[_name] = CUT.sub("", _sql[_name])

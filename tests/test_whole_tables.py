@@ -41,3 +41,15 @@ def test_no_read_is_left_out(spark, reads, name):
     assert proxy_queries.queries()[name](spark, reads).count() == 60
     table = db.execute(proxy_queries.oracle_sql()[name])
     assert len(table.fetchall()) == 60
+
+
+def test_crossing_reads_are_the_reference_side(spark, tmp_path):
+    rows = [(o, n, p, 5, 30.0, 1.0, 0.0, 0.0, "N", "O", "1995-01-01") for o, n, p in [(0, 0, 0), (1, 10, 4), (1, 11, 4), (2, 0, 3)]]
+    spark.createDataFrame(rows, LINEITEM).write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(0, 1)], "p_partkey long, p_size long").write.parquet(f"{tmp_path}/part.parquet")
+    # The insertion point is 501; two reads of the second source, at 471 and 478, cross it.
+    got = proxy_queries.queries()["source_cross_retrocopy_whole"](spark, str(tmp_path)).collect()
+    assert sorted((r["source_id"], r["reference_depth"], r["alternate_depth"]) for r in got) == [(1, 0, 1), (2, 2, 2), (3, 0, 1)]
+    line = proxy_queries.queries()["vcf_body_pivot_whole"](spark, str(tmp_path)).first()["line"]
+    assert [x.split(":")[1] for x in line.split("\t")[9:]] == ["0,1", "2,2", "0,1"]
+    assert all(len(x.split(":")[2].split(",")) == 3 for x in line.split("\t")[9:])
