@@ -694,3 +694,13 @@ def vcf_body_pivot_whole(spark, d):
 
 for _name in ["source_cross_retrocopy_whole", "vcf_body_pivot_whole"]:
     _sql[_name] = CUT.sub("", _sql[_name])
+
+
+@query("""SELECT conv_id, turn, list_sort(list_distinct(list_concat(a, b))) AS u, list_sort(list_intersect(a, b)) AS i, list_sort(list_filter(list_distinct(a), lambda x: NOT list_contains(b, x))) AS m,
+  len(list_filter(a, lambda x: NOT list_contains(b, x))) = 0 AS subset FROM (
+  SELECT conv_id, turn, coalesce(string_split(lower(role), 's'), CAST([] AS VARCHAR[])) AS a, coalesce(string_split(lower(text), 's'), CAST([] AS VARCHAR[])) AS b FROM conversations)""")
+def set_algebra_whole(spark, d):
+    """The sets of whole texts; a null text or role has the empty set."""
+    rows = spark.read.parquet(f"{d}/conversations.parquet")
+    a, b = (F.coalesce(F.split(F.lower(x), "s"), F.array().cast("array<string>")) for x in ("role", "text"))
+    return rows.select("conv_id", "turn", K.union(a, b).alias("u"), K.intersection(a, b).alias("i"), K.difference(a, b).alias("m"), K.is_subset(a, b).alias("subset"))

@@ -53,3 +53,15 @@ def test_crossing_reads_are_the_reference_side(spark, tmp_path):
     line = proxy_queries.queries()["vcf_body_pivot_whole"](spark, str(tmp_path)).first()["line"]
     assert [x.split(":")[1] for x in line.split("\t")[9:]] == ["0,1", "2,2", "0,1"]
     assert all(len(x.split(":")[2].split(",")) == 3 for x in line.split("\t")[9:])
+
+
+def test_sets_are_of_whole_texts_and_null_rows_stay(spark, tmp_path):
+    rows = [(1, 0, "user", "x" * 60 + "S" + "y" * 60 + "suser"), (2, 0, "user", None), (3, 0, None, "asb"), (4, 0, None, None)]
+    spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {r["conv_id"]: (r["u"], r["i"], r["m"], r["subset"]) for r in proxy_queries.queries()["set_algebra_whole"](spark, str(tmp_path)).collect()}
+    assert {k: got[k] for k in (2, 3, 4)} == {
+        2: (["er", "u"], [], ["er", "u"], False),
+        3: (["a", "b"], [], [], True),
+        4: ([], [], [], True),
+    }
+    assert got[1] == (["er", "u", "x" * 60, "y" * 60], ["er", "u"], [], True)
