@@ -15,13 +15,18 @@ documents link when their sets' Jaccard similarity is at least 0.8.
    (below), and links and equal sets make components.
    A pair is left out if its sizes and the shingle's places in both orders
    rule out the required overlap, were it the first shingle they share.
-4. Lists whose documents are still in different components propose the pairs
-   across those components, and no others. A group of near copies thus costs
-   its size, not the square of it, yet no link between components is missed.
+4. For the groups alone, lists whose documents are still in different
+   components propose the pairs across those components, and no others. A
+   group of near copies thus costs its size, not the square of it, yet no link
+   between components is missed.
    Where these pairs outnumber the documents, one in ``SAMPLE`` of them, drawn
    by a hash, is verified first, as its links merge most components; then all
    pairs across what is left are.
 
+For the number of links, 3 and 4 are replaced: all lists propose all pairs of
+different sets that may link, each set once, under its smallest doc_id, and all
+are verified. This grows with the square of a group of different near copies.
+
 T-occurrence search takes one document of a group as the query and the others,
 in blocks of bounded size, as an index: inverted lists of the query's shingles.
 As in DivideSkip, the longest lists are set aside; the short ones are merged
@@ -418,8 +423,13 @@ def _across(sample: int):
     return run
 
 
-def jaccard_groups(documents: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, component_id): one row per row of the input."""
+def jaccard_groups(documents: DataFrame, count_links: bool = False) -> DataFrame:
+    """(doc_id, n_shingles, component_id): one row per row of the input.
+
+    With ``count_links`` also n_links, the number of other documents that the
+    row's document links with, those with an equal set among them; 0 for empty
+    sets and null doc_ids. All links are then verified.
+    """
     spark = documents.sparkSession
     documents = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     known = documents.filter("doc_id IS NOT NULL")
@@ -438,12 +448,46 @@ def jaccard_groups(documents: DataFrame) -> DataFrame:
     rows = found.filter("shingle IS NULL").select(F.col("doc").alias("doc_id"), F.col("n").cast("long").alias("n"), "signature")
     del dealt, packed
     _release(spark)
-    stars = lists.filter("star").select(F.col("first").alias("a"), F.col("doc").alias("b")).distinct()
-    links = _verified(known, stars).select("a", "b")
-    _release(spark)
     # Equal sets are one node, named by their smallest doc_id.
     classes = checkpointed(rows.filter("n > 0 AND doc_id IS NOT NULL").groupBy("signature").agg(F.min("doc_id").alias("rep")))
     reps = checkpointed(rows.filter("n > 0 AND doc_id IS NOT NULL").join(classes, "signature").select("doc_id", "rep").distinct())
+    if count_links:
+        links = _all_links(known, lists, reps, width)
+        labels = _labels(reps, links)
+        _release(spark)
+        found = _counted(reps, links)
+        rows = rows.join(found.withColumnRenamed("doc_id", "_linked"), F.col("doc_id") == F.col("_linked"), "left")
+        rows = rows.select("doc_id", "n", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    else:
+        labels = _group_labels(known, lists, reps, width)
+    named = rows.join(labels.withColumnRenamed("doc_id", "_id"), F.col("doc_id") == F.col("_id"), "left")
+    counts = ["n_links"] if count_links else []
+    return named.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("label", "doc_id").alias("component_id"), *counts)
+
+
+def _all_links(known: DataFrame, lists: DataFrame, reps: DataFrame, width: int) -> DataFrame:
+    """The links of all different sets, each set under its smallest doc_id."""
+    entries = lists.select("shingle", "doc", "n", "at").join(reps, F.col("doc") == F.col("doc_id")).select("shingle", F.col("rep").alias("doc"), "n", "at").distinct()
+    # Each set is a component of its own, so every pair is across components.
+    entries = entries.withColumn("label", F.col("doc")).repartition(width, "shingle").sortWithinPartitions("shingle")
+    return _verified(known, entries.mapInArrow(_across(1), "a long, b long").distinct()).select("a", "b").distinct()
+
+
+def _counted(reps: DataFrame, links: DataFrame) -> DataFrame:
+    """(doc_id, n_links) of every document with a set."""
+    sizes = checkpointed(reps.groupBy("rep").agg(F.count("*").alias("size")))
+    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    others = both.join(sizes.withColumnRenamed("rep", "b"), "b").groupBy("a").agg(F.sum("size").alias("others"))
+    by_set = sizes.join(others, F.col("rep") == F.col("a"), "left").select("rep", (F.col("size") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
+    return reps.join(by_set, "rep").groupBy("doc_id").agg(F.max("n_links").alias("n_links"))
+
+
+def _group_labels(known: DataFrame, lists: DataFrame, reps: DataFrame, width: int) -> DataFrame:
+    """The components of all links, from the links between components alone."""
+    spark = known.sparkSession
+    stars = lists.filter("star").select(F.col("first").alias("a"), F.col("doc").alias("b")).distinct()
+    links = _verified(known, stars).select("a", "b")
+    _release(spark)
     labels = _labels(reps, links)
     open_lists = _open(lists, labels, width)
     some = checkpointed(open_lists.mapInArrow(_across(SAMPLE), "a long, b long").distinct())
@@ -456,8 +500,7 @@ def jaccard_groups(documents: DataFrame) -> DataFrame:
     links = checkpointed(links.unionByName(_verified(known, rest).select("a", "b")))
     labels = _labels(reps, links)
     _release(spark)
-    named = rows.join(labels.withColumnRenamed("doc_id", "_id"), F.col("doc_id") == F.col("_id"), "left")
-    return named.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("label", "doc_id").alias("component_id"))
+    return labels
 
 
 def _open(lists: DataFrame, labels: DataFrame, width: int) -> DataFrame:

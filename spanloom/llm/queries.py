@@ -69,8 +69,8 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The groups of documents with similar shingles."""
-    return ngram_join.jaccard_groups(table(spark, sf_dir, "documents"))
+    """The groups of documents with similar shingles, and how many documents each links with."""
+    return ngram_join.jaccard_groups(table(spark, sf_dir, "documents"), count_links=True)
 
 
 def op6_lang_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,7 +4,7 @@ import random
 
 from test_search import brute_bm25
 
-from spanloom.llm import queries
+from spanloom.llm import ngram_join, queries
 
 
 def test_whole_documents_are_queries(spark, tmp_path):
@@ -18,3 +18,29 @@ def test_whole_documents_are_queries(spark, tmp_path):
         found.setdefault(r["query_id"], []).append((r["doc_id"], r["score"]))
     want = {d: brute_bm25(rows, t or "", 20) for d, t in rows if d % 20 == 0}
     assert {q: x for q, x in want.items() if x} == found
+
+
+def test_all_links_are_counted(spark, tmp_path):
+    draw = random.Random(9)
+    base = [f"v{draw.randrange(10**6)}" for _ in range(60)]
+    rows = [(d, " ".join([*base[:k], f"x{d}", *base[k + 1 :]])) for d in range(60) for k in [draw.randrange(60)]]
+    rows += near_copies(draw, 100)
+    rows += [(900, rows[7][1]), (901, rows[7][1].upper()), (902, None), (903, ""), (904, "one two"), rows[3]]
+    spark.createDataFrame([*rows, (None, rows[5][1])], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    sets = {d: set(ngram_join.shingle_set(t).tolist()) for d, t in rows}
+    want = {d: sum(100 * len(s & x) >= 80 * len(s | x) for o, x in sets.items() if o != d and s and x) for d, s in sets.items()}
+    got = queries.queries()["op5_ngram_join"](spark, str(tmp_path)).collect()
+    assert len(got) == len(rows) + 1 and max(want.values()) > 20
+    assert {r["doc_id"]: r["n_links"] for r in got} == {**want, None: 0}
+    groups = ngram_join.jaccard_groups(spark.read.parquet(f"{tmp_path}/documents.parquet")).collect()
+    assert {r["doc_id"]: r["component_id"] for r in groups} == {r["doc_id"]: r["component_id"] for r in got}
+
+
+def near_copies(draw, first):
+    for d in range(first, first + 40):
+        if d % 8 == first % 8:
+            words = [f"w{draw.randrange(400)}" for _ in range(draw.randint(20, 90))]
+        copy = list(words)
+        for _ in range(draw.randint(0, 3)):
+            copy[draw.randrange(len(copy))] = "new"
+        yield d, " ".join(copy)
