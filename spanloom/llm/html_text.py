@@ -4,9 +4,8 @@ The standard library's HTMLParser streams events; text gathers in blocks, the
 lines of the method, each with its number of characters, tags and characters
 inside links. The text-to-tag ratios of the lines, in page order, are smoothed
 with a Gaussian window, and lines at or over one standard deviation are
-content. The content region is then an article or main element if the page
-has one with content, else the innermost element that holds nearly all
-content characters. All blocks of the region are kept, short ones too, but
+content. The content region is then the innermost element that holds all
+content lines, or the article or else the main element around it. All blocks of the region are kept, short ones too, but
 for parts that name themselves as something else: navigation, asides, forms,
 page headers and footers, notices, adverts, comments, scripts and so on, by
 tag, role, id or class, and lists of links outside an article.
@@ -49,7 +48,6 @@ BESIDE = frozenset(
 ROOTS = ("article", "main")
 _WORDS = re.compile(r"[a-z]+")
 RADIUS, SIGMA = 2, 1.0
-NEARLY_ALL = 0.9
 LINKED = 0.6
 
 
@@ -179,25 +177,18 @@ def main_text(html: str | None) -> str:
     content = free & (smooth >= smooth.std())
     if not content.any():
         content = free
-    held: dict[int, float] = {}
-    for k in np.flatnonzero(content):
-        for number in lines[k][1].path:
-            held[number] = held.get(number, 0) + chars[k]
-    total = chars[content].sum()
-    region = None
-    for root in ROOTS:
-        rooted = [n for n in held if parser.kinds[n] == root]
-        if rooted:
-            region = max(rooted, key=lambda n: (held[n], -n))
-            break
-    in_root = region is not None
-    if region is None:
-        # Inner elements have larger numbers than those around them.
-        region = max((n for n, c in held.items() if c >= NEARLY_ALL * total and parser.kinds[n] in SCOPE), default=None)
+    if not content.any():
+        return ""
+    paths = [lines[k][1].path for k in np.flatnonzero(content)]
+    shared = [n for n in paths[0] if all(n in path for path in paths)]
+    # Inner elements have larger numbers than those around them; shared ones are in that order.
+    rooted = [n for root in ROOTS for n in shared if parser.kinds[n] == root]
+    region = rooted[0] if rooted else next((n for n in reversed(shared) if parser.kinds[n] in SCOPE), None)
     kept = []
     for text, b in lines:
         if b.beside or region is not None and region not in b.path:
             continue
+        in_root = any(parser.kinds[n] in ROOTS for n in b.path)
         if not in_root and b.linked >= LINKED * len(text) and parser.kinds[b.path[-1]] in ("li", "ul", "ol", "td", "div", "a"):
             continue
         kept.append(text)

@@ -2,9 +2,10 @@
 
 import random
 
+import pytest
 from test_search import brute_bm25
 
-from spanloom.llm import ngram_join, queries
+from spanloom.llm import html_text, ngram_join, queries
 
 
 def test_whole_documents_are_queries(spark, tmp_path):
@@ -44,3 +45,21 @@ def near_copies(draw, first):
         for _ in range(draw.randint(0, 3)):
             copy[draw.randrange(len(copy))] = "new"
         yield d, " ".join(copy)
+
+
+LINE = "A line of the text that is as long as the lines of such pages are. "
+
+
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        (f"<div><h1>Title</h1><p>lead</p><div class=body><p>{LINE * 9}</p></div></div>", ["Title", "lead", LINE * 9]),
+        (f"<div><section><p>{LINE}</p></section><section><p>{LINE * 20}</p></section></div>", [LINE, LINE * 20]),
+        (f"<main><p>{LINE * 3}</p><p>{LINE * 3}</p><article><p>{LINE}</p></article></main>", [LINE * 3, LINE * 3, LINE]),
+        (f"<main><p>{LINE * 3}</p><p>{LINE * 3}</p></main><article><p>{LINE}</p></article>", [LINE * 3, LINE * 3, LINE]),
+        (f"<body><article><p>{LINE}</p></article><article><p>{LINE * 2}</p></article><article><p>{LINE}</p></article></body>", [LINE, LINE * 2, LINE]),
+        ("<nav>only this</nav>", []),
+    ],
+)
+def test_the_main_text_is_whole(html, text):
+    assert html_text.main_text(html) == "\n\n".join(" ".join(x.split()) for x in text)
