@@ -1,15 +1,19 @@
 """Approximate nearest neighbours by multiprobe p-stable hashing.
 
-Nearness is the largest inner product. Vectors are scaled by the largest norm
-and given one more component that makes their length 1, queries are scaled to
-length 1 with 0 there; then the largest inner product is the smallest
-Euclidean distance, which p-stable (Gaussian) hashes keep. Each of ``TABLES``
+Nearness is the largest inner product. Vectors are parted into ranges of
+norms, each up to ``RATIO`` times its smallest, and scaled by the largest norm
+of their range, so that a few long vectors do not push the others together.
+They are given one more component that makes their length 1, queries are
+scaled to length 1 with 0 there; then the largest inner product is the smallest
+Euclidean distance in a range, which p-stable (Gaussian) hashes keep. Each of ``TABLES``
 tables has ``HASHES`` hashes of width ``WIDTH``. A query visits its own bucket
 and the ``PROBES`` perturbed ones likeliest to succeed: perturbations are
 tried in the order of their expected squared distances to the bucket's edges,
 applied to the query's own order of edges. The candidates of all tables are
 merged and reranked by the exact inner product of the original vectors in
-double precision.
+double precision. A query's buckets do not depend on the range, so each visit
+asks all ranges; ranges of at most ``WHOLE`` rows are scanned whole by all
+queries, as the nearest of a few long vectors can be at wide angles.
 
 Buckets are dealt to cells of about ``CELL`` rows; the vectors of a bucket
 with over a ``HOT``th of all rows, which number at most HOT a table, are
@@ -30,6 +34,7 @@ fewer rows; an empty table gives an empty table. Other columns are ignored.
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,6 +46,7 @@ from spanloom.llm.common import checkpointed, shuffle_width
 
 TABLES, HASHES, WIDTH, PROBES, SEED = 8, 12, 3.0, 110, 20
 CELL, HOT, WHOLE = 4096, 1024, 1024
+RATIO = 1.5
 FLUSH = 1 << 20
 
 
@@ -70,9 +76,10 @@ def probe_template(hashes: int, probes: int) -> list[tuple[int, ...]]:
 class Hashes:
     """The tables' hash functions; buckets are 64-bit mixtures of a table's hashes."""
 
-    def __init__(self, dimension: int, largest: float):
+    def __init__(self, dimension: int, largest: dict[int, float]):
         draw = np.random.default_rng(SEED)
-        self.largest = largest
+        self.ranges = np.array(sorted(largest), np.int64)
+        self.largest = np.array([largest[r] for r in sorted(largest)])
         self.lines = draw.normal(size=(TABLES, dimension + 1, HASHES))
         self.shift = draw.random((TABLES, HASHES)) * WIDTH
         self.mix = draw.integers(1, 1 << 62, (TABLES, HASHES)) | 1
@@ -81,9 +88,9 @@ class Hashes:
     def _places(self, x: np.ndarray, table: int) -> np.ndarray:
         return (x @ self.lines[table] + self.shift[table]) / WIDTH
 
-    def buckets(self, vectors: np.ndarray) -> np.ndarray:
-        """tables x rows buckets of indexed vectors."""
-        x = vectors / self.largest
+    def buckets(self, vectors: np.ndarray, ranges: np.ndarray) -> np.ndarray:
+        """tables x rows buckets of indexed vectors of these ranges."""
+        x = vectors / self.largest[np.searchsorted(self.ranges, ranges)][:, None]
         x = np.hstack([x, np.sqrt(np.maximum(0, 1 - (x * x).sum(axis=1, keepdims=True)))])
         return np.stack([(np.floor(self._places(x, t)).astype(np.int64) * self.mix[t]).sum(axis=1) for t in range(TABLES)])
 
@@ -138,7 +145,7 @@ def _index(hashes: Hashes, hot: dict, regions: int):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            ids, found = batch.column(0).to_numpy(), hashes.buckets(_matrix(batch.column(1)))
+            ids, found = batch.column(0).to_numpy(), hashes.buckets(_matrix(batch.column(1)), batch.column(2).to_numpy())
             for t in range(TABLES):
                 cells = _region(found[t], t, regions)
                 for b, n in _split(hot, t, found[t]).items():
@@ -256,17 +263,26 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, key: str = "vec
     usable = usable.filter(F.size("vector") == dimension)
     asked = queries.select(F.col(key).cast("long").alias("id"), plain.alias("vector")).filter(F.col("id").isNotNull() & _usable("vector")).filter(F.size("vector") == dimension).distinct()
     copy = F.row_number().over(Window.partitionBy("vector").orderBy("id"))
-    indexed = checkpointed(usable.distinct().withColumn("copy", copy).filter(F.col("copy") <= k + 1).select("id", "vector"))
     norm = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-    rows, largest = indexed.agg(F.count("*"), F.max(norm)).first()
-    hashes = Hashes(dimension, largest or 1.0)
+    once = usable.distinct().withColumn("copy", copy).filter(F.col("copy") <= k + 1).withColumn("norm", norm)
+    indexed = checkpointed(once.select("id", "vector", F.floor(F.log("norm") / math.log(RATIO) + 0.5).alias("range"), "norm"))
+    ranges = {r["range"]: (r["n"], r["largest"]) for r in indexed.groupBy("range").agg(F.count("*").alias("n"), F.max("norm").alias("largest")).collect()}
+    rows = sum(n for n, _ in ranges.values())
+    few = [r for r, (n, _) in ranges.items() if n <= WHOLE]
+    hashes = Hashes(dimension, {r: largest for r, (_, largest) in ranges.items()})
     regions = max(1, -(-rows // CELL))
     most = max(CELL, rows // HOT)
+    rare = indexed.filter(F.col("range").isin(few))
+    indexed = indexed.filter(~F.col("range").isin(few))
+    none, own = F.array().cast("array<long>"), F.array(F.lit(0).cast("long"))
+    # The rows of small ranges are copied over some cells, over which the queries are dealt.
+    scanned = rare.select(F.explode(F.sequence(F.lit(-regions).cast("long"), F.lit(-1).cast("long"))).alias("cell"), F.lit(1).alias("role"), F.lit(0).cast("long").alias("bucket"), "id", "vector", none.alias("buckets"))
+    asking = asked.select((-1 - F.pmod(F.xxhash64("id"), F.lit(regions))).alias("cell"), F.lit(2).alias("role"), F.lit(0).cast("long").alias("bucket"), "id", "vector", own.alias("buckets"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                for t, found in enumerate(hashes.buckets(_matrix(batch.column(1)))):
+                for t, found in enumerate(hashes.buckets(_matrix(batch.column(1)), batch.column(2).to_numpy())):
                     ids, times = np.unique(found, return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), t, np.int32)), pa.array(ids), pa.array(times)], names=["table", "bucket", "n"])
 
@@ -274,6 +290,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, key: str = "vec
     # Fewer than HOT buckets of a table can hold more than a HOTth of the rows.
     hot = {(r["table"], r["bucket"]): -(-r["n"] // most) for r in counts.filter(F.col("n") > most).collect()}
     cells = indexed.mapInArrow(_index(hashes, hot, regions), CELL_ROW).unionByName(asked.mapInArrow(_ask(hashes, hot, regions), CELL_ROW))
+    if few:
+        cells = cells.unionByName(scanned).unionByName(asking)
     ordered = cells.repartition(width, "cell").sortWithinPartitions("cell", "role", "bucket")
     found = ordered.mapInArrow(_scan(k), "query_id long, vec_id long, score double").dropDuplicates(["query_id", "vec_id"])
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))

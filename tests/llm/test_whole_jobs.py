@@ -2,10 +2,11 @@
 
 import random
 
+import numpy as np
 import pytest
 from test_search import brute_bm25
 
-from spanloom.llm import html_text, ngram_join, queries
+from spanloom.llm import ann, html_text, ngram_join, queries
 
 
 def test_whole_documents_are_queries(spark, tmp_path):
@@ -63,3 +64,25 @@ LINE = "A line of the text that is as long as the lines of such pages are. "
 )
 def test_the_main_text_is_whole(html, text):
     assert html_text.main_text(html) == "\n\n".join(" ".join(x.split()) for x in text)
+
+
+@pytest.mark.parametrize("kind", ["one long", "skewed"])
+def test_recall_does_not_depend_on_norms(spark, kind):
+    draw = np.random.default_rng(5)
+    x = draw.normal(size=(10000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    if kind == "one long":
+        x[7] *= 20
+    else:
+        x *= np.exp(draw.normal(size=(10000, 1)))
+    frame = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)], "vec_id long, embedding array<float>")
+    found = {}
+    for r in ann.nearest(frame, frame.filter("vec_id % 50 = 0"), 20).collect():
+        found.setdefault(r["query_id"], set()).add(r["vec_id"])
+    vectors, hits = x.astype(np.float32).astype(float), 0
+    for q in range(0, 10000, 50):
+        scores = vectors @ vectors[q]
+        scores[q] = -np.inf
+        hits += len(found.get(q, set()) & set(np.argsort(-scores)[:20].tolist()))
+    print("RECALL", kind, hits / 4000)
+    assert hits / 4000 >= 0.9
