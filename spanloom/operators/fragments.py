@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from spanloom.functions import reads as R
 from spanloom.operators.intervals import overlap_join
 from spanloom.schema import ReadType
+from spanloom.session import checkpointed
 
 
 def fragment_filter(reads: DataFrame, max_distance: int = 10000, min_mapq: int = 8, max_base_freq: float | None = None) -> DataFrame:
@@ -67,41 +68,50 @@ def drop_duplicates(alignments: DataFrame) -> DataFrame:
 def strided_ids(rows: DataFrame, ordinal: int, step: int, order: list[str]) -> DataFrame:
     """Ids ordinal, ordinal + step and so on, in the given order, without one task that sorts all rows.
 
-    Rows are range-partitioned and sorted; each partition's offset comes from
-    the partitions' counts.
+    Rows are range-partitioned, sorted and written once together with their
+    partition's number and their place in it, so that what the partitions'
+    counts are of is what is numbered, however a plan reads it. Rows that agree
+    in all of ``order`` are numbered in any order.
     """
-    placed = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id() % F.lit(1 << 33))
-    counts = placed.groupBy("_part").count()
-    offsets = counts.withColumn("_offset", F.coalesce(F.sum("count").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select(F.col("_part").alias("_p"), "_offset")
-    joined = placed.join(F.broadcast(offsets), F.col("_part") == F.col("_p"))
+    at = F.monotonically_increasing_id()
+    placed = checkpointed(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.shiftright(at, 33).cast("int")).withColumn("_at", at.bitwiseAND((1 << 33) - 1)))
+    # One row a partition, so the ordered window and the broadcast are small.
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = placed.groupBy("_part").count().select(F.col("_part").alias("_p"), F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_offset"))
+    joined = placed.join(F.broadcast(offsets), F.col("_part") == F.col("_p"), "left")
     return joined.withColumn("id", (F.col("_offset") + F.col("_at")) * step + ordinal).drop("_part", "_p", "_at", "_offset")
 
 
-def union_stores(stores: list[dict[str, DataFrame]]) -> dict[str, DataFrame]:
-    """One store of several, with ids shifted past those before; exons are one by their identifier ``ense``."""
-    out: dict[str, DataFrame] = {}
-    shift = {"batch": 0, "source": 0, "alignment": 0}
-    exons, overlaps = [], []
-    for k, store in enumerate(stores):
-        moved = {
-            "batch": store["batch"].withColumn("id", F.col("id") + shift["batch"]),
-            "source": store["source"].withColumn("id", F.col("id") + shift["source"]).withColumn("batch_id", F.col("batch_id") + shift["batch"]),
-            "alignment": store["alignment"].withColumn("id", F.col("id") + shift["alignment"]).withColumn("source_id", F.col("source_id") + shift["source"]),
-        }
-        for name, frame in moved.items():
-            out[name] = out[name].unionByName(frame) if name in out else frame
-        exons.append(store["exon"].withColumn("_store", F.lit(k)))
-        overlaps.append(store["overlapping"].join(store["exon"].select(F.col("id").alias("exon_id"), "ense"), "exon_id").select("ense", (F.col("alignment_id") + shift["alignment"]).alias("alignment_id"), "pos", "len"))
-        for name in shift:
-            shift[name] += store[name].agg(F.max("id")).first()[0] or 0
-    every = exons[0]
-    for e in exons[1:]:
-        every = every.unionByName(e)
-    first = Window.partitionBy("ense").orderBy("_store", "id")
-    once = every.withColumn("_n", F.row_number().over(first)).filter("_n = 1")
-    out["exon"] = once.withColumn("id", F.row_number().over(Window.orderBy("_store", "id")).cast("long")).drop("_n", "_store")
-    hits = overlaps[0]
-    for o in overlaps[1:]:
-        hits = hits.unionByName(o)
-    out["overlapping"] = hits.join(out["exon"].select("ense", F.col("id").alias("exon_id")), "ense").select("exon_id", "alignment_id", "pos", "len")
+def union_stores(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """One store of several, whose tables are given together, with the number of each row's store as ``_store``.
+
+    Ids are shifted past those of the stores before, all from one aggregation;
+    exons are one by their identifier ``ense``, the first store's.
+    """
+    kinds = ("batch", "source", "alignment")
+    ids = tables["batch"].select("_store", F.lit("batch").alias("_table"), F.col("id").cast("long"))
+    for name in kinds[1:]:
+        ids = ids.unionByName(tables[name].select("_store", F.lit(name).alias("_table"), F.col("id").cast("long")))
+    largest = ids.groupBy("_store").pivot("_table", list(kinds)).agg(F.max("id"))
+    # One row a store, so the ordered window and the broadcasts are small.
+    before = Window.orderBy("_store").rowsBetween(Window.unboundedPreceding, -1)
+    shift = checkpointed(largest.select("_store", *(F.coalesce(F.sum(F.coalesce(n, F.lit(0))).over(before), F.lit(0)).alias(f"_{n}") for n in kinds)))
+
+    def moved(name: str, columns: dict[str, str]) -> DataFrame:
+        rows = tables[name].join(F.broadcast(shift), "_store")
+        return rows.withColumns({c: F.col(c) + F.col(f"_{by}") for c, by in columns.items()}).drop("_store", "_batch", "_source", "_alignment")
+
+    out = {
+        "batch": moved("batch", {"id": "batch"}),
+        "source": moved("source", {"id": "source", "batch_id": "batch"}),
+        "alignment": moved("alignment", {"id": "alignment", "source_id": "source"}),
+    }
+    columns = [c for c in tables["exon"].columns if c not in ("_store", "ense")]
+    first = tables["exon"].groupBy("ense").agg(F.min_by(F.struct("_store", *columns), F.struct("_store", "id")).alias("_first"))
+    found = first.select("ense", F.col("_first._store").alias("_store"), *(F.col(f"_first.{c}").alias("_id" if c == "id" else c) for c in columns))
+    out["exon"] = strided_ids(found, 1, 1, ["_store", "_id"]).drop("_store", "_id")
+    names = tables["exon"].select("_store", F.col("id").alias("exon_id"), "ense")
+    hits = tables["overlapping"].join(names, ["_store", "exon_id"]).join(F.broadcast(shift), "_store")
+    numbered = out["exon"].select("ense", F.col("id").alias("exon_id"))
+    out["overlapping"] = hits.drop("exon_id").join(numbered, "ense").select("exon_id", (F.col("alignment_id") + F.col("_alignment")).alias("alignment_id"), "pos", "len")
     return out

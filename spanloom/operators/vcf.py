@@ -109,7 +109,7 @@ def write(path: str, head: list[str], rows: DataFrame) -> None:
 def summary(text: DataFrame) -> DataFrame:
     """(events, shared, genotypes, homozygous_ratio) of the passing lines on chromosomes with names of standard length."""
     cut = F.split("value", "\t")
-    rows = text.filter(~F.col("value").startswith("#")).select(cut[0].alias("chr"), cut[6].alias("filter"), F.transform(F.slice(cut, 10, 100000), lambda x: F.substring(x, 1, 3)).alias("calls"))
+    rows = text.filter(~F.col("value").startswith("#")).select(cut[0].alias("chr"), cut[6].alias("filter"), F.transform(F.slice(cut, 10, F.greatest(F.size(cut) - 9, F.lit(0))), lambda x: F.substring(x, 1, 3)).alias("calls"))
     kept = rows.filter((F.col("filter") == "PASS") & (F.length("chr") <= 5))
     carried = F.size(F.filter("calls", lambda x: x.isin("0/1", "1/1")))
     double = F.size(F.filter("calls", lambda x: x == "1/1"))

@@ -23,7 +23,7 @@ from spanloom.operators import fragments as P
 from spanloom.operators import vcf as V
 from spanloom.sources import text_formats as T
 from spanloom.sources.bam import read_bam
-from spanloom.sources.workspace import Workspace
+from spanloom.sources.workspace import Workspace, plain_path, qualified
 
 log = logging.getLogger("spanloom")
 
@@ -85,10 +85,7 @@ class ProcessSample:
         store.write("source", spark.createDataFrame([(k + 1, 1, p) for k, p in enumerate(paths)], "id int, batch_id int, path string"))
         found = T.exons_of(T.read_gff(spark, self.annotation_file))
         exons = store.write("exon", P.strided_ids(found, 1, 1, ["chr", "start", "ense"]))
-        raw = None
-        for k, path in enumerate(paths):
-            one = read_alignments(spark, path).withColumn("source_id", F.lit(k + 1))
-            raw = one if raw is None else raw.unionByName(one)
+        raw = read_sources(spark, [(k + 1, p) for k, p in enumerate(paths)])
         kept = P.fragment_filter(raw, self.max_distance, self.phred_quality, self.max_base_freq).drop("seq", "path")
         place = ["source_id", "chr", "pos", "qname", "flag", "cigar"]
         # Written once before ids and overlaps use it twice.
@@ -103,8 +100,21 @@ class ProcessSample:
         return store
 
 
-def read_alignments(spark: SparkSession, path: str) -> DataFrame:
-    return read_bam(spark, path) if re.search(r"\.bam$", path) else T.read_sam(spark, path)
+def read_sources(spark: SparkSession, sources: Sequence[tuple[int, str]]) -> DataFrame:
+    """The alignments of (id, path) sources: one scan for all files of a format, with source_id for the path."""
+    if crams := [p for _, p in sources if p.endswith(".cram")]:
+        raise ValueError(f"CRAM is not read, turn it into BAM or SAM: {crams[0]}")
+    found = None
+    for binary in (False, True):
+        own = [(k, qualified(spark, p)) for k, p in sources if p.endswith(".bam") is binary]
+        if not own:
+            continue
+        rows = (read_bam if binary else T.read_sam)(spark, sorted({p for _, p in own}))
+        ids = spark.createDataFrame(own, "_id int, _path string")
+        unknown = F.raise_error(F.concat(F.lit("no source has the path "), F.col("path"))).cast("int")
+        one = rows.join(F.broadcast(ids), plain_path(F.col("path")) == F.col("_path"), "left").withColumn("source_id", F.coalesce("_id", unknown)).drop("_id", "_path")
+        found = one if found is None else found.unionByName(one)
+    return found
 
 
 @dataclass
@@ -167,10 +177,7 @@ class MergeCall:
         points = E.insertion_points(kept, E.clip_modes(clustering, alignments))
         tested = S.spearman_test(E.orientation_pairs(merging, clustering, alignments), "retrocopy_id")
         retrocopies = store.write("retrocopy", E.events(merging, kept, points, tested))
-        raw = None
-        for row in store.read("source").collect():
-            one = read_alignments(spark, row["path"]).withColumn("source_id", F.lit(row["id"])).select("source_id", "flag", "mapq", "chr", "pos", "rlen")
-            raw = one if raw is None else raw.unionByName(one)
+        raw = read_sources(spark, [(r["id"], r["path"]) for r in store.read("source").collect()]).select("source_id", "flag", "mapq", "chr", "pos", "rlen")
         crossing = E.crossing_reads(raw, retrocopies, self.phred_quality)
         store.write("genotype", E.genotypes(store.read("source"), retrocopies, crossing, E.abnormal_scores(merging, clustering, alignments)))
         log.info("called %d events", retrocopies.count())
@@ -181,7 +188,7 @@ class MergeCall:
         opened = [Workspace.open(spark, p) for p in self.stores]
         if self.in_place and len(opened) == 1:
             return opened[0]
-        united = P.union_stores([s.tables(*names) for s in opened])
+        united = P.union_stores({n: Workspace.read_together(opened, n) for n in names})
         store = Workspace.create(spark, f"{opened[0].path}.joined" if self.in_place else self.output)
         for name in names:
             store.write(name, united[name])

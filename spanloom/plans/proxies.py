@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+# Reads of one order lie together, so ids are numbered order by order: the order's key times 1000, and the line's place in the order.
 ALN = """
-SELECT r.*, coalesce(lead(chr) OVER w, first_value(chr) OVER w) AS chr_next,
-       coalesce(lead(pos) OVER w, first_value(pos) OVER w) AS pos_next
-FROM (SELECT row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice,
-               l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate) AS id,
-             concat('q', cast(l_orderkey AS string)) AS qname, 1 + l_orderkey % 3 AS source_id,
+SELECT l_orderkey * 1000 + row_number() OVER w AS id, qname, source_id, chr, pos, rlen, mapq, flag, cigar,
+       coalesce(lead(chr) OVER w, first_value(chr) OVER w) AS chr_next, coalesce(lead(pos) OVER w, first_value(pos) OVER w) AS pos_next
+FROM (SELECT *, concat('q', cast(l_orderkey AS string)) AS qname, 1 + l_orderkey % 3 AS source_id,
              concat('chr', cast(1 + l_suppkey % 5 AS string)) AS chr,
              1 + l_partkey * 100 + l_linenumber * 7 AS pos, cast(60 + l_linenumber * 10 AS bigint) AS rlen,
              cast(l_quantity AS int) AS mapq,
@@ -17,7 +16,7 @@ FROM (SELECT row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_
                + CASE WHEN l_returnflag = 'R' AND l_linenumber = 1 THEN 1024 ELSE 0 END AS flag,
              CASE l_linenumber % 4 WHEN 0 THEN '70M30S' WHEN 1 THEN '30S70M' WHEN 2 THEN '100M' ELSE '20H80M' END AS cigar
       FROM lineitem) r
-WINDOW w AS (PARTITION BY qname, source_id ORDER BY id)
+WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate)
 """
 
 EXON = """

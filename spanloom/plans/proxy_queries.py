@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-import functools
-import re
 from collections.abc import Callable
-from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -66,7 +63,7 @@ judged AS (
 ), strip AS (
   SELECT *, dense_rank() OVER (ORDER BY chr, cast(floor(pos / 20000) AS bigint)) AS cluster_id,
          concat('G', cast(50 * cast(floor(pos / 20000) AS bigint) + source_id - 1 AS string)) AS gene_name
-  FROM aln WHERE mapq >= 20
+  FROM aln
 ), win AS (
   SELECT cluster_id AS id, source_id AS sid, min(chr) AS chr, min(pos) AS start_pos, max(pos + rlen - 1) AS end_pos, min(gene_name) AS gene_name
   FROM strip GROUP BY cluster_id, source_id
@@ -78,17 +75,7 @@ judged AS (
 """
 
 
-#: Whether the query that is being built takes all reads.
-_all_reads: ContextVar[bool] = ContextVar("all_reads", default=False)
-
-
 # The same parts for Spark.
-def _reads(spark: SparkSession, d: str, cut: str) -> DataFrame:
-    """The alignments that the query's SQL takes, or all of them."""
-    rows = X.alignments(spark, d)
-    return rows if _all_reads.get() else rows.filter(cut)
-
-
 def _kept(spark: SparkSession, d: str) -> DataFrame:
     return P.fragment_filter(X.alignments(spark, d))
 
@@ -101,7 +88,7 @@ def _typed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame
 
 def _strip(spark: SparkSession, d: str) -> DataFrame:
     """A clustering: strips of 20,000 positions, with the source as sub-number."""
-    rows = _reads(spark, d, "mapq >= 20")
+    rows = X.alignments(spark, d)
     strips = rows.select("chr", F.floor(F.col("pos") / 20000).alias("strip")).distinct()
     ids = strips.withColumn("cluster_id", F.row_number().over(Window.orderBy("chr", "strip")).cast("long"))
     joined = rows.withColumn("strip", F.floor(F.col("pos") / 20000)).join(ids, ["chr", "strip"])
@@ -269,8 +256,8 @@ def mate_self_join(spark, d):
     return C.mate_points(*_typed(spark, d))
 
 
-@query("""SELECT cluster_id, source_id AS cluster_sid, id AS alignment_id FROM strip
-WHERE (cluster_id, source_id) IN (SELECT (cluster_id, source_id) FROM strip GROUP BY cluster_id, source_id HAVING count(*) >= 40)""")
+@query("""SELECT s.cluster_id, s.source_id AS cluster_sid, id AS alignment_id FROM strip s
+JOIN (SELECT cluster_id, source_id FROM strip GROUP BY cluster_id, source_id HAVING count(*) >= 40) k ON s.cluster_id = k.cluster_id AND s.source_id = k.source_id""")
 def support_having(spark, d):
     return C.supported(_strip(spark, d), X.alignments(spark, d), 40).select("cluster_id", "cluster_sid", "alignment_id")
 
@@ -296,32 +283,32 @@ def dedup_fragments(spark, d):
     return P.duplicate_fragments(_coarse(spark, d))
 
 
-@query(COARSE + "SELECT id, CASE WHEN (qname, source_id) IN (SELECT (qname, source_id) FROM dup) THEN 0 ELSE type END AS type FROM coarse")
+@query(COARSE + "SELECT id, CASE WHEN d.qname IS NOT NULL THEN 0 ELSE type END AS type FROM coarse c LEFT JOIN dup d ON c.qname = d.qname AND c.source_id = d.source_id")
 def in_subquery_update(spark, d):
     return P.drop_duplicates(_coarse(spark, d)).select("id", "type")
 
 
-def _store(reads: DataFrame, exons: DataFrame) -> dict[str, DataFrame]:
+def _store(reads: DataFrame, exons: DataFrame, k: int) -> dict[str, DataFrame]:
     spark = reads.sparkSession
-    return {
+    tables = {
         "batch": spark.createDataFrame([(1, "then")], "id int, timestamp string"),
         "source": reads.select(F.col("source_id").cast("int").alias("id"), F.lit(1).alias("batch_id"), F.lit("path").alias("path")).distinct(),
         "exon": exons,
         "alignment": reads,
         "overlapping": P.exon_overlaps(reads, exons),
     }
+    return {name: rows.withColumn("_store", F.lit(k)) for name, rows in tables.items()}
 
 
-@query("""SELECT e.ense, j.id + CASE WHEN s.store = 2 THEN (SELECT max(id) FROM aln WHERE source_id = 1 AND mapq >= 40) ELSE 0 END AS alignment_id,
+@query("""SELECT e.ense, j.id + CASE WHEN s.store = 2 THEN (SELECT max(id) FROM aln WHERE source_id = 1) ELSE 0 END AS alignment_id,
   greatest(j.pos, e.start_pos) AS pos, least(j.high, e.end_pos) - greatest(j.pos, e.start_pos) + 1 AS len
 FROM judged j JOIN (SELECT 1 AS store UNION ALL SELECT 2) s ON s.store = CASE WHEN j.source_id = 1 THEN 1 ELSE 2 END
-JOIN exon e ON j.chr = e.chr AND j.pos <= e.end_pos AND j.high >= e.start_pos AND e.id % 3 <> CASE WHEN s.store = 1 THEN 0 ELSE 1 END
-WHERE j.mapq >= 40""")
+JOIN exon e ON j.chr = e.chr AND j.pos <= e.end_pos AND j.high >= e.start_pos AND e.id % 3 <> CASE WHEN s.store = 1 THEN 0 ELSE 1 END""")
 def union_remap(spark, d):
-    reads, exons = _reads(spark, d, "mapq >= 40"), X.exons(spark, d)
-    one = _store(reads.filter("source_id = 1"), exons.filter("id % 3 <> 0"))
-    two = _store(reads.filter("source_id <> 1"), exons.filter("id % 3 <> 1"))
-    both = P.union_stores([one, two])
+    reads, exons = X.alignments(spark, d), X.exons(spark, d)
+    one = _store(reads.filter("source_id = 1"), exons.filter("id % 3 <> 0"), 0)
+    two = _store(reads.filter("source_id <> 1"), exons.filter("id % 3 <> 1"), 1)
+    both = P.union_stores({name: one[name].unionByName(two[name]) for name in one})
     return both["overlapping"].join(both["exon"].select(F.col("id").alias("exon_id"), "ense"), "exon_id").select("ense", "alignment_id", "pos", "len")
 
 
@@ -365,24 +352,14 @@ def concat_distinct_genes(spark, d):
     return _windows(spark, d).groupBy("id").agg(K.joined_names(F.col("gene_name")).alias("genes"))
 
 
-@query("""SELECT s.source_id, e.id AS retrocopy_id, count(t.id) AS alternate_depth
-FROM (SELECT DISTINCT source_id FROM aln) s CROSS JOIN event e LEFT JOIN strip t ON t.cluster_id = e.id AND t.source_id = s.source_id AND t.mapq >= 45
-GROUP BY s.source_id, e.id""")
-def source_cross_retrocopy(spark, d):
-    sources = X.alignments(spark, d).select(F.col("source_id").alias("id")).distinct()
-    scores = E.abnormal_scores(_merging(spark, d), _strip(spark, d), X.alignments(spark, d)).filter("mapq >= 45")
-    table = E.genotypes(sources, _events(spark, d), scores.limit(0), scores)
-    return table.select("source_id", "retrocopy_id", F.col("alternate_depth").cast("long").alias("alternate_depth"))
-
-
 # -- runs --
 
 
 @query("""SELECT id, sum(new) OVER (PARTITION BY chr ORDER BY pos, high, id ROWS UNBOUNDED PRECEDING)::BIGINT AS island FROM (
   SELECT *, CASE WHEN reach IS NULL OR pos > reach THEN 1 ELSE 0 END AS new FROM (
-    SELECT id, chr, pos, high, max(high) OVER (PARTITION BY chr ORDER BY pos, high, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM judged WHERE mapq >= 45))""")
+    SELECT id, chr, pos, high, max(high) OVER (PARTITION BY chr ORDER BY pos, high, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM judged))""")
 def window_islands(spark, d):
-    rows = _reads(spark, d, "mapq >= 45").select("id", "chr", "pos", R.end_position().alias("high"))
+    rows = X.alignments(spark, d).select("id", "chr", "pos", R.end_position().alias("high"))
     return E.islands(rows, ["chr"], "pos", "high", ["id"]).select("id", "island")
 
 
@@ -540,9 +517,9 @@ def fasta_parse(spark, d):
     return T.parse_fasta(part.select(record.alias("value")))
 
 
-@query("SELECT qname, flag, chr, pos, mapq, cigar, chr_next, pos_next FROM aln WHERE mapq >= 30")
+@query("SELECT qname, flag, chr, pos, mapq, cigar, chr_next, pos_next FROM aln")
 def sam_parse(spark, d):
-    a = _reads(spark, d, "mapq >= 30")
+    a = X.alignments(spark, d)
     mate = F.when(F.col("chr") == F.col("chr_next"), "=").otherwise(F.col("chr_next"))
     number = lambda c: F.col(c).cast("string")
     text = _text(a, "qname", number("flag"), F.substring("chr", 4, 9), number("pos"), number("mapq"), "cigar", mate, number("pos_next"), F.lit("0"), F.lit("ACGT"), F.lit("IIII"))
@@ -578,26 +555,6 @@ def vcf_info_string(spark, d):
     return _described(spark, d).select("id", V.info().alias("info"))
 
 
-PIVOT = """, cell AS (
-  SELECT e.id, s.source_id, count(t.id) AS alt FROM event e CROSS JOIN (SELECT DISTINCT source_id FROM aln) s LEFT JOIN strip t ON t.cluster_id = e.id AND t.source_id = s.source_id AND t.mapq = 30 GROUP BY e.id, s.source_id
-), shown AS (
-  SELECT id, string_agg(concat(CASE WHEN alt = 0 THEN './.' ELSE '1/1' END, ':0,', alt), chr(9) ORDER BY source_id) AS cells FROM cell GROUP BY id
-)
-"""
-
-
-@query(DESCRIBED + PIVOT + """SELECT l.chr, l.insertion_point, concat_ws(chr(9), l.chr, CASE WHEN l.insertion_point = 1 THEN 1 ELSE l.insertion_point - 1 END, '.', 'N', '<INS:ME:RTC>', '.', 'PASS', l.info, 'GT:DP2', s.cells) AS line
-FROM line l JOIN shown s ON l.id = s.id""")
-def vcf_body_pivot(spark, d):
-    scores = E.abnormal_scores(_merging(spark, d), _strip(spark, d), X.alignments(spark, d)).filter("mapq = 30")
-    sources = X.alignments(spark, d).select(F.col("source_id").alias("id")).distinct()
-    table = E.genotypes(sources, _events(spark, d), scores.limit(0), scores)
-    rows = V.body(_described(spark, d), table, [1, 2, 3])
-    # Likelihood texts are compared in tests; here the cells are cut to call and depths.
-    short = F.regexp_replace(F.regexp_replace("line", "GT:DP2:GL", "GT:DP2"), r"(\d/\d|\./\.):(\d+),(\d+):[^\t]*", "$1:$2,$3")
-    return rows.select("chr", "insertion_point", short.alias("line"))
-
-
 @query("""SELECT count(*) AS events, count(*) FILTER (WHERE n > 1) AS shared, sum(n)::BIGINT AS genotypes, sum(two) / sum(n) AS homozygous_ratio FROM (
   SELECT o_orderkey, (o_orderkey % 3 <> 0)::INTEGER + (o_orderkey % 4 = 0)::INTEGER AS n, (o_orderkey % 4 = 0)::INTEGER AS two FROM orders WHERE o_orderstatus <> 'P')""")
 def vcf_summary(spark, d):
@@ -610,45 +567,13 @@ def vcf_summary(spark, d):
 # -- containers --
 
 
-@query("""SELECT conv_id, turn, list_sort(list_distinct(list_concat(a, b))) AS u, list_sort(list_intersect(a, b)) AS i, list_sort(list_filter(list_distinct(a), lambda x: NOT list_contains(b, x))) AS m,
-  len(list_filter(a, lambda x: NOT list_contains(b, x))) = 0 AS subset FROM (
-  SELECT conv_id, turn, string_split(lower(role), 's') AS a, string_split(substr(lower(text), 1, 40), 's') AS b FROM conversations WHERE text IS NOT NULL AND role IS NOT NULL)""")
-def set_algebra(spark, d):
-    rows = spark.read.parquet(f"{d}/conversations.parquet").filter("text IS NOT NULL AND role IS NOT NULL")
-    a, b = F.split(F.lower("role"), "s"), F.split(F.substring(F.lower("text"), 1, 40), "s")
-    return rows.select("conv_id", "turn", K.union(a, b).alias("u"), K.intersection(a, b).alias("i"), K.difference(a, b).alias("m"), K.is_subset(a, b).alias("subset"))
-
-
 @query("SELECT n_nationkey, r_name FROM nation LEFT JOIN region ON n_regionkey = r_regionkey")
 def map_lookup(spark, d):
     regions = spark.read.parquet(f"{d}/region.parquet").agg(F.map_from_entries(F.collect_list(F.struct("r_regionkey", "r_name"))).alias("names"))
     return spark.read.parquet(f"{d}/nation.parquet").crossJoin(F.broadcast(regions)).select("n_nationkey", F.try_element_at("names", "n_regionkey").alias("r_name"))
 
 
-# -- the same over all reads --
-
-STRIPS = """blacklist_overlap near_gene_compat near_gene_symmetric support_having distinct_depth split_read_depth concat_distinct_genes island_parent_split_levels
-cluster_windows cluster_filter_mask clip_mode_insertion_point spearman_rho genotype_likelihood genotype_call crossing_reads vcf_info_string""".split()
-#: Row filters of the SQL that are no feature of an operator.
-CUT = re.compile(r"\s(?:WHERE|AND) (?:\w\.)?mapq >= (?:20|30|40|45)\b")
-
-
-def _over_all_reads(run: Query) -> Query:
-    @functools.wraps(run)
-    def whole(spark, d):
-        token = _all_reads.set(True)
-        try:
-            return run(spark, d)
-        finally:
-            _all_reads.reset(token)
-
-    return whole
-
-
-for _name in ["union_remap", "window_islands", "sam_parse", *STRIPS]:
-    _queries[f"{_name}_whole"] = _over_all_reads(_queries[_name])
-    _sql[f"{_name}_whole"] = CUT.sub("", _sql[_name])
-
+# -- genotypes of every source and event --
 
 GRID = """, crossed AS (
   SELECT e.id AS retrocopy_id, j.source_id, count(*) AS n, sum(log10(2 * power(10.0, -mapq / 10.0))) AS wrong, sum(log10(2 * (1 - power(10.0, -mapq / 10.0)))) AS good
@@ -676,8 +601,7 @@ def _grid(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(GRID + f"SELECT source_id, retrocopy_id, reference_depth::INTEGER AS reference_depth, alternate_depth::INTEGER AS alternate_depth, {CALL} AS genotype FROM grid")
-@_over_all_reads
-def source_cross_retrocopy_whole(spark, d):
+def source_cross_retrocopy(spark, d):
     call = S.call(F.col("ho_ref_likelihood"), F.col("he_likelihood"), F.col("ho_alt_likelihood"))
     return _grid(spark, d).select("source_id", "retrocopy_id", "reference_depth", "alternate_depth", call.alias("genotype"))
 
@@ -687,19 +611,17 @@ def source_cross_retrocopy_whole(spark, d):
   FROM grid GROUP BY retrocopy_id
 ) SELECT l.chr, l.insertion_point, concat_ws(chr(9), l.chr, CASE WHEN l.insertion_point = 1 THEN 1 ELSE l.insertion_point - 1 END, '.', 'N', '<INS:ME:RTC>', '.', 'PASS', l.info, 'GT:DP2:GL', s.cells) AS line
 FROM line l JOIN shown s ON l.id = s.id""")
-@_over_all_reads
-def vcf_body_pivot_whole(spark, d):
+def vcf_body_pivot(spark, d):
     return V.body(_described(spark, d), _grid(spark, d), [1, 2, 3]).select("chr", "insertion_point", "line")
 
 
-for _name in ["source_cross_retrocopy_whole", "vcf_body_pivot_whole"]:
-    _sql[_name] = CUT.sub("", _sql[_name])
+# -- containers, continued --
 
 
 @query("""SELECT conv_id, turn, list_sort(list_distinct(list_concat(a, b))) AS u, list_sort(list_intersect(a, b)) AS i, list_sort(list_filter(list_distinct(a), lambda x: NOT list_contains(b, x))) AS m,
   len(list_filter(a, lambda x: NOT list_contains(b, x))) = 0 AS subset FROM (
   SELECT conv_id, turn, coalesce(string_split(lower(role), 's'), CAST([] AS VARCHAR[])) AS a, coalesce(string_split(lower(text), 's'), CAST([] AS VARCHAR[])) AS b FROM conversations)""")
-def set_algebra_whole(spark, d):
+def set_algebra(spark, d):
     """The sets of whole texts; a null text or role has the empty set."""
     rows = spark.read.parquet(f"{d}/conversations.parquet")
     a, b = (F.coalesce(F.split(F.lower(x), "s"), F.array().cast("array<string>")) for x in ("role", "text"))

@@ -7,7 +7,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 
@@ -24,3 +24,14 @@ def ship(spark: SparkSession) -> None:
             bundle.write(path, str(path.relative_to(root.parent)))
     context.addPyFile(target)
     _shipped.add(context.applicationId)
+
+
+def checkpointed(frame: DataFrame) -> DataFrame:
+    """The frame, written once to the folder that ``spark.checkpoint.dir`` names; only on one machine may it be unset."""
+    context = frame.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        named = frame.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if named is None and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spanloom-"))
+    return frame.checkpoint()
