@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import argparse
 import dataclasses
-import logging
 import sys
 
 from pyspark.sql import SparkSession
@@ -19,13 +18,12 @@ def parser() -> argparse.ArgumentParser:
     subs = top.add_subparsers(dest="stage", required=True)
     for name, (kind, rest) in STAGES.items():
         sub = subs.add_parser(name)
-        sub.add_argument("--log-level", default="INFO")
         for f in dataclasses.fields(kind):
             flag = "--" + f.name.replace("_", "-")
             if f.name == rest:
                 sub.add_argument(rest, nargs=1 if rest == "store" else "*")
             elif f.type == "bool":
-                sub.add_argument(flag, action="store_true")
+                sub.add_argument(flag, *(["--silent"] if f.name == "quiet" else []), dest=f.name, action="store_true")
             elif f.name in ("blacklist_chr",):
                 sub.add_argument(flag, action="append")
             elif f.name in ("gff_hard_attributes", "gff_soft_attributes"):
@@ -39,7 +37,6 @@ def parser() -> argparse.ArgumentParser:
 def stage_of(argv: list[str]):
     given = vars(parser().parse_args(argv))
     kind, rest = STAGES[given.pop("stage")]
-    logging.basicConfig(level=given.pop("log_level"))
     values = {k: v for k, v in given.items() if v not in (None, [])}
     if rest == "store":
         values["store"] = values["store"][0]

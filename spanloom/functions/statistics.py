@@ -44,32 +44,44 @@ def spearman(pairs: DataFrame, by: list[str], x: str = "x", y: str = "y") -> Dat
     return sums.select(*by, "n", F.when(bottom > 0, F.try_divide(top, F.sqrt(bottom))).alias("rho"))
 
 
-def _ranks(values: np.ndarray) -> np.ndarray:
-    return pd.Series(values).rank(method="average").to_numpy()
+def _ranks(codes: np.ndarray, many: int) -> np.ndarray:
+    """Ranks from 1 of values given by their places among ``many`` sorted distinct ones, ties sharing their mean rank."""
+    times = np.bincount(codes, minlength=many)
+    return (np.cumsum(times) - (times - 1) / 2)[codes]
 
 
-def _rho(x: np.ndarray, y: np.ndarray) -> float:
-    a, b = _ranks(x), _ranks(y)
-    a, b = a - a.mean(), b - b.mean()
-    scale = math.sqrt((a @ a) * (b @ b))
-    return float(a @ b / scale) if scale else math.nan
+def _rho(a: np.ndarray, b: np.ndarray) -> float:
+    """Spearman's rho from ranks, by the sums of ``spearman``; not a number where one side is constant."""
+    n, sa, sb = len(a), a.sum(), b.sum()
+    bottom = (n * (a @ a) - sa * sa) * (n * (b @ b) - sb * sb)
+    return float((n * (a @ b) - sa * sb) / math.sqrt(bottom)) if bottom > 0 else math.nan
 
 
-def permutation_p(x: np.ndarray, y: np.ndarray, seed: int) -> float:
-    """The share of shuffles of both samples' pool whose |rho| is not under the observed one; undefined ones count."""
-    observed, pool = abs(_rho(x, y)), np.concatenate([x, y])
+def rho_and_p(x: np.ndarray, y: np.ndarray, seed: int | list[int]) -> tuple[float, float]:
+    """Spearman's rho, and the share of shuffles of both samples' pool whose |rho| is not under the observed one; undefined ones count."""
+    values, pool = np.unique(np.concatenate([x, y]), return_inverse=True)
+    n, many = len(x), len(values)
+
+    def rho() -> float:
+        return _rho(_ranks(pool[:n], many), _ranks(pool[n:], many))
+
+    observed = rho()
     draw = np.random.default_rng(seed)
     hits = 0
     for _ in range(PERMUTATIONS):
         draw.shuffle(pool)
-        hits += not abs(_rho(pool[: len(x)], pool[len(x) :])) < observed
-    return hits / PERMUTATIONS
+        hits += not abs(rho()) < abs(observed)
+    return observed, hits / PERMUTATIONS
+
+
+def permutation_p(x: np.ndarray, y: np.ndarray, seed: int | list[int]) -> float:
+    return rho_and_p(x, y, seed)[1]
 
 
 def spearman_test(pairs: DataFrame, by: str, x: str = "x", y: str = "y") -> DataFrame:
     """(by, rho, p_value): with a seed per group, whatever the order of groups.
 
-    A group's pairs are at most the reads of one event.
+    A group's pairs are at most the reads of one event, held as two arrays.
     """
     kind = pairs.schema[by].dataType
     schema = T.StructType([T.StructField(by, kind), T.StructField("rho", T.DoubleType()), T.StructField("p_value", T.DoubleType())])
@@ -78,9 +90,8 @@ def spearman_test(pairs: DataFrame, by: str, x: str = "x", y: str = "y") -> Data
         group = group.sort_values([x, y])
         a, b = group[x].to_numpy(float), group[y].to_numpy(float)
         key = group[by].iloc[0]
-        rho = _rho(a, b)
-        seed = [SEED, int(key) if isinstance(key, (int, np.integer)) else sum(str(key).encode())]
-        return pd.DataFrame({by: [key], "rho": [None if math.isnan(rho) else rho], "p_value": [permutation_p(a, b, seed)]})
+        rho, p = rho_and_p(a, b, [SEED, int(key) if isinstance(key, (int, np.integer)) else sum(str(key).encode())])
+        return pd.DataFrame({by: [key], "rho": [None if math.isnan(rho) else rho], "p_value": [p]})
 
     return pairs.select(by, x, y).groupBy(by).applyInPandas(test, schema)
 
@@ -122,8 +133,7 @@ def general_format(x: Column) -> Column:
     power = F.when(exponent != "", exponent).otherwise("0").cast("int")
     trim = lambda s: F.when(s.contains("."), F.regexp_replace(s, r"\.?0+$", "")).otherwise(s)
     mantissa = trim(F.regexp_extract(scientific, r"^(.*)e", 1))
-    fixed = F.lit("")
-    for k in range(-4, 6):
-        fixed = F.when(power == k, trim(F.format_string(f"%.{5 - k}f", x))).otherwise(fixed)
+    places = F.greatest(F.least(5 - power, F.lit(9)), F.lit(0)).cast("string")
+    fixed = trim(F.call_function("format_string", F.concat(F.lit("%."), places, F.lit("f")), x))
     shown = F.when((power < -4) | (power > 5), F.concat(mantissa, F.lit("e"), exponent)).otherwise(fixed)
     return F.when(x == 0, "0").when(x == float("inf"), "inf").when(x == float("-inf"), "-inf").when(F.isnan(x), "nan").otherwise(shown)

@@ -10,8 +10,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanloom.functions import reads as R
+from spanloom.operators.fragments import strided_ids
 from spanloom.operators.intervals import overlap_join
 from spanloom.schema import ClusterFilter, Label, ReadType
+from spanloom.session import checkpointed
 
 
 def mate_points(alignments: DataFrame, overlapping: DataFrame, exons: DataFrame) -> DataFrame:
@@ -77,27 +79,38 @@ def dbscan(low: np.ndarray, high: np.ndarray, eps: int, min_pts: int) -> list[tu
 def cluster_points(points: DataFrame, by: list[str], eps: int = 300, min_pts: int = 10) -> DataFrame:
     """(by, local, alignment_id, label, neighbors) of every group's clusters.
 
-    Groups without enough points in any window are dropped before Python sees
-    them; what is left are the reads that support one gene on one chromosome.
+    A group is cut where a point starts more than eps after all before it end:
+    no point has neighbours beyond such a gap, so the pieces are clustered
+    apart, with the same result. Pieces without enough points in any window are
+    dropped before Python sees them; what is left are the reads of one stretch
+    of a chromosome that support one gene.
     """
     kinds = {f.name: f.dataType.simpleString() for f in points.schema.fields}
-    schema = ", ".join([*(f"{b} {kinds[b]}" for b in by), "local int, alignment_id long, label int, neighbors int"])
-    enough = Window.partitionBy(*by)
+    schema = ", ".join([*(f"{b} {kinds[b]}" for b in by), "_piece long, _n int, alignment_id long, label int, neighbors int"])
+    keys = [*by, "_piece"]
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["low", "high", "id"], kind="stable")
         rows = dbscan(group["low"].to_numpy(np.int64), group["high"].to_numpy(np.int64), eps, min_pts)
         ids = group["id"].to_numpy()
-        out = pd.DataFrame([(c, ids[p], x, n) for c, p, x, n in rows], columns=["local", "alignment_id", "label", "neighbors"])
-        for k, b in enumerate(by):
+        out = pd.DataFrame([(c, ids[p], x, n) for c, p, x, n in rows], columns=["_n", "alignment_id", "label", "neighbors"])
+        for k, b in enumerate(keys):
             out.insert(k, b, group[b].iloc[0])
         return out
 
+    ordered = Window.partitionBy(*by).orderBy("low", "high", "id")
+    reach = F.max("high").over(ordered.rowsBetween(Window.unboundedPreceding, -1))
+    fresh = F.when(reach.isNull() | (F.col("low") > reach + eps), 1).otherwise(0)
+    cut = points.select(*by, "low", "high", "id").withColumn("_new", fresh).withColumn("_piece", F.sum("_new").over(ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     # A core point's neighbours start within 2 * eps and the longest length of each other.
-    ahead = F.lead("low", min_pts - 1).over(Window.partitionBy(*by).orderBy("low"))
-    dense = F.max(ahead - F.col("low") <= 2 * eps + F.col("_longest")).over(enough)
-    large = points.withColumn("_longest", F.max(F.col("high") - F.col("low")).over(enough)).withColumn("_dense", dense).filter("_dense").select(*by, "low", "high", "id")
-    return large.groupBy(*by).applyInPandas(run, schema)
+    piece = Window.partitionBy(*keys)
+    ahead = F.lead("low", min_pts - 1).over(piece.orderBy("low", "high", "id"))
+    dense = F.max(ahead - F.col("low") <= 2 * eps + F.col("_longest")).over(piece)
+    large = cut.withColumn("_longest", F.max(F.col("high") - F.col("low")).over(piece)).withColumn("_dense", dense).filter("_dense").select(*keys, "low", "high", "id")
+    found = checkpointed(large.groupBy(*keys).applyInPandas(run, schema))
+    # Clusters, not their points, are numbered.
+    one = found.select(*keys, "_n").distinct().withColumn("local", F.row_number().over(Window.partitionBy(*by).orderBy("_piece", "_n")))
+    return found.join(one, [*keys, "_n"]).select(*by, "local", "alignment_id", "label", "neighbors")
 
 
 def core_points(points: DataFrame, by: list[str], eps: int, min_pts: int) -> DataFrame:
@@ -113,10 +126,9 @@ def core_points(points: DataFrame, by: list[str], eps: int, min_pts: int) -> Dat
 def number_clusters(local: DataFrame, by: list[str]) -> DataFrame:
     """(cluster_id, cluster_sid, alignment_id, label, neighbors, by): ids in order of group and local number.
 
-    Only the clusters, not their reads, are numbered together.
+    Only the clusters, not their reads, are numbered together, over all tasks.
     """
-    one = local.groupBy(*by, "local").agg(F.lit(1).alias("_one")).drop("_one")
-    ids = one.withColumn("cluster_id", F.row_number().over(Window.orderBy(*by, "local")).cast("long"))
+    ids = strided_ids(local.select(*by, "local").distinct(), 1, 1, [*by, "local"]).withColumnRenamed("id", "cluster_id")
     return local.join(ids, [*by, "local"]).select("cluster_id", F.lit(1).alias("cluster_sid"), "alignment_id", "label", "neighbors", *by)
 
 

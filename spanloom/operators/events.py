@@ -9,6 +9,7 @@ from spanloom.functions import reads as R
 from spanloom.functions import statistics as S
 from spanloom.functions.containers import joined_names
 from spanloom.operators.clusters import gene_extents
+from spanloom.operators.fragments import strided_ids
 from spanloom.operators.intervals import point_join
 from spanloom.schema import PASSING, Flag, Level, PointType, ReadType
 
@@ -54,7 +55,7 @@ def merge_clusters(clusters: DataFrame, exons: DataFrame, near_rank: int = 3) ->
     ranked = clusters.filter(F.col("filter") == PASSING).join(gene_ranks(gene_extents(exons)), "gene_name")
     runs = parental_runs(islands(ranked, ["chr"], "start", "end", ["id", "sid"]), near_rank)
     keys = ["chr", "island", "gene_chr", "run"]
-    events = runs.select(*keys).distinct().withColumn("retrocopy_id", F.row_number().over(Window.orderBy(*keys)).cast("long"))
+    events = strided_ids(runs.select(*keys).distinct(), 1, 1, keys).withColumnRenamed("id", "retrocopy_id")
     return runs.join(events, keys).select("retrocopy_id", F.col("id").alias("cluster_id"), F.col("sid").alias("cluster_sid"), "level")
 
 

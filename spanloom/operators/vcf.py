@@ -99,11 +99,23 @@ def body(events: DataFrame, genotype: DataFrame, sources: Sequence[int], contigs
 
 
 def write(path: str, head: list[str], rows: DataFrame) -> None:
-    """One text file of header and sorted body; events are few against reads."""
+    """One file of header and sorted body, compressed if its name ends in ``.gz``; events are few against reads.
+
+    The text is written to a folder beside it, whose one part then takes the
+    file's name.
+    """
     spark = rows.sparkSession
     top = spark.createDataFrame([("", k - len(head), x) for k, x in enumerate(head)], "chr string, insertion_point long, line string")
     ordered = top.unionByName(rows.select("chr", F.col("insertion_point").cast("long").alias("insertion_point"), "line")).orderBy("chr", "insertion_point", "line")
-    ordered.coalesce(1).select("line").write.mode("overwrite").text(path)
+    parts = spark._jvm.org.apache.hadoop.fs.Path(f"{path}.parts")
+    ordered.coalesce(1).select("line").write.mode("overwrite").option("compression", "gzip" if path.endswith(".gz") else "none").text(parts.toString())
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = [f.getPath() for f in files.listStatus(parts) if f.getPath().getName().startswith("part-")]
+    files.delete(target, True)
+    if not files.rename(found[0], target):
+        raise OSError(f"{found[0]} cannot be renamed to {path}")
+    files.delete(parts, True)
 
 
 def summary(text: DataFrame) -> DataFrame:

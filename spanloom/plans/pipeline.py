@@ -5,6 +5,7 @@ Each stage writes the tables it makes, so a later one starts from files.
 
 from __future__ import annotations
 
+import dataclasses
 import logging
 import math
 import re
@@ -21,6 +22,7 @@ from spanloom.operators import clusters as C
 from spanloom.operators import events as E
 from spanloom.operators import fragments as P
 from spanloom.operators import vcf as V
+from spanloom.schema import PASSING, ReadType
 from spanloom.sources import text_formats as T
 from spanloom.sources.bam import read_bam
 from spanloom.sources.workspace import Workspace, plain_path, qualified
@@ -38,19 +40,61 @@ def _fraction(name: str, value: float, least: float = 0.0) -> None:
         raise ValueError(f"{name} must be over {least} and at most 1, not {value}")
 
 
+@dataclass(kw_only=True)
+class Stage:
+    """Options that all stages share. Spark sets the number of threads and the memory, so those two are only checked and echoed."""
+
+    output: str | None = None
+    output_dir: str = "."
+    prefix: str = "out"
+    log_file: str | None = None
+    quiet: bool = False
+    debug: bool = False
+    threads: int = 1
+    cache_size: int = 200_000
+
+    SUFFIX = ".store"
+
+    @property
+    def target(self) -> str:
+        """``output``, or the prefix with the stage's suffix in the output folder."""
+        return self.output or f"{self.output_dir.rstrip('/') or '/'}/{self.prefix}{self.SUFFIX}"
+
+    def _common(self) -> None:
+        _at_least("threads", self.threads, 1)
+        _at_least("cache_size", self.cache_size, 200_000)
+        if not self.prefix and not self.output:
+            raise ValueError("the prefix is empty")
+
+    def start_log(self) -> None:
+        """Messages go to standard error, unless quiet, and to the log file; then the options are echoed."""
+        for handler in [h for h in log.handlers if getattr(h, "stage", False)]:
+            log.removeHandler(handler)
+            handler.close()
+        log.setLevel(logging.DEBUG if self.debug else logging.INFO)
+        log.propagate = False
+        sinks = ([] if self.quiet else [logging.StreamHandler()]) + ([logging.FileHandler(self.log_file)] if self.log_file else [])
+        for handler in sinks or [logging.NullHandler()]:
+            handler.stage = True
+            handler.setFormatter(logging.Formatter("%(asctime)s %(levelname)s %(message)s"))
+            log.addHandler(handler)
+        shown = (f"--{f.name.replace('_', '-')}={getattr(self, f.name)}" for f in dataclasses.fields(self) if getattr(self, f.name) not in (None, False, (), [], {}))
+        log.info("%s %s", type(self).__name__, " ".join(shown))
+
+
 def _unique(paths: Sequence[str]) -> list[str]:
     return sorted(set(paths))
 
 
 @dataclass
-class ProcessSample:
+class ProcessSample(Stage):
     """Reads alignment files, keeps abnormal fragments, and stores them with their exon overlaps."""
 
     annotation_file: str
     input_files: Sequence[str] = ()
     input_file: str | None = None
-    output: str = "out.store"
     phred_quality: int = 8
+    sorted: bool = False
     max_distance: int = 10000
     max_base_freq: float = 0.75
     deduplicate: bool = False
@@ -60,6 +104,7 @@ class ProcessSample:
     reciprocal: bool = False
 
     def validate(self) -> None:
+        self._common()
         if not self.annotation_file:
             raise ValueError("an annotation file is needed")
         if not self.input_files and not self.input_file:
@@ -77,10 +122,11 @@ class ProcessSample:
 
     def run(self, spark: SparkSession) -> Workspace:
         self.validate()
+        self.start_log()
         paths = _unique([*self.input_files, *(T.file_list(spark, self.input_file) if self.input_file else [])])
         if not paths:
             raise ValueError("no alignment file is given")
-        store = Workspace.create(spark, self.output)
+        store = Workspace.create(spark, self.target)
         store.write("batch", spark.createDataFrame([(1, datetime.now().strftime("%Y-%m-%d %H:%M:%S"))], "id int, timestamp string"))
         store.write("source", spark.createDataFrame([(k + 1, 1, p) for k, p in enumerate(paths)], "id int, batch_id int, path string"))
         found = T.exons_of(T.read_gff(spark, self.annotation_file))
@@ -96,10 +142,19 @@ class ProcessSample:
         hits = store.write("overlapping", P.exon_overlaps(reads, exons, self.exon_frac, fraction, self.either))
         typed = P.mark_exonic(reads, hits)
         store.write("alignment", P.drop_duplicates(typed) if self.deduplicate else typed)
-        log.info("stored %d alignments of %d files", store.read("alignment").count(), len(paths))
+        for row in counters(store).orderBy("path").collect():
+            log.info("%s: %d abnormal alignments, %d of them in exons (%.2f%%)", row["path"], row["abnormal"], row["exonic"], 100 * row["exonic"] / max(row["abnormal"], 1))
         return store
 
 
+def counters(store: Workspace) -> DataFrame:
+    """(path, abnormal, exonic, duplicates) of every source: stored alignments, those in exons, and those whose type was taken away."""
+    kind = F.col("type")
+    seen = store.read("alignment").groupBy("source_id").agg(F.count("*").alias("abnormal"), F.count_if(R.flagged(kind, ReadType.EXONIC)).alias("exonic"), F.count_if(kind == int(ReadType.NONE)).alias("duplicates"))
+    joined = store.read("source").join(seen, F.col("id") == F.col("source_id"), "left")
+    return joined.select("path", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("abnormal", "exonic", "duplicates")))
+
+
 def read_sources(spark: SparkSession, sources: Sequence[tuple[int, str]]) -> DataFrame:
     """The alignments of (id, path) sources: one scan for all files of a format, with source_id for the path."""
     if crams := [p for _, p in sources if p.endswith(".cram")]:
@@ -118,11 +173,11 @@ def read_sources(spark: SparkSession, sources: Sequence[tuple[int, str]]) -> Dat
 
 
 @dataclass
-class MergeCall:
+class MergeCall(Stage):
     """Joins stores, clusters their reads, and calls events and genotypes."""
 
-    stores: Sequence[str]
-    output: str = "out.store"
+    stores: Sequence[str] = ()
+    input_file: str | None = None
     in_place: bool = False
     epsilon: int = 300
     min_pts: int = 10
@@ -138,7 +193,8 @@ class MergeCall:
     phred_quality: int = 8
 
     def validate(self) -> None:
-        if not self.stores:
+        self._common()
+        if not self.stores and not self.input_file:
             raise ValueError("no store is given")
         _at_least("epsilon", self.epsilon, 0)
         _at_least("min_pts", self.min_pts, 3)
@@ -150,6 +206,7 @@ class MergeCall:
 
     def run(self, spark: SparkSession) -> Workspace:
         self.validate()
+        self.start_log()
         store = self._joined(spark)
         alignments, overlapping, exons = (store.read(n) for n in ("alignment", "overlapping", "exon"))
         if self.blacklist_region:
@@ -170,6 +227,13 @@ class MergeCall:
         hits = store.write("overlapping_blacklist", C.blacklist_hits(windows, blacklist, self.blacklist_padding))
         barred = [_standard(spark, c) for c in self.blacklist_chr]
         kept = store.write("cluster", C.filter_clusters(windows, C.gene_extents(exons), hits, barred, self.parental_distance, self.genotype_support))
+        passing = kept.filter(F.col("filter") == PASSING).count()
+        log.info("%d clusters pass every filter", passing)
+        if not passing:
+            log.warning("no cluster is left, so no event is called")
+            for name in ("cluster_merging", "retrocopy", "genotype"):
+                store.write(name, spark.createDataFrame([], store.read(name).schema))
+            return store
         merged = f"{store.path}/_merging"
         E.merge_clusters(kept, exons, self.near_gene_rank).write.mode("overwrite").parquet(merged)
         merging = spark.read.parquet(merged)
@@ -185,11 +249,14 @@ class MergeCall:
 
     def _joined(self, spark: SparkSession) -> Workspace:
         names = ("batch", "source", "exon", "alignment", "overlapping")
-        opened = [Workspace.open(spark, p) for p in self.stores]
+        paths = _unique([*self.stores, *(T.file_list(spark, self.input_file) if self.input_file else [])])
+        if not paths:
+            raise ValueError("no store is given")
+        opened = [Workspace.open(spark, p) for p in paths]
         if self.in_place and len(opened) == 1:
             return opened[0]
         united = P.union_stores({n: Workspace.read_together(opened, n) for n in names})
-        store = Workspace.create(spark, f"{opened[0].path}.joined" if self.in_place else self.output)
+        store = Workspace.create(spark, f"{opened[0].path}.joined" if self.in_place else self.target)
         for name in names:
             store.write(name, united[name])
         return store
@@ -200,23 +267,26 @@ def _standard(spark: SparkSession, name: str) -> str:
 
 
 @dataclass
-class MakeVcf:
+class MakeVcf(Stage):
     """Writes a store's events as variant text."""
 
     store: str
-    output: str = "out.vcf"
     near_gene_dist: int = 10000
     orientation_error: float = 0.05
     reference_file: str | None = None
     symmetric: bool = False
 
+    SUFFIX = ".vcf"
+
     def validate(self) -> None:
+        self._common()
         _at_least("near_gene_dist", self.near_gene_dist, 0)
         if not 0 <= self.orientation_error <= 1 or math.isnan(self.orientation_error):
             raise ValueError("orientation_error must be between 0 and 1")
 
     def run(self, spark: SparkSession) -> str:
         self.validate()
+        self.start_log()
         store = Workspace.open(spark, self.store)
         t = store.tables("retrocopy", "exon", "cluster_merging", "clustering", "alignment", "genotype", "source")
         contigs = T.read_fasta(spark, self.reference_file).withColumn("contig", R.standard_chromosome("contig")) if self.reference_file else None
@@ -225,5 +295,6 @@ class MakeVcf:
         listed = [(r["contig"], r["length"]) for r in contigs.select("contig", "length").collect()] if contigs is not None else []
         events = V.described(t["retrocopy"], t["exon"], t["cluster_merging"], t["clustering"], t["alignment"], self.near_gene_dist, self.symmetric)
         rows = V.body(events, t["genotype"], [r["id"] for r in sources], contigs, self.orientation_error)
-        V.write(self.output, V.header(names, self.reference_file, listed), rows)
-        return self.output
+        V.write(self.target, V.header(names, self.reference_file, listed), rows)
+        log.info("wrote %s", self.target)
+        return self.target

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import functools
+import uuid
 from collections.abc import Callable
+from contextvars import ContextVar
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -16,6 +20,8 @@ from spanloom.operators import fragments as P
 from spanloom.operators import intervals as I
 from spanloom.operators import vcf as V
 from spanloom.plans import proxies as X
+from spanloom.session import shared_folder
+from spanloom.sources import bam as B
 from spanloom.sources import text_formats as T
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -76,8 +82,33 @@ judged AS (
 
 
 # The same parts for Spark.
+#: The proxy reads of the query that is being built, where it uses them often enough to write them first.
+_written: ContextVar[DataFrame | None] = ContextVar("written", default=None)
+
+
+def _alignments(spark: SparkSession, d: str) -> DataFrame:
+    found = _written.get()
+    return X.alignments(spark, d) if found is None else found
+
+
+def _write_first(run: Query) -> Query:
+    """The query over reads that are written to the shared folder once, rather than derived at each use."""
+
+    @functools.wraps(run)
+    def query(spark, d):
+        path = f"{shared_folder(spark)}/reads_{uuid.uuid4().hex}"
+        X.alignments(spark, d).write.parquet(path)
+        token = _written.set(spark.read.parquet(path))
+        try:
+            return run(spark, d)
+        finally:
+            _written.reset(token)
+
+    return query
+
+
 def _kept(spark: SparkSession, d: str) -> DataFrame:
-    return P.fragment_filter(X.alignments(spark, d))
+    return P.fragment_filter(_alignments(spark, d))
 
 
 def _typed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -88,7 +119,7 @@ def _typed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame
 
 def _strip(spark: SparkSession, d: str) -> DataFrame:
     """A clustering: strips of 20,000 positions, with the source as sub-number."""
-    rows = X.alignments(spark, d)
+    rows = _alignments(spark, d)
     strips = rows.select("chr", F.floor(F.col("pos") / 20000).alias("strip")).distinct()
     ids = strips.withColumn("cluster_id", F.row_number().over(Window.orderBy("chr", "strip")).cast("long"))
     joined = rows.withColumn("strip", F.floor(F.col("pos") / 20000)).join(ids, ["chr", "strip"])
@@ -103,7 +134,7 @@ def _strip(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _windows(spark: SparkSession, d: str) -> DataFrame:
-    return C.cluster_windows(_strip(spark, d), X.alignments(spark, d))
+    return C.cluster_windows(_strip(spark, d), _alignments(spark, d))
 
 
 def _events(spark: SparkSession, d: str) -> DataFrame:
@@ -121,12 +152,12 @@ def _merging(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT id, ok FROM judged")
 def read_acceptance(spark, d):
-    return X.alignments(spark, d).select("id", R.accepted(8).alias("ok"))
+    return _alignments(spark, d).select("id", R.accepted(8).alias("ok"))
 
 
 @query("SELECT id, t AS type FROM judged")
 def read_type_bits(spark, d):
-    return X.alignments(spark, d).select("id", R.type_bits(10000).cast("int").alias("type"))
+    return _alignments(spark, d).select("id", R.type_bits(10000).cast("int").alias("type"))
 
 
 @query("SELECT id, qname, source_id, t AS type FROM kept")
@@ -145,7 +176,7 @@ def base_overfrequency(spark, d):
 @query(r"""SELECT id, list_sum(list_transform(regexp_extract_all(cigar, '(\d+)[MDN=X]', 1), lambda x: cast(x AS BIGINT)))::BIGINT AS reference_length,
   list_sum(list_transform(regexp_extract_all(cigar, '(\d+)[MIS=X]', 1), lambda x: cast(x AS BIGINT)))::BIGINT AS query_length FROM aln""")
 def cigar_lengths(spark, d):
-    return X.alignments(spark, d).select("id", R.reference_length().alias("reference_length"), R.query_length().alias("query_length"))
+    return _alignments(spark, d).select("id", R.reference_length().alias("reference_length"), R.query_length().alias("query_length"))
 
 
 NAMES = """SELECT s_suppkey, concat(CASE s_suppkey % 3 WHEN 0 THEN 'chr' WHEN 1 THEN 'CHR' ELSE '' END, CASE cast(floor(s_suppkey / 3) AS bigint) % 28 WHEN 23 THEN 'x' WHEN 24 THEN 'Y'
@@ -163,7 +194,24 @@ def chr_standardise(spark, d):
 @query("""SELECT cigar, CASE WHEN cigar ILIKE '%M%S' OR cigar ILIKE '%M%H' THEN 'right' WHEN cigar ILIKE '%S%M' OR cigar ILIKE '%H%M' THEN 'left' END AS side, count(*) AS n
 FROM aln GROUP BY ALL""")
 def clip_shape(spark, d):
-    return X.alignments(spark, d).groupBy("cigar", R.clip_side().alias("side")).agg(F.count("*").alias("n"))
+    return _alignments(spark, d).groupBy("cigar", R.clip_side().alias("side")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT id, type FROM typed")
+def exonic_bit(spark, d):
+    return _typed(spark, d)[0].select("id", "type")
+
+
+@query("SELECT id AS read_id, chr, pos, 7 + 3 * (row_number() OVER (ORDER BY chr, pos, id) - 1) AS id FROM aln")
+def alignment_ids(spark, d):
+    rows = _alignments(spark, d).withColumnRenamed("id", "read_id")
+    return P.strided_ids(rows, 7, 3, ["chr", "pos", "read_id"]).select("read_id", "chr", "pos", "id")
+
+
+@query("""SELECT source_id, count(*) AS abnormal, count(*) FILTER (WHERE (type & 8) <> 0) AS exonic FROM typed GROUP BY source_id""")
+def abnormal_counters(spark, d):
+    kind = R.flagged("type", 8)
+    return _typed(spark, d)[0].groupBy("source_id").agg(F.count("*").alias("abnormal"), F.count_if(kind).alias("exonic"))
 
 
 # -- intervals --
@@ -184,22 +232,22 @@ ALL_PAIRS = """, pair AS (
 
 @query(ALL_PAIRS.format(exon="0.9") + "SELECT exon_id, alignment_id, pos, len FROM pair")
 def overlap_join(spark, d):
-    return P.exon_overlaps(X.alignments(spark, d), X.exons(spark, d))
+    return P.exon_overlaps(_alignments(spark, d), X.exons(spark, d))
 
 
 @query(ALL_PAIRS.format(exon="0.9") + "SELECT exon_id, alignment_id, pos, len FROM pair WHERE len - 1 >= need_read AND len - 1 >= need_exon")
 def overlap_join_fraction_both(spark, d):
-    return P.exon_overlaps(X.alignments(spark, d), X.exons(spark, d), 0.9, 0.5)
+    return P.exon_overlaps(_alignments(spark, d), X.exons(spark, d), 0.9, 0.5)
 
 
 @query(ALL_PAIRS.format(exon="0.9") + "SELECT exon_id, alignment_id, pos, len FROM pair WHERE len - 1 >= need_read OR len - 1 >= need_exon")
 def overlap_join_fraction_either(spark, d):
-    return P.exon_overlaps(X.alignments(spark, d), X.exons(spark, d), 0.9, 0.5, either=True)
+    return P.exon_overlaps(_alignments(spark, d), X.exons(spark, d), 0.9, 0.5, either=True)
 
 
 @query(ALL_PAIRS.format(exon="0.5") + "SELECT exon_id, alignment_id, pos, len FROM pair WHERE len - 1 >= need_read AND len - 1 >= need_exon")
 def overlap_join_reciprocal(spark, d):
-    return P.exon_overlaps(X.alignments(spark, d), X.exons(spark, d), 0.5, 0.5)
+    return P.exon_overlaps(_alignments(spark, d), X.exons(spark, d), 0.5, 0.5)
 
 
 @query("""SELECT b.id AS blacklist_id, w.id AS cluster_id, w.sid AS cluster_sid, greatest(w.start_pos, b.start_pos) AS pos,
@@ -211,7 +259,7 @@ def blacklist_overlap(spark, d):
 
 @query("""SELECT id FROM judged j WHERE NOT EXISTS (SELECT 1 FROM bl b WHERE b.chr = j.chr AND greatest(j.pos - 100, 0) <= b.end_pos AND j.high + 100 >= b.start_pos)""")
 def blacklist_anti_padded(spark, d):
-    reads = X.alignments(spark, d).select("id", "chr", "pos", R.end_position().alias("high"))
+    reads = _alignments(spark, d).select("id", "chr", "pos", R.end_position().alias("high"))
     return I.overlap_anti_join(reads, X.blacklist(spark, d), ("chr", "pos", "high"), ("chr", "start", "end"), ["id"], padding=100).select("id")
 
 
@@ -230,11 +278,13 @@ FROM event r"""
 
 
 @query(HOSTS.format(near="r.insertion_point BETWEEN gene_end + 1 AND gene_end + 5000"))
+@_write_first
 def near_gene_compat(spark, d):
     return E.hosts(_events(spark, d), X.exons(spark, d), 5000)
 
 
 @query(HOSTS.format(near="r.insertion_point BETWEEN gene_end + 1 AND gene_end + 5000 OR r.insertion_point BETWEEN gene_start - 5000 AND gene_start - 1"))
+@_write_first
 def near_gene_symmetric(spark, d):
     return E.hosts(_events(spark, d), X.exons(spark, d), 5000, symmetric=True)
 
@@ -252,6 +302,7 @@ MATES = """, named AS (
 
 
 @query(MATES + "SELECT * FROM point")
+@_write_first
 def mate_self_join(spark, d):
     return C.mate_points(*_typed(spark, d))
 
@@ -259,7 +310,7 @@ def mate_self_join(spark, d):
 @query("""SELECT s.cluster_id, s.source_id AS cluster_sid, id AS alignment_id FROM strip s
 JOIN (SELECT cluster_id, source_id FROM strip GROUP BY cluster_id, source_id HAVING count(*) >= 40) k ON s.cluster_id = k.cluster_id AND s.source_id = k.source_id""")
 def support_having(spark, d):
-    return C.supported(_strip(spark, d), X.alignments(spark, d), 40).select("cluster_id", "cluster_sid", "alignment_id")
+    return C.supported(_strip(spark, d), _alignments(spark, d), 40).select("cluster_id", "cluster_sid", "alignment_id")
 
 
 COARSE = """, coarse AS (SELECT id, qname, source_id, chr, cast(floor(pos / 3000) AS bigint) AS pos, chr_next, cast(floor(pos_next / 3000) AS bigint) AS pos_next, mapq AS type FROM aln),
@@ -275,7 +326,7 @@ runs AS (
 
 
 def _coarse(spark: SparkSession, d: str) -> DataFrame:
-    return X.alignments(spark, d).select("id", "qname", "source_id", "chr", F.floor(F.col("pos") / 3000).alias("pos"), "chr_next", F.floor(F.col("pos_next") / 3000).alias("pos_next"), F.col("mapq").alias("type"))
+    return _alignments(spark, d).select("id", "qname", "source_id", "chr", F.floor(F.col("pos") / 3000).alias("pos"), "chr_next", F.floor(F.col("pos_next") / 3000).alias("pos_next"), F.col("mapq").alias("type"))
 
 
 @query(COARSE + "SELECT qname, source_id FROM dup")
@@ -305,7 +356,7 @@ def _store(reads: DataFrame, exons: DataFrame, k: int) -> dict[str, DataFrame]:
 FROM judged j JOIN (SELECT 1 AS store UNION ALL SELECT 2) s ON s.store = CASE WHEN j.source_id = 1 THEN 1 ELSE 2 END
 JOIN exon e ON j.chr = e.chr AND j.pos <= e.end_pos AND j.high >= e.start_pos AND e.id % 3 <> CASE WHEN s.store = 1 THEN 0 ELSE 1 END""")
 def union_remap(spark, d):
-    reads, exons = X.alignments(spark, d), X.exons(spark, d)
+    reads, exons = _alignments(spark, d), X.exons(spark, d)
     one = _store(reads.filter("source_id = 1"), exons.filter("id % 3 <> 0"), 0)
     two = _store(reads.filter("source_id <> 1"), exons.filter("id % 3 <> 1"), 1)
     both = P.union_stores({name: one[name].unionByName(two[name]) for name in one})
@@ -331,20 +382,22 @@ DEPTH = """, clipped AS (
 
 
 @query("SELECT cluster_id AS rid, count(DISTINCT id) AS depth FROM strip GROUP BY cluster_id")
+@_write_first
 def distinct_depth(spark, d):
-    return E.depths(_events(spark, d), _merging(spark, d), _strip(spark, d), X.alignments(spark, d)).select("rid", "depth")
+    return E.depths(_events(spark, d), _merging(spark, d), _strip(spark, d), _alignments(spark, d)).select("rid", "depth")
 
 
 def _clipped_events(spark: SparkSession, d: str) -> DataFrame:
     """Events whose point is the smallest clip position of their split reads."""
-    spots = X.alignments(spark, d).filter(R.flagged("flag", 2048)).select(F.col("id").alias("alignment_id"), R.clip_position().alias("clip"))
+    spots = _alignments(spark, d).filter(R.flagged("flag", 2048)).select(F.col("id").alias("alignment_id"), R.clip_position().alias("clip"))
     return _strip(spark, d).join(spots, "alignment_id").groupBy(F.col("cluster_id").alias("id")).agg(F.min("clip").alias("insertion_point"))
 
 
 @query(DEPTH + """SELECT c.cluster_id AS rid, count(DISTINCT c.id) FILTER (WHERE (c.flag & 2048) <> 0 AND c.clip = p.at) AS split_reads
 FROM clipped c JOIN (SELECT cluster_id, min(clip) AS at FROM clipped WHERE (flag & 2048) <> 0 GROUP BY cluster_id) p ON c.cluster_id = p.cluster_id GROUP BY c.cluster_id""")
+@_write_first
 def split_read_depth(spark, d):
-    return E.depths(_clipped_events(spark, d), _merging(spark, d), _strip(spark, d), X.alignments(spark, d)).select("rid", "split_reads")
+    return E.depths(_clipped_events(spark, d), _merging(spark, d), _strip(spark, d), _alignments(spark, d)).select("rid", "split_reads")
 
 
 @query("SELECT id, string_agg(DISTINCT gene_name, '/' ORDER BY gene_name) AS genes FROM win GROUP BY id")
@@ -359,7 +412,7 @@ def concat_distinct_genes(spark, d):
   SELECT *, CASE WHEN reach IS NULL OR pos > reach THEN 1 ELSE 0 END AS new FROM (
     SELECT id, chr, pos, high, max(high) OVER (PARTITION BY chr ORDER BY pos, high, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM judged))""")
 def window_islands(spark, d):
-    rows = X.alignments(spark, d).select("id", "chr", "pos", R.end_position().alias("high"))
+    rows = _alignments(spark, d).select("id", "chr", "pos", R.end_position().alias("high"))
     return E.islands(rows, ["chr"], "pos", "high", ["id"]).select("id", "island")
 
 
@@ -378,6 +431,7 @@ def window_islands(spark, d):
 ), levelled AS (
   SELECT id, sid, bit_or(bits) OVER (PARTITION BY chr, island, gene_chr, run) | CASE WHEN sum(fresh) OVER (PARTITION BY chr, island) > 1 THEN 8 ELSE 0 END AS level FROM numbered
 ) SELECT id, sid, CASE WHEN level = 0 THEN 1 ELSE level END AS level FROM levelled""")
+@_write_first
 def island_parent_split_levels(spark, d):
     genes = E.gene_ranks(C.gene_extents(X.exons(spark, d)))
     joined = _windows(spark, d).join(genes, "gene_name")
@@ -387,15 +441,70 @@ def island_parent_split_levels(spark, d):
 # -- clustering --
 
 
-@query()
-def interval_dbscan(spark, d):
+def _dbscan_sql(points: str, name: str, eps: int, min_pts: int) -> str:
+    """CTEs up to ``name`` (g, local, id, label, neighbors) of density clusters of (g, id, low, high).
+
+    A point that no earlier core point reaches through core points leads a
+    cluster; the cluster lists the neighbours of all core points it owns.
+    """
+    return f""", {name}_p AS (
+  SELECT *, row_number() OVER (PARTITION BY g ORDER BY low, high, id) AS n, greatest((low + high) // 2 - {eps}, 1) AS fro, (low + high) // 2 + {eps} AS til FROM {points}
+), {name}_near AS MATERIALIZED (
+  SELECT a.g, a.n AS a, b.n AS b, count(*) OVER (PARTITION BY a.g, a.n) AS many FROM {name}_p a JOIN {name}_p b ON a.g = b.g AND b.low <= a.til AND b.high >= a.fro
+), {name}_many AS (
+  SELECT DISTINCT g, a AS n, many FROM {name}_near
+), {name}_step AS MATERIALIZED (
+  SELECT s.g, s.a, s.b FROM {name}_near s JOIN {name}_many c ON c.g = s.g AND c.n = s.b WHERE s.many >= {min_pts} AND c.many >= {min_pts}
+), {name}_reach AS (
+  SELECT DISTINCT g, a AS lead, a AS n FROM {name}_step UNION SELECT r.g, r.lead, s.b FROM {name}_reach r JOIN {name}_step s ON s.g = r.g AND s.a = r.n
+), {name}_own AS (
+  SELECT g, n, min(lead) AS lead FROM {name}_reach GROUP BY g, n
+), {name} AS (
+  SELECT DISTINCT o.g, dense_rank() OVER (PARTITION BY o.g ORDER BY o.lead) AS local, p.id, CASE WHEN c.many >= {min_pts} THEN 3 ELSE 2 END AS label, c.many AS neighbors
+  FROM {name}_own o JOIN {name}_near s ON s.g = o.g AND s.a = o.n JOIN {name}_p p ON p.g = o.g AND p.n = s.b JOIN {name}_many c ON c.g = o.g AND c.n = s.b
+)
+"""
+
+
+FOUND = MATES + ", grouped AS (SELECT *, {'chr': chr, 'gene_name': gene_name} AS g FROM point)" + _dbscan_sql("grouped", "scan", 3000, 4) + """, found AS (
+  SELECT dense_rank() OVER (ORDER BY g.chr, g.gene_name, local) AS cluster_id, 1 AS cluster_sid, id AS alignment_id, label, neighbors, g.chr AS chr, g.gene_name AS gene_name FROM scan
+)
+"""
+
+
+def _recursive(name: str) -> None:
+    _sql[name] = _sql[name].replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+def _found(spark: SparkSession, d: str) -> DataFrame:
     local = C.cluster_points(C.mate_points(*_typed(spark, d)), ["chr", "gene_name"], 3000, 4)
     return C.number_clusters(local, ["chr", "gene_name"])
 
 
+@query(FOUND + "SELECT cluster_id, cluster_sid, alignment_id, label, neighbors, chr, gene_name FROM found")
+@_write_first
+def interval_dbscan(spark, d):
+    return _found(spark, d)
+
+
+@query(FOUND + """, backed AS (
+  SELECT {'id': f.cluster_id, 'sid': f.cluster_sid} AS g, f.alignment_id AS id, y.pos AS low, y.high FROM (
+    SELECT f.*, count(*) OVER (PARTITION BY f.cluster_id, y.source_id) AS n FROM found f JOIN typed y ON y.id = f.alignment_id) f JOIN typed y ON y.id = f.alignment_id WHERE n >= 2
+)""" + _dbscan_sql("backed", "again", 3000, 3) + """SELECT cluster_id, cluster_sid, alignment_id, label, neighbors, gene_name FROM found
+UNION ALL SELECT a.g.id, 1 + a.local, a.id, a.label, a.neighbors, (SELECT min(gene_name) FROM found f WHERE f.cluster_id = a.g.id) FROM again a""")
+@_write_first
+def recluster_supported(spark, d):
+    return C.recluster(_found(spark, d), _typed(spark, d)[0], 2, 3000, 3)
+
+
+_recursive("interval_dbscan")
+_recursive("recluster_supported")
+
+
 @query(MATES + """SELECT a.chr, a.gene_name, a.id, count(*) AS neighbors FROM point a JOIN point b ON a.chr = b.chr AND a.gene_name = b.gene_name
   AND b.low <= cast(floor((a.low + a.high) / 2) AS bigint) + 3000 AND b.high >= greatest(cast(floor((a.low + a.high) / 2) AS bigint) - 3000, 1)
 GROUP BY a.chr, a.gene_name, a.id HAVING count(*) >= 4""")
+@_write_first
 def dbscan_core_points(spark, d):
     return C.core_points(C.mate_points(*_typed(spark, d)), ["chr", "gene_name"], 3000, 4)
 
@@ -409,6 +518,7 @@ def cluster_windows(spark, d):
   + CASE WHEN w.chr <> g.gene_chr OR NOT (w.start_pos <= g.gene_end + 1000 AND w.end_pos >= g.gene_start - 1000) THEN 4 ELSE 0 END
   + CASE WHEN NOT EXISTS (SELECT 1 FROM bl b WHERE b.chr = w.chr AND w.start_pos <= b.end_pos AND w.end_pos >= b.start_pos) THEN 8 ELSE 0 END + 16 AS filter
 FROM win w JOIN gene g ON w.gene_name = g.gene_name""")
+@_write_first
 def cluster_filter_mask(spark, d):
     windows = _windows(spark, d)
     hits = C.blacklist_hits(windows, X.blacklist(spark, d))
@@ -426,7 +536,7 @@ def cluster_filter_mask(spark, d):
 ) SELECT w.id, w.sid, coalesce(b.clip, cast(floor((w.start_pos + w.end_pos) / 2) AS bigint)) AS point, CASE WHEN b.clip IS NULL THEN 1 ELSE 2 END AS point_type
 FROM win w LEFT JOIN best b ON w.id = b.id AND w.sid = b.sid""")
 def clip_mode_insertion_point(spark, d):
-    return E.insertion_points(_windows(spark, d), E.clip_modes(_strip(spark, d), X.alignments(spark, d)))
+    return E.insertion_points(_windows(spark, d), E.clip_modes(_strip(spark, d), _alignments(spark, d)))
 
 
 @query(""", r AS (
@@ -435,16 +545,37 @@ def clip_mode_insertion_point(spark, d):
   FROM (SELECT DISTINCT cluster_id, pos, pos_next FROM strip)
 ) SELECT cluster_id, count(*) AS n, CASE WHEN count(*) > 1 AND min(rx) < max(rx) AND min(ry) < max(ry) THEN round(corr(cast(rx AS DOUBLE), cast(ry AS DOUBLE)), 9) END AS rho FROM r GROUP BY cluster_id""")
 def spearman_rho(spark, d):
-    pairs = _strip(spark, d).join(X.alignments(spark, d).select(F.col("id").alias("alignment_id"), "pos", "pos_next"), "alignment_id").select("cluster_id", F.col("pos").alias("x"), F.col("pos_next").alias("y")).distinct()
+    pairs = _strip(spark, d).join(_alignments(spark, d).select(F.col("id").alias("alignment_id"), "pos", "pos_next"), "alignment_id").select("cluster_id", F.col("pos").alias("x"), F.col("pos_next").alias("y")).distinct()
     return S.spearman(pairs, ["cluster_id"]).select("cluster_id", "n", F.round("rho", 9).alias("rho"))
 
 
 @query()
 def spearman_permutation_p(spark, d):
-    reads = X.alignments(spark, d).select(F.floor(F.col("pos") / 20000).alias("g"), F.col("pos").alias("x"), F.col("pos_next").alias("y"))
+    reads = _alignments(spark, d).select(F.floor(F.col("pos") / 20000).alias("g"), F.col("pos").alias("x"), F.col("pos_next").alias("y"))
     return S.spearman_test(reads, "g")
 
 
+@query(""", member AS (
+  SELECT s.cluster_id, s.source_id AS cluster_sid, y.id, y.qname, y.source_id, y.pos FROM strip s JOIN typed y ON y.id = s.id
+), brought AS (
+  SELECT DISTINCT m.cluster_id, m.cluster_sid, m.qname, m.source_id, t.pos AS y FROM member m JOIN typed t ON t.qname = m.qname AND t.source_id = m.source_id AND t.id <> m.id WHERE (t.type & 8) <> 0
+) SELECT DISTINCT m.cluster_id AS retrocopy_id, m.pos AS x, b.y FROM member m JOIN brought b ON b.cluster_id = m.cluster_id AND b.cluster_sid = m.cluster_sid AND b.qname = m.qname AND b.source_id = m.source_id""")
+@_write_first
+def orientation_pairs(spark, d):
+    return E.orientation_pairs(_merging(spark, d), _strip(spark, d), _typed(spark, d)[0])
+
+
+@query("""SELECT id, min(chr) AS chr, min(start_pos) AS window_start, max(end_pos) AS window_end, string_agg(DISTINCT gene_name, '/' ORDER BY gene_name) AS parental_gene_name, 1 + max(sid) % 2 AS level,
+  arg_min((start_pos + end_pos) // 2, {'s': start_pos, 'i': sid}) AS insertion_point, 1 AS insertion_point_type, CASE WHEN id % 2 = 0 THEN (id % 7 - 3) / 8.0 END AS orientation_rho, CASE WHEN id % 2 = 0 THEN (id % 5) / 50.0 END AS orientation_p_value
+FROM win GROUP BY id""")
+def event_rows(spark, d):
+    windows = _windows(spark, d)
+    none = windows.select("id", "sid", F.lit(None).cast("long").alias("clip"))
+    merging = windows.select(F.col("id").alias("retrocopy_id"), F.col("id").alias("cluster_id"), F.col("sid").alias("cluster_sid"), (1 + F.max("sid").over(Window.partitionBy("id")) % 2).alias("level"))
+    tested = windows.select(F.col("id").alias("retrocopy_id")).distinct().filter("retrocopy_id % 2 = 0").select("retrocopy_id", ((F.col("retrocopy_id") % 7 - 3) / 8.0).alias("rho"), ((F.col("retrocopy_id") % 5) / 50.0).alias("p_value"))
+    return E.events(merging, windows, E.insertion_points(windows, none), tested)
+
+
 LIKELIHOOD = """, term AS (
   SELECT cluster_id, source_id, (flag & 2) <> 0 AS crossing, log10(2 * power(10.0, -mapq / 10.0)) AS wrong, log10(2 * (1 - power(10.0, -mapq / 10.0))) AS good FROM strip
 ), likely AS (
@@ -457,13 +588,14 @@ LIKELIHOOD = """, term AS (
 
 def _genotypes(spark: SparkSession, d: str) -> DataFrame:
     """Proper reads of a strip stand for crossing ones, the others for abnormal ones; only seen pairs."""
-    reads = _strip(spark, d).select(F.col("cluster_id").alias("retrocopy_id"), "alignment_id").join(X.alignments(spark, d).select(F.col("id").alias("alignment_id"), "source_id", "mapq", "flag"), "alignment_id")
+    reads = _strip(spark, d).select(F.col("cluster_id").alias("retrocopy_id"), "alignment_id").join(_alignments(spark, d).select(F.col("id").alias("alignment_id"), "source_id", "mapq", "flag"), "alignment_id")
     proper = R.flagged("flag", 2)
-    sources = X.alignments(spark, d).select(F.col("source_id").alias("id")).distinct()
+    sources = _alignments(spark, d).select(F.col("source_id").alias("id")).distinct()
     return E.genotypes(sources, _events(spark, d), reads.filter(proper), reads.filter(~proper)).filter("reference_depth + alternate_depth > 0")
 
 
 @query(LIKELIHOOD + "SELECT source_id, retrocopy_id, reference_depth::INTEGER AS reference_depth, alternate_depth::INTEGER AS alternate_depth, round(ref, 6) AS ho_ref, round(het, 6) AS he, round(alt, 6) AS ho_alt FROM likely")
+@_write_first
 def genotype_likelihood(spark, d):
     rows = _genotypes(spark, d)
     return rows.select("source_id", "retrocopy_id", "reference_depth", "alternate_depth", F.round("ho_ref_likelihood", 6).alias("ho_ref"), F.round("he_likelihood", 6).alias("he"), F.round("ho_alt_likelihood", 6).alias("ho_alt"))
@@ -473,6 +605,7 @@ CALL = "CASE WHEN ref >= het AND ref >= alt AND (ref > alt OR ref > het) THEN '0
 
 
 @query(LIKELIHOOD + f"SELECT source_id, retrocopy_id, {CALL} AS genotype FROM likely")
+@_write_first
 def genotype_call(spark, d):
     return _genotypes(spark, d).select("source_id", "retrocopy_id", S.call(F.col("ho_ref_likelihood"), F.col("he_likelihood"), F.col("ho_alt_likelihood")).alias("genotype"))
 
@@ -481,8 +614,9 @@ def genotype_call(spark, d):
 WHERE (j.flag & 3) = 3 AND (j.flag & 3084) = 0 AND j.mapq >= 8
   AND e.insertion_point - cast(floor((j.high - j.pos + 1) / 20) AS bigint) >= j.pos AND e.insertion_point + cast(floor((j.high - j.pos + 1) / 20) AS bigint) <= j.high
 GROUP BY e.id, j.source_id""")
+@_write_first
 def crossing_reads(spark, d):
-    return E.crossing_reads(X.alignments(spark, d), _events(spark, d)).groupBy("retrocopy_id", "source_id").agg(F.count("*").alias("n"))
+    return E.crossing_reads(_alignments(spark, d), _events(spark, d)).groupBy("retrocopy_id", "source_id").agg(F.count("*").alias("n"))
 
 
 # -- text formats --
@@ -519,18 +653,72 @@ def fasta_parse(spark, d):
 
 @query("SELECT qname, flag, chr, pos, mapq, cigar, chr_next, pos_next FROM aln")
 def sam_parse(spark, d):
-    a = X.alignments(spark, d)
+    a = _alignments(spark, d)
     mate = F.when(F.col("chr") == F.col("chr_next"), "=").otherwise(F.col("chr_next"))
     number = lambda c: F.col(c).cast("string")
     text = _text(a, "qname", number("flag"), F.substring("chr", 4, 9), number("pos"), number("mapq"), "cigar", mate, number("pos_next"), F.lit("0"), F.lit("ACGT"), F.lit("IIII"))
     return T.parse_sam(text).select("qname", "flag", "chr", "pos", "mapq", "cigar", "chr_next", "pos_next")
 
 
+CONTIGS = [f"chr{k}" for k in range(1, 6)]
+
+
+@query("SELECT source_id, qname, flag, chr, pos, mapq, cigar, chr_next, pos_next, 'ACGT' AS seq, CASE cigar WHEN '20H80M' THEN 80 ELSE 100 END AS qlen FROM aln")
+def bam_parse(spark, d):
+    """The reads of each source and hundredth of its names as a binary file, decoded again."""
+    rows = _alignments(spark, d)
+    schema = "source_id long, content binary"
+
+    def pack(group):
+        import pandas as pd
+
+        from spanloom.sources import bam
+
+        fields = ("qname", "flag", "chr", "pos", "mapq", "cigar", "chr_next", "pos_next")
+        made = bam.encoded(([*r, "ACGT"] for r in group[list(fields)].itertuples(index=False)), CONTIGS)
+        return pd.DataFrame([(group["source_id"].iloc[0], made)], columns=["source_id", "content"])
+
+    files = rows.withColumn("part", F.pmod(F.xxhash64("qname"), F.lit(100))).groupBy("source_id", "part").applyInPandas(pack, schema)
+    return B.parse_bam(files, "source_id").select("source_id", "qname", "flag", "chr", "pos", "mapq", "cigar", "chr_next", "pos_next", "seq", "qlen")
+
+
+@query("SELECT id, pos, mapq FROM judged WHERE chr = 'chr2' AND pos <= 30000 AND high >= 10000")
+def columnar_window(spark, d):
+    path = f"{shared_folder(spark)}/columnar_{uuid.uuid4().hex}"
+    B.write_columnar(_alignments(spark, d).select("id", "chr", "pos", "rlen", "mapq"), path)
+    return B.read_window(spark, path, "chr2", 10000, 30000).select("id", "pos", "mapq")
+
+
+@query("""SELECT name, kind FROM (VALUES ('a.gff3', true), ('genes.gtf.gz', true), ('x.bed', false), ('gff', false)) v(name, kind)""")
+def name_sniff(spark, d):
+    names = ["a.gff3", "genes.gtf.gz", "x.bed", "gff"]
+    return spark.createDataFrame([(n, T.looks_like_gff(n)) for n in names], "name string, kind boolean")
+
+
+@query("""SELECT 12 + row_number() OVER (ORDER BY name) AS n, concat('##contig=<ID=', name, ',length=', len, '>') AS line
+FROM (SELECT concat('s', lpad(cast(s_suppkey AS varchar), 9, '0')) AS name, 100 + s_suppkey AS len FROM supplier)
+UNION ALL SELECT 1, '##fileformat=VCFv4.2' UNION ALL SELECT 2, '##fileDate=2020-01-02 03:04:05' UNION ALL SELECT 3, '##source=spanloom' UNION ALL SELECT 4, '##reference=file://r.fa'
+UNION ALL SELECT 100000, concat('#', array_to_string(['CHROM', 'POS', 'ID', 'REF', 'ALT', 'QUAL', 'FILTER', 'INFO', 'FORMAT', 's1', 's2'], chr(9)))""")
+def vcf_header(spark, d):
+    listed = spark.read.parquet(f"{d}/supplier.parquet").select(F.format_string("s%09d", "s_suppkey"), 100 + F.col("s_suppkey")).collect()
+    lines = V.header(["s1", "s2"], "r.fa", [tuple(r) for r in listed], when=datetime(2020, 1, 2, 3, 4, 5))
+    contigs = sum(x.startswith("##contig") for x in lines)
+    numbered = [(k + 1 if k < 4 else 12 + k - 3, x) for k, x in enumerate(lines[: 4 + contigs])] + [(100000, lines[-1])]
+    return spark.createDataFrame(numbered, "n long, line string")
+
+
+@query("SELECT id, CASE WHEN insertion_point = 1 THEN 1 ELSE insertion_point - 1 END AS vcf_pos, substr(repeat('ACGTN', 20000), cast(insertion_point - 1 AS integer), 1) AS ref FROM event WHERE insertion_point <= 100000 AND insertion_point > 1"
+       " UNION ALL SELECT id, CASE WHEN insertion_point = 1 THEN 1 ELSE insertion_point - 1 END, 'N' FROM event WHERE insertion_point > 100001 OR insertion_point = 1")
+def reference_lookup(spark, d):
+    contigs = spark.createDataFrame([(c,) for c in CONTIGS], "contig string").withColumn("sequence", F.lit("acgtn" * 20000))
+    return V.reference_bases(_events(spark, d), contigs).select("id", "vcf_pos", "ref")
+
+
 def _described(spark: SparkSession, d: str) -> DataFrame:
     rows = _events(spark, d).withColumnsRenamed({"gene_name": "parental_gene_name"})
     level = F.when(F.col("id") % 4 == 0, 8).otherwise(1)
     rows = rows.withColumn("level", level).withColumn("insertion_point_type", (1 + F.col("id") % 2).cast("int")).withColumn("orientation_rho", (F.col("id") % 7 - 3) / 8.0).withColumn("orientation_p_value", (F.col("id") % 5) / 50.0)
-    return V.described(rows, X.exons(spark, d), _merging(spark, d), _strip(spark, d), X.alignments(spark, d), 5000)
+    return V.described(rows, X.exons(spark, d), _merging(spark, d), _strip(spark, d), _alignments(spark, d), 5000)
 
 
 DESCRIBED = f""", host AS ({HOSTS.format(near="r.insertion_point BETWEEN gene_end + 1 AND gene_end + 5000")}),
@@ -551,6 +739,7 @@ line AS (
 
 
 @query(DESCRIBED + "SELECT id, info FROM line")
+@_write_first
 def vcf_info_string(spark, d):
     return _described(spark, d).select("id", V.info().alias("info"))
 
@@ -573,6 +762,40 @@ def map_lookup(spark, d):
     return spark.read.parquet(f"{d}/nation.parquet").crossJoin(F.broadcast(regions)).select("n_nationkey", F.try_element_at("names", "n_regionkey").alias("r_name"))
 
 
+@query("""SELECT conv_id, turn, CASE WHEN list_position(a, 'e') > 0 THEN list_position(a, 'e') - 1 END AS first_e, CASE WHEN list_position(a, 'e') > 0 THEN list_concat(a[:list_position(a, 'e') - 1], a[list_position(a, 'e') + 1:]) ELSE a END AS without,
+  list_concat(a[:1], a[3:]) AS shorter, list_append(a, 'end') AS longer FROM (SELECT conv_id, turn, string_split(coalesce(role, ''), '') AS a FROM conversations)""")
+def array_functions(spark, d):
+    a = F.split(F.coalesce("role", F.lit("")), "")
+    rows = spark.read.parquet(f"{d}/conversations.parquet").select("conv_id", "turn", a.alias("a"))
+    e = F.lit("e")
+    return rows.select("conv_id", "turn", K.find(F.col("a"), e).alias("first_e"), K.remove(F.col("a"), e).alias("without"), K.remove_index(F.col("a"), F.lit(1)).alias("shorter"), K.append(F.col("a"), F.lit("end")).alias("longer"))
+
+
+@query("""SELECT r_regionkey, list_sort(list(n_name)) AS names, list(n_nationkey ORDER BY n_name) AS numbers, coalesce(bool_or(n_name = 'NATION_3'), false) AS has3,
+  list_sort(list(n_name) FILTER (WHERE n_name <> 'NATION_3')) AS removed, coalesce(list_sort(list(n_name) FILTER (WHERE n_nationkey > 10)), []) AS high
+FROM region JOIN nation ON n_regionkey = r_regionkey GROUP BY r_regionkey""")
+def map_functions(spark, d):
+    entries = F.map_from_entries(F.collect_list(F.struct("n_name", "n_nationkey")))
+    rows = spark.read.parquet(f"{d}/nation.parquet").groupBy(F.col("n_regionkey").alias("r_regionkey")).agg(entries.alias("m"))
+    m, third = F.col("m"), F.lit("NATION_3")
+    return rows.select(
+        "r_regionkey",
+        K.map_keys(m).alias("names"),
+        K.map_values(m).alias("numbers"),
+        K.map_contains(m, third).alias("has3"),
+        K.map_keys(K.map_remove(K.map_insert(m, third, F.lit(0).cast("long")), third)).alias("removed"),
+        K.map_keys(K.map_filter(m, lambda _, v: v > 10)).alias("high"),
+    )
+
+
+@query("""SELECT page_id, regexp_replace(regexp_extract(url, '([^/]*)$', 1), '(.)\\.[^.]*$', '\\1') AS name, CASE WHEN contains(url, '/') THEN regexp_extract(url, '^(.*)/[^/]*$', 1) ELSE '.' END AS folder,
+  trim(concat('""', url, '""'), '"') AS plain FROM pages""")
+def path_functions(spark, d):
+    rows = spark.read.parquet(f"{d}/pages.parquet")
+    quoted = F.concat(F.lit('""'), F.col("url"), F.lit('""\n'))
+    return rows.select("page_id", K.file_name(F.col("url")).alias("name"), K.folder_name(F.col("url")).alias("folder"), K.trim_character(K.chomp(quoted), '"').alias("plain"))
+
+
 # -- genotypes of every source and event --
 
 GRID = """, crossed AS (
@@ -595,12 +818,13 @@ GRID = """, crossed AS (
 
 def _grid(spark: SparkSession, d: str) -> DataFrame:
     """The genotype table of every source and event, from crossing and abnormal reads."""
-    reads, events = X.alignments(spark, d), _events(spark, d)
+    reads, events = _alignments(spark, d), _events(spark, d)
     sources = reads.select(F.col("source_id").alias("id")).distinct()
     return E.genotypes(sources, events, E.crossing_reads(reads, events), E.abnormal_scores(_merging(spark, d), _strip(spark, d), reads))
 
 
 @query(GRID + f"SELECT source_id, retrocopy_id, reference_depth::INTEGER AS reference_depth, alternate_depth::INTEGER AS alternate_depth, {CALL} AS genotype FROM grid")
+@_write_first
 def source_cross_retrocopy(spark, d):
     call = S.call(F.col("ho_ref_likelihood"), F.col("he_likelihood"), F.col("ho_alt_likelihood"))
     return _grid(spark, d).select("source_id", "retrocopy_id", "reference_depth", "alternate_depth", call.alias("genotype"))
@@ -611,6 +835,7 @@ def source_cross_retrocopy(spark, d):
   FROM grid GROUP BY retrocopy_id
 ) SELECT l.chr, l.insertion_point, concat_ws(chr(9), l.chr, CASE WHEN l.insertion_point = 1 THEN 1 ELSE l.insertion_point - 1 END, '.', 'N', '<INS:ME:RTC>', '.', 'PASS', l.info, 'GT:DP2:GL', s.cells) AS line
 FROM line l JOIN shown s ON l.id = s.id""")
+@_write_first
 def vcf_body_pivot(spark, d):
     return V.body(_described(spark, d), _grid(spark, d), [1, 2, 3]).select("chr", "insertion_point", "line")
 

@@ -19,8 +19,13 @@ class FormatError(ValueError):
 
 
 def lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """(path, value) of every line; gzip files are opened by their name."""
-    return spark.read.text(path).select(F.input_file_name().alias("path"), F.regexp_replace("value", "\r$", "").alias("value"))
+    """(path, value, line) of every line; gzip files are opened by their name.
+
+    ``line`` orders the lines of a file: the start of the split that holds it,
+    and a number that rises within a split.
+    """
+    place = F.struct(F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("number"))
+    return spark.read.text(path).select(F.input_file_name().alias("path"), F.regexp_replace("value", "\r$", "").alias("value"), place.alias("line"))
 
 
 def file_list(spark: SparkSession, path: str) -> list[str]:
@@ -41,25 +46,29 @@ def _checked(frame: DataFrame, ok: Column, what: str) -> DataFrame:
 # -- GTF and GFF3 --
 
 
-def parse_gff(text: DataFrame) -> DataFrame:
+def parse_gff(text: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """seqname, source, feature, start, end, score, strand, frame, attributes (an ordered array of key and value).
 
     Keys and values part at the first blank or ``=``; values lose blanks, then
-    quotes. Repeated keys stay. Eight fields and attributes are required.
+    quotes. Repeated keys stay. Eight fields are required, attributes are not;
+    an attribute without a value is an error.
     """
     body = text.filter(~F.col("value").startswith("#") & (F.trim("value") != ""))
     cut = F.split("value", "\t")
     fields = [F.try_element_at(cut, F.lit(k)) for k in range(1, 10)]
     complete = fields[0].isNotNull()
-    for f in fields:
+    for f in fields[:8]:
         complete = complete & f.isNotNull() & (f != "")
     body = _checked(body, F.coalesce(complete, F.lit(False)), "missing field")
+    pieces = F.filter(F.transform(F.split(F.coalesce(fields[8], F.lit("")), ";"), lambda x: F.trim(x)), lambda x: x != "")
+    body = _checked(body, F.forall(pieces, lambda x: x.rlike(r"^[^ =]+[ =]+[^ =]")), "attribute without a value")
     number = lambda c: F.when(c == ".", -1).otherwise(c.try_cast("int"))
     pair = lambda x: F.struct(
         F.regexp_extract(x, r"^([^ =]+)", 1).alias("key"), F.btrim(F.btrim(F.regexp_extract(x, r"^[^ =]+[ =](.*)$", 1)), F.lit('"')).alias("value")
     )
-    attributes = F.transform(F.filter(F.transform(F.split(fields[8], ";"), lambda x: F.trim(x)), lambda x: x != ""), pair)
+    attributes = F.transform(pieces, pair)
     return body.select(
+        *keep,
         fields[0].alias("seqname"),
         fields[1].alias("source"),
         fields[2].alias("feature"),
@@ -73,7 +82,8 @@ def parse_gff(text: DataFrame) -> DataFrame:
 
 
 def read_gff(spark: SparkSession, path: str) -> DataFrame:
-    return parse_gff(lines(spark, path))
+    """The rows of ``parse_gff`` with ``line``, their order in the file."""
+    return parse_gff(lines(spark, path), ("line",))
 
 
 def attribute(key: str) -> Column:
@@ -96,10 +106,15 @@ def gff_filter(feature: str | None = None, hard: dict[str, str] | None = None, s
 
 
 def exons_of(gff: DataFrame) -> DataFrame:
-    """The exon table, without ids: exons of protein-coding transcripts, each identifier once."""
+    """The exon table, without ids: exons of protein-coding transcripts, each identifier once.
+
+    Of several rows with one identifier the first of the file holds; where
+    rows have no ``line``, the first in order of their place.
+    """
     kept = gff.filter(gff_filter("exon", {"transcript_type": "protein_coding"}))
-    rows = kept.select(attribute("gene_name").alias("gene_name"), R.standard_chromosome("seqname").alias("chr"), "start", "end", "strand", attribute("gene_id").alias("ensg"), attribute("exon_id").alias("ense"))
-    first = F.struct("chr", "start", "end", "gene_name")
+    ordered = [c for c in ("line",) if c in gff.columns]
+    rows = kept.select(*ordered, attribute("gene_name").alias("gene_name"), R.standard_chromosome("seqname").alias("chr"), "start", "end", "strand", attribute("gene_id").alias("ensg"), attribute("exon_id").alias("ense"))
+    first = F.struct(*ordered, "chr", "start", "end", "gene_name")
     columns = ("gene_name", "chr", "start", "end", "strand", "ensg")
     return rows.filter("ense IS NOT NULL AND gene_name IS NOT NULL").groupBy("ense").agg(*(F.min_by(c, first).alias(c) for c in columns))
 
@@ -185,13 +200,16 @@ def read_sam(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
 
 def parse_fasta(records: DataFrame) -> DataFrame:
-    """(contig, sequence, length) from rows that hold one record each, as split at ``>``."""
+    """(contig, sequence, length) from rows that hold one record each, as split at lines that start with ``>``.
+
+    A contig is one value, so one of over 2 GB is out of reach.
+    """
     plain = F.regexp_replace(F.regexp_replace("value", "\r", ""), r"(?m)^;.*$\n?", "")
-    rows = records.select(plain.alias("value")).filter(F.trim(F.regexp_replace("value", "\n", "")) != "")
+    rows = records.select(F.regexp_replace(plain, "^>", "").alias("value")).filter(F.trim(F.regexp_replace("value", "\n", "")) != "")
     rows = rows.select("value", F.regexp_extract("value", r"^([^ |\n\t]+)", 1).alias("contig"), F.regexp_replace(F.regexp_replace("value", r"^[^\n]*\n?", ""), r"\s", "").alias("sequence"))
     rows = _checked(rows, (F.col("contig") != "") & (F.col("sequence") != ""), "contig without name or sequence")
     return rows.select("contig", "sequence", F.length("sequence").cast("long").alias("length"))
 
 
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
-    return parse_fasta(spark.read.option("lineSep", ">").text(path))
+    return parse_fasta(spark.read.option("lineSep", "\n>").text(path))

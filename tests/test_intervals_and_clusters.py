@@ -77,6 +77,13 @@ def test_dbscan_in_groups_and_core_points_agree(spark):
     local = C.cluster_points(points, ["chr", "gene_name"], 60, 5)
     cores = {r["alignment_id"]: r["neighbors"] for r in local.filter("label = 3").collect()}
     assert cores and cores == {r["id"]: r["neighbors"] for r in C.core_points(points, ["chr", "gene_name"], 60, 5).collect()}
+    # Pieces cut at gaps give the clusters of the whole group.
+    want = set()
+    for chrom in "xy":
+        own = sorted((r[3], r[4], r[0]) for r in rows if r[1] == chrom)
+        low, high, ids = (np.array(x) for x in zip(*own, strict=True))
+        want |= {(chrom, c, int(ids[p]), label, n) for c, p, label, n in C.dbscan(low, high, 60, 5)}
+    assert {(r["chr"], r["local"], r["alignment_id"], r["label"], r["neighbors"]) for r in local.collect()} == want
     ids = C.number_clusters(local, ["chr", "gene_name"]).select("cluster_id").distinct().collect()
     assert sorted(r[0] for r in ids) == list(range(1, len(ids) + 1))
 
@@ -143,7 +150,7 @@ def test_spearman_against_ranks(spark):
     x, y = [draw.randint(0, 8) for _ in range(40)], [draw.randint(0, 8) for _ in range(40)]
     rows = [("g", a, b) for a, b in zip(x, y, strict=True)] + [("flat", 1, k) for k in range(5)] + [("one", 1, 1)]
     got = {r["g"]: r["rho"] for r in S.spearman(spark.createDataFrame(rows, "g string, x long, y long"), ["g"]).collect()}
-    assert got["g"] == pytest.approx(S._rho(np.array(x, float), np.array(y, float))) and got["flat"] is None and got["one"] is None
+    assert got["g"] == pytest.approx(S.rho_and_p(np.array(x, float), np.array(y, float), 1)[0]) and got["flat"] is None and got["one"] is None
 
 
 def test_permutation_test_tells_order_from_noise(spark):

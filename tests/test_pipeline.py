@@ -1,14 +1,17 @@
 """The three stages end to end on made-up samples, their options, the store, the stream and the command line."""
 
+import gzip
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from spanloom.__main__ import stage_of
 from spanloom.operators import fragments as P
 from spanloom.operators import vcf as V
-from spanloom.plans.pipeline import MakeVcf, MergeCall, ProcessSample
+from spanloom.plans.pipeline import MakeVcf, MergeCall, ProcessSample, read_sources
 from spanloom.schema import TABLES, VERSION
+from spanloom.sources import bam
 from spanloom.sources.workspace import Workspace
 from spanloom.streaming.ingest import stream_fragments
 
@@ -75,8 +78,8 @@ def test_event_is_called_and_written(spark, stores):
     depths = {r["source_id"]: (r["reference_depth"], r["alternate_depth"]) for r in store.read("genotype").collect()}
     assert depths[1][0] == 3 and depths[2][0] == 4 and depths[1][1] > 14
     (top / "ref.fa").write_text(">chr1\n" + "A" * 100 + "\n>chr2\n" + "acgt" * 20000 + "\n")
-    MakeVcf(store.path, str(top / "out.vcf"), reference_file=str(top / "ref.fa")).run(spark)
-    lines = [r["value"] for r in spark.read.text(str(top / "out.vcf")).collect()]
+    MakeVcf(store.path, output=str(top / "out.vcf"), reference_file=str(top / "ref.fa")).run(spark)
+    lines = (top / "out.vcf").read_text().splitlines()
     body = [x.split("\t") for x in lines if not x.startswith("#")]
     assert lines[0] == "##fileformat=VCFv4.2" and len(body) == 1
     assert body[0][:5] == ["chr2", str(INSERTED_AT - 1), ".", "G", "<INS:ME:RTC>"] and ";PG=PARENT;PGTYPE=1;INTRONIC=HOST;" in body[0][7]
@@ -95,10 +98,52 @@ def test_support_blacklist_and_empty_calls(spark, stores, tmp_path):
     assert none.read("retrocopy").count() == 0
 
 
+def test_all_reads_of_a_large_sample_are_stored(spark, tmp_path):
+    """Wide rows in many partitions, under the session's own adaptive plans."""
+    (tmp_path / "genes.gtf").write_text(GTF)
+    seq, qual = "ACGT" * 25, "I" * 100
+    with open(tmp_path / "s.sam", "w") as out:
+        for k in range(60_000):
+            out.write(f"r{k}\t97\t1\t{1000 + k}\t40\t100M\t2\t{5000 + k}\t0\t{seq}\t{qual}\nr{k}\t145\t2\t{5000 + k}\t40\t100M\t1\t{1000 + k}\t0\t{seq}\t{qual}\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1m")
+    try:
+        store = ProcessSample(str(tmp_path / "genes.gtf"), [str(tmp_path / "s.sam")], output=str(tmp_path / "s.store"), quiet=True).run(spark)
+        ids = store.read("alignment").agg(F.count("*"), F.count_distinct("id"), F.min("id"), F.max("id")).first()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert tuple(ids) == (120_000, 120_000, 1, 120_000)
+
+
+def test_sources_keep_their_files_apart(spark, tmp_path):
+    rows = [("r1", 99, "chr1", 10, 20, "4M", "chr1", 60, "ACGT")]
+    (tmp_path / "a b+%41.bam").write_bytes(bam.encoded(rows, ["chr1"]))
+    (tmp_path / "plain.sam").write_text("r2\t99\tchr1\t5\t20\t4M\t=\t60\t0\tACGT\tIIII\n")
+    got = read_sources(spark, [(7, str(tmp_path / "plain.sam")), (9, str(tmp_path / "a b+%41.bam")), (11, str(tmp_path / "plain.sam"))]).collect()
+    assert sorted((r["source_id"], r["qname"]) for r in got) == [(7, "r2"), (9, "r1"), (11, "r2")]
+    with pytest.raises(ValueError, match="CRAM"):
+        read_sources(spark, [(1, "x.cram")])
+
+
+def test_files_of_the_stages(spark, stores, tmp_path):
+    """A compressed variant file, the log with the options' echo, lists of stores, and stages that stop early."""
+    _, paths = stores
+    (tmp_path / "stores.txt").write_text("\n".join(paths))
+    step = MergeCall(input_file=str(tmp_path / "stores.txt"), output_dir=str(tmp_path), prefix="both", min_pts=5, log_file=str(tmp_path / "log"), quiet=True)
+    store = step.run(spark)
+    assert store.path == f"{tmp_path}/both.store" and store.read("retrocopy").count() == 1
+    assert MakeVcf(store.path, output=f"{tmp_path}/x.vcf.gz", quiet=True).run(spark) == f"{tmp_path}/x.vcf.gz"
+    with gzip.open(tmp_path / "x.vcf.gz", "rt") as text:
+        assert sum(not x.startswith("#") for x in text) == 1
+    none = MergeCall(paths, output=str(tmp_path / "none"), min_pts=500, quiet=True, log_file=str(tmp_path / "log2")).run(spark)
+    assert none.read("genotype").count() == 0
+    assert "--min-pts=5 " in (tmp_path / "log").read_text() + " " and "no cluster is left" in (tmp_path / "log2").read_text()
+
+
 def test_union_keeps_exons_once_and_moves_ids(spark, stores):
     _, paths = stores
     names = ("batch", "source", "exon", "alignment", "overlapping")
-    both = P.union_stores([Workspace.open(spark, p).tables(*names) for p in paths])
+    opened = [Workspace.open(spark, p) for p in paths]
+    both = P.union_stores({n: Workspace.read_together(opened, n) for n in names})
     assert both["exon"].count() == 4 and both["source"].count() == 2 and both["alignment"].select("id").distinct().count() == both["alignment"].count()
     hits = both["overlapping"].join(both["exon"].withColumnRenamed("id", "exon_id").select("exon_id", "ense"), "exon_id")
     assert {r["ense"] for r in hits.collect()} == {"X1", "X2"}

@@ -1,12 +1,12 @@
 """Readers, read expressions and the fragment filter."""
 
 import gzip
-import struct
-import zlib
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
+from spanloom.functions import containers as K
 from spanloom.functions import reads as R
 from spanloom.operators import fragments as P
 from spanloom.sources import bam
@@ -83,12 +83,26 @@ def test_gff_attributes_and_filter(spark):
     assert rows.filter(T.gff_filter("gene", {"tag": "two"})).count() == 0 and rows.filter(T.gff_filter("exon")).count() == 0
 
 
-@pytest.mark.parametrize("line", ["c\ts\tgene\t1\t2\t.\t+\t.", "c\ts\tgene\t1", "c\t\tgene\t1\t2\t.\t+\t.\tk=v"])
+@pytest.mark.parametrize("line", ["c\ts\tgene\t1\t2\t.\t+", "c\ts\tgene\t1", "c\t\tgene\t1\t2\t.\t+\t.\tk=v"])
 def test_incomplete_gff_is_an_error(spark, line):
     with pytest.raises(Exception, match="missing field"):
         T.parse_gff(text(spark, line)).collect()
 
 
+def test_gff_attributes_may_be_absent_but_not_empty(spark):
+    assert T.parse_gff(text(spark, "c\ts\tgene\t1\t2\t.\t+\t.")).first()["attributes"] == []
+    for attributes in ("tag", "tag=x; k ", "k="):
+        with pytest.raises(Exception, match="without a value"):
+            T.parse_gff(text(spark, f"c\ts\tgene\t1\t2\t.\t+\t.\t{attributes}")).collect()
+
+
+def test_the_first_exon_of_the_file_holds(spark, tmp_path):
+    row = 'chr{c}\tx\texon\t{s}\t{e}\t.\t+\t.\tgene_name "G{c}"; gene_id "I"; transcript_type "protein_coding"; exon_id "X";\n'
+    (tmp_path / "g.gtf").write_text("".join(row.format(c=c, s=s, e=s + 9) for c, s in ((9, 500), (1, 100), (1, 50))))
+    got = T.exons_of(T.read_gff(spark, str(tmp_path / "g.gtf"))).collect()
+    assert [(r["chr"], r["start"], r["gene_name"]) for r in got] == [("chr9", 500, "G9")]
+
+
 @pytest.mark.parametrize(("name", "is_gff"), [("a.gff", True), ("a.gff3", True), ("a.gtf.gz", True), ("a.gtf.gz.gz", True), ("a.bed", False), ("gff", False), ("a.gtf.txt", False)])
 def test_annotation_file_names(name, is_gff):
     assert T.looks_like_gff(name) is is_gff
@@ -117,28 +131,48 @@ def test_gzip_lists_and_sort_order(spark, tmp_path):
     assert T.sorted_order("@HD\tVN:1.6\tSO:queryname", "queryname") and not T.sorted_order("@SQ\tSN:x", "queryname")
 
 
-def bgzf(data: bytes) -> bytes:
-    out = b""
-    for chunk in (data[:40], data[40:], b""):
-        packer = zlib.compressobj(6, zlib.DEFLATED, -15)
-        body = packer.compress(chunk) + packer.flush()
-        out += b"\x1f\x8b\x08\x04\0\0\0\0\0\xff\x06\0BC\x02\0" + struct.pack("<H", len(body) + 25) + body + struct.pack("<II", zlib.crc32(chunk), len(chunk))
-    return out
-
-
-def test_binary_alignments_equal_text(spark, tmp_path):
-    head = b"@HD\tVN:1.0\n"
-    data = b"BAM\x01" + struct.pack("<i", len(head)) + head + struct.pack("<i", 1) + struct.pack("<i", 5) + b"chr1\0" + struct.pack("<i", 1000)
-    for name, flag, pos in ((b"r1\0", 99, 9), (b"r1\0", 147, 99)):
-        body = struct.pack("<iiBBHHHiiii", 0, pos, len(name), 20, 0, 2, flag, 4, 0, 50, 0) + name + struct.pack("<II", 3 << 4 | 0, 1 << 4 | 4) + bytes([0x12, 0x48]) + b"\xff" * 4
-        data += struct.pack("<i", len(body)) + body
-    (tmp_path / "x.bam").write_bytes(bgzf(data))
-    rows = bam.read_bam(spark, str(tmp_path / "x.bam")).orderBy("pos").collect()
-    assert [(r["qname"], r["flag"], r["chr"], r["pos"], r["cigar"], r["rlen"], r["qlen"], r["pos_next"], r["seq"]) for r in rows] == [("r1", 99, "chr1", 10, "3M1S", 3, 4, 51, "ACGT"), ("r1", 147, "chr1", 100, "3M1S", 3, 4, 51, "ACGT")]
-    bam.write_columnar(bam.read_bam(spark, str(tmp_path / "x.bam")), str(tmp_path / "columns"))
-    assert bam.read_window(spark, str(tmp_path / "columns"), "chr1", 101, 200).count() == 1
+def some_reads(n):
+    draw, names = random.Random(n), ["chr1", "chr2", "contig3"]
+    return [(f"r{k}", 99, draw.choice([*names, "*"]), k + 1, 30, "100M5S", draw.choice(names), k + 200, "".join(draw.choice("ACGTN") for _ in range(105))) for k in range(n)], names
+
+
+BAM_FIELDS = ("qname", "flag", "chr", "pos", "mapq", "cigar", "chr_next", "pos_next", "seq")
+
+
+@pytest.mark.parametrize("split", ["128m", "20000", "1500"])
+def test_binary_alignments_do_not_depend_on_splits(spark, tmp_path, split):
+    rows, names = some_reads(3000)
+    (tmp_path / "x.bam").write_bytes(bam.encoded(rows, names, block=2000))
+    (tmp_path / "none.bam").write_bytes(bam.encoded([], names))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        got = bam.read_bam(spark, [str(tmp_path / "x.bam"), str(tmp_path / "none.bam")]).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert sorted(tuple(r[c] for c in BAM_FIELDS) for r in got) == sorted(rows)
+    assert {(r["rlen"], r["qlen"]) for r in got} == {(100, 105)}
+
+
+def test_damaged_binary_alignments_are_an_error(spark, tmp_path):
+    rows, names = some_reads(50)
+    whole = bam.encoded(rows, names)
+    (tmp_path / "cut.bam").write_bytes(whole[:-40])
+    with pytest.raises(Exception, match=r"cut short|within"):
+        bam.read_bam(spark, str(tmp_path / "cut.bam")).collect()
     with pytest.raises(ValueError, match="block"):
-        list(bam.inflate(bgzf(data)[:-30]))
+        list(bam.inflate(whole[:-30]))
+    with pytest.raises(ValueError, match="not a binary"):
+        bam.header(b"SAM text")
+
+
+def test_windows_find_long_reads(spark, tmp_path):
+    rows = [("r1", 99, "chr1", 10, 20, "3M1S", "chr1", 51, "ACGT"), ("r1", 147, "chr1", 100, 20, "3M1S", "chr1", 10, "ACGT"), ("long", 99, "chr1", 5, 20, "2M900000N2M", "chr1", 51, "ACGT"), ("other", 99, "chr2", 100, 20, "4M", "chr1", 51, "ACGT")]
+    (tmp_path / "x.bam").write_bytes(bam.encoded(rows, ["chr1", "chr2"]))
+    bam.write_columnar(bam.read_bam(spark, str(tmp_path / "x.bam")), str(tmp_path / "columns"))
+    got = bam.read_window(spark, str(tmp_path / "columns"), "chr1", 101, 200)
+    assert sorted(r["qname"] for r in got.collect()) == ["long", "r1"] and "end_pos" not in got.columns
 
 
 def test_duplicates_keep_the_first_name(spark):
@@ -154,3 +188,28 @@ def test_strided_ids_are_gapless_in_order(spark):
     rows = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("v"))
     got = P.strided_ids(rows, 3, 5, ["v"]).orderBy("v").collect()
     assert [r["id"] for r in got] == [3 + 5 * k for k in range(1000)]
+
+
+def test_strided_ids_of_wide_rows_lose_none(spark):
+    """The counts' branch is narrower than the rows', so an adaptive plan may cut the two differently."""
+    wide = [F.repeat(F.sha2(F.col("id").cast("string"), 512), 3).alias(c) for c in ("a", "b")]
+    rows = spark.range(0, 60_000, 1, 16).select(F.col("id").alias("key"), *wide)
+    for settings in ({}, {"spark.sql.adaptive.advisoryPartitionSizeInBytes": "1m", "spark.sql.shuffle.partitions": "64"}):
+        before = {k: spark.conf.get(k) for k in settings}
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        try:
+            got = P.strided_ids(rows, 1, 1, ["a", "key"]).agg(F.count("*"), F.count_distinct("id"), F.min("id"), F.max("id"), F.count_distinct("key")).first()
+        finally:
+            for k, v in before.items():
+                spark.conf.set(k, v)
+        assert tuple(got) == (60_000, 60_000, 1, 60_000, 60_000)
+
+
+def test_array_and_map_functions(spark):
+    row = spark.range(1).select(F.array(F.lit("a"), F.lit("b"), F.lit("a")).alias("x"), F.create_map(F.lit("k"), F.lit(1), F.lit("j"), F.lit(2)).alias("m"))
+    got = row.select(
+        K.find(F.col("x"), F.lit("b")), K.find(F.col("x"), F.lit("z")), K.remove(F.col("x"), F.lit("a")), K.remove(F.col("x"), F.lit("z")), K.remove_index(F.col("x"), F.lit(9)),
+        K.append(F.col("x"), F.lit("c")), K.map_keys(F.col("m")), K.map_values(F.col("m")), K.map_keys(K.map_remove(F.col("m"), F.lit("k"))), K.map_values(K.map_insert(F.col("m"), F.lit("k"), F.lit(7))),
+    ).first()
+    assert list(got) == [1, None, ["b", "a"], ["a", "b", "a"], ["a", "b", "a"], ["a", "b", "a", "c"], ["j", "k"], [2, 1], ["j"], [2, 7]]

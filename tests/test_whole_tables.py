@@ -1,4 +1,4 @@
-"""Queries over all reads and whole texts, where the SQL of others takes a part."""
+"""Queries take all reads and whole texts."""
 
 import duckdb
 import numpy as np
@@ -32,7 +32,7 @@ def test_permutation_test_takes_all_reads(spark, reads):
     assert {r["g"]: r["p_value"] for r in proxy_queries.queries()["spearman_permutation_p"](spark, reads).collect()} == want
 
 
-@pytest.mark.parametrize("name", ["window_islands_whole", "sam_parse_whole"])
+@pytest.mark.parametrize("name", ["window_islands", "sam_parse"])
 def test_no_read_is_left_out(spark, reads, name):
     db = duckdb.connect()
     db.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{reads}/lineitem.parquet/*.parquet'")
@@ -48,9 +48,9 @@ def test_crossing_reads_are_the_reference_side(spark, tmp_path):
     spark.createDataFrame(rows, LINEITEM).write.parquet(f"{tmp_path}/lineitem.parquet")
     spark.createDataFrame([(0, 1)], "p_partkey long, p_size long").write.parquet(f"{tmp_path}/part.parquet")
     # The insertion point is 501; two reads of the second source, at 471 and 478, cross it.
-    got = proxy_queries.queries()["source_cross_retrocopy_whole"](spark, str(tmp_path)).collect()
+    got = proxy_queries.queries()["source_cross_retrocopy"](spark, str(tmp_path)).collect()
     assert sorted((r["source_id"], r["reference_depth"], r["alternate_depth"]) for r in got) == [(1, 0, 1), (2, 2, 2), (3, 0, 1)]
-    line = proxy_queries.queries()["vcf_body_pivot_whole"](spark, str(tmp_path)).first()["line"]
+    line = proxy_queries.queries()["vcf_body_pivot"](spark, str(tmp_path)).first()["line"]
     assert [x.split(":")[1] for x in line.split("\t")[9:]] == ["0,1", "2,2", "0,1"]
     assert all(len(x.split(":")[2].split(",")) == 3 for x in line.split("\t")[9:])
 
@@ -58,7 +58,7 @@ def test_crossing_reads_are_the_reference_side(spark, tmp_path):
 def test_sets_are_of_whole_texts_and_null_rows_stay(spark, tmp_path):
     rows = [(1, 0, "user", "x" * 60 + "S" + "y" * 60 + "suser"), (2, 0, "user", None), (3, 0, None, "asb"), (4, 0, None, None)]
     spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
-    got = {r["conv_id"]: (r["u"], r["i"], r["m"], r["subset"]) for r in proxy_queries.queries()["set_algebra_whole"](spark, str(tmp_path)).collect()}
+    got = {r["conv_id"]: (r["u"], r["i"], r["m"], r["subset"]) for r in proxy_queries.queries()["set_algebra"](spark, str(tmp_path)).collect()}
     assert {k: got[k] for k in (2, 3, 4)} == {
         2: (["er", "u"], [], ["er", "u"], False),
         3: (["a", "b"], [], [], True),
