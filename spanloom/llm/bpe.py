@@ -11,7 +11,8 @@ Text is split by the vocabulary's pattern and each pre-token encoded by
 itself; decoding looks the bytes of each id up and joins them.
 
 Defined results: null and empty texts give no ids and no bytes; equal rows
-give equal ids; an empty table gives an empty table; other columns are kept
+give equal ids; doc_id and other columns are not read, so a null there is
+kept; an empty table gives an empty table; other columns are kept
 unless their name is one of the added ones, which then holds the result. A
 text of any length is encoded whole.
 """
@@ -19,6 +20,7 @@ text of any length is encoded whole.
 from __future__ import annotations
 
 import base64
+import hashlib
 import re
 import struct
 from collections.abc import Iterable, Iterator
@@ -166,12 +168,12 @@ ROWS = 250
 _MARKS = tuple(".,;:!?")
 _ODD_SPACE = re.compile(r" (?:\s|\Z)")
 _BEFORE_WORD = re.compile(r"(?= \S)")
-_codecs: dict[int, Codec] = {}
+_codecs: dict[bytes, Codec] = {}
 
 
 def _codec(shared) -> Codec:
     ranks, pattern = shared.value
-    key = hash((len(ranks), pattern, ranks[:64]))
+    key = hashlib.sha256(ranks + pattern.encode()).digest()
     if key not in _codecs:
         table = {bytes(t): int(r) for r, t in enumerate(_unpacked(ranks))}
         _codecs[key] = Codec(table, serialise_model(table), pattern)

@@ -7,6 +7,12 @@ row per key, merge-anti-joins every run, and writes the rest as a run of level
 0; ``fanout`` runs of a level are compacted into one of the next. As batches
 rise by doc_id, a key's row names the smallest doc_id that holds it.
 
+Runs stay in their folder after a call. ``LineRuns.open`` finds them again, and
+a later call with these runs drops the lines that they hold from all its
+documents, whatever their doc_ids, and adds its own. Only while batches are
+added are the runs tables of the session's catalog; folders of compacted runs
+are deleted.
+
 A key is the line without white space at its ends, A-Z in lower case; keys
 under ``LEAST`` code points are never dropped. 128-bit hashes stand for keys.
 
@@ -19,6 +25,7 @@ columns of the input are ignored. Texts are processed whole.
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Iterator, Sequence
 
@@ -28,11 +35,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from spanloom.llm.common import SPACES, shared_dir, shuffle_width
+from spanloom.llm.common import SPACES, checkpointed, shared_dir, shuffle_width
 
 LEAST = 10
 BATCHES = 4
 FANOUT = 2
+RUN = "key binary, owner long"
 _STRIP = SPACES.encode()
 
 
@@ -74,32 +82,59 @@ def _filter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class LineRuns:
-    """The levels of sorted runs (key, owner)."""
+    """The levels of sorted runs (key, owner), each a folder ``level=L/run=N`` under one folder of the shared one."""
 
-    def __init__(self, spark, fanout: int = FANOUT):
+    def __init__(self, spark, fanout: int = FANOUT, folder: str | None = None):
         self.spark, self.fanout, self.buckets = spark, fanout, shuffle_width(spark)
-        self.folder = f"{shared_dir(spark)}/line_runs_{uuid.uuid4().hex}"
+        self.folder = folder or f"{shared_dir(spark)}/line_runs_{uuid.uuid4().hex}"
         self.levels: list[list[str]] = []
         self.paths: dict[str, str] = {}
+        self.known: set[str] = set()
         self.made = 0
 
+    @classmethod
+    def open(cls, spark, folder: str, fanout: int = FANOUT) -> LineRuns:
+        """The runs that an earlier call left in its folder."""
+        found = cls(spark, fanout, folder)
+        for level, path in sorted((int(re.search(r"/level=(\d+)/", p)[1]), p) for p in found._folders()):
+            name = f"line_run_{uuid.uuid4().hex}"
+            while len(found.levels) <= level:
+                found.levels.append([])
+            found.levels[level].append(name)
+            found.paths[name] = path
+            found.made = max(found.made, int(path.rsplit("=", 1)[1]))
+        return found
+
+    def _files(self, path: str):
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return at.getFileSystem(self.spark._jsc.hadoopConfiguration()), at
+
+    def _folders(self) -> list[str]:
+        files, at = self._files(f"{self.folder}/level=*/run=*")
+        return [x.getPath().toString() for x in files.globStatus(at) or []]
+
     def _write(self, frame: DataFrame, level: int) -> None:
         while len(self.levels) <= level:
             self.levels.append([])
         self.made += 1
-        name = f"line_run_{uuid.uuid4().hex}"
-        (frame.repartition(self.buckets, "key").write.format("parquet").bucketBy(self.buckets, "key").sortBy("key").option("path", f"{self.folder}/{self.made}").saveAsTable(name))
+        name, path = f"line_run_{uuid.uuid4().hex}", f"{self.folder}/level={level}/run={self.made}"
+        frame.repartition(self.buckets, "key").write.format("parquet").bucketBy(self.buckets, "key").sortBy("key").option("path", path).saveAsTable(name)
         self.levels[level].append(name)
-        self.paths[name] = f"{self.folder}/{self.made}"
+        self.paths[name] = path
+        self.known.add(name)
 
     def runs(self) -> list[str]:
         return [name for level in self.levels for name in level]
 
+    def _rows(self, name: str) -> DataFrame:
+        """A run of this call by its bucketed table, so that a join need not sort it again; an older one by its files."""
+        return self.spark.table(name) if name in self.known else self.spark.read.schema(RUN).parquet(self.paths[name])
+
     def add(self, pairs: DataFrame) -> None:
         """Adds the keys that no run holds, each with the smallest doc_id of the batch."""
         fresh = pairs.groupBy("key").agg(F.min("doc_id").alias("owner"))
         for name in self.runs():
-            fresh = fresh.join(self.spark.table(name).select("key").hint("merge"), "key", "left_anti")
+            fresh = fresh.join(self._rows(name).select("key").hint("merge"), "key", "left_anti")
         self._write(fresh, 0)
         level = 0
         while len(self.levels[level]) >= self.fanout:
@@ -107,29 +142,40 @@ class LineRuns:
             level += 1
 
     def compact(self, level: int) -> None:
-        """Makes the runs of one level one run of the next."""
-        self._write(self._union(self.levels[level]), level + 1)
-        for name in self.levels[level]:
-            self.spark.sql(f"DROP TABLE {name}")
+        """Makes the runs of one level one run of the next; their folders go."""
+        gone = self.levels[level]
+        rows = self._rows(gone[0])
+        for name in gone[1:]:
+            rows = rows.unionByName(self._rows(name))
+        self._write(rows, level + 1)
         self.levels[level] = []
+        for name in gone:
+            self._forget(name)
+            files, at = self._files(self.paths.pop(name))
+            files.delete(at, True)
 
-    def _union(self, names: list[str]) -> DataFrame:
-        out = self.spark.table(names[0])
-        for name in names[1:]:
-            out = out.unionByName(self.spark.table(name))
-        return out
+    def _forget(self, name: str) -> None:
+        if name in self.known:
+            self.spark.sql(f"DROP TABLE {name}")
+            self.known.remove(name)
+
+    def close(self) -> None:
+        """Takes the runs out of the catalog; their files stay."""
+        for name in self.runs():
+            self._forget(name)
 
     def owners(self) -> DataFrame:
         """All runs as plain files, so that a join with them is free to shuffle and to split hot keys."""
-        return self.spark.read.schema("key binary, owner long").parquet(*(self.paths[name] for name in self.runs()))
+        return self.spark.read.schema(RUN).parquet(*(self.paths[name] for name in self.runs()))
 
 
-def dedup_lines(documents: DataFrame, batches: int = BATCHES, fanout: int = FANOUT, keep: Sequence[str] = ()) -> DataFrame:
-    """(doc_id, text, the columns of ``keep``, n_lines, n_dropped, kept): each text without the lines that a smaller doc_id holds."""
+def dedup_lines(documents: DataFrame, batches: int = BATCHES, fanout: int = FANOUT, keep: Sequence[str] = (), runs: LineRuns | None = None) -> DataFrame:
+    """(doc_id, text, the columns of ``keep``, n_lines, n_dropped, kept): each text without the lines that a smaller doc_id, or a run given, holds."""
     spark = documents.sparkSession
     documents = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *keep)
-    runs = LineRuns(spark, fanout)
-    pairs_at = f"{runs.folder}/pairs"
+    earlier = None if runs is None or not runs.runs() else checkpointed(runs.owners().select("key"))
+    runs = LineRuns(spark, fanout) if runs is None else runs
+    pairs_at = f"{runs.folder}/pairs_{uuid.uuid4().hex}"
     documents.filter("doc_id IS NOT NULL").select("doc_id", "text").mapInArrow(_keys, "doc_id long, key binary").write.parquet(pairs_at)
     pairs = spark.read.schema("doc_id long, key binary").parquet(pairs_at)
     cuts = pairs.agg(F.percentile_approx("doc_id", [k / batches for k in range(1, batches)], 1000)).first()[0] or []
@@ -137,7 +183,11 @@ def dedup_lines(documents: DataFrame, batches: int = BATCHES, fanout: int = FANO
     for low, high in zip(edges, edges[1:], strict=False):
         part = pairs if low is None else pairs.filter(F.col("doc_id") > low)
         runs.add(part if high is None else part.filter(F.col("doc_id") <= high))
-    drops = pairs.join(runs.owners(), "key").filter(F.col("doc_id") != F.col("owner")).groupBy("doc_id").agg(F.collect_set("key").alias("drops"))
+    runs.close()
+    owned = runs.owners()
+    if earlier is not None:
+        owned = owned.join(earlier, "key", "left_anti").unionByName(earlier.select("key", F.lit(None).cast("long").alias("owner")))
+    drops = pairs.join(owned, "key").filter(~F.col("doc_id").eqNullSafe(F.col("owner"))).groupBy("doc_id").agg(F.collect_set("key").alias("drops"))
     joined = documents.join(drops.withColumnRenamed("doc_id", "_id"), F.col("doc_id") == F.col("_id"), "left").select("doc_id", "text", "drops", *keep)
     schema = T.StructType([*documents.schema.fields, *(T.StructField(n, T.LongType()) for n in ("n_lines", "n_dropped")), T.StructField("kept", T.StringType())])
     return joined.mapInArrow(_filter, schema)

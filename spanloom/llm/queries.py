@@ -16,7 +16,7 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.fit(documents, table(spark, sf_dir, "labels").filter(crc32_mod(F.col("doc_id"), 5) != 0))
     scored = toxicity.score(documents, model)
-    return scored.select("doc_id", (crc32_mod(F.col("doc_id"), 5) == 0).alias("held_out"), "score", "predicted")
+    return scored.select("doc_id", F.coalesce(crc32_mod(F.col("doc_id"), 5) == 0, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
 def op2_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,7 +78,7 @@ def op6_lang_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = lang_id.fit(documents.filter(crc32_mod(F.col("doc_id"), 3) != 1))
     scored = lang_id.predict(documents.select("doc_id", "text"), model)
-    return scored.select("doc_id", (crc32_mod(F.col("doc_id"), 3) == 1).alias("held_out"), "lang_pred", "score")
+    return scored.select("doc_id", F.coalesce(crc32_mod(F.col("doc_id"), 3) == 1, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,21 +2,24 @@
 
 Features are presences of hashed words, their beginnings of 3 to 6 characters
 and their last 4 and 5. Training takes at most ``PER_CLASS`` labelled rows of
-each class, those with the smallest hash of doc_id; among them the ``KEPT``
+each class, those with the smallest hash of doc_id, and one text of each (that
+with the smallest hash, if rows repeat a doc_id); among them the ``KEPT``
 features whose document frequencies differ most between the classes are kept,
 with all identity terms. A logistic model is fitted to them whose loss also
 holds ``penalty`` times the squared change of the score when the identity
-terms of a labelled text are swapped for others, so that it is what is said of
+terms of a labelled text are swapped for others of their row, by as many places
+as a hash of the text tells, so that it is what is said of
 a group and not the group's name that counts. The intercept is then shifted
 from the balanced sample to the class shares of all labelled rows.
 
 Scoring looks each distinct word of a whole text up and applies the sigmoid to
 the sum of the weights of the features present.
 
-Defined results: null and empty texts get the score of the intercept alone; a
-table without labels of both classes scores 0 everywhere; conflicting labels
-of one doc_id count as toxic, null labels not at all; repeated rows are scored
-alike; other columns are kept unless named like an added one.
+Defined results: null and empty texts get the score of the intercept alone;
+labels of one class only score that class, 0 or 1, everywhere, and no labels
+score 0; conflicting labels of one doc_id count as toxic, null labels and null
+doc_ids not at all; among features with equal evidence those with smaller
+hashes are kept; repeated rows are scored alike; other columns are kept unless named like an added one.
 """
 
 from __future__ import annotations
@@ -39,9 +42,10 @@ KEPT = 4096
 LEAST_TEXTS = 4
 LEAST_Z = 3.5
 CACHE_ENTRIES = 400_000
+BATCH_BYTES = 64 << 20
 _WORD = re.compile(r"\w+")
 
-# Names of groups; a term is swapped for the next one of its row.
+# Names of groups; a term is swapped for another one of its row.
 IDENTITY_TERMS = (
     ("women", "men", "girls", "boys"),
     ("woman", "man", "girl", "boy"),
@@ -58,7 +62,15 @@ IDENTITY_TERMS = (
     ("musulmans", "chrétiens", "juifs"),
     ("musulmanes", "cristianos", "judíos"),
 )
-SWAP = {word: row[(k + 1) % len(row)] for row in IDENTITY_TERMS for k, word in enumerate(row)}
+PLACE = {word: (row, k) for row in IDENTITY_TERMS for k, word in enumerate(row)}
+
+
+def swapped(word: str, turn: int) -> str:
+    """Another term of the word's row, each of them for some turn; other words stay."""
+    if word not in PLACE:
+        return word
+    row, k = PLACE[word]
+    return row[(k + 1 + turn % (len(row) - 1)) % len(row)]
 
 
 def _hash(kind: str, part: str) -> int:
@@ -68,7 +80,7 @@ def _hash(kind: str, part: str) -> int:
 def word_features(word: str) -> list[int]:
     """The word, its beginnings and its endings; a name of a group is only itself."""
     out = [_hash("w", word)]
-    if word not in SWAP:
+    if word not in PLACE:
         out += [_hash("b", word[:n]) for n in range(3, 7) if len(word) > n]
         out += [_hash("e", word[-n:]) for n in (4, 5) if len(word) > n]
     return out
@@ -101,12 +113,22 @@ class Model:
 
 def _featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        plain, swapped = [], []
-        for text in batch.column(0).to_pylist():
+        plain, other, toxic, size = [], [], [], 0
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(plain, pa.binary()), pa.array(other, pa.binary()), pa.array(toxic, pa.int32())], names=["plain", "swapped", "toxic"])
+
+        for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             words = words_of(text)
+            turn = xxhash.xxh3_64_intdigest(text or "") >> 8
             plain.append(features_of(words).tobytes())
-            swapped.append(features_of({SWAP.get(w, w) for w in words}).tobytes() if not words.isdisjoint(SWAP) else None)
-        yield pa.RecordBatch.from_arrays([pa.array(plain, pa.binary()), pa.array(swapped, pa.binary()), batch.column(1)], names=["plain", "swapped", "toxic"])
+            other.append(None if words.isdisjoint(PLACE) else features_of({swapped(w, turn) for w in words}).tobytes())
+            toxic.append(label)
+            size += len(plain[-1]) + len(other[-1] or b"")
+            if size > BATCH_BYTES:
+                yield out()
+                plain, other, toxic, size = [], [], [], 0
+        yield out()
 
 
 def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,21 +180,21 @@ def fit(documents: DataFrame, labels: DataFrame, penalty: float = 1.0, per_class
     known = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     share = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
     if not share.get(0) or not share.get(1):
-        return Model({}, -500.0)
+        return Model({}, 500.0 if share.get(1) else -500.0)
     # At most 2 * per_class rows, so the broadcast is bounded.
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     sample = known.filter("toxic = 1").orderBy(*order).limit(per_class).unionByName(known.filter("toxic = 0").orderBy(*order).limit(per_class))
-    rows = documents.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("text", "toxic")
+    rows = documents.select("doc_id", "text").join(F.broadcast(sample), "doc_id").groupBy("doc_id", "toxic").agg(F.min_by("text", F.struct(F.xxhash64("text"), F.length("text"))).alias("text")).select("text", "toxic")
     rows = checkpointed(rows.mapInArrow(_featurise, "plain binary, swapped binary, toxic int"))
     size = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
     if not size.get(0) or not size.get(1):
-        return Model({}, -500.0)
+        return Model({}, 500.0 if size.get(1) else -500.0)
     sums = rows.select("plain", "toxic").mapInArrow(_frequencies, "feature long, neither long, toxic long").groupBy("feature").agg(F.sum("neither").alias("a"), F.sum("toxic").alias("b"))
     pooled = (F.col("a") + F.col("b") + 1) / (size[0] + size[1] + 2)
     z = F.abs(F.col("b") / size[1] - F.col("a") / size[0]) / F.sqrt(pooled * (1 - pooled) * (1 / size[0] + 1 / size[1]))
     best = sums.filter(F.col("a") + F.col("b") >= LEAST_TEXTS).select("feature", z.alias("z")).filter(F.col("z") >= LEAST_Z).orderBy(F.desc("z"), "feature").limit(KEPT)
     chosen = np.array([r["feature"] for r in best.collect()], np.int64).view(np.uint64)
-    features = np.unique(np.concatenate([chosen, np.array([_hash("w", x) for x in SWAP], np.uint64)]))
+    features = np.unique(np.concatenate([chosen, np.array([_hash("w", x) for x in PLACE], np.uint64)]))
 
     def narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def few(x):

@@ -43,6 +43,18 @@ def test_model_needs_every_byte_and_gapless_ranks():
         bpe.serialise_model({bytes([b]): 2 * b for b in range(256)})
 
 
+def test_two_vocabularies_in_one_worker(spark, tmp_path):
+    """Both begin with the same 256 bytes and differ in their merges alone."""
+    import base64
+
+    frame = spark.createDataFrame([(1, "abcabc")], "doc_id long, text string").coalesce(1)
+    for k, merges in enumerate([[b"ab"], [b"bc"]]):
+        table = [bytes([b]) for b in range(256)] + merges
+        (tmp_path / str(k)).write_text("".join(f"{base64.b64encode(t).decode()} {r}\n" for r, t in enumerate(table)))
+    got = [bpe.encode_documents(frame, str(tmp_path / str(k)), r"\w+").first()["ids"] for k in (0, 1)]
+    assert got == [[256, 99, 256, 99], [97, 256, 97, 256]]
+
+
 def test_bpe_on_awkward_rows(awkward, empty):
     rows = bpe.encode_documents(awkward, RANKS, tokenizers.PATTERN, decoded="decoded").collect()
     assert len(rows) == awkward.count()
@@ -93,6 +105,17 @@ def test_line_dedup_on_awkward_rows(awkward, empty):
     assert line_dedup.dedup_lines(empty).count() == 0
 
 
+def test_runs_of_an_earlier_call_are_found_again(spark):
+    frame = lambda rows: spark.createDataFrame(rows, "doc_id long, text string")
+    first = line_dedup.LineRuns(spark)
+    line_dedup.dedup_lines(frame([(10, "the first long line\nsecond long line"), (11, "third long line")]), runs=first).collect()
+    later = line_dedup.LineRuns.open(spark, first.folder)
+    got = line_dedup.dedup_lines(frame([(1, "second long line\nfresh long line"), (2, "fresh long line\nthird long line\nshort"), (3, None)]), runs=later).collect()
+    assert {r["doc_id"]: r["kept"] for r in got} == {1: "fresh long line", 2: "short", 3: ""}
+    again = line_dedup.LineRuns.open(spark, first.folder)
+    assert sum(1 for _ in again.owners().collect()) == 4 and not [t for t in spark.catalog.listTables() if t.name.startswith("line_run_")]
+
+
 # -- n-gram join --
 
 
@@ -204,13 +227,34 @@ def test_language_on_awkward_rows(awkward, empty):
     assert {r["lang_pred"] for r in lang_id.predict(awkward, lang_id.fit(empty)).collect()} == {"und"}
 
 
-def test_pieces_differ_only_where_they_meet(monkeypatch):
-    text = "abc def " * 50
+def test_counts_do_not_depend_on_the_piece(monkeypatch):
+    text = "abc déf\n9 ΑΣ ghi" * 500
     whole = lang_id.ngram_counts(text)
-    monkeypatch.setattr(lang_id, "PIECE", 100)
-    pieces = lang_id.ngram_counts(text)
-    # Each of the three seams puts at most two blanks, and their n-grams, between the pieces.
-    assert np.abs(whole - pieces).sum() <= 3 * 12 < whole.sum() / 10
+    for piece in (1, 2, 3, 100, 7919):
+        monkeypatch.setattr(lang_id, "PIECE", piece)
+        assert (lang_id.ngram_counts(text) == whole).all()
+
+
+def test_scores_equal_bayes_by_hand(spark):
+    rows = [(1, "abab", "x"), (2, "ab ba", "x"), (3, "cdcd cd", "y"), (4, "cd" * 30, "y"), (5, "xyz", None), (6, "zz", "x")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = lang_id.fit(frame)
+    assert model[0] == ["x", "y"] and np.exp(model[1]) == pytest.approx([0.6, 0.4])
+    counts = {k: sum(lang_id.ngram_counts(t) for _, t, x in rows if x == k) + lang_id.SMOOTHING for k in "xy"}
+    for text in ("ab", "cd ab", "a" * 5000):
+        logs = [np.log(p) + (lang_id.ngram_counts(text) * np.log(counts[k] / counts[k].sum())).sum() for k, p in (("x", 0.6), ("y", 0.4))]
+        got = lang_id.predict(spark.createDataFrame([(1, text)] * 3, "doc_id long, text string"), model).collect()
+        assert {r["lang_pred"] for r in got} == {"xy"[int(np.argmax(logs))]}
+        assert [r["score"] for r in got] == pytest.approx([1 / sum(np.exp(x - max(logs)) for x in logs)] * 3)
+
+
+def test_equal_scores_go_to_the_first_language_and_many_languages_are_counted(spark, monkeypatch):
+    monkeypatch.setattr(lang_id, "HELD_LANGUAGES", 2)
+    frame = spark.createDataFrame([(k, "same words", f"l{k}") for k in range(7)], "doc_id long, text string, lang string")
+    assert {r["lang_pred"] for r in lang_id.predict(frame, lang_id.fit(frame)).collect()} == {"l0"}
+    monkeypatch.setattr(lang_id, "MOST_LANGUAGES", 6)
+    with pytest.raises(ValueError, match="languages"):
+        lang_id.fit(frame)
 
 
 # -- toxicity --
@@ -249,6 +293,47 @@ def test_the_penalty_narrows_the_gap_between_swapped_groups(spark):
     assert gap(5.0) < 0.3 * gap(0.0)
 
 
+def test_neutral_mentions_are_not_flagged(spark):
+    """Neutral sentences that name a group which in training is mostly named in toxic ones, and other groups in others."""
+    draw = random.Random(3)
+    rows, labels = [], []
+    for k in range(1200):
+        toxic = draw.random() < 0.3
+        text = [f"word{draw.randrange(200)}" for _ in range(20)]
+        if toxic and draw.random() < 0.6:
+            text.append(draw.choice(["slurword", "nastything"]))
+        if draw.random() < (0.95 if toxic else 0.02):
+            text.append("women")
+        elif draw.random() < 0.6:
+            text.append(draw.choice(["men", "girls", "boys"]))
+        rows.append((k, " ".join(text)))
+        labels.append((k, int(toxic)))
+    documents, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    neutral = [f"word{k} word{k + 1} women word{k + 2} word{k + 3}" for k in range(150)]
+
+    def flagged(penalty):
+        model, cache = toxicity.fit(documents, labels, penalty=penalty), {}
+        assert np.mean([model.score(x + " slurword", cache) >= 0.5 for x in neutral]) > 0.9
+        return np.mean([model.score(x, cache) >= 0.5 for x in neutral])
+
+    assert flagged(0.0) > 0.9 and flagged(20.0) < 0.1
+
+
+def test_terms_are_swapped_for_all_others_of_their_row():
+    row = toxicity.IDENTITY_TERMS[0]
+    assert {toxicity.swapped(row[1], turn) for turn in range(9)} == set(row) - {row[1]} and toxicity.swapped("word", 3) == "word"
+
+
+def test_repeated_labelled_rows_are_one_and_one_class_scores_that_class(spark):
+    documents, labels = labelled(spark, random.Random(4), n=200)
+    many = documents.unionByName(documents.filter("doc_id < 50")).unionByName(documents.limit(0))
+    one, two = toxicity.fit(documents, labels), toxicity.fit(many, labels)
+    assert one == two
+    for toxic in (0, 1):
+        model = toxicity.fit(documents, labels.filter(f"toxic = {toxic}"))
+        assert {r["predicted"] for r in toxicity.score(documents, model).collect()} == {toxic}
+
+
 def test_toxicity_on_awkward_rows(spark, awkward, empty):
     labels = spark.createDataFrame([(1, 1), (5, 0), (7, 0), (9, None), (1, 1), (77, 1)], "doc_id long, toxic int")
     model = toxicity.fit(awkward.drop("score"), labels)
@@ -347,6 +432,33 @@ def test_shards_are_even_and_slots_gapless(spark):
     assert all(crc[k] == zlib.crc32(t.encode()) for k, t in rows)
 
 
+@pytest.mark.parametrize("n", [1000, 10000])
+def test_groups_that_fit_a_shard_are_whole(spark, n):
+    draw = random.Random(n)
+    texts = [" ".join(f"w{draw.randrange(999)}" for _ in range(draw.choice([3, 20, 90]))) for _ in range(n)]
+    copies = [[draw.randrange(n) for _ in range(many)] for many in [2] * 30 + [5, 40, n // 20]]
+    for group in copies:
+        for k in group:
+            texts[k] = texts[group[0]]
+    hot = range(0, n, 3)
+    for k in hot:
+        texts[k] = "the text of a third of all rows"
+    got = sharding.shard(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 16).collect()
+    where, load = {}, np.zeros(16)
+    for r in got:
+        where.setdefault(texts[r["doc_id"]], set()).add(r["shard"])
+        load[r["shard"]] += r["size"]
+    assert len(got) == n and max(len(v) for t, v in where.items() if t != texts[0]) == 1 and len(where[texts[0]]) > 1
+    assert load.max() <= 1.05 * load.min()
+
+
+def test_a_large_group_of_one_doc_id_is_split(spark):
+    rows = [(7, "the same row")] * 400 + [(k, f"text {k}") for k in range(100, 500)]
+    got = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string"), 4).collect()
+    counts = np.bincount([r["shard"] for r in got], minlength=4)
+    assert counts.max() <= 1.1 * counts.min() and len({(r["shard"], r["slot"]) for r in got}) == 800
+
+
 def test_packing_prefers_the_largest_dot_product():
     placed = sharding.pack(np.array([[9.0, 1.0], [1.0, 9.0], [9.0, 1.0], [1.0, 9.0]]), 2)
     assert sorted(placed.tolist()) == [0, 0, 1, 1] and placed[0] != placed[2]
