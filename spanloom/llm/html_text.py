@@ -2,17 +2,25 @@
 
 The standard library's HTMLParser streams events; text gathers in blocks, the
 lines of the method, each with its number of characters, tags and characters
-inside links. The text-to-tag ratios of the lines, in page order, are smoothed
-with a Gaussian window, and lines at or over one standard deviation are
-content. The content region is then the innermost element that holds all
-content lines, or the article or else the main element around it. All blocks of the region are kept, short ones too, but
-for parts that name themselves as something else: navigation, asides, forms,
-page headers and footers, notices, adverts, comments, scripts and so on, by
-tag, role, id or class, and lists of links outside an article.
+inside links. The ratios of unlinked characters to tags of the lines, in page
+order, are smoothed with a Gaussian window, and the lines at or over one
+standard deviation are content. The content region is the innermost element
+that holds all content lines, or the article or else the main element around
+it; what lies outside is left out. Blocks of the region are kept, short ones
+too, but for parts that stand beside its text: by their tag (navigation,
+asides, forms, footers, page headers), or by a name in class, id or role whose
+words all tell of such a part (``sidebar-left`` does, ``has-sidebar`` and
+``search-algorithms`` do not). Names that may as well belong to the text, such
+as ``notice`` or ``tags``, count as an id outside of articles only. Such a name,
+or a form, around half of the page's characters or more is a wrapper and does
+not count; the other names do not if no text were left. Lists of links outside an article
+are left out as well.
 
 Defined results: null or empty html, and pages without text, give the empty
-string. Unclosed and stray tags are tolerated. Whole pages are parsed, of any
-length; other columns are kept unless named like the added one.
+string. Unclosed and stray tags, comments and declarations are tolerated; what
+a browser would not show of them is not text. Whole pages are parsed, of any
+length and nesting, in time that grows with their length; other columns are
+kept unless named like the added one, and repeated rows give equal texts.
 """
 
 from __future__ import annotations
@@ -29,83 +37,116 @@ from pyspark.sql import types as T
 # Kinds of HTML elements.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 HIDDEN = frozenset("head title script style noscript template svg math iframe object canvas audio video map".split())
-ASIDE = frozenset("nav aside footer form menu dialog button select textarea fieldset".split())
+ASIDE = frozenset("nav aside footer menu dialog button select textarea fieldset".split())
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre section select summary table tbody td "
     "textarea tfoot th thead title tr ul".split()
 )
-CLOSED_BY = {"p": BLOCK, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "tbody", "tfoot"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}}
+CLOSED_BY = {"p": BLOCK, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "tbody", "tfoot"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}, "a": {"a"}}
 SCOPE = frozenset("body article section div main aside nav footer header table ul ol dl form blockquote".split())
 
-# Words in class, id or role that name parts beside the text.
+# Words of names that tell of a part beside the text, those that a part of the text may have as well, and words that may go with both.
 BESIDE = frozenset(
-    "ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies "
-    "copyright disclaimer discussion disqus footer gdpr masthead menu menubar modal nav navbar navigation navi newsletter notice notices "
-    "notification pager pagination popup promo promotion promoted recommended related replies respond rail search share sharing sidebar "
-    "signup skip social sponsor sponsored subscribe subscription tags toolbar topbar widget contentinfo complementary alert".split()
+    "ad ads adv advert adverts advertisement advertising breadcrumb breadcrumbs comment comments commentlist consent cookie cookies "
+    "disqus footer gdpr masthead menu menubar modal nav navbar navigation navi newsletter pager pagination popup promo promotion "
+    "respond sidebar sponsor sponsored subscribe subscription contentinfo complementary".split()
+)
+DOUBTFUL = frozenset(
+    "alert banner copyright disclaimer discussion notice notices notification promoted rail recommended related replies search share "
+    "sharing signup skip social tags toolbar topbar widget widgets".split()
+)
+WITH_BOTH = frozenset(
+    "a and area articles bar block body bottom box button buttons by center column container content desktop entry first fixed form global "
+    "google group header holder icon icons inner item items js label last layer left link links list local main message mobile more name news "
+    "outer overlay page panel post posts primary reader right row secondary section site slot small sticky stories text thread to top "
+    "unit us user wrap wrapper x".split()
 )
 ROOTS = ("article", "main")
+CLOSES = {tag: frozenset(name for name, by in CLOSED_BY.items() if tag in by) for tag in {t for by in CLOSED_BY.values() for t in by}}
 _WORDS = re.compile(r"[a-z]+")
+_HUMP = re.compile(r"([a-z])([A-Z])")
+_END_OF_COMMENT = re.compile(r"--!?>")
 RADIUS, SIGMA = 2, 1.0
 LINKED = 0.6
+#: Why an element may stand beside the text.
+BY_TAG, BY_NAME, IN_DOUBT = 1, 2, 3
+
+
+def named(value: str, words: frozenset[str]) -> bool:
+    """Whether one of the names has words that all tell of a part beside the text, one of them from ``words``."""
+    for name in value.split():
+        found = _WORDS.findall(_HUMP.sub(r"\1 \2", name).lower())
+        if not words.isdisjoint(found) and all(w in BESIDE or w in DOUBTFUL or w in WITH_BOTH for w in found):
+            return True
+    return False
 
 
-class Block:
-    __slots__ = ("text", "tags", "linked", "path", "beside")
+class Line:
+    __slots__ = ("pieces", "tags", "linked", "element")
 
-    def __init__(self, path: tuple[int, ...], beside: bool):
-        self.text: list[str] = []
-        self.tags, self.linked, self.path, self.beside = 1, 0, path, beside
+    def __init__(self, element: int):
+        self.pieces: list[tuple[int, str]] = []  # the nearest marked element around, and text
+        self.tags, self.linked, self.element = 1, 0, element
 
 
 class Blocks(HTMLParser):
-    """Turns parser events into blocks; each open element has a number, its ancestors the numbers before."""
+    """Turns parser events into lines, and numbers elements in page order, so that an element's parts follow it."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, int, bool, bool]] = []  # tag, number, beside the text, hidden
-        self.kinds: list[str] = []
-        self.blocks: list[Block] = []
-        self.now: Block | None = None
+        self.kinds: list[str] = [""]
+        self.parent: list[int] = [-1]
+        self.mark: list[int] = [0]
+        self.marked: list[int] = [0]  # the nearest marked element around, itself included; 0 for none
+        self.rooted: list[bool] = [False]
+        self.stack: list[int] = [0]
+        self.places: dict[str, list[int]] = {}  # places on the stack, by tag
+        self.scopes: list[int] = [0]
+        self.lines: list[Line] = []
+        self.now: Line | None = None
         self.links = self.hidden = 0
 
-    def _beside(self, tag: str, attrs: list) -> bool:
-        if tag in ASIDE:
-            return True
-        inside = any(x[0] in ROOTS for x in self.open)
-        if tag == "header":
-            return not inside
-        if tag in ("body", "html", "main"):
-            return False
+    def _mark(self, tag: str, attrs: list, rooted: bool) -> int:
+        if tag in ASIDE or tag == "header" and not rooted:
+            return BY_TAG
+        if tag == "form":
+            return IN_DOUBT
+        doubt = False
         for name, value in attrs:
-            if name == "hidden" or name == "aria-hidden" and value == "true":
-                return True
-            if name in ("class", "id", "role") and value and not BESIDE.isdisjoint(_WORDS.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower())):
-                return True
-        return False
+            if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and value and re.search(r"display\s*:\s*none", value):
+                return BY_TAG
+            if not value or name not in ("class", "id", "role") or tag in ("body", "html", "main"):
+                continue
+            if (name != "id" or tag in SCOPE) and named(value, BESIDE):
+                return BY_NAME
+            doubt = doubt or tag != "article" and (name != "id" or not rooted and tag in SCOPE) and named(value, DOUBTFUL)
+        return IN_DOUBT if doubt else 0
 
     def handle_starttag(self, tag, attrs):
-        for k in range(len(self.open) - 1, -1, -1):
-            name = self.open[k][0]
-            if tag in CLOSED_BY.get(name, ()):
-                self._close(k)
-                break
-            if name in SCOPE:
-                break
+        ends = [self.places[name][-1] for name in CLOSES.get(tag, ()) if self.places.get(name)]
+        if ends and max(ends) > self.scopes[-1]:
+            self._close(max(ends))
         if tag in BLOCK:
             self.now = None
         elif self.now is not None:
             self.now.tags += 1
         if tag == "br" and self.now is not None:
-            self.now.text.append(" ")
+            self.now.pieces.append((self.marked[self.stack[-1]], " "))
         if tag in VOID:
             return
-        beside = bool(self.open and self.open[-1][2]) or self._beside(tag, attrs)
-        hidden = tag in HIDDEN
-        self.open.append((tag, len(self.kinds), beside, hidden))
+        above, number = self.stack[-1], len(self.kinds)
+        mark = 0 if self.hidden else self._mark(tag, attrs, self.rooted[above])
         self.kinds.append(tag)
-        self.hidden += hidden
+        self.parent.append(above)
+        self.mark.append(mark)
+        self.marked.append(number if mark else self.marked[above])
+        self.rooted.append(self.rooted[above] or tag in ROOTS)
+        self.places.setdefault(tag, []).append(len(self.stack))
+        if tag in SCOPE:
+            self.scopes.append(len(self.stack))
+        self.stack.append(number)
+        self.hidden += tag in HIDDEN
         self.links += tag == "a"
 
     def handle_startendtag(self, tag, attrs):
@@ -113,25 +154,25 @@ class Blocks(HTMLParser):
         if tag not in VOID:
             self.handle_endtag(tag)
 
-    def _close(self, k: int) -> None:
-        for tag, _, _, hidden in self.open[k:]:
-            self.hidden -= hidden
+    def _close(self, place: int) -> None:
+        while len(self.stack) > place:
+            tag = self.kinds[self.stack.pop()]
+            self.places[tag].pop()
+            if tag in SCOPE:
+                self.scopes.pop()
+            self.hidden -= tag in HIDDEN
             self.links -= tag == "a"
             if tag in BLOCK:
                 self.now = None
-        del self.open[k:]
 
     def handle_endtag(self, tag):
         if tag in BLOCK:
             self.now = None
         elif self.now is not None:
             self.now.tags += 1
-        for k in range(len(self.open) - 1, -1, -1):
-            if self.open[k][0] == tag:
-                self._close(k)
-                return
-            if self.open[k][0] in SCOPE and tag not in SCOPE:
-                return
+        places = self.places.get(tag)
+        if places and (tag in SCOPE or places[-1] > self.scopes[-1]):
+            self._close(places[-1])
 
     def handle_data(self, data):
         if self.hidden:
@@ -139,57 +180,117 @@ class Blocks(HTMLParser):
         if self.now is None:
             if not data.strip():
                 return
-            self.now = Block(tuple(x[1] for x in self.open), bool(self.open and self.open[-1][2]))
-            self.blocks.append(self.now)
-        elif self.open and self.open[-1][2] != self.now.beside:  # an advert within a line of text
-            if not data.strip():
-                return
-            before, self.now = self.now, Block(tuple(x[1] for x in self.open), self.open[-1][2])
-            self.blocks.append(self.now)
-            if not self.now.beside:
-                self.now.path = before.path
-        self.now.text.append(data)
+            self.now = Line(self.stack[-1])
+            self.lines.append(self.now)
+        self.now.pieces.append((self.marked[self.stack[-1]], data))
         if self.links:
             self.now.linked += len(data.strip())
 
-    def unknown_decl(self, data):
-        pass
+    # Declarations and comments end where a browser ends them; those that never end reach to the end of the page.
+
+    def parse_comment(self, i, report=1):
+        text = self.rawdata
+        if text.startswith(">", i + 4):
+            return i + 5
+        if text.startswith("->", i + 4):
+            return i + 6
+        end = _END_OF_COMMENT.search(text, i + 4)
+        return end.end() if end else len(text)
+
+    def parse_html_declaration(self, i):
+        text = self.rawdata
+        at = text.find(">", i)
+        subset = text.find("[", i, at) if text[i : i + 9].lower() == "<!doctype" else -1
+        if subset >= 0:
+            at = text.find("]>", subset) + 1 or -1
+        return at + 1 if at >= 0 else len(text)
+
+    def parse_pi(self, i):
+        return self.rawdata.find(">", i) + 1 or len(self.rawdata)
 
 
 def smoothed(ratios: np.ndarray) -> np.ndarray:
+    """The ratios under a Gaussian window, whose weights count only where there are lines."""
     weights = np.exp(-0.5 * (np.arange(-RADIUS, RADIUS + 1) / SIGMA) ** 2)
     total = np.convolve(ratios, weights, mode="full")[RADIUS : RADIUS + len(ratios)]
     return total / np.convolve(np.ones(len(ratios)), weights, mode="full")[RADIUS : RADIUS + len(ratios)]
 
 
+def content_lines(ratios: np.ndarray, free: np.ndarray) -> np.ndarray:
+    """Which lines are content: free ones whose smoothed ratio is at or over one standard deviation, or all free ones if none is."""
+    smooth = smoothed(np.where(free, ratios, 0.0))
+    found = free & (smooth >= smooth.std())
+    return found if found.any() else free
+
+
+def _sums(parent: list[int], own: np.ndarray) -> list[float]:
+    """Each element's amount and those of all elements in it."""
+    total = own.tolist()
+    for k in range(len(parent) - 1, 0, -1):
+        total[parent[k]] += total[k]
+    return total
+
+
+def _cut(html: str) -> str:
+    """The page without a tag that never ends."""
+    at = html.rfind("<")
+    return html[:at] if at >= 0 and ">" not in html[at:] and re.match(r"[A-Za-z/!?]", html[at + 1 : at + 2]) else html
+
+
+def _outside(parser: Blocks, amounts: np.ndarray) -> list[bool]:
+    """Whether each element is in a part beside the text."""
+    held = _sums(parser.parent, amounts)
+    wrapper = [2 * x >= held[0] for x in held]
+    out: list[bool] = []
+    for lifted in ((IN_DOUBT,), (IN_DOUBT, BY_NAME)):
+        out = [False]
+        for k in range(1, len(parser.mark)):
+            out.append(out[parser.parent[k]] or parser.mark[k] != 0 and not (wrapper[k] and parser.mark[k] in lifted))
+        if any(x and not out[k] for k, x in enumerate(amounts.tolist())):
+            break
+    return out
+
+
 def main_text(html: str | None) -> str:
     parser = Blocks()
-    parser.feed(html or "")
+    parser.feed(_cut(html or ""))
     parser.close()
-    lines = [(" ".join("".join(b.text).split()), b) for b in parser.blocks]
-    lines = [(text, b) for text, b in lines if text]
+    lines = [x for x in parser.lines if any(piece.strip() for _, piece in x.pieces)]
     if not lines:
         return ""
-    chars = np.array([len(text) for text, _ in lines], float)
-    # Ratios over what may be text: a part that names itself as something else has no characters of it.
-    free = np.array([not b.beside for _, b in lines])
-    smooth = smoothed(np.where(free, chars / [b.tags for _, b in lines], 0.0))
-    content = free & (smooth >= smooth.std())
-    if not content.any():
-        content = free
-    if not content.any():
+    # Amounts stand at the nearest marked element of each piece, or at the line's own if none of it is marked apart.
+    amounts = np.zeros(len(parser.kinds))
+    for x in lines:
+        for at, piece in x.pieces:
+            amounts[max(at, x.element)] += len(piece.strip())
+    outside = _outside(parser, amounts)
+    texts = [" ".join("".join(piece for at, piece in x.pieces if not outside[at]).split()) for x in lines]
+    free = np.array([bool(t) for t in texts])
+    if not free.any():
         return ""
-    paths = [lines[k][1].path for k in np.flatnonzero(content)]
-    shared = [n for n in paths[0] if all(n in path for path in paths)]
-    # Inner elements have larger numbers than those around them; shared ones are in that order.
-    rooted = [n for root in ROOTS for n in shared if parser.kinds[n] == root]
-    region = rooted[0] if rooted else next((n for n in reversed(shared) if parser.kinds[n] in SCOPE), None)
+    unlinked = np.array([max(len(t) - x.linked, 0) for t, x in zip(texts, lines, strict=True)], float)
+    content = content_lines(unlinked / [x.tags for x in lines], free)
+    # The innermost element whose parts hold all content lines is the last in page order that does.
+    many = np.bincount([lines[k].element for k in np.flatnonzero(content)], minlength=len(parser.kinds))
+    inside = _sums(parser.parent, many)
+    region = max(k for k, n in enumerate(inside) if n == inside[0])
+    while region and parser.kinds[region] not in SCOPE:
+        region = parser.parent[region]
+    for root in ROOTS:
+        found, k = 0, region
+        while k > 0:
+            found = k if parser.kinds[k] == root else found
+            k = parser.parent[k]
+        if found:
+            region = found
+            break
+    size = _sums(parser.parent, np.ones(len(parser.kinds)))
     kept = []
-    for text, b in lines:
-        if b.beside or region is not None and region not in b.path:
+    for text, x in zip(texts, lines, strict=True):
+        if not text or not region <= x.element < region + size[region]:
             continue
-        in_root = any(parser.kinds[n] in ROOTS for n in b.path)
-        if not in_root and b.linked >= LINKED * len(text) and parser.kinds[b.path[-1]] in ("li", "ul", "ol", "td", "div", "a"):
+        listed = x.linked >= LINKED * len(text) and parser.kinds[x.element] in ("li", "ul", "ol", "td", "div", "a")
+        if listed and not parser.rooted[x.element]:
             continue
         kept.append(text)
     return "\n\n".join(kept)

@@ -365,6 +365,66 @@ def test_main_text(html, text):
     assert html_text.main_text(html) == text
 
 
+PROSE = "A line of the text, as long as such lines are, and without a link. "
+
+
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        ("<p>hi<![foo[ x ]]>there</p>", ["hithere"]),
+        (f"<div class='has-sidebar wrapper'><p>{PROSE}</p></div>", [PROSE]),
+        (f"<form id='aspnetForm'><div><p>{PROSE}</p><p>x</p></div><div class='search-box'>Search</div></form>", [PROSE, "x"]),
+        (f"<article class='post tags'><p>{PROSE}</p></article>", [PROSE]),
+        (f"<article><p>{PROSE}</p><section id='search-algorithms'><h2>Search</h2><p>{PROSE}</p></section><section id='discussion'><p>{PROSE}</p></section></article>", [PROSE, "Search", PROSE, PROSE]),
+        (f"<article><p>{PROSE}</p></article><article><p>{PROSE * 2}</p></article>", [PROSE, PROSE * 2]),
+        (f"<!DOCTYPE html [ <!ENTITY x 'y'> ]><p>{PROSE}</p><!--[if IE]><p>no</p><![endif]--><!--[if never ends <p>gone", [PROSE]),
+        (f"<p>{PROSE}</p><![if !IE]><p>{PROSE}</p><![endif]><div clas", [PROSE, PROSE]),
+        (f"<article><p>{PROSE}</p><div class='comments-area'><p>{PROSE * 9}</p></div><article class='comment'><p>{PROSE * 3}</p></article></article>", [PROSE]),
+        (f"<div class='cookie-notice'><p>{PROSE}</p></div><div><p>{PROSE}</p><p>One <span class='ad-slot'>Buy</span> two</p></div><div class='sidebar left'><p>{PROSE}</p></div>", [PROSE, "One two"]),
+        (f"<div class='widget'><div><p>{PROSE}</p></div></div>", [PROSE]),
+        (f"<div class='modal'><p>{PROSE}</p></div>", [PROSE]),
+        (f"<p style='display:none'>{PROSE}</p><p aria-hidden='true'>{PROSE}</p><p>{PROSE}</p>", [PROSE]),
+        (f"<div><p>{PROSE}</p><textarea>no</textarea><p>5 &lt; 6 &copy; &#8364;</p></div>", [PROSE, "5 < 6 © €"]),
+    ],
+)
+def test_parts_beside_the_text(html, text):
+    assert html_text.main_text(html) == "\n\n".join(" ".join(x.split()) for x in text)
+
+
+def test_ratios_smoothing_and_threshold_equal_brute_force():
+    import math
+
+    draw = random.Random(5)
+    for _ in range(200):
+        n = draw.randint(1, 30)
+        ratios = [draw.choice([0, 1, 5, 80, 300]) * draw.random() for _ in range(n)]
+        free = [draw.random() < 0.8 for _ in range(n)]
+        used = [r if f else 0.0 for r, f in zip(ratios, free, strict=True)]
+        smooth = []
+        for k in range(n):
+            near = [(math.exp(-((j - k) ** 2) / 2), used[j]) for j in range(max(0, k - 2), min(n, k + 3))]
+            smooth.append(sum(w * r for w, r in near) / sum(w for w, _ in near))
+        mean = sum(smooth) / n
+        deviation = math.sqrt(sum((x - mean) ** 2 for x in smooth) / n)
+        assert html_text.smoothed(np.array(used)) == pytest.approx(smooth)
+        if all(abs(x - deviation) > 1e-9 for x in smooth):
+            want = [f and x >= deviation for f, x in zip(free, smooth, strict=True)]
+            assert html_text.content_lines(np.array(ratios), np.array(free)).tolist() == (want if any(want) else free)
+
+
+def test_any_page_is_parsed_in_time_that_grows_with_its_length():
+    import time
+
+    draw = random.Random(6)
+    parts = ["<", ">", "</", "<p>", "<div class='", "'", "<![", "]]>", "<!", "--", "<!--", "<?", "&", "&#", ";", "x", " ", "<a<", "<b", "=", "</article>", "<article>", "<script>", "<li>", "[", "]>"]
+    for _ in range(3000):
+        html_text.main_text("".join(draw.choice(parts) for _ in range(draw.randint(0, 25))))
+    for page in ("<div>" * 40_000 + "x" + "</div>" * 40_000, "<b>" * 40_000 + "x", "<a<" * 20_000, "<p>x <i>y" * 30_000, "<![x[" * 20_000, "<li>" * 40_000 + PROSE):
+        began = time.perf_counter()
+        html_text.main_text(page)
+        assert time.perf_counter() - began < 5, page[:20]
+
+
 def test_html_keeps_columns_and_empty_tables(spark):
     pages = spark.createDataFrame([(1, "u", "<p>x</p>", "old"), (1, "u", None, None)], "page_id long, url string, html string, text string")
     assert sorted((r["page_id"], r["text"]) for r in html_text.extract(pages).collect()) == [(1, ""), (1, "x")]
