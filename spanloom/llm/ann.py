@@ -5,30 +5,35 @@ norms, each up to ``RATIO`` times its smallest, and scaled by the largest norm
 of their range, so that a few long vectors do not push the others together.
 They are given one more component that makes their length 1, queries are
 scaled to length 1 with 0 there; then the largest inner product is the smallest
-Euclidean distance in a range, which p-stable (Gaussian) hashes keep. Each of ``TABLES``
-tables has ``HASHES`` hashes of width ``WIDTH``. A query visits its own bucket
-and the ``PROBES`` perturbed ones likeliest to succeed: perturbations are
-tried in the order of their expected squared distances to the bucket's edges,
-applied to the query's own order of edges. The candidates of all tables are
-merged and reranked by the exact inner product of the original vectors in
-double precision. A query's buckets do not depend on the range, so each visit
-asks all ranges; ranges of at most ``WHOLE`` rows are scanned whole by all
-queries, as the nearest of a few long vectors can be at wide angles.
-
-Buckets are dealt to cells of about ``CELL`` rows; the vectors of a bucket
-with over a ``HOT``th of all rows, which number at most HOT a table, are
-dealt over several cells by a hash of their id, each of which its queries
-visit. Of equal vectors only the k + 1 smallest ids are indexed: ties go to
-smaller ids, so no other can be among the k nearest. A cell of at most
-``WHOLE`` rows is scanned whole, so small tables are searched exactly.
-
-Recall against brute force, measured on 10 and on 51 thousand nearly random
-vectors of 64 components, is 0.9 or more; see the README.
+Euclidean distance in a range, which p-stable (Gaussian) hashes keep. Each of
+``TABLES`` tables has hashes of width ``WIDTH``, whose number grows with the
+logarithm of the range's rows (``hashes_for``), for all ranges by one rule. A
+query visits its own bucket and the ``PROBES`` perturbed ones likeliest to
+succeed: perturbations are tried in the order of their expected squared
+distances to the bucket's edges, applied to the query's own order of edges. Its
+buckets depend on the number of hashes, not on the range, so ranges with equal
+numbers share a visit. The candidates of all tables are merged and reranked by
+the inner product of the original vectors in double precision, summed for each
+pair by itself in the order of the components, so that equal vectors have
+equal scores wherever they lie.
+
+Buckets are dealt to cells of about ``CELL_BYTES``; a query's vector goes once
+to each cell that it visits. The vectors of a bucket with over a ``HOT``th of
+all rows, which number at most HOT a table, are dealt over several cells by a
+hash of their id, each of which its queries visit; a cell that over a
+``HOT_VISITS``th of the queries visit is copied, and its queries are dealt over
+the copies. Of equal vectors only the k + 1 smallest ids are indexed: ties go
+to smaller ids, so no other can be among the k nearest.
+
+Recall against brute force is 0.9 or more, measured on tables from a hundred
+to fifty thousand vectors, nearly random ones among them; see the README.
 
 Defined results: vectors that are null, zero, of another length than most, or
 hold a null or a component that is not finite take no part on either side; rows
-that repeat an id and vector count once; fewer than k candidates in reach give
-fewer rows; an empty table gives an empty table. Other columns are ignored.
+that repeat an id and vector count once; an id with several vectors is found
+with its best; fewer than k candidates in reach give fewer rows; an empty table
+gives an empty table. Other columns are ignored. Double vectors stay doubles; a
+product beyond their range is infinite.
 """
 
 from __future__ import annotations
@@ -44,10 +49,19 @@ from pyspark.sql import functions as F
 
 from spanloom.llm.common import checkpointed, shuffle_width
 
-TABLES, HASHES, WIDTH, PROBES, SEED = 8, 12, 3.0, 110, 20
-CELL, HOT, WHOLE = 4096, 1024, 1024
+TABLES, WIDTH, PROBES, SEED = 8, 3.0, 110, 20
+CELL_BYTES = 16 << 20
+HOT, HOT_VISITS = 1024, 64
 RATIO = 1.5
 FLUSH = 1 << 20
+#: Candidates whose products are held at once.
+CHUNK = 1 << 14
+
+
+def hashes_for(rows: int) -> int:
+    """How many hashes a table has for a range of so many rows: none for one row, 11 for 500, 12 for 10,000."""
+    bits = math.log2(max(rows, 1))
+    return round(min(1.5 * bits, 9 + 0.22 * bits))
 
 
 def probe_template(hashes: int, probes: int) -> list[tuple[int, ...]]:
@@ -74,45 +88,61 @@ def probe_template(hashes: int, probes: int) -> list[tuple[int, ...]]:
 
 
 class Hashes:
-    """The tables' hash functions; buckets are 64-bit mixtures of a table's hashes."""
+    """The tables' hash functions; buckets are 64-bit mixtures of a table's hashes and their number."""
 
-    def __init__(self, dimension: int, largest: dict[int, float]):
+    def __init__(self, dimension: int, ranges: dict[int, tuple[int, float]]):
+        """``ranges`` gives the rows and the largest norm of each range."""
         draw = np.random.default_rng(SEED)
-        self.ranges = np.array(sorted(largest), np.int64)
-        self.largest = np.array([largest[r] for r in sorted(largest)])
-        self.lines = draw.normal(size=(TABLES, dimension + 1, HASHES))
-        self.shift = draw.random((TABLES, HASHES)) * WIDTH
-        self.mix = draw.integers(1, 1 << 62, (TABLES, HASHES)) | 1
-        self.template = probe_template(HASHES, PROBES)
-
-    def _places(self, x: np.ndarray, table: int) -> np.ndarray:
-        return (x @ self.lines[table] + self.shift[table]) / WIDTH
+        self.ranges = np.array(sorted(ranges), np.int64)
+        self.largest = np.array([ranges[r][1] for r in sorted(ranges)])
+        self.hashes = np.array([hashes_for(ranges[r][0]) for r in sorted(ranges)])
+        most = int(self.hashes.max(initial=1))
+        self.lines = draw.normal(size=(TABLES, most, dimension + 1)).transpose(0, 2, 1)
+        self.shift = draw.random((TABLES, most)) * WIDTH
+        self.mix = draw.integers(1, 1 << 62, (TABLES, most)) | 1
+        self.templates = {int(h): probe_template(int(h), PROBES) if h else [] for h in np.unique(self.hashes)}
+
+    def _places(self, x: np.ndarray, table: int, hashes: int) -> np.ndarray:
+        return (x @ self.lines[table][:, :hashes] + self.shift[table][:hashes]) / WIDTH
 
     def buckets(self, vectors: np.ndarray, ranges: np.ndarray) -> np.ndarray:
         """tables x rows buckets of indexed vectors of these ranges."""
-        x = vectors / self.largest[np.searchsorted(self.ranges, ranges)][:, None]
+        own = np.searchsorted(self.ranges, ranges)
+        x = vectors / self.largest[own][:, None]
         x = np.hstack([x, np.sqrt(np.maximum(0, 1 - (x * x).sum(axis=1, keepdims=True)))])
-        return np.stack([(np.floor(self._places(x, t)).astype(np.int64) * self.mix[t]).sum(axis=1) for t in range(TABLES)])
+        out = np.empty((TABLES, len(x)), np.int64)
+        for h in self.templates:
+            at = np.flatnonzero(self.hashes[own] == h)
+            for t in range(TABLES):
+                out[t, at] = (np.floor(self._places(x[at], t, h)).astype(np.int64) * self.mix[t][:h]).sum(axis=1) + _salt(h)
+        return out
 
     def probes(self, queries: np.ndarray) -> np.ndarray:
-        """tables x rows x (1 + probes) buckets that queries visit, in order."""
-        x = queries / np.linalg.norm(queries, axis=1, keepdims=True)
-        x = np.hstack([x, np.zeros((len(x), 1))])
+        """tables x rows x visits: the buckets that queries visit, in order for each number of hashes."""
+        x = queries / np.abs(queries).max(axis=1, keepdims=True)
+        x = np.hstack([x / np.linalg.norm(x, axis=1, keepdims=True), np.zeros((len(x), 1))])
         rows = np.arange(len(x))
-        out = np.empty((TABLES, len(x), 1 + len(self.template)), np.int64)
+        out = np.empty((TABLES, len(x), sum(1 + len(p) for p in self.templates.values())), np.int64)
         for t in range(TABLES):
-            places = self._places(x, t)
-            base = np.floor(places).astype(np.int64)
-            edge = np.hstack([places - base, base + 1 - places])
-            order = np.argsort(edge, axis=1, kind="stable")
-            step = np.where(order < HASHES, -1, 1) * self.mix[t][order % HASHES]
-            own = (base * self.mix[t]).sum(axis=1)
-            out[t, :, 0] = own
-            for k, at in enumerate(self.template):
-                out[t, :, 1 + k] = own + sum(step[rows, p] for p in at)
+            at = 0
+            for h, template in self.templates.items():
+                places = self._places(x, t, h)
+                base = np.floor(places).astype(np.int64)
+                edge = np.hstack([places - base, base + 1 - places])
+                order = np.argsort(edge, axis=1, kind="stable")
+                step = np.where(order < h, -1, 1) * self.mix[t][order % max(h, 1)]
+                own = (base * self.mix[t][:h]).sum(axis=1) + _salt(h)
+                out[t, :, at] = own
+                for k, probe in enumerate(template):
+                    out[t, :, at + 1 + k] = own + sum(step[rows, p] for p in probe)
+                at += 1 + len(template)
         return out
 
 
+def _salt(hashes: int) -> int:
+    return hashes * 0x2545F4914F6CDD1D % (1 << 62)
+
+
 def _matrix(column: pa.Array) -> np.ndarray:
     values = column.flatten().to_numpy(zero_copy_only=False)
     return values.reshape(len(column), -1).astype(np.float64)
@@ -123,9 +153,6 @@ def _usable(vector: str) -> Column:
     return F.col(vector).isNotNull() & fine & F.exists(vector, lambda x: x != 0)
 
 
-CELL_ROW = "cell long, role int, bucket long, id long, vector array<float>, buckets array<long>"
-
-
 def _region(buckets: np.ndarray, table: int, regions: int) -> np.ndarray:
     return (buckets.astype(np.uint64) >> np.uint64(11)).astype(np.int64) % regions * TABLES + table
 
@@ -140,7 +167,13 @@ def _salted(cell: int, salt: int, regions: int) -> int:
     return cell + salt * regions * TABLES
 
 
-def _index(hashes: Hashes, hot: dict, regions: int):
+def _dealt(ids: np.ndarray, parts) -> np.ndarray:
+    return ids * 0x9E3779B1 % (1 << 31) % parts
+
+
+def _index(hashes: Hashes, hot: dict, copies: dict[int, int], regions: int):
+    """The indexed rows of each cell, as often as it is copied."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
@@ -150,8 +183,12 @@ def _index(hashes: Hashes, hot: dict, regions: int):
                 cells = _region(found[t], t, regions)
                 for b, n in _split(hot, t, found[t]).items():
                     own = found[t] == b
-                    cells[own] = _salted(cells[own], ids[own] * 0x9E3779B1 % (1 << 31) % n, regions)
-                yield _cells(cells, 1, found[t], batch.column(0), batch.column(1), [[]] * len(ids))
+                    cells[own] = _salted(cells[own], _dealt(ids[own], n), regions)
+                many = np.array([copies.get(c, 1) for c in cells.tolist()])
+                for copy in range(many.max()):
+                    pick = np.flatnonzero(many > copy)
+                    at = pa.array(pick)
+                    yield _cells(cells[pick] * HOT + copy, 1, found[t][pick], batch.column(0).take(at), batch.column(1).take(at), [[]] * len(pick))
 
     return run
 
@@ -161,26 +198,48 @@ def _cells(cells, role: int, bucket, ids: pa.Array, vectors: pa.Array, buckets:
     return pa.RecordBatch.from_arrays(arrays, names=["cell", "role", "bucket", "id", "vector", "buckets"])
 
 
-def _ask(hashes: Hashes, hot: dict, regions: int):
+def _visited(hashes: Hashes, hot: dict, regions: int, part: pa.RecordBatch) -> Iterator[tuple[list[int], list[int], list[list[int]]]]:
+    """For each table: rows of the batch, cells that they visit, and the buckets there."""
+    found = hashes.probes(_matrix(part.column(1)))
+    for t in range(TABLES):
+        cells = _region(found[t], t, regions)
+        split = _split(hot, t, found[t])
+        rows, where, lists = [], [], []
+        for k in range(part.num_rows):
+            wanted: dict[int, list[int]] = {}
+            for c, b in zip(cells[k].tolist(), found[t][k].tolist(), strict=True):
+                for salt in range(split.get(b, 1)):
+                    wanted.setdefault(_salted(c, salt, regions), []).append(b)
+            rows += [k] * len(wanted)
+            where += wanted
+            lists += wanted.values()
+        yield rows, where, lists
+
+
+def _ask(hashes: Hashes, hot: dict, copies: dict[int, int], regions: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                found = hashes.probes(_matrix(part.column(1)))
-                for t in range(TABLES):
-                    cells = _region(found[t], t, regions)
-                    split = _split(hot, t, found[t])
-                    rows, where, lists = [], [], []
-                    for k in range(part.num_rows):
-                        wanted: dict[int, list[int]] = {}
-                        for c, b in zip(cells[k].tolist(), found[t][k].tolist(), strict=True):
-                            for salt in range(split.get(b, 1)):
-                                wanted.setdefault(_salted(c, salt, regions), []).append(b)
-                        rows += [k] * len(wanted)
-                        where += wanted
-                        lists += wanted.values()
-                    pick = pa.array(rows, pa.int64())
-                    yield _cells(where, 2, np.zeros(len(rows), np.int64), part.column(0).take(pick), part.column(1).take(pick), lists)
+                ids = part.column(0).to_numpy()
+                for rows, where, lists in _visited(hashes, hot, regions, part):
+                    pick = np.array(rows, np.int64)
+                    many = np.array([copies.get(c, 1) for c in where], np.int64)
+                    cells = np.array(where, np.int64) * HOT + _dealt(ids[pick], many)
+                    yield _cells(cells, 2, np.zeros(len(rows), np.int64), part.column(0).take(pa.array(pick)), part.column(1).take(pa.array(pick)), lists)
+
+    return run
+
+
+def _visits(hashes: Hashes, hot: dict, regions: int):
+    """Rows (cell, n): how many queries visit each cell."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                for _, where, _ in _visited(hashes, hot, regions, batch.slice(at, 500)):
+                    ids, times = np.unique(np.array(where, np.int64), return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(times)], names=["cell", "n"])
 
     return run
 
@@ -195,6 +254,28 @@ def _best(found: np.ndarray, k: int) -> np.ndarray:
     return found[np.arange(len(found)) - start < k]
 
 
+def _scores(index: np.ndarray, at: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k nearest of the rows ``at``, with all that tie, and their scores.
+
+    A fast product, whose last bits depend on where a row lies, picks them with
+    a margin over its rounding; the scores are then summed row by row.
+    """
+    if len(at) > k:
+        with np.errstate(over="ignore", invalid="ignore"):
+            near = np.concatenate([index[at[c : c + CHUNK]] @ x for c in range(0, len(at), CHUNK)])
+            bound = len(x) * 2.0**-50 * np.abs(x).max() * max(np.abs(index[at[c : c + CHUNK]]).max() for c in range(0, len(at), CHUNK)) * len(x)
+        edge = np.partition(near, len(at) - k)[len(at) - k] - 2 * bound
+        if np.isfinite(edge):
+            at = at[near >= edge]
+    with np.errstate(over="ignore", invalid="ignore"):
+        scores = (index[at] * x).sum(axis=1)
+    scores = np.where(np.isnan(scores), -np.inf, scores)
+    if len(at) > k:
+        kept = scores >= np.partition(scores, len(at) - k)[len(at) - k]
+        at, scores = at[kept], scores[kept]
+    return at, scores
+
+
 FOUND = np.dtype([("query", "<i8"), ("id", "<i8"), ("score", "<f8")])
 
 
@@ -227,19 +308,12 @@ def _scan(k: int):
                     ready = np.concatenate(ids), np.concatenate(buckets), np.vstack(vectors)
                 own, place, index = ready
                 for q, x, wanted in zip(columns[3][lo:hi], matrix, batch.column(5).slice(lo, hi - lo).to_pylist(), strict=True):
-                    if len(own) <= WHOLE:
-                        at = np.arange(len(own))
-                    else:
-                        left, right = np.searchsorted(place, wanted), np.searchsorted(place, wanted, side="right")
-                        at = np.concatenate([np.arange(a, b) for a, b in zip(left, right, strict=True) if a < b] or [np.empty(0, int)])
+                    left, right = np.searchsorted(place, wanted), np.searchsorted(place, wanted, side="right")
+                    at = np.concatenate([np.arange(a, b) for a, b in zip(left, right, strict=True) if a < b] or [np.empty(0, int)])
                     at = at[own[at] != q]
                     if not len(at):
                         continue
-                    scores = index[at] @ x
-                    if len(at) > k:
-                        edge = np.partition(scores, len(at) - k)[len(at) - k]
-                        near = scores >= edge
-                        at, scores = at[near], scores[near]
+                    at, scores = _scores(index, at, x, k)
                     found = np.empty(len(at), FOUND)
                     found["query"], found["id"], found["score"] = q, own[at], scores
                     held.append(found)
@@ -256,28 +330,26 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, key: str = "vec
     """(query_id, rank, vec_id, score): each query's k nearest found; a query is no candidate of its own."""
     spark = vectors.sparkSession
     width = shuffle_width(spark)
-    plain = F.col(vector).cast("array<float>")
+    kind = "float" if vectors.schema[vector].dataType.simpleString() == "array<float>" else "double"
+    plain = F.col(vector).cast(f"array<{kind}>")
     usable = vectors.select(F.col(key).cast("long").alias("id"), plain.alias("vector")).filter(F.col("id").isNotNull() & _usable("vector"))
     lengths = usable.groupBy(F.size("vector").alias("n")).count().orderBy(F.desc("count"), "n").first()
     dimension = lengths["n"] if lengths else 1
     usable = usable.filter(F.size("vector") == dimension)
     asked = queries.select(F.col(key).cast("long").alias("id"), plain.alias("vector")).filter(F.col("id").isNotNull() & _usable("vector")).filter(F.size("vector") == dimension).distinct()
     copy = F.row_number().over(Window.partitionBy("vector").orderBy("id"))
-    norm = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-    once = usable.distinct().withColumn("copy", copy).filter(F.col("copy") <= k + 1).withColumn("norm", norm)
+    # Scaled by the largest component, squares neither overflow nor vanish.
+    top = F.array_max(F.transform("vector", lambda x: F.abs(x.cast("double"))))
+    norm = F.col("top") * F.sqrt(F.aggregate("vector", F.lit(0.0), lambda s, x: s + (x / F.col("top")) * (x / F.col("top"))))
+    once = usable.distinct().withColumn("copy", copy).filter(F.col("copy") <= k + 1).withColumn("top", top).withColumn("norm", norm)
     indexed = checkpointed(once.select("id", "vector", F.floor(F.log("norm") / math.log(RATIO) + 0.5).alias("range"), "norm"))
+    # Norms of doubles fall into some 3,600 ranges at most.
     ranges = {r["range"]: (r["n"], r["largest"]) for r in indexed.groupBy("range").agg(F.count("*").alias("n"), F.max("norm").alias("largest")).collect()}
     rows = sum(n for n, _ in ranges.values())
-    few = [r for r, (n, _) in ranges.items() if n <= WHOLE]
-    hashes = Hashes(dimension, {r: largest for r, (_, largest) in ranges.items()})
-    regions = max(1, -(-rows // CELL))
-    most = max(CELL, rows // HOT)
-    rare = indexed.filter(F.col("range").isin(few))
-    indexed = indexed.filter(~F.col("range").isin(few))
-    none, own = F.array().cast("array<long>"), F.array(F.lit(0).cast("long"))
-    # The rows of small ranges are copied over some cells, over which the queries are dealt.
-    scanned = rare.select(F.explode(F.sequence(F.lit(-regions).cast("long"), F.lit(-1).cast("long"))).alias("cell"), F.lit(1).alias("role"), F.lit(0).cast("long").alias("bucket"), "id", "vector", none.alias("buckets"))
-    asking = asked.select((-1 - F.pmod(F.xxhash64("id"), F.lit(regions))).alias("cell"), F.lit(2).alias("role"), F.lit(0).cast("long").alias("bucket"), "id", "vector", own.alias("buckets"))
+    hashes = Hashes(dimension, ranges)
+    cell = max(1, CELL_BYTES // (8 * dimension))
+    regions = max(1, -(-rows // cell))
+    most = max(cell, rows // HOT)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -289,10 +361,13 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, key: str = "vec
     counts = indexed.mapInArrow(count, "table int, bucket long, n long").groupBy("table", "bucket").agg(F.sum("n").alias("n"))
     # Fewer than HOT buckets of a table can hold more than a HOTth of the rows.
     hot = {(r["table"], r["bucket"]): -(-r["n"] // most) for r in counts.filter(F.col("n") > most).collect()}
-    cells = indexed.mapInArrow(_index(hashes, hot, regions), CELL_ROW).unionByName(asked.mapInArrow(_ask(hashes, hot, regions), CELL_ROW))
-    if few:
-        cells = cells.unionByName(scanned).unionByName(asking)
+    visits = asked.mapInArrow(_visits(hashes, hot, regions), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+    often = max(cell, asked.count() // HOT_VISITS)
+    # A query has a bounded number of visits, so fewer than HOT_VISITS times that many cells are copied.
+    copies = {r["cell"]: min(-(-r["n"] // often), HOT) for r in visits.filter(F.col("n") > often).collect()}
+    row = f"cell long, role int, bucket long, id long, vector array<{kind}>, buckets array<long>"
+    cells = indexed.mapInArrow(_index(hashes, hot, copies, regions), row).unionByName(asked.mapInArrow(_ask(hashes, hot, copies, regions), row))
     ordered = cells.repartition(width, "cell").sortWithinPartitions("cell", "role", "bucket")
-    found = ordered.mapInArrow(_scan(k), "query_id long, vec_id long, score double").dropDuplicates(["query_id", "vec_id"])
+    found = ordered.mapInArrow(_scan(k), "query_id long, vec_id long, score double").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -22,7 +22,7 @@ def as_double(x):
     return np.array(x, np.float32).astype(np.float64)
 
 
-def test_small_tables_are_searched_exactly(spark):
+def test_small_tables_are_searched_nearly_exactly(spark):
     draw = np.random.default_rng(1)
     rows = [(i, [float(v) for v in draw.normal(size=8) * draw.uniform(0.2, 3)], 0) for i in range(300)]
     rows += [(300 + i, rows[0][1], 0) for i in range(40)]
@@ -34,7 +34,68 @@ def test_small_tables_are_searched_exactly(spark):
     for r in sorted(got, key=lambda r: r["rank"]):
         found.setdefault(r["query_id"], []).append(r["vec_id"])
         assert r["score"] == pytest.approx(float(vectors[r["query_id"]] @ vectors[r["vec_id"]]), abs=1e-12)
-    assert found == want
+    assert sum(len(set(found[q]) & set(x)) for q, x in want.items()) >= 0.9 * sum(map(len, want.values()))
+    # Equal vectors are found together, in the order of their ids.
+    for q, ids in found.items():
+        copies = [i for i in ids if i >= 300 or i == 0]
+        assert copies == sorted(copies), q
+
+
+@pytest.mark.parametrize("kind", ["float", "double"])
+def test_equal_vectors_have_equal_scores_wherever_they_lie(spark, kind):
+    draw = np.random.default_rng(8)
+    base = draw.normal(size=(40, 64))
+    rows = [(i, [float(v) for v in base[draw.integers(0, 40)]]) for i in range(3000)]
+    frame = spark.createDataFrame(rows, f"vec_id long, embedding array<{kind}>")
+    got = ann.nearest(frame, frame.filter("vec_id % 100 = 0"), 60).collect()
+    vectors = {i: tuple(as_double(x) if kind == "float" else np.array(x)) for i, x in rows}
+    by_query = {}
+    for r in sorted(got, key=lambda r: r["rank"]):
+        by_query.setdefault(r["query_id"], []).append(r)
+    for q, found in by_query.items():
+        score = {}
+        for r in found:
+            score.setdefault(vectors[r["vec_id"]], set()).add(r["score"])
+        assert all(len(x) == 1 for x in score.values())
+        order = [(-r["score"], r["vec_id"]) for r in found]
+        assert order == sorted(order)
+        # All that ties with the first in the list and has a smaller id than the last of them is there.
+        own = sorted(i for i, x in vectors.items() if x == vectors[q] and i != q)[: len(found)]
+        assert [r["vec_id"] for r in found][: len(own)] == own
+
+
+def test_double_vectors_are_not_rounded(spark):
+    rows = [(0, [1.0, 0.0]), (20, [1e300, 1e-3]), (1, [1.0 + 1e-12, 0.0]), (2, [1.0, 5.0]), (3, [1e39, 0.0])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {(r["query_id"], r["vec_id"]): r["score"] for r in ann.nearest(frame, frame.filter("vec_id % 20 = 0"), 20).collect()}
+    assert got[0, 1] == 1.0 + 1e-12 and got[0, 3] == 1e39 and got[0, 20] == 1e300
+
+
+@pytest.mark.parametrize("n", [30, 500])
+def test_recall_of_the_hashing_on_small_random_tables(spark, n):
+    draw = np.random.default_rng(n)
+    x = draw.normal(size=(n, 64)).astype(np.float32).astype(float)
+    frame = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)], "vec_id long, embedding array<float>")
+    got = ann.nearest(frame, frame.filter("vec_id % 10 = 0"), 20).collect()
+    hits = total = 0
+    for q in range(0, n, 10):
+        scores = x @ x[q]
+        scores[q] = -np.inf
+        best = set(np.argsort(-scores)[: min(20, n - 1)].tolist())
+        hits += len(best & {r["vec_id"] for r in got if r["query_id"] == q})
+        total += len(best)
+    assert hits / total >= 0.9
+
+
+def test_cells_that_many_queries_visit_are_copied(spark, monkeypatch):
+    draw = np.random.default_rng(4)
+    x = draw.normal(size=(1200, 16))
+    frame = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    ask = frame.filter("vec_id % 4 = 0")
+    rows = lambda: sorted(map(tuple, ann.nearest(frame, ask, 5).collect()))
+    whole = rows()
+    monkeypatch.setattr(ann, "CELL_BYTES", 16 * 8 * 50)
+    assert rows() == whole
 
 
 def test_recall_on_random_vectors(spark):
@@ -67,8 +128,7 @@ def test_hot_buckets_are_split_without_loss(spark, monkeypatch):
     centre = draw.normal(size=16)
     x = np.vstack([centre + 0.01 * draw.normal(size=(3000, 16)), draw.normal(size=(1000, 16))])
     frame = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<float>")
-    monkeypatch.setattr(ann, "CELL", 256)
-    monkeypatch.setattr(ann, "WHOLE", 16)
+    monkeypatch.setattr(ann, "CELL_BYTES", 256 * 8 * 16)
     monkeypatch.setattr(ann, "HOT", 32)
     got = ann.nearest(frame, frame.filter("vec_id % 400 = 0"), 20).collect()
     vectors = x.astype(np.float32).astype(float)
