@@ -23,15 +23,25 @@ documents link when their sets' Jaccard similarity is at least 0.8.
    by a hash, is verified first, as its links merge most components; then all
    pairs across what is left are.
 
-For the number of links, 3 and 4 are replaced: all lists propose all pairs of
-different sets that may link, each set once, under its smallest doc_id, and all
-are verified. This grows with the square of a group of different near copies.
-
-T-occurrence search takes one document of a group as the query and the others,
-in blocks of bounded size, as an index: inverted lists of the query's shingles.
-As in DivideSkip, the longest lists are set aside; the short ones are merged
-with a heap, documents that reach the lowered count are probed in the long
-lists by binary search, and those that reach the required overlap are kept.
+For the number of links, 5. follows: links lie within components, so the sets of
+each component, one of each equal ones, are dealt by their size's class and a
+hash into blocks of bounded size, and each two blocks of the same or of
+neighbouring classes, which alone can link, are searched against each other.
+Only counts leave a search, so a group of n different near copies is n rows
+for each of its blocks; but all its pairs are verified, as each may be a link.
+
+T-occurrence search has a query's set and an inverted index of a block of sets.
+As in DivideSkip, the longest of the query's lists are set aside; the short
+ones are merged with a heap, sets that reach the lowered count are probed in
+the long lists by binary search, and those that reach the overlap that the two
+sizes require are kept. Short enough lists of a query rule a block out at once.
+
+A list of documents under one shingle is searched for pairs in blocks of its
+rows, each two of which are a key of their own, so a very common shingle is no
+task's burden. In step 2 a list is gathered as packed entries of 24 bytes.
+
+All is exact but for the 64-bit hashes that stand for shingles, and the 128-bit
+ones for sets.
 
 Defined results: texts that are null or hold no word have an empty set and are
 linked with nothing; fewer than five words form one shingle; a null doc_id is
@@ -74,8 +84,15 @@ BLOCK = 1024
 SAMPLE = 8
 #: Bits of the bitmap of documents that some pair needs: 8 MB.
 BITS = 1 << 26
-#: DivideSkip's weight of a probe against a merge step.
-MU = 0.0085
+#: DivideSkip's weight of a probe against a merge step; probes of many sets at once are cheap.
+MU = 0.0005
+#: So few sets are probed one by one.
+FEW = 12
+#: Shingles of a block, 1 MB, and of the members that a search holds at once.
+BLOCK_SHINGLES = 1 << 17
+HELD_SHINGLES = 1 << 22
+#: Rows of a block of a long list, and the blocks of such a list before they grow.
+LIST_BLOCK, LIST_BLOCKS = 256, 32
 
 
 class _Powers:
@@ -143,41 +160,79 @@ def may_link(n1, at1, n2, at2):
     return (100 + PERCENT) * np.minimum(n1 - at1, n2 - at2) >= PERCENT * (n1 + n2)
 
 
+class Inverted:
+    """The inverted lists of a block of sets: for each shingle the places of the sets that hold it, in order."""
+
+    def __init__(self, members: list[np.ndarray], within: np.ndarray | None = None):
+        """``within`` are the only shingles that will be asked for."""
+        self.sizes = np.array([len(m) for m in members], np.int64)
+        tokens = np.concatenate([*members, np.empty(0, np.uint64)])
+        owner = np.repeat(np.arange(len(members)), self.sizes)
+        if within is not None and len(within):
+            at = np.minimum(np.searchsorted(within, tokens), len(within) - 1)
+            hit = within[at] == tokens
+            tokens, owner = tokens[hit], owner[hit]
+        order = np.argsort(tokens, kind="stable")
+        self.owner = owner[order]
+        self.shingles, first = np.unique(tokens[order], return_index=True)
+        self.ends = np.append(first, len(tokens))
+        self.places = self.owner.tolist()
+
+    def lists(self, query: np.ndarray) -> list[tuple[int, int]]:
+        """(start, end) of the query's lists that are not empty, shortest first."""
+        if not len(self.shingles):
+            return []
+        at = np.minimum(np.searchsorted(self.shingles, query), len(self.shingles) - 1)
+        at = at[self.shingles[at] == query]
+        starts, ends = self.ends[at], self.ends[at + 1]
+        order = np.argsort(ends - starts, kind="stable")
+        return list(zip(starts[order].tolist(), ends[order].tolist(), strict=True))
+
+    def search(self, query: np.ndarray) -> list[tuple[int, int]]:
+        """(member, overlap) for the members whose overlap with the query makes a link."""
+        if not len(query) or not len(self.sizes):
+            return []
+        need = -(-PERCENT * (len(query) + self.sizes) // (100 + PERCENT))
+        able = need[(need <= self.sizes) & (need <= len(query))]
+        lists = self.lists(query)
+        least = int(able.min()) if len(able) else 0
+        # A set is once in each list at most.
+        if not least or len(lists) < least:
+            return []
+        longest = lists[-1][1] - lists[-1][0]
+        aside = min(int(least / (MU * math.log2(max(longest, 2)) + 1)), least - 1)
+        short, long = lists[: len(lists) - aside], lists[len(lists) - aside :]
+        merged = ((member, sum(1 for _ in run)) for member, run in groupby(heapq.merge(*(self.places[x:y] for x, y in short))))
+        found = [(member, count) for member, count in merged if count >= least - aside]
+        if len(found) <= FEW:
+            return [hit for member, count in found if (hit := self._probe(member, count, long, int(need[member])))]
+        return self._probe_all(np.array(found, np.int64), long, need)
+
+    def _probe(self, member: int, count: int, long: list[tuple[int, int]], need: int) -> tuple[int, int] | None:
+        left = len(long)
+        for x, y in long:
+            if count + left < need:
+                return None
+            left -= 1
+            spot = bisect_left(self.places, member, x, y)
+            count += spot < y and self.places[spot] == member
+        return (member, count) if count >= need else None
+
+    def _probe_all(self, found: np.ndarray, long: list[tuple[int, int]], need: np.ndarray) -> list[tuple[int, int]]:
+        member, count = found[:, 0], found[:, 1].copy()
+        for k, (x, y) in enumerate(long):
+            if k % 8 == 0:
+                alive = count + len(long) - k >= need[member]
+                member, count = member[alive], count[alive]
+            own = self.owner[x:y]
+            count += own[np.minimum(np.searchsorted(own, member), y - x - 1)] == member
+        kept = count >= need[member]
+        return list(zip(member[kept].tolist(), count[kept].tolist(), strict=True))
+
+
 def t_occurrence(query: np.ndarray, members: list[np.ndarray]) -> list[tuple[int, int]]:
     """(member, overlap) for the members whose overlap with the query makes a link."""
-    need = [required_overlap(len(query), len(m)) for m in members]
-    if not members or not len(query):
-        return []
-    tokens = np.concatenate(members)
-    owner = np.repeat(np.arange(len(members)), [len(m) for m in members])
-    at = np.minimum(np.searchsorted(query, tokens), len(query) - 1)
-    hit = query[at] == tokens
-    at, owner = at[hit], owner[hit]
-    # A member that does not even hold enough of the query's shingles needs no list entries.
-    enough = np.bincount(owner, minlength=len(members)) >= np.array(need)
-    at, owner = at[enough[owner]], owner[enough[owner]]
-    order = np.lexsort((owner, at))
-    at, owner = at[order], owner[order]
-    lists = [x.tolist() for x in np.split(owner, np.flatnonzero(np.diff(at)) + 1)] if len(at) else []
-    if not lists:
-        return []
-    lists.sort(key=len)
-    least = min(n for n, e in zip(need, enough, strict=True) if e)
-    aside = min(int(least / (MU * math.log2(max(len(lists[-1]), 2)) + 1)), least - 1, len(lists))
-    short, long = lists[: len(lists) - aside], lists[len(lists) - aside :]
-    found = []
-    for member, run in groupby(heapq.merge(*short)):
-        count = sum(1 for _ in run)
-        if count < least - aside:
-            continue
-        for k, x in enumerate(reversed(long)):
-            if count + len(long) - k < need[member]:
-                break
-            spot = bisect_left(x, member)
-            count += spot < len(x) and x[spot] == member
-        if count >= need[member]:
-            found.append((member, count))
-    return found
+    return Inverted(members, query).search(query)
 
 
 def _keys(shingles: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
@@ -309,22 +364,23 @@ def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         columns = list(zip(*kept, strict=True)) or [(), (), ()]
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["a", "b", "overlap"])
 
-    group, query, members = None, None, []
+    group, query, members, held = None, None, [], 0
     for batch in batches:
         a, block, role, doc, text = (batch.column(k).to_pylist() for k in range(5))
         for k in range(batch.num_rows):
             if (a[k], block[k]) != group:
                 if members:
                     yield flush()
-                group, query, members = (a[k], block[k]), None, []
+                group, query, members, held = (a[k], block[k]), None, [], 0
             shingles = shingle_set(text[k])
             if role[k] == 0:
                 query = shingles
             else:
                 members.append((doc[k], shingles))
-                if len(members) >= 4 * BLOCK:
+                held += len(shingles)
+                if held >= HELD_SHINGLES:
                     yield flush()
-                    members = []
+                    members, held = [], 0
     if members:
         yield flush()
 
@@ -360,19 +416,22 @@ def _verified(documents: DataFrame, pairs: DataFrame) -> DataFrame:
     pairs = pairs.join(sizes, "a")
     members = pairs.select("a", F.pmod(F.xxhash64("b"), "blocks").alias("block"), F.lit(1).alias("role"), F.col("b").alias("doc"))
     queries = sizes.select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.lit(0).alias("role"), F.col("a").alias("doc"))
-    places = members.unionByName(queries).groupBy("doc").agg(F.collect_list(F.struct("a", "block", "role")).alias("places"))
-    wanted = documents.join(places, F.col("doc_id") == F.col("doc")).select("doc", "text", F.inline("places"))
+    places = checkpointed(members.unionByName(queries))
+    wanted = documents.join(places, F.col("doc_id") == F.col("doc"))
     ordered = wanted.select("a", "block", "role", "doc", "text").repartition(width, "a", "block").sortWithinPartitions("a", "block", "role")
     return checkpointed(ordered.mapInArrow(_search, "a long, b long, overlap long"))
 
 
 def _across(sample: int):
-    """Proposes the pairs of each list that may link and whose components differ, or a hash's share of them; rows come sorted by shingle."""
+    """Proposes the pairs of each list, or of two blocks of one, that may link and whose components differ, or a
+    hash's share of them; rows (shingle, pair of blocks, doc, n, at, label, side) come sorted by the first two.
+    Rows of different blocks are on different sides, and only pairs of sides are asked for; a list that is one
+    block has no sides (-1)."""
 
     def chosen(rows: np.ndarray, i: np.ndarray, j: np.ndarray) -> Iterator[np.ndarray]:
         """Those of the pairs of rows that may link across components, and that the hash draws."""
-        ok = (rows[i, 4] != rows[j, 4]) & may_link(rows[i, 2], rows[i, 3], rows[j, 2], rows[j, 3])
-        a, b = np.minimum(rows[i[ok], 1], rows[j[ok], 1]), np.maximum(rows[i[ok], 1], rows[j[ok], 1])
+        ok = (rows[i, 5] != rows[j, 5]) & ((rows[i, 6] < 0) | (rows[i, 6] != rows[j, 6])) & may_link(rows[i, 3], rows[i, 4], rows[j, 3], rows[j, 4])
+        a, b = np.minimum(rows[i[ok], 2], rows[j[ok], 2]), np.maximum(rows[i[ok], 2], rows[j[ok], 2])
         if sample > 1:
             mixed = (a.astype(np.uint64) * np.uint64(_Powers.BASE) ^ b.astype(np.uint64)) * np.uint64(0xBF58476D1CE4E5B9)
             drawn = (mixed >> np.uint64(40)) % np.uint64(sample) == 0
@@ -383,7 +442,7 @@ def _across(sample: int):
     def pairs(rows: np.ndarray) -> Iterator[np.ndarray]:
         """Of whole lists: in short ones every row with the one after it, the one two after it and so on, all
         lists at once; in long ones the rows outside the commonest component with all rows, block by block."""
-        starts = np.flatnonzero(np.r_[True, rows[1:, 0] != rows[:-1, 0]]) if len(rows) else np.empty(0, int)
+        starts = np.flatnonzero(np.r_[True, (rows[1:, :2] != rows[:-1, :2]).any(axis=1)]) if len(rows) else np.empty(0, int)
         lengths = np.diff(np.r_[starts, len(rows)])
         end = np.repeat(starts + lengths, lengths)
         i = np.flatnonzero(np.repeat(lengths, lengths) <= SHORT)
@@ -391,8 +450,8 @@ def _across(sample: int):
             i = i[i + step < end[i]]
             yield from chosen(rows, i, i + step)
         for start, length in zip(starts[lengths > SHORT].tolist(), lengths[lengths > SHORT].tolist(), strict=True):
-            labels, counts = np.unique(rows[start : start + length, 4], return_counts=True)
-            rest = start + np.flatnonzero(rows[start : start + length, 4] != labels[np.argmax(counts)])
+            labels, counts = np.unique(rows[start : start + length, 5], return_counts=True)
+            rest = start + np.flatnonzero(rows[start : start + length, 5] != labels[np.argmax(counts)])
             for at in range(0, len(rest), BLOCK):
                 for to in range(start, start + length, BLOCK):
                     j = np.arange(to, min(to + BLOCK, start + length))
@@ -404,11 +463,11 @@ def _across(sample: int):
         return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(found[:, k])) for k in (0, 1)], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.empty((0, 5), np.int64)
+        held = np.empty((0, 7), np.int64)
         found, many = [], 0
         for batch in batches:
-            held = np.concatenate([held, np.stack([batch.column(k).to_numpy(zero_copy_only=False) for k in range(5)], axis=1)])
-            ends = np.flatnonzero(held[1:, 0] != held[:-1, 0]) + 1
+            held = np.concatenate([held, np.stack([batch.column(k).to_numpy(zero_copy_only=False) for k in range(7)], axis=1)])
+            ends = np.flatnonzero((held[1:, :2] != held[:-1, :2]).any(axis=1)) + 1
             if not len(ends):
                 continue
             for x in pairs(held[: ends[-1]]):
@@ -428,7 +487,8 @@ def jaccard_groups(documents: DataFrame, count_links: bool = False) -> DataFrame
 
     With ``count_links`` also n_links, the number of other documents that the
     row's document links with, those with an equal set among them; 0 for empty
-    sets and null doc_ids. All links are then verified.
+    sets and null doc_ids. All links are then verified. Rows that repeat a
+    doc_id have the largest number among them.
     """
     spark = documents.sparkSession
     documents = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -451,35 +511,79 @@ def jaccard_groups(documents: DataFrame, count_links: bool = False) -> DataFrame
     # Equal sets are one node, named by their smallest doc_id.
     classes = checkpointed(rows.filter("n > 0 AND doc_id IS NOT NULL").groupBy("signature").agg(F.min("doc_id").alias("rep")))
     reps = checkpointed(rows.filter("n > 0 AND doc_id IS NOT NULL").join(classes, "signature").select("doc_id", "rep").distinct())
+    labels = _group_labels(known, lists, reps, width)
     if count_links:
-        links = _all_links(known, lists, reps, width)
-        labels = _labels(reps, links)
-        _release(spark)
-        found = _counted(reps, links)
+        found = _link_counts(known, rows, classes, labels, width)
         rows = rows.join(found.withColumnRenamed("doc_id", "_linked"), F.col("doc_id") == F.col("_linked"), "left")
         rows = rows.select("doc_id", "n", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
-    else:
-        labels = _group_labels(known, lists, reps, width)
     named = rows.join(labels.withColumnRenamed("doc_id", "_id"), F.col("doc_id") == F.col("_id"), "left")
     counts = ["n_links"] if count_links else []
     return named.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("label", "doc_id").alias("component_id"), *counts)
 
 
-def _all_links(known: DataFrame, lists: DataFrame, reps: DataFrame, width: int) -> DataFrame:
-    """The links of all different sets, each set under its smallest doc_id."""
-    entries = lists.select("shingle", "doc", "n", "at").join(reps, F.col("doc") == F.col("doc_id")).select("shingle", F.col("rep").alias("doc"), "n", "at").distinct()
-    # Each set is a component of its own, so every pair is across components.
-    entries = entries.withColumn("label", F.col("doc")).repartition(width, "shingle").sortWithinPartitions("shingle")
-    return _verified(known, entries.mapInArrow(_across(1), "a long, b long").distinct()).select("a", "b").distinct()
-
-
-def _counted(reps: DataFrame, links: DataFrame) -> DataFrame:
+def _search_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts the links of two blocks, or within one: rows (label, class, block, other class, other block, side, signature, weight, text) come sorted by the first six."""
+
+    def counted(sides: dict[int, dict[bytes, tuple[int, np.ndarray]]]) -> pa.RecordBatch:
+        one, other = sides[0], sides.get(1)
+        index = Inverted([x for _, x in (one if other is None else other).values()])
+        keys = list(one if other is None else other)
+        weights = [w for w, _ in (one if other is None else other).values()]
+        total: dict[bytes, int] = {}
+        for key, (weight, query) in one.items():
+            for member, _ in index.search(query):
+                if keys[member] != key:
+                    total[key] = total.get(key, 0) + weights[member]
+                    if other is not None:
+                        total[keys[member]] = total.get(keys[member], 0) + weight
+        return pa.RecordBatch.from_arrays([pa.array(list(total), pa.binary()), pa.array(list(total.values()), pa.int64())], names=["signature", "others"])
+
+    task, sides = None, {}
+    for batch in batches:
+        columns = [batch.column(k).to_pylist() for k in range(9)]
+        for *key, side, signature, weight, text in zip(*columns, strict=True):
+            if key != task:
+                if 0 in sides:
+                    yield counted(sides)
+                task, sides = key, {}
+            shingles = shingle_set(text)
+            # Rows that repeat a doc_id may hold another text than the one that is asked for.
+            if xxhash.xxh3_128_digest(shingles.tobytes()) == signature:
+                sides.setdefault(side, {})[signature] = (weight, shingles)
+    if 0 in sides:
+        yield counted(sides)
+
+
+def _link_counts(known: DataFrame, rows: DataFrame, classes: DataFrame, labels: DataFrame, width: int) -> DataFrame:
     """(doc_id, n_links) of every document with a set."""
-    sizes = checkpointed(reps.groupBy("rep").agg(F.count("*").alias("size")))
-    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    others = both.join(sizes.withColumnRenamed("rep", "b"), "b").groupBy("a").agg(F.sum("size").alias("others"))
-    by_set = sizes.join(others, F.col("rep") == F.col("a"), "left").select("rep", (F.col("size") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
-    return reps.join(by_set, "rep").groupBy("doc_id").agg(F.max("n_links").alias("n_links"))
+    sized = rows.filter("n > 0 AND doc_id IS NOT NULL").select("doc_id", "n", "signature").distinct()
+    weights = sized.groupBy("signature").agg(F.count("*").alias("weight"), F.max("n").alias("n"))
+    sets = classes.join(weights, "signature").join(labels, F.col("rep") == F.col("doc_id")).drop("doc_id")
+    # Sets that link differ in size by less than a quarter, so by one class at most.
+    sets = checkpointed(sets.withColumn("class", F.floor(F.log("n") / math.log(100 / PERCENT) + 1e-9).cast("int")))
+    several = sets.groupBy("label").agg(F.count("*").alias("sets")).filter("sets > 1").select("label")
+    blocks = sets.join(several, "label").groupBy("label", "class").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias("blocks"))
+    blocks = checkpointed(blocks)
+    up = blocks.select("label", (F.col("class") - 1).alias("class"), F.col("blocks").alias("above"))
+    down = blocks.select("label", (F.col("class") + 1).alias("class"), F.col("blocks").alias("below"))
+    around = blocks.join(up, ["label", "class"], "left").join(down, ["label", "class"], "left").fillna(0, ["above", "below"])
+    dealt = sets.join(around, ["label", "class"]).withColumn("block", F.pmod(F.xxhash64("signature"), F.col("blocks")).cast("int"))
+    own, mine, c = F.col("block"), F.col("class"), lambda n: F.lit(n).cast("int")
+    each = lambda n, use: F.when(F.col(n) > 0, F.transform(F.sequence(c(0), F.col(n) - 1), use)).otherwise(F.array().cast(PLACES))
+    place = lambda one, a, two, b, side: F.struct(one.cast("int").alias("class_1"), a.alias("block_1"), two.cast("int").alias("class_2"), b.alias("block_2"), side.cast("int").alias("side"))
+    within = each("blocks", lambda y: place(mine, F.least(own, y), mine, F.greatest(own, y), F.when(own <= y, 0).otherwise(1)))
+    over = each("above", lambda y: place(mine, own, mine + 1, y, F.lit(0)))
+    under = each("below", lambda y: place(mine - 1, y, mine, own, F.lit(1)))
+    places = checkpointed(dealt.select("label", "signature", "weight", "rep", F.inline(F.concat(within, over, under))))
+    wanted = _probably(known, "doc_id", places.select("rep")).join(places, F.col("doc_id") == F.col("rep"))
+    key = ["label", "class_1", "block_1", "class_2", "block_2"]
+    ordered = wanted.select(*key, "side", "signature", "weight", "text").repartition(width, *key).sortWithinPartitions(*key, "side")
+    found = ordered.mapInArrow(_search_blocks, "signature binary, others long").groupBy("signature").agg(F.sum("others").alias("others"))
+    by_set = weights.join(found, "signature", "left").select("signature", (F.col("weight") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
+    return sized.join(by_set, "signature").groupBy("doc_id").agg(F.max("n_links").alias("n_links"))
+
+
+PLACES = "array<struct<class_1:int,block_1:int,class_2:int,block_2:int,side:int>>"
 
 
 def _group_labels(known: DataFrame, lists: DataFrame, reps: DataFrame, width: int) -> DataFrame:
@@ -494,7 +598,7 @@ def _group_labels(known: DataFrame, lists: DataFrame, reps: DataFrame, width: in
     if 2 * some.count() > open_lists.select("doc").distinct().count():
         links = checkpointed(links.unionByName(_verified(known, some).select("a", "b")))
         labels = _labels(reps, links)
-        open_lists = _open(open_lists.drop("label"), labels, width)
+        open_lists = _open(lists, labels, width)
         _release(spark)
     rest = open_lists.mapInArrow(_across(1), "a long, b long").distinct()
     links = checkpointed(links.unionByName(_verified(known, rest).select("a", "b")))
@@ -504,10 +608,18 @@ def _group_labels(known: DataFrame, lists: DataFrame, reps: DataFrame, width: in
 
 
 def _open(lists: DataFrame, labels: DataFrame, width: int) -> DataFrame:
-    """The lists whose documents have more than one label, with the labels, each list together."""
-    placed = lists.select("shingle", "doc", "n", "at").join(labels, F.col("doc") == F.col("doc_id")).select("shingle", "doc", "n", "at", "label")
-    mixed = placed.groupBy("shingle").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("shingle")
-    return checkpointed(placed.join(mixed, "shingle", "left_semi").repartition(width, "shingle").sortWithinPartitions("shingle"))
+    """The lists whose documents have more than one label, with the labels, each list, or each two blocks of a long one, together."""
+    placed = checkpointed(lists.select("shingle", "doc", "n", "at").join(labels, F.col("doc") == F.col("doc_id")).select("shingle", "doc", "n", "at", "label"))
+    mixed = placed.groupBy("shingle").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("many")).filter("low < high")
+    # Up to LIST_BLOCKS blocks, of LIST_BLOCK rows or, for the longest lists, more.
+    blocks = F.least(F.ceil(F.col("many") / LIST_BLOCK), F.greatest(F.lit(LIST_BLOCKS), F.ceil(F.col("many") / (1 << 16)))).cast("int")
+    rows = placed.join(mixed.select("shingle", blocks.alias("blocks")), "shingle").withColumn("own", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    spread = rows.withColumn("other", other)
+    low, high = F.least("own", "other").cast("long"), F.greatest("own", "other").cast("long")
+    side = F.when(low == high, -1).otherwise((F.col("own") > F.col("other")).cast("int"))
+    keyed = spread.select("shingle", (low * F.lit(1 << 31) + high).alias("pair"), "doc", "n", "at", "label", side.alias("side"))
+    return checkpointed(keyed.repartition(width, "shingle", "pair").sortWithinPartitions("shingle", "pair"))
 
 
 def _release(spark) -> None:
@@ -520,6 +632,8 @@ def _labels(reps: DataFrame, links: DataFrame) -> DataFrame:
     """(doc_id, label) of every document with a set; the label is the smallest doc_id of its component."""
     one = reps.select(F.col("doc_id").alias("a"), F.col("rep").alias("ra"))
     two = reps.select(F.col("doc_id").alias("b"), F.col("rep").alias("rb"))
-    edges = links.join(one, "a").join(two, "b").select(F.col("ra").alias("a"), F.col("rb").alias("b")).filter("a <> b").distinct()
-    parts = connected_components(edges)
-    return checkpointed(reps.join(parts, F.col("rep") == F.col("node"), "left").select("doc_id", F.coalesce("component", "rep").alias("label")))
+    edges = links.join(one, "a").join(two, "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
+    # Rows that repeat a doc_id with different sets hold these together.
+    same = reps.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("_most")).filter("a < _most").join(reps.withColumnRenamed("rep", "b"), "doc_id").select("a", "b")
+    parts = connected_components(edges.unionByName(same).filter("a <> b").distinct())
+    return checkpointed(reps.join(parts, F.col("rep") == F.col("node"), "left").select("doc_id", F.coalesce("component", "rep").alias("label")).distinct())

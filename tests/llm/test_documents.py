@@ -166,14 +166,37 @@ def test_pairs_across_components_equal_brute_force(monkeypatch, short):
     monkeypatch.setattr(ngram_join, "SHORT", short)
     draw = np.random.default_rng(short)
     rows = [(s, d, 20 + d % 3, int(draw.integers(0, 4)), d % 4) for s in range(30) for d in draw.choice(200, draw.integers(2, 12), replace=False).tolist()]
-    want = {(min(x[1], y[1]), max(x[1], y[1])) for x in rows for y in rows if x[0] == y[0] and x[1] < y[1] and x[4] != y[4] and ngram_join.may_link(x[2], x[3], y[2], y[3])}
-    table = pa.table([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=["shingle", "doc", "n", "at", "label"])
+    # One half of the lists is whole, the other is the two sides of a pair of blocks.
+    whole = [(s, 0, d, n, at, label, -1 if s % 2 else d % 2) for s, d, n, at, label in rows]
+    want = {(min(x[2], y[2]), max(x[2], y[2])) for x in whole for y in whole if x[0] == y[0] and x[2] < y[2] and x[5] != y[5] and (x[6] < 0 or x[6] != y[6]) and ngram_join.may_link(x[3], x[4], y[3], y[4])}
+    table = pa.table([pa.array(c, pa.int64()) for c in zip(*whole, strict=True)], names=["shingle", "pair", "doc", "n", "at", "label", "side"])
     for sample in (1, 8):
         out = pa.Table.from_batches(ngram_join._across(sample)(iter(table.to_batches(max_chunksize=7)))).to_pydict()
         got = set(zip(out["a"], out["b"], strict=True))
         assert got == want if sample == 1 else got < want
 
 
+@pytest.mark.parametrize("small", [True, False])
+def test_ngram_join_in_small_blocks_equals_brute_force(spark, monkeypatch, small):
+    """Long lists, many blocks of a component, and rows that repeat a doc_id with another text."""
+    if small:
+        monkeypatch.setattr(ngram_join, "LIST_BLOCK", 3)
+        monkeypatch.setattr(ngram_join, "BLOCK_SHINGLES", 300)
+        monkeypatch.setattr(ngram_join, "HELD_SHINGLES", 500)
+    draw = random.Random(17)
+    base = [f"v{draw.randrange(10**6)}" for _ in range(80)]
+    rows = [(d, " ".join([*base[:k], f"x{d}", *base[k + 1 : 60 + draw.randrange(20)]])) for d in range(90) for k in [draw.randrange(60)]]
+    rows += [(200 + d, t) for d, t in near_copies(draw)]
+    sets = {d: set(ngram_join.shingle_set(t).tolist()) for d, t in rows}
+    links = {d: sum(100 * len(s & x) >= 80 * len(s | x) for o, x in sets.items() if o != d) for d, s in sets.items()}
+    got = ngram_join.jaccard_groups(spark.createDataFrame(rows, "doc_id long, text string"), count_links=True).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute_groups(rows)
+    assert {r["doc_id"]: r["n_links"] for r in got} == links
+    again = ngram_join.jaccard_groups(spark.createDataFrame([*rows, (3, rows[-1][1]), (5, "a text of its own that has no copy")], "doc_id long, text string"), count_links=True).collect()
+    joined = {r["doc_id"]: r["component_id"] for r in again}
+    assert len(again) == len(rows) + 2 and joined[3] == joined[rows[-1][0]] <= 3
+
+
 def test_ngram_join_of_one_large_group(spark):
     draw = random.Random(9)
     base = [f"v{draw.randrange(10**6)}" for _ in range(200)]
@@ -182,14 +205,19 @@ def test_ngram_join_of_one_large_group(spark):
     assert {r["component_id"] for r in got} == {0}
 
 
-def test_t_occurrence_equals_intersections():
+def test_t_occurrence_equals_intersections(monkeypatch):
     draw = np.random.default_rng(3)
     for _ in range(60):
         query = np.unique(draw.integers(0, 300, draw.integers(1, 120)).astype(np.uint64))
         members = [np.unique(np.concatenate([draw.choice(query, draw.integers(0, len(query) + 1)), draw.integers(0, 300, draw.integers(0, 20)).astype(np.uint64)])) for _ in range(30)]
         want = [(k, len(np.intersect1d(query, m))) for k, m in enumerate(members)]
         want = [(k, n) for k, n in want if n and 100 * n >= 80 * (len(query) + len(members[k]) - n)]
-        assert sorted(ngram_join.t_occurrence(query, members)) == want
+        for few in (0, 12):
+            monkeypatch.setattr(ngram_join, "FEW", few)
+            for mu in (0.0005, 0.0085, 5.0):
+                monkeypatch.setattr(ngram_join, "MU", mu)
+                assert sorted(ngram_join.t_occurrence(query, members)) == want
+                assert sorted(ngram_join.Inverted(members).search(query)) == want
 
 
 def test_shingles_of_long_texts_do_not_depend_on_the_piece(monkeypatch):
