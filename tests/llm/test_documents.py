@@ -496,6 +496,40 @@ def test_targets_and_taken_words(spark):
     assert again == {r["doc_id"]: r["copies"] for r in got}
 
 
+@pytest.mark.parametrize("n", [300, 1000])
+def test_few_documents_with_large_ones_come_near_their_targets(spark, n):
+    """Sizes from 1 to 20,000 words: the best that whole documents can do is within the small ones' sizes."""
+    draw = random.Random(n)
+    rows = [(k, " ".join(["w"] * draw.choice([20_000 if k % 97 == 0 else 300, 90, 30, 10, 4, 2, 1])), f"s{k % 6}") for k in range(n)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    taken, target = {}, {}
+    for r in got:
+        taken[r["source"]] = taken.get(r["source"], 0) + r["size"] * r["copies"]
+        target[r["source"]] = r["target"]
+    assert len(got) == n and max(r["copies"] for r in got) <= 3
+    assert all(abs(taken[s] - target[s]) <= 16 for s in target), {s: (taken[s], target[s]) for s in target}
+
+
+def test_copies_follow_the_fractions(spark):
+    """Over many equal documents the share with one more copy is the fraction."""
+    rows = [(k, "a b c", "abc"[k % 3]) for k in range(6000)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    for s in "abc":
+        own = [r for r in got if r["source"] == s]
+        assert np.mean([r["copies"] for r in own]) == pytest.approx(own[0]["target"] / own[0]["source_size"], abs=1e-3)
+        half = [r["copies"] for r in own if r["doc_id"] < 3000]
+        assert np.mean(half) == pytest.approx(own[0]["target"] / own[0]["source_size"], abs=0.06)
+
+
+def test_rows_that_repeat_a_doc_id_are_mixed_each_by_itself(spark):
+    rows = [(1, "one two three", "a")] * 50 + [(None, "x y", "b")] * 40 + [(2, "z " * 9, None)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert len(got) == 91
+    for s in ("a", "b", None):
+        own = [r for r in got if r["source"] == s]
+        assert abs(sum(r["size"] * r["copies"] for r in own) - own[0]["target"]) <= own[0]["size"] / 2 + 1e-9
+
+
 def test_mixing_on_awkward_rows(awkward, empty):
     assert mixing.mix(awkward).count() == awkward.count()
     assert {r["copies"] for r in mixing.mix(awkward).collect() if r["size"] == 0} == {0}
