@@ -43,6 +43,11 @@ MOST = 3
 BLOCK = 32
 
 
+def words_in(text: str) -> Column:
+    """A document's size."""
+    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+
+
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: float = MOST) -> DataFrame:
     """(source, source_size, n, target): one row per source, from rows (source, size).
 
@@ -135,7 +140,7 @@ def _round_blocks(live: DataFrame, keys: list[str], spot: Column, order: Column,
 
 def mix(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: float = MOST) -> DataFrame:
     """(doc_id, source, size, source_size, target, copies): how often the mix takes each document."""
-    sized = checkpointed(documents.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size")))
+    sized = checkpointed(documents.select("doc_id", "source", words_in("text").alias("size")))
     targets = checkpointed(source_targets(sized, weights, most))
     classes = checkpointed(sized.groupBy("source", _size_class().alias("class")).agg(F.count("*").alias("m")))
     most_blocks = classes.agg(F.max("m")).first()[0] or 0
