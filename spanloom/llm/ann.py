@@ -50,12 +50,14 @@ from pyspark.sql import functions as F
 from spanloom.llm.common import checkpointed, shuffle_width
 
 TABLES, WIDTH, PROBES, SEED = 8, 3.0, 110, 20
-CELL_BYTES = 16 << 20
+CELL_BYTES = 32 << 20
 HOT, HOT_VISITS = 1024, 64
 RATIO = 1.5
 FLUSH = 1 << 20
 #: Candidates whose products are held at once.
 CHUNK = 1 << 14
+#: Rows of a bucket from which on its product is taken in place.
+LONG_RANGE = 16
 
 
 def hashes_for(rows: int) -> int:
@@ -143,9 +145,9 @@ def _salt(hashes: int) -> int:
     return hashes * 0x2545F4914F6CDD1D % (1 << 62)
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
-    values = column.flatten().to_numpy(zero_copy_only=False)
-    return values.reshape(len(column), -1).astype(np.float64)
+def _matrix(column: pa.Array, kind: type | None = np.float64) -> np.ndarray:
+    values = column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+    return values if kind is None else values.astype(kind)
 
 
 def _usable(vector: str) -> Column:
@@ -254,21 +256,31 @@ def _best(found: np.ndarray, k: int) -> np.ndarray:
     return found[np.arange(len(found)) - start < k]
 
 
-def _scores(index: np.ndarray, at: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+@np.errstate(over="ignore", invalid="ignore")
+def _products(index: np.ndarray, left: np.ndarray, right: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The rows of the ranges [left, right), and their products with x as fast as they come, without copies where ranges are long."""
+    lengths = right - left
+    ends = np.cumsum(lengths)
+    at = np.arange(ends[-1]) + np.repeat(left - (ends - lengths), lengths)
+    if len(at) >= LONG_RANGE * len(left):
+        return at, np.concatenate([index[i:j] @ x for i, j in zip(left.tolist(), right.tolist(), strict=True)])
+    return at, np.concatenate([index[at[c : c + CHUNK]] @ x for c in range(0, len(at), CHUNK)])
+
+
+@np.errstate(over="ignore", invalid="ignore")
+def _scores(index: np.ndarray, largest: float, at: np.ndarray, near: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """The k nearest of the rows ``at``, with all that tie, and their scores.
 
-    A fast product, whose last bits depend on where a row lies, picks them with
-    a margin over its rounding; the scores are then summed row by row.
+    The fast products, in the vectors' own precision, whose last bits depend on
+    where a row lies, pick them with a margin over their rounding; the scores
+    are then summed in double precision, each row by itself.
     """
     if len(at) > k:
-        with np.errstate(over="ignore", invalid="ignore"):
-            near = np.concatenate([index[at[c : c + CHUNK]] @ x for c in range(0, len(at), CHUNK)])
-            bound = len(x) * 2.0**-50 * np.abs(x).max() * max(np.abs(index[at[c : c + CHUNK]]).max() for c in range(0, len(at), CHUNK)) * len(x)
-        edge = np.partition(near, len(at) - k)[len(at) - k] - 2 * bound
+        bound = 4.0 * len(x) ** 2 * np.finfo(index.dtype).eps * float(np.abs(x).max()) * largest
+        edge = float(np.partition(near, len(at) - k)[len(at) - k]) - 2 * bound
         if np.isfinite(edge):
             at = at[near >= edge]
-    with np.errstate(over="ignore", invalid="ignore"):
-        scores = (index[at] * x).sum(axis=1)
+    scores = (index[at].astype(np.float64) * x.astype(np.float64)).sum(axis=1)
     scores = np.where(np.isnan(scores), -np.inf, scores)
     if len(at) > k:
         kept = scores >= np.partition(scores, len(at) - k)[len(at) - k]
@@ -296,7 +308,7 @@ def _scan(k: int):
             for lo, hi in zip(starts, [*starts[1:], batch.num_rows], strict=True):
                 if columns[0][lo] != cell:
                     cell, ids, buckets, vectors, ready = columns[0][lo], [], [], [], None
-                matrix = _matrix(batch.column(4).slice(lo, hi - lo))
+                matrix = _matrix(batch.column(4).slice(lo, hi - lo), None)
                 if columns[1][lo] == 1:
                     ids.append(columns[3][lo:hi])
                     buckets.append(columns[2][lo:hi])
@@ -305,15 +317,22 @@ def _scan(k: int):
                 if not ids:
                     continue
                 if ready is None:
-                    ready = np.concatenate(ids), np.concatenate(buckets), np.vstack(vectors)
-                own, place, index = ready
+                    index = np.vstack(vectors)
+                    ready = np.concatenate(ids), np.concatenate(buckets), index, float(np.abs(index).max())
+                    vectors = []
+                own, place, index, largest = ready
                 for q, x, wanted in zip(columns[3][lo:hi], matrix, batch.column(5).slice(lo, hi - lo).to_pylist(), strict=True):
                     left, right = np.searchsorted(place, wanted), np.searchsorted(place, wanted, side="right")
-                    at = np.concatenate([np.arange(a, b) for a, b in zip(left, right, strict=True) if a < b] or [np.empty(0, int)])
-                    at = at[own[at] != q]
+                    full = left < right
+                    if not full.any():
+                        continue
+                    at, near = _products(index, left[full], right[full], x)
+                    other = own[at] != q
+                    if not other.all():
+                        at, near = at[other], near[other]
                     if not len(at):
                         continue
-                    at, scores = _scores(index, at, x, k)
+                    at, scores = _scores(index, largest, at, near, x, k)
                     found = np.empty(len(at), FOUND)
                     found["query"], found["id"], found["score"] = q, own[at], scores
                     held.append(found)
