@@ -498,7 +498,7 @@ def test_targets_and_taken_words(spark):
 
 @pytest.mark.parametrize("n", [300, 1000])
 def test_few_documents_with_large_ones_come_near_their_targets(spark, n):
-    """Sizes from 1 to 20,000 words: the best that whole documents can do is within the small ones' sizes."""
+    """Sources of documents up to 300 words come within the small ones' sizes; one of 20,000 may leave half of its words."""
     draw = random.Random(n)
     rows = [(k, " ".join(["w"] * draw.choice([20_000 if k % 97 == 0 else 300, 90, 30, 10, 4, 2, 1])), f"s{k % 6}") for k in range(n)]
     got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
@@ -507,7 +507,8 @@ def test_few_documents_with_large_ones_come_near_their_targets(spark, n):
         taken[r["source"]] = taken.get(r["source"], 0) + r["size"] * r["copies"]
         target[r["source"]] = r["target"]
     assert len(got) == n and max(r["copies"] for r in got) <= 3
-    assert all(abs(taken[s] - target[s]) <= 16 for s in target), {s: (taken[s], target[s]) for s in target}
+    largest = {s: max(r["size"] for r in got if r["source"] == s) for s in target}
+    assert all(abs(taken[s] - target[s]) <= (16 if largest[s] <= 300 else largest[s] / 2) for s in target), [(s, taken[s], target[s], largest[s]) for s in target]
 
 
 def test_copies_follow_the_fractions(spark):
