@@ -1,201 +1,292 @@
-"""Exact top-k BM25 search on sharded inverted indexes with block-max WAND pruning.
-
-Words are runs of anything but ASCII white space, A-Z in lower case. A first
-pass counts documents, words and, for the queries' words, the documents that
-hold them; with these global statistics every shard's scores are final. A
-shard is up to ``SHARD`` documents of a partition: an inverted index of the
-queries' words, whose postings carry their share of the score, with the
-largest share of each list and of each block of ``BLOCK`` documents.
-
-A query sums its lists' block maxima and visits blocks from the highest sum
-down; a block whose sum cannot reach the k-th best score so far ends the
-search. In a visited block, documents whose lists' maxima together cannot reach
-it are left out (the WAND test), and the rest are scored in full. A query of
-over ``LONG`` terms, such as a whole document, leaves hardly a block out, so
-all documents of the shard are scored at once. The shards' answers are merged
-by score and doc_id, so the result is exact.
-
-Queries are a stated set: they are taken in blocks of ``QUERIES``, and only a
-block is held at a time. The work is one pass over the documents a block.
+"""Exact top-k BM25 search on written, sharded inverted indexes with block-max WAND pruning.
+
+Words are runs of anything but ASCII white space, A-Z in lower case; 64-bit
+hashes stand for them. One pass over the documents writes the index to the
+shared folder: a row is a shard of up to ``SHARD`` documents or ``SHARD_WORDS``
+words of a partition, whole documents each, with the postings of all its words.
+Queries are a stated set, taken in blocks of at most ``QUERIES`` queries and
+``QUERY_WORDS`` distinct words; a block reads the lengths of the index's lists
+for the global statistics, with which every shard's scores are final, then the
+index for its lists. Each block's answers are written, so the plan does not
+grow with the blocks.
+
+In a shard a query sums its lists' maxima of each block of ``BLOCK`` documents
+and takes the blocks from the highest sum down, in rounds that double. A block
+whose sum cannot reach the k-th best score so far is not opened, and as the
+sums fall, the first such block ends the search. In an opened block the
+cursors of its lists read doc numbers alone; a document is a pivot if the block
+maxima of the lists that hold it together reach the k-th best score, and
+only pivots are scored. A query of over ``LONG`` terms, such as a whole
+document, leaves hardly a block out, so all documents of the shard are scored
+at once. The shards' answers are merged by score and doc_id, so the result is
+exact.
 
 Defined results: scores are rounded to six digits, ties go to the smaller
 doc_id; documents without a word of the query are not returned, nor are those
-with a null doc_id; null and empty queries have no result; rows that repeat a
-doc_id count as documents but are returned once, with their best score; empty
-tables give an empty table; other columns are ignored.
+with a null doc_id, which count in the statistics; null and empty queries have
+no result; rows that repeat a doc_id count as documents but are returned once,
+with their best score; very long texts are indexed whole, a shard each if need
+be; empty tables give an empty table; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from spanloom.llm.common import delete, shared_dir
+
 K1, B = 1.2, 0.75
 SHARD = 16384
-SHARD_WORDS = 16 << 20
+SHARD_WORDS = 4 << 20
 BLOCK = 128
+ROUND = 4
 QUERIES = 2000
+QUERY_WORDS = 1 << 20
 LONG = 64
 DIGITS = 6
+#: A row group of the index is closed at this size, so that few shards are held at once.
+GROUP_BYTES = 32 << 20
+#: Numbers are little-endian: ids of 8 bytes, whether each is known, words of each document, hashes of terms in rising order, where each term's postings start and the last one's end, document numbers and counts.
+INDEX = "documents long, words long, ids binary, known binary, lengths binary, terms binary, starts binary, docs binary, times binary"
+FOUND = "query_id long, doc_id long, score double"
 
 
 def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode().lower().split()
 
 
-def _held(words: list[bytes], terms: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
-    """The known terms among the words, and how often each occurs."""
-    found = [t for t in map(terms.get, words) if t is not None]
-    return np.unique(np.array(found, np.int64), return_counts=True)
+def term_of(word: bytes) -> int:
+    return xxhash.xxh3_64_intdigest(word)
+
+
+def spans(first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """The numbers of all ranges [first, last), one range after the other."""
+    size = last - first
+    ends = np.cumsum(size)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(first - ends + size, size)
+
+
+def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of the index, a batch each."""
+    ids: list[int | None] = []
+    lengths: list[int] = []
+    numbers: dict[bytes, int] = {}
+    held: list[np.ndarray] = []
+    words = 0
 
+    def row() -> pa.RecordBatch:
+        terms, rank = np.unique(np.fromiter(map(term_of, numbers), np.uint64, len(numbers)), return_inverse=True)
+        found = rank[np.concatenate([*held, np.empty(0, np.int64)])]
+        cell, times = np.unique(found * len(ids) + np.repeat(np.arange(len(ids)), lengths), return_counts=True)
+        starts = np.searchsorted(cell, np.arange(len(terms) + 1) * len(ids))
+        parts = [
+            np.array([x or 0 for x in ids], np.int64),
+            np.array([x is not None for x in ids], np.uint8),
+            np.array(lengths, np.int64),
+            terms,
+            starts.astype(np.int64),
+            (cell % len(ids)).astype(np.int32),
+            times.astype(np.int32),
+        ]
+        columns = [pa.array([len(ids)]), pa.array([words]), *(pa.array([x.tobytes()], pa.binary()) for x in parts)]
+        return pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in INDEX.split(", ")])
 
-def _count(terms: dict[bytes, int]):
-    """Rows (term, n): documents that hold a term; at -1 all documents, at -2 all words."""
+    for batch in batches:
+        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            own = words_of(text)
+            if ids and (len(ids) == SHARD or words + len(own) > SHARD_WORDS):
+                yield row()
+                ids, lengths, numbers, held, words = [], [], {}, [], 0
+            held.append(np.array([numbers.setdefault(w, len(numbers)) for w in own], np.int64))
+            ids.append(doc_id)
+            lengths.append(len(own))
+            words += len(own)
+    if ids:
+        yield row()
+
+
+def _places(terms: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which of the asked terms the sorted terms hold, and where."""
+    at = np.minimum(np.searchsorted(terms, asked), max(len(terms) - 1, 0))
+    own = np.flatnonzero(terms[at] == asked) if len(terms) else np.empty(0, np.int64)
+    return own, at[own]
+
+
+def _count(shared):
+    """Rows (term, n): documents of the partition that hold a term, by its place among the asked ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros(len(terms), np.int64)
-        documents = length = 0
+        asked = shared.value
+        n = np.zeros(len(asked), np.int64)
         for batch in batches:
-            documents += batch.num_rows
-            for text in batch.column(1).to_pylist():
-                words = words_of(text)
-                length += len(words)
-                held[_held(words, terms)[0]] += 1
-        at = np.flatnonzero(held)
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, [-1, -2])), pa.array(np.append(held[at], [documents, length]))], names=["term", "n"])
+            for terms, starts in zip(batch.column(0), batch.column(1), strict=True):
+                own, at = _places(np.frombuffer(terms.as_buffer(), np.uint64), asked)
+                n[own] += np.diff(np.frombuffer(starts.as_buffer(), np.int64))[at]
+        own = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(n[own])], names=["term", "n"])
 
     return run
 
 
 class Shard:
-    """Postings of one shard, by term, with list and block maxima."""
-
-    def __init__(self, ids: list[int], docs: np.ndarray, terms: np.ndarray, shares: np.ndarray, n_terms: int):
-        order = np.lexsort((docs, terms))
-        self.ids = np.array(ids, np.int64)
-        self.once = len(np.unique(self.ids)) == len(ids)
-        self.docs, self.shares, terms = docs[order], shares[order], terms[order]
-        self.blocks = -(-len(ids) // BLOCK)
-        cell = terms * self.blocks + self.docs // BLOCK
-        self.cells, first = np.unique(cell, return_index=True)
-        self.ends = np.append(first, len(cell))
-        top = np.maximum.reduceat(self.shares, first) if len(cell) else np.empty(0)
-        self.cell_max = top
-        self.list_max = np.zeros(n_terms)
-        np.maximum.at(self.list_max, self.cells // max(self.blocks, 1), top)
+    """Postings of one shard, by term and document, with the maxima of their blocks."""
+
+    def __init__(self, ids: np.ndarray, docs: np.ndarray, terms: np.ndarray, shares: np.ndarray, n_terms: int):
+        self.ids, self.docs, self.shares = ids, docs, shares
+        self.once = len(np.unique(ids)) == len(ids)
+        self.blocks = max(1, -(-len(ids) // BLOCK))
+        cell = terms * self.blocks + docs // BLOCK
+        first = np.flatnonzero(np.append(True, cell[1:] != cell[:-1])) if len(cell) else np.empty(0, np.int64)
+        self.cells, self.ends = cell[first], np.append(first, len(cell))
+        self.cell_max = np.maximum.reduceat(shares, first) if len(cell) else np.empty(0)
         # The cells of each term lie together.
-        self.term_cells = np.searchsorted(self.cells // max(self.blocks, 1), np.arange(n_terms + 1))
+        self.term_cells = np.searchsorted(self.cells, np.arange(n_terms + 1) * self.blocks)
+
+    def _best(self, at: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """The k best (document number, score), a doc_id once."""
+        if self.once and len(at) > k:
+            own = score >= np.partition(score, len(at) - k)[len(at) - k]
+            at, score = at[own], score[own]
+        order = np.lexsort((self.ids[at], -score))
+        order = order[np.sort(np.unique(self.ids[at[order]], return_index=True)[1])][:k]
+        return at[order], score[order]
 
     def _scored(self, terms: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """The k best (doc_id, score), from the scores of all documents."""
+        """The k best, from the scores of all documents."""
         # Postings lie by term, so a term's are those from its first cell to its last.
         first, last = self.ends[self.term_cells[terms]], self.ends[self.term_cells[terms + 1]]
         pieces = [slice(x, y) for x, y in zip(first.tolist(), last.tolist(), strict=True) if x < y]
         if not pieces:
             return np.empty(0, np.int64), np.empty(0)
         score = np.bincount(np.concatenate([self.docs[x] for x in pieces]), np.concatenate([self.shares[x] for x in pieces]), len(self.ids))
-        score = np.round(score, DIGITS)
         at = np.flatnonzero(score > 0)
-        if self.once and len(at) > k:
-            at = at[score[at] >= np.partition(score[at], len(at) - k)[len(at) - k]]
-        ids, score = self.ids[at], score[at]
-        order = np.lexsort((ids, -score))
-        order = order[np.sort(np.unique(ids[order], return_index=True)[1])][:k]
-        return ids[order], score[order]
+        return self._best(at, np.round(score[at], DIGITS), k)
+
+    def _pruned(self, terms: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """The k best, from the scores of pivots in blocks that can hold one."""
+        cells = spans(self.term_cells[terms], self.term_cells[terms + 1])
+        block = self.cells[cells] % self.blocks
+        bound = np.bincount(block, self.cell_max[cells], self.blocks)
+        # Cells by block, the blocks from the highest sum down.
+        falling = np.argsort(-bound, kind="stable")
+        place = np.empty(self.blocks, np.int64)
+        place[falling] = np.arange(self.blocks)
+        cells = cells[np.argsort(place[block], kind="stable")]
+        cut = np.append(0, np.cumsum(np.bincount(place[block], minlength=self.blocks)))
+        bound = bound[falling]
+        best, score = np.empty(0, np.int64), np.empty(0)
+        slack, at, width = 10.0**-DIGITS, 0, ROUND
+        while at < self.blocks:
+            floor = score[-1] - slack if len(score) == k else 0.0
+            end = at + int(np.count_nonzero((bound[at : at + width] > 0) & (bound[at : at + width] >= floor)))
+            if end == at:
+                break
+            own = cells[cut[at] : cut[end]]
+            first, last = self.ends[own], self.ends[own + 1]
+            posting = spans(first, last)
+            # A document's number among the opened blocks.
+            docs = self.docs[posting]
+            docs = (place[docs // BLOCK] - at) * BLOCK + docs % BLOCK
+            hope = np.bincount(docs, np.repeat(self.cell_max[own], last - first), (end - at) * BLOCK)
+            pivot = (hope > 0) & (hope >= floor)
+            kept = pivot[docs]
+            total = np.round(np.bincount(docs[kept], self.shares[posting[kept]], (end - at) * BLOCK), DIGITS)
+            new = np.flatnonzero(pivot & (total >= floor))
+            best, score = self._best(np.append(best, falling[at + new // BLOCK] * BLOCK + new % BLOCK), np.append(score, total[new]), k)
+            at, width = end, 2 * width
+        return best, score
 
     def search(self, terms: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """The k best (doc_id, score)."""
-        if len(terms) > LONG:
-            return self._scored(terms, k)
-        bound = np.zeros(self.blocks)
-        parts: dict[int, list[tuple[int, int]]] = {}
-        for t in terms:
-            cells = np.arange(self.term_cells[t], self.term_cells[t + 1])
-            at = self.cells[cells] % self.blocks
-            bound[at] += self.cell_max[cells]
-            for c, b in zip(cells.tolist(), at.tolist(), strict=True):
-                parts.setdefault(b, []).append((t, c))
-        best_ids, best = np.empty(0, np.int64), np.empty(0)
-        slack = 10.0**-DIGITS
-        for b in np.argsort(-bound, kind="stable").tolist():
-            floor = best[-1] - slack if len(best) == k else 0.0
-            if bound[b] <= 0 or bound[b] < floor:
-                break
-            pieces = [(t, self.ends[c], self.ends[c + 1]) for t, c in parts[b]]
-            docs = np.concatenate([self.docs[x:y] for _, x, y in pieces]) - b * BLOCK
-            hope = np.bincount(docs, np.repeat([self.list_max[t] for t, _, _ in pieces], [y - x for _, x, y in pieces]), BLOCK)
-            score = np.bincount(docs, np.concatenate([self.shares[x:y] for _, x, y in pieces]), BLOCK)
-            at = np.flatnonzero((hope > 0) & (hope >= floor))
-            ids, scores = np.append(best_ids, self.ids[b * BLOCK + at]), np.append(best, np.round(score[at], DIGITS))
-            order = np.lexsort((ids, -scores))
-            order = order[np.sort(np.unique(ids[order], return_index=True)[1])][:k]
-            best_ids, best = ids[order], scores[order]
-        return best_ids, best
-
-
-def _search(terms: dict[bytes, int], idf: np.ndarray, mean: float, queries: list[tuple[int, np.ndarray]], k: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids: list[int] = []
-        docs, held, shares = [], [], []
-        length = 0
+        at, score = self._scored(terms, k) if len(terms) > LONG else self._pruned(terms, k)
+        return self.ids[at], score
+
+
+def _shard(row: dict, asked: np.ndarray, idf: np.ndarray, mean: float) -> Shard:
+    """The postings of the asked terms in a row of the index."""
+    ids, known, lengths = (np.frombuffer(row[c], t) for c, t in (("ids", np.int64), ("known", np.uint8), ("lengths", np.int64)))
+    own, at = _places(np.frombuffer(row["terms"], np.uint64), asked)
+    starts = np.frombuffer(row["starts"], np.int64)
+    posting = spans(starts[at], starts[at + 1])
+    docs, times = (np.frombuffer(row[c], np.int32)[posting].astype(np.int64) for c in ("docs", "times"))
+    terms = np.repeat(own, starts[at + 1] - starts[at])
+    if not known.all():
+        kept = known[docs] > 0
+        docs, times, terms = docs[kept], times[kept], terms[kept]
+    shares = idf[terms] * times * (K1 + 1) / (times + K1 * (1 - B + B * lengths[docs] / mean))
+    return Shard(ids, docs, terms, shares, len(asked))
 
-        def answer() -> pa.RecordBatch:
-            shard = Shard(ids, np.concatenate([*docs, np.empty(0, np.int64)]), np.concatenate([*held, np.empty(0, np.int64)]), np.concatenate([*shares, np.empty(0)]), len(terms))
-            found = [(q, *shard.search(t, k)) for q, t in queries] if ids else []
-            rows = [np.repeat([q for q, _, _ in found], [len(x) for _, x, _ in found]).astype(np.int64), np.concatenate([*(x for _, x, _ in found), np.empty(0, np.int64)]), np.concatenate([*(s for _, _, s in found), np.empty(0)])]
-            return pa.RecordBatch.from_arrays([pa.array(r) for r in rows], names=["query_id", "doc_id", "score"])
 
+def _search(shared, k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked, idf, mean, queries = shared.value
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if doc_id is None:
-                    continue
-                words = words_of(text)
-                found, times = _held(words, terms)
-                docs.append(np.full(len(found), len(ids)))
-                held.append(found)
-                shares.append(idf[found] * times * (K1 + 1) / (times + K1 * (1 - B + B * len(words) / mean)))
-                ids.append(doc_id)
-                length += len(words)
-                if len(ids) >= SHARD or length >= SHARD_WORDS:
-                    yield answer()
-                    ids, docs, held, shares, length = [], [], [], [], 0
-        yield answer()
+            for at in range(batch.num_rows):
+                shard = _shard({n: batch.column(n)[at].as_buffer() for n in batch.schema.names}, asked, idf, mean)
+                found = [(q, *shard.search(t, k)) for q, t in queries]
+                rows = [np.repeat(np.array([q for q, _, _ in found], np.int64), [len(x) for _, x, _ in found]), np.concatenate([x for _, x, _ in found]), np.concatenate([s for _, _, s in found])]
+                yield pa.RecordBatch.from_arrays([pa.array(r) for r in rows], names=["query_id", "doc_id", "score"])
 
     return run
 
 
-def _block(documents: DataFrame, queries: list, k: int) -> DataFrame:
-    words = [(q, sorted(set(words_of(text)))) for q, text in queries]
-    terms = {w: k for k, w in enumerate(sorted({w for _, x in words for w in x}))}
-    sums = {r["term"]: r["n"] for r in documents.mapInArrow(_count(terms), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
-    total = sums.get(-1, 0)
-    held = np.array([sums.get(t, 0) for t in range(len(terms))], float)
+def write_index(documents: DataFrame, path: str) -> None:
+    """Writes the sharded index of documents (doc_id, text) to a folder that all executors share."""
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_index, INDEX)
+    rows.write.option("parquet.block.size", GROUP_BYTES).option("parquet.page.size.row.check.min", 1).parquet(path)
+
+
+def _blocks(queries: DataFrame, query_key: str) -> Iterator[list[tuple[int, np.ndarray]]]:
+    """The queries that have a word, with the terms of each, block by block."""
+    asked = queries.select(F.col(query_key).cast("long").alias("q"), "text").filter("q IS NOT NULL AND text IS NOT NULL").orderBy("q")
+    block, size = [], 0
+    for row in asked.toLocalIterator():
+        terms = np.fromiter(set(map(term_of, words_of(row["text"]))), np.uint64)
+        if len(terms) == 0:
+            continue
+        if block and (len(block) == QUERIES or size + len(terms) > QUERY_WORDS):
+            yield block
+            block, size = [], 0
+        block.append((row["q"], np.sort(terms)))
+        size += len(terms)
+    if block:
+        yield block
+
+
+def answers(index: DataFrame, block: list[tuple[int, np.ndarray]], k: int) -> DataFrame:
+    """(query_id, doc_id, score): each shard's k best of each query of a block."""
+    context = index.sparkSession.sparkContext
+    total, words = index.agg(F.coalesce(F.sum("documents"), F.lit(0)), F.coalesce(F.sum("words"), F.lit(0))).first()
+    asked = np.unique(np.concatenate([t for _, t in block]))
+    counted = index.select("terms", "starts").mapInArrow(_count(context.broadcast(asked)), "term long, n long")
+    held = np.zeros(len(asked))
+    for r in counted.groupBy("term").agg(F.sum("n").alias("n")).collect():
+        held[r["term"]] = r["n"]
     idf = np.log(1 + (total - held + 0.5) / (held + 0.5))
-    mean = sums.get(-2, 0) / total if sums.get(-2, 0) else 1.0
-    asked = [(q, np.array([terms[w] for w in x], np.int64)) for q, x in words if x]
-    return documents.mapInArrow(_search(terms, idf, mean, asked, k), "query_id long, doc_id long, score double")
+    numbered = [(q, np.searchsorted(asked, t)) for q, t in block]
+    shared = context.broadcast((asked, idf, words / total if words else 1.0, numbered))
+    return index.drop("documents", "words").mapInArrow(_search(shared, k), FOUND)
 
 
 def search(documents: DataFrame, queries: DataFrame, k: int = 20, query_key: str = "item_id") -> DataFrame:
     """(query_id, rank, doc_id, score) of each query's k best documents."""
-    documents = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    asked = queries.select(F.col(query_key).cast("long").alias("q"), "text").filter("q IS NOT NULL AND text IS NOT NULL").orderBy("q")
-    found, block = None, []
-    rows = asked.toLocalIterator()
-    while True:
-        row = next(rows, None)
-        if row is not None:
-            block.append((row["q"], row["text"]))
-        if len(block) == QUERIES or row is None and (block or found is None):
-            part = _block(documents, block, k)
-            found = part if found is None else found.unionByName(part)
-            block = []
-        if row is None:
-            break
+    spark = documents.sparkSession
+    folder = f"{shared_dir(spark)}/bm25_{uuid.uuid4().hex}"
+    write_index(documents, f"{folder}/index")
+    index = spark.read.schema(INDEX).parquet(f"{folder}/index")
+    paths = []
+    for block in _blocks(queries, query_key):
+        paths.append(f"{folder}/found/block={len(paths)}")
+        answers(index, block, k).write.parquet(paths[-1])
+    delete(spark, f"{folder}/index")
+    found = spark.read.schema(FOUND).parquet(*paths) if paths else spark.createDataFrame([], FOUND)
     once = found.groupBy("query_id", "doc_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id"))
     return once.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score")

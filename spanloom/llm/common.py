@@ -36,6 +36,12 @@ def checkpointed(frame: DataFrame) -> DataFrame:
     return frame.checkpoint()
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """Deletes a folder that is not read any more."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def crc32_mod(column: Column, n: int) -> Column:
     """crc32 of the value as text, modulo n."""
     return F.crc32(column.cast("string").cast("binary")) % n

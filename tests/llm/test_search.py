@@ -5,6 +5,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from spanloom.llm import ann, bm25
@@ -177,6 +178,48 @@ def test_bm25_equals_brute_force(spark, monkeypatch, shard):
     assert {q: x for q, x in want.items() if x} == found
 
 
+@pytest.mark.parametrize(("shard", "words"), [(7, 900), (16384, 900), (16384, 4 << 20)])
+def test_bm25_pruning_changes_no_answer_and_opens_fewer_blocks(monkeypatch, shard, words):
+    monkeypatch.setattr(bm25, "SHARD", shard)
+    monkeypatch.setattr(bm25, "SHARD_WORDS", words)
+    monkeypatch.setattr(bm25, "BLOCK", 4)
+    draw = random.Random(5)
+    vocabulary = [f"t{int(draw.paretovariate(0.6)) % 400}" for _ in range(3000)]
+    texts = [" ".join(draw.choice(vocabulary) for _ in range(draw.randint(0, 60))) for _ in range(400)] + ["t1 " * 2000, None, ""]
+    ids = [d // 2 if d < 40 else None if d == 200 else d for d in range(len(texts))]
+    rows = [dict(zip(b.schema.names, (c[0].as_py() for c in b.columns), strict=True)) for b in bm25._index(iter([pa.RecordBatch.from_arrays([pa.array(ids), pa.array(texts)], names=["doc_id", "text"])]))]
+    assert sum(r["documents"] for r in rows) == len(texts) and max(r["documents"] for r in rows) <= shard
+    assert sum(r["words"] for r in rows) == sum(len((t or "").split()) for t in texts)
+    asked = np.unique(np.array([bm25.term_of(w.encode()) for w in set(vocabulary)], np.uint64))
+    idf = np.random.default_rng(2).uniform(0.01, 6, len(asked))
+    opened = total = 0
+    for r in rows:
+        one = bm25._shard(r, asked, idf, 30.0)
+        # Lists lie by term and document.
+        assert len(one.docs) == len(one.shares) == one.ends[-1]
+        for _ in range(20):
+            terms = np.sort(draw.sample(range(len(asked)), draw.randint(1, 9)))
+            (a, x), (b, y) = one._pruned(terms, 3), one._scored(terms, 3)
+            assert one.ids[a].tolist() == one.ids[b].tolist() and x.tolist() == pytest.approx(y.tolist())
+            assert 200 not in one.ids[a].tolist()
+            cells = bm25.spans(one.term_cells[terms], one.term_cells[terms + 1])
+            bound = np.bincount(one.cells[cells] % one.blocks, one.cell_max[cells], one.blocks)
+            opened += int((bound >= (x[-1] if len(x) == 3 else 0)).sum())
+            total += one.blocks
+    # Small shards have few blocks to leave out.
+    assert opened < total * (0.5 if words > 900 else 1)
+
+
+def test_bm25_takes_queries_in_blocks(spark, monkeypatch):
+    documents = spark.createDataFrame([(d, f"a b{d % 7} c{d % 11}") for d in range(80)] + [(None, "a")], "doc_id long, text string")
+    queries = spark.createDataFrame([(q, f"b{q % 7} c{q % 5} a a") for q in range(9)], "item_id long, text string")
+    whole = bm25.search(documents, queries, 4).collect()
+    monkeypatch.setattr(bm25, "QUERIES", 2)
+    assert sorted(bm25.search(documents, queries, 4).collect()) == sorted(whole)
+    monkeypatch.setattr(bm25, "QUERY_WORDS", 1)
+    assert sorted(bm25.search(documents, queries, 4).collect()) == sorted(whole)
+
+
 def test_bm25_on_empty_tables_and_repeated_rows(spark):
     documents = spark.createDataFrame([(1, "a b", "x"), (1, "a b", "x"), (None, "a", "x")], "doc_id long, text string, rank string")
     queries = spark.createDataFrame([(0, "a")], "item_id long, text string")
