@@ -7,11 +7,12 @@ row per key, merge-anti-joins every run, and writes the rest as a run of level
 0; ``fanout`` runs of a level are compacted into one of the next. As batches
 rise by doc_id, a key's row names the smallest doc_id that holds it.
 
-Runs stay in their folder after a call. ``LineRuns.open`` finds them again, and
-a later call with these runs drops the lines that they hold from all its
-documents, whatever their doc_ids, and adds its own. Only while batches are
-added are the runs tables of the session's catalog; folders of compacted runs
-are deleted.
+Runs that a caller gives stay in their folder after a call. ``LineRuns.open``
+finds them again, and a later call with these runs drops the lines that they
+hold from all its documents, whatever their doc_ids, and adds its own. Only
+while batches are added are the runs tables of the session's catalog; folders
+of compacted runs are deleted, and so is all that a call without given runs
+has written but for the keys that each document loses.
 
 A key is the line without white space at its ends, A-Z in lower case; keys
 under ``LEAST`` code points are never dropped. 128-bit hashes stand for keys.
@@ -35,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from spanloom.llm.common import SPACES, checkpointed, shared_dir, shuffle_width
+from spanloom.llm.common import SPACES, checkpointed, delete, shared_dir, shuffle_width
 
 LEAST = 10
 BATCHES = 4
@@ -105,12 +106,9 @@ class LineRuns:
             found.made = max(found.made, int(path.rsplit("=", 1)[1]))
         return found
 
-    def _files(self, path: str):
-        at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        return at.getFileSystem(self.spark._jsc.hadoopConfiguration()), at
-
     def _folders(self) -> list[str]:
-        files, at = self._files(f"{self.folder}/level=*/run=*")
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/level=*/run=*")
+        files = at.getFileSystem(self.spark._jsc.hadoopConfiguration())
         return [x.getPath().toString() for x in files.globStatus(at) or []]
 
     def _write(self, frame: DataFrame, level: int) -> None:
@@ -151,8 +149,7 @@ class LineRuns:
         self.levels[level] = []
         for name in gone:
             self._forget(name)
-            files, at = self._files(self.paths.pop(name))
-            files.delete(at, True)
+            delete(self.spark, self.paths.pop(name))
 
     def _forget(self, name: str) -> None:
         if name in self.known:
@@ -173,6 +170,7 @@ def dedup_lines(documents: DataFrame, batches: int = BATCHES, fanout: int = FANO
     """(doc_id, text, the columns of ``keep``, n_lines, n_dropped, kept): each text without the lines that a smaller doc_id, or a run given, holds."""
     spark = documents.sparkSession
     documents = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *keep)
+    given = runs is not None
     earlier = None if runs is None or not runs.runs() else checkpointed(runs.owners().select("key"))
     runs = LineRuns(spark, fanout) if runs is None else runs
     pairs_at = f"{runs.folder}/pairs_{uuid.uuid4().hex}"
@@ -187,7 +185,9 @@ def dedup_lines(documents: DataFrame, batches: int = BATCHES, fanout: int = FANO
     owned = runs.owners()
     if earlier is not None:
         owned = owned.join(earlier, "key", "left_anti").unionByName(earlier.select("key", F.lit(None).cast("long").alias("owner")))
-    drops = pairs.join(owned, "key").filter(~F.col("doc_id").eqNullSafe(F.col("owner"))).groupBy("doc_id").agg(F.collect_set("key").alias("drops"))
+    drops = checkpointed(pairs.join(owned, "key").filter(~F.col("doc_id").eqNullSafe(F.col("owner"))).groupBy("doc_id").agg(F.collect_set("key").alias("drops")))
+    # With the drops written, nothing reads the pairs any more, nor runs that no caller knows of.
+    delete(spark, pairs_at if given else runs.folder)
     joined = documents.join(drops.withColumnRenamed("doc_id", "_id"), F.col("doc_id") == F.col("_id"), "left").select("doc_id", "text", "drops", *keep)
     schema = T.StructType([*documents.schema.fields, *(T.StructField(n, T.LongType()) for n in ("n_lines", "n_dropped")), T.StructField("kept", T.StringType())])
     return joined.mapInArrow(_filter, schema)

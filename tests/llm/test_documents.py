@@ -2,11 +2,13 @@
 
 import hashlib
 import random
+from pathlib import Path
 
 import numpy as np
 import pytest
 
 from spanloom.llm import bpe, html_text, lang_id, line_dedup, mixing, ngram_join, sharding, toxicity
+from spanloom.llm.common import shared_dir
 
 tokenizers = pytest.importorskip("public_tokenizers")
 RANKS = tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -98,6 +100,18 @@ def test_line_dedup_equals_brute_force(spark, batches):
     assert {r["doc_id"]: (r["n_lines"], r["n_dropped"], r["kept"]) for r in got} == brute_lines(rows)
 
 
+def test_line_dedup_leaves_no_run_behind_but_those_given(spark):
+    folder = Path(shared_dir(spark).removeprefix("file:"))
+    frame = spark.createDataFrame([(1, "the first long line\nshort"), (2, "the first long line")], "doc_id long, text string")
+    before = set(folder.glob("line_runs_*"))
+    got = line_dedup.dedup_lines(frame)
+    assert set(folder.glob("line_runs_*")) == before
+    assert {r["doc_id"]: r["kept"] for r in got.collect()} == {1: "the first long line\nshort", 2: ""}
+    given = line_dedup.LineRuns(spark)
+    line_dedup.dedup_lines(frame, runs=given)
+    assert {p.name.split("=")[0] for p in Path(given.folder.removeprefix("file:")).iterdir()} == {"level"}
+
+
 def test_line_dedup_on_awkward_rows(awkward, empty):
     got = {r["doc_id"]: r for r in line_dedup.dedup_lines(awkward, keep=["lang", "shard"]).collect()}
     assert got[5]["kept"] == "" and got[5]["n_dropped"] == 2 and got[1]["n_dropped"] == 0 and got[1]["shard"] == "clash"
