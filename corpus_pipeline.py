@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spanloom.llm import bpe, line_dedup, mixing, ngram_join, toxicity
-from spanloom.llm.common import crc32_mod, shared_dir, table
+from spanloom.llm.common import crc32_mod, delete, shared_dir, table
 
 def _packed(docs: DataFrame) -> DataFrame:
     """doc_id and text, and the whole row as one column, so that no other column's name can clash."""
@@ -104,17 +104,11 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             docs.write.parquet(path)
             docs = spark.read.parquet(path)
             if before is not None:
-                _delete(spark, before)
+                delete(spark, before)
             before = path
     return docs
 
 
-def _delete(spark: SparkSession, path: str) -> None:
-    """Deletes what a stage read, once its own result is written."""
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-
-
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {"pipeline": run}
 
