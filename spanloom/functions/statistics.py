@@ -10,10 +10,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from spanloom.session import shuffle_width
+
 #: Differences up to this count as equal.
 EPSILON = 2.220446049250313e-16
 PERMUTATIONS = 1001
 SEED = 17
+TASKS_PER_CORE = 16
 
 
 def equal(a: Column, b: Column) -> Column:
@@ -44,26 +47,31 @@ def spearman(pairs: DataFrame, by: list[str], x: str = "x", y: str = "y") -> Dat
     return sums.select(*by, "n", F.when(bottom > 0, F.try_divide(top, F.sqrt(bottom))).alias("rho"))
 
 
-def _ranks(codes: np.ndarray, many: int) -> np.ndarray:
-    """Ranks from 1 of values given by their places among ``many`` sorted distinct ones, ties sharing their mean rank."""
-    times = np.bincount(codes, minlength=many)
-    return (np.cumsum(times) - (times - 1) / 2)[codes]
-
-
 def _rho(a: np.ndarray, b: np.ndarray) -> float:
     """Spearman's rho from ranks, by the sums of ``spearman``; not a number where one side is constant."""
-    n, sa, sb = len(a), a.sum(), b.sum()
-    bottom = (n * (a @ a) - sa * sa) * (n * (b @ b) - sb * sb)
-    return float((n * (a @ b) - sa * sb) / math.sqrt(bottom)) if bottom > 0 else math.nan
+    n = len(a)
+    # Ranks sum to this, ties or not.
+    total = n * (n + 1) / 2
+    bottom = (n * (a @ a) - total * total) * (n * (b @ b) - total * total)
+    return float((n * (a @ b) - total * total) / math.sqrt(bottom)) if bottom > 0 else math.nan
 
 
 def rho_and_p(x: np.ndarray, y: np.ndarray, seed: int | list[int]) -> tuple[float, float]:
-    """Spearman's rho, and the share of shuffles of both samples' pool whose |rho| is not under the observed one; undefined ones count."""
+    """Spearman's rho, and the share of shuffles of both samples' pool whose |rho| is not under the observed one; undefined ones count.
+
+    Values are places among the pool's sorted distinct ones. A shuffle leaves
+    the pool's counts as they are, so the ranks of one side give the other's.
+    """
     values, pool = np.unique(np.concatenate([x, y]), return_inverse=True)
     n, many = len(x), len(values)
+    times = np.bincount(pool, minlength=many)
+    both = np.cumsum(times) - times / 2 + 1
 
     def rho() -> float:
-        return _rho(_ranks(pool[:n], many), _ranks(pool[n:], many))
+        first = np.bincount(pool[:n], minlength=many)
+        ranks = np.cumsum(first) - first * 0.5
+        ranks += 0.5
+        return _rho(ranks.take(pool[:n]), (both - ranks).take(pool[n:]))
 
     observed = rho()
     draw = np.random.default_rng(seed)
@@ -82,6 +90,8 @@ def spearman_test(pairs: DataFrame, by: str, x: str = "x", y: str = "y") -> Data
     """(by, rho, p_value): with a seed per group, whatever the order of groups.
 
     A group's pairs are at most the reads of one event, held as two arrays.
+    Small groups of pairs are long work, so tasks are many for each core, and
+    as many as asked for: few uneven ones would leave cores idle at the end.
     """
     kind = pairs.schema[by].dataType
     schema = T.StructType([T.StructField(by, kind), T.StructField("rho", T.DoubleType()), T.StructField("p_value", T.DoubleType())])
@@ -93,7 +103,8 @@ def spearman_test(pairs: DataFrame, by: str, x: str = "x", y: str = "y") -> Data
         rho, p = rho_and_p(a, b, [SEED, int(key) if isinstance(key, (int, np.integer)) else sum(str(key).encode())])
         return pd.DataFrame({by: [key], "rho": [None if math.isnan(rho) else rho], "p_value": [p]})
 
-    return pairs.select(by, x, y).groupBy(by).applyInPandas(test, schema)
+    tasks = max(shuffle_width(pairs.sparkSession), TASKS_PER_CORE * pairs.sparkSession.sparkContext.defaultParallelism)
+    return pairs.select(by, x, y).repartition(tasks, by).groupBy(by).applyInPandas(test, schema)
 
 
 def _log10(value: Column) -> Column:
