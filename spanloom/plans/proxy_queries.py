@@ -20,7 +20,7 @@ from spanloom.operators import fragments as P
 from spanloom.operators import intervals as I
 from spanloom.operators import vcf as V
 from spanloom.plans import proxies as X
-from spanloom.session import shared_folder
+from spanloom.session import shared_folder, stored
 from spanloom.sources import bam as B
 from spanloom.sources import text_formats as T
 
@@ -82,23 +82,31 @@ judged AS (
 
 
 # The same parts for Spark.
-#: The proxy reads of the query that is being built, where it uses them often enough to write them first.
-_written: ContextVar[DataFrame | None] = ContextVar("written", default=None)
+#: The parts of the query that is being built which are written already, where it uses them often enough to write them first.
+_written: ContextVar[dict[str, Callable[[], DataFrame]] | None] = ContextVar("written", default=None)
 
 
-def _alignments(spark: SparkSession, d: str) -> DataFrame:
-    found = _written.get()
-    return X.alignments(spark, d) if found is None else found
+def _part(make: Query) -> Query:
+    """A part of queries; in those that write first, it is written to the shared folder at its first use and read from there at each."""
+
+    @functools.wraps(make)
+    def part(spark, d):
+        held = _written.get()
+        if held is None:
+            return make(spark, d)
+        if make.__name__ not in held:
+            held[make.__name__] = stored(make(spark, d))
+        return held[make.__name__]()
+
+    return part
 
 
 def _write_first(run: Query) -> Query:
-    """The query over reads that are written to the shared folder once, rather than derived at each use."""
+    """The query over parts that are written to the shared folder once, rather than derived at each use."""
 
     @functools.wraps(run)
     def query(spark, d):
-        path = f"{shared_folder(spark)}/reads_{uuid.uuid4().hex}"
-        X.alignments(spark, d).write.parquet(path)
-        token = _written.set(spark.read.parquet(path))
+        token = _written.set({})
         try:
             return run(spark, d)
         finally:
@@ -107,22 +115,40 @@ def _write_first(run: Query) -> Query:
     return query
 
 
+@_part
+def _alignments(spark: SparkSession, d: str) -> DataFrame:
+    return X.alignments(spark, d)
+
+
+@_part
 def _kept(spark: SparkSession, d: str) -> DataFrame:
     return P.fragment_filter(_alignments(spark, d))
 
 
+@_part
+def _hits(spark: SparkSession, d: str) -> DataFrame:
+    return P.exon_overlaps(_kept(spark, d), X.exons(spark, d))
+
+
+@_part
+def _marked(spark: SparkSession, d: str) -> DataFrame:
+    return P.mark_exonic(_kept(spark, d), _hits(spark, d))
+
+
 def _typed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    reads, exons = _kept(spark, d), X.exons(spark, d)
-    hits = P.exon_overlaps(reads, exons)
-    return P.mark_exonic(reads, hits), hits, exons
+    return _marked(spark, d), _hits(spark, d), X.exons(spark, d)
+
+
+@_part
+def _strip_ids(spark: SparkSession, d: str) -> DataFrame:
+    """The strips' numbers; where they are written first, their size is known, so reads need no shuffle to be joined with them."""
+    strips = _alignments(spark, d).select("chr", F.floor(F.col("pos") / 20000).alias("strip")).distinct()
+    return strips.withColumn("cluster_id", F.row_number().over(Window.orderBy("chr", "strip")).cast("long"))
 
 
 def _strip(spark: SparkSession, d: str) -> DataFrame:
     """A clustering: strips of 20,000 positions, with the source as sub-number."""
-    rows = _alignments(spark, d)
-    strips = rows.select("chr", F.floor(F.col("pos") / 20000).alias("strip")).distinct()
-    ids = strips.withColumn("cluster_id", F.row_number().over(Window.orderBy("chr", "strip")).cast("long"))
-    joined = rows.withColumn("strip", F.floor(F.col("pos") / 20000)).join(ids, ["chr", "strip"])
+    joined = _alignments(spark, d).withColumn("strip", F.floor(F.col("pos") / 20000)).join(_strip_ids(spark, d), ["chr", "strip"])
     return joined.select(
         "cluster_id",
         F.col("source_id").alias("cluster_sid"),
@@ -133,6 +159,7 @@ def _strip(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+@_part
 def _windows(spark: SparkSession, d: str) -> DataFrame:
     return C.cluster_windows(_strip(spark, d), _alignments(spark, d))
 
@@ -568,6 +595,7 @@ def orientation_pairs(spark, d):
 @query("""SELECT id, min(chr) AS chr, min(start_pos) AS window_start, max(end_pos) AS window_end, string_agg(DISTINCT gene_name, '/' ORDER BY gene_name) AS parental_gene_name, 1 + max(sid) % 2 AS level,
   arg_min((start_pos + end_pos) // 2, {'s': start_pos, 'i': sid}) AS insertion_point, 1 AS insertion_point_type, CASE WHEN id % 2 = 0 THEN (id % 7 - 3) / 8.0 END AS orientation_rho, CASE WHEN id % 2 = 0 THEN (id % 5) / 50.0 END AS orientation_p_value
 FROM win GROUP BY id""")
+@_write_first
 def event_rows(spark, d):
     windows = _windows(spark, d)
     none = windows.select("id", "sid", F.lit(None).cast("long").alias("clip"))

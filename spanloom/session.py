@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
+from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -43,5 +45,13 @@ def checkpointed(frame: DataFrame) -> DataFrame:
     return frame.checkpoint()
 
 
+def stored(frame: DataFrame) -> Callable[[], DataFrame]:
+    """Writes the frame once, as columns, to the shared folder; each call reads it from there, with columns of its own."""
+    spark = frame.sparkSession
+    path = f"{shared_folder(spark)}/part_{uuid.uuid4().hex}"
+    frame.write.parquet(path)
+    return lambda: spark.read.schema(frame.schema).parquet(path)
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
