@@ -562,6 +562,7 @@ def cluster_filter_mask(spark, d):
   SELECT id, sid, clip FROM (SELECT id, sid, clip, row_number() OVER (PARTITION BY id, sid ORDER BY count(*) DESC, clip ASC NULLS LAST) AS n FROM clip GROUP BY id, sid, clip) WHERE n = 1
 ) SELECT w.id, w.sid, coalesce(b.clip, cast(floor((w.start_pos + w.end_pos) / 2) AS bigint)) AS point, CASE WHEN b.clip IS NULL THEN 1 ELSE 2 END AS point_type
 FROM win w LEFT JOIN best b ON w.id = b.id AND w.sid = b.sid""")
+@_write_first
 def clip_mode_insertion_point(spark, d):
     return E.insertion_points(_windows(spark, d), E.clip_modes(_strip(spark, d), _alignments(spark, d)))
 
