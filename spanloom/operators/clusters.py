@@ -13,7 +13,7 @@ from spanloom.functions import reads as R
 from spanloom.operators.fragments import strided_ids
 from spanloom.operators.intervals import overlap_join
 from spanloom.schema import ClusterFilter, Label, ReadType
-from spanloom.session import checkpointed
+from spanloom.session import checkpointed, stored
 
 
 def mate_points(alignments: DataFrame, overlapping: DataFrame, exons: DataFrame) -> DataFrame:
@@ -116,8 +116,11 @@ def cluster_points(points: DataFrame, by: list[str], eps: int = 300, min_pts: in
 def core_points(points: DataFrame, by: list[str], eps: int, min_pts: int) -> DataFrame:
     """(by, id, neighbors) of the points with enough neighbours, in built-in functions only: no group is gathered."""
     centre = F.floor((F.col("low") + F.col("high")) / 2)
+    # Both sides of the join read the points, which can be long work.
+    written = stored(points.select(*by, "id", "low", "high"))
+    points = written()
     asked = points.select(*(F.col(b).alias(f"_{b}") for b in by), "id", F.concat_ws("\x1f", *by).alias("_group"), F.greatest(centre - eps, F.lit(1)).alias("_from"), (centre + eps).alias("_to"))
-    others = points.select(F.concat_ws("\x1f", *by).alias("_group2"), F.col("low").alias("_low"), F.col("high").alias("_high"))
+    others = written().select(F.concat_ws("\x1f", *by).alias("_group2"), F.col("low").alias("_low"), F.col("high").alias("_high"))
     pairs = overlap_join(asked, others, ("_group", "_from", "_to"), ("_group2", "_low", "_high"), width=max(2 * eps, 1))
     found = pairs.groupBy(*(f"_{b}" for b in by), "id").agg(F.count("*").alias("neighbors")).filter(F.col("neighbors") >= min_pts)
     return found.select(*(F.col(f"_{b}").alias(b) for b in by), "id", "neighbors")
