@@ -84,9 +84,10 @@ def orientation_pairs(merging: DataFrame, clustering: DataFrame, alignments: Dat
     spots = alignments.select(F.col("id").alias("alignment_id"), "qname", "source_id", F.col("pos").alias("x"))
     reads = merging.join(clustering.select("cluster_id", "cluster_sid", "alignment_id"), ["cluster_id", "cluster_sid"]).join(spots, "alignment_id")
     mates = alignments.filter(R.flagged("type", ReadType.EXONIC)).select(F.col("id").alias("mate_id"), "qname", "source_id", F.col("pos").alias("y"))
-    # Any read of the fragment in the cluster can bring the mate along.
-    brought = reads.select("cluster_id", "cluster_sid", "alignment_id", "qname", "source_id").join(mates, ["qname", "source_id"]).filter("alignment_id <> mate_id").select("cluster_id", "cluster_sid", "qname", "source_id", "y").distinct()
-    return reads.join(brought, ["cluster_id", "cluster_sid", "qname", "source_id"]).select("retrocopy_id", "x", "y").distinct()
+    # Any other read of the fragment in the cluster can bring the mate along for all of them.
+    pairs = reads.join(mates, ["qname", "source_id"])
+    brought = F.max(F.col("alignment_id") != F.col("mate_id")).over(Window.partitionBy("qname", "source_id", "cluster_id", "cluster_sid", "mate_id"))
+    return pairs.withColumn("_brought", brought).filter("_brought").select("retrocopy_id", "x", "y").distinct()
 
 
 def events(merging: DataFrame, clusters: DataFrame, points: DataFrame, orientation: DataFrame) -> DataFrame:
