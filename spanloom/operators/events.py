@@ -170,7 +170,9 @@ def hosts(retrocopies: DataFrame, exons: DataFrame, near_distance: int = 10000,
 
 def depths(retrocopies: DataFrame, merging: DataFrame, clustering: DataFrame, alignments: DataFrame) -> DataFrame:
     """(rid, depth, split_reads): distinct clustered reads, and those of them that are clipped at the insertion point."""
-    listed = merging.select("retrocopy_id", "cluster_id", "cluster_sid").join(clustering.select("cluster_id", "cluster_sid", "alignment_id"), ["cluster_id", "cluster_sid"]).select("retrocopy_id", "alignment_id").distinct()
+    listed = merging.select("retrocopy_id", "cluster_id", "cluster_sid").join(clustering.select("cluster_id", "cluster_sid", "alignment_id"), ["cluster_id", "cluster_sid"]).select("retrocopy_id", "alignment_id")
+    # Dealt by read, for both the distinct rows and the join.
+    listed = listed.repartition("alignment_id").distinct()
     reads = alignments.select(F.col("id").alias("alignment_id"), "flag", R.clip_position().alias("_clip"))
     joined = listed.join(reads, "alignment_id").join(retrocopies.select(F.col("id").alias("retrocopy_id"), "insertion_point"), "retrocopy_id")
     split: Column = R.flagged("flag", Flag.SUPPLEMENTARY) & (F.col("_clip") == F.col("insertion_point"))
