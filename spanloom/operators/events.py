@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+import operator
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,8 +13,9 @@ from spanloom.functions import statistics as S
 from spanloom.functions.containers import joined_names
 from spanloom.operators.clusters import gene_extents
 from spanloom.operators.fragments import strided_ids
-from spanloom.operators.intervals import point_join
+from spanloom.operators.intervals import BIN, point_join
 from spanloom.schema import PASSING, Flag, Level, PointType, ReadType
+from spanloom.session import stored
 
 
 def gene_ranks(genes: DataFrame) -> DataFrame:
@@ -19,12 +23,32 @@ def gene_ranks(genes: DataFrame) -> DataFrame:
     return genes.withColumn("rank", F.dense_rank().over(Window.partitionBy("gene_chr").orderBy("gene_start", "gene_end")))
 
 
-def islands(windows: DataFrame, by: list[str], low: str, high: str, order: list[str]) -> DataFrame:
-    """Adds island: a number, from 1 in each group, of runs of overlapping windows."""
-    ordered = Window.partitionBy(*by).orderBy(low, high, *order)
+def islands(windows: DataFrame, by: list[str], low: str, high: str, order: list[str], width: int = BIN) -> DataFrame:
+    """Adds island: a number, from 1 in each group, of runs of overlapping windows.
+
+    A group is cut by low into bins, so a task holds some bins rather than a
+    chromosome. Each bin numbers its own runs; of these, the first ones, which
+    start within what earlier bins reach, go on from there. Only one row a bin
+    is ordered over the whole group.
+    """
+    ordered = Window.partitionBy(*by, "_bin").orderBy(low, high, *order)
     reach = F.max(high).over(ordered.rowsBetween(Window.unboundedPreceding, -1))
-    start = windows.withColumn("_new", F.when(reach.isNull() | (F.col(low) > reach), 1).otherwise(0))
-    return start.withColumn("island", F.sum("_new").over(ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow))).drop("_new")
+    own = windows.withColumn("_bin", F.floor(F.col(low) / width)).withColumn("_new", reach.isNull() | F.coalesce(F.col(low) > reach, F.lit(False)))
+    numbered = stored(own.withColumn("_own", F.sum(F.col("_new").cast("int")).over(ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow))))
+    before = Window.partitionBy(*by).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+
+    def looked_up(rows: DataFrame, bins: DataFrame, *columns: str) -> DataFrame:
+        keys = [*by, "_bin"]
+        named = bins.select(*(F.col(k).alias(f"_at_{k}") for k in keys), *columns)
+        return rows.join(named, functools.reduce(operator.and_, (F.col(k).eqNullSafe(F.col(f"_at_{k}")) for k in keys))).drop(*(f"_at_{k}" for k in keys))
+
+    bins = numbered().groupBy(*by, "_bin").agg(F.max(high).alias("_top"), F.max("_own").alias("_many")).withColumn("_reach", F.max("_top").over(before))
+    reached = stored(bins.drop("_top"))
+    covered = F.count_if(~(F.col("_reach").isNull() | F.coalesce(F.col(low) > F.col("_reach"), F.lit(False))))
+    starts = looked_up(numbered().filter("_new"), reached(), "_reach", "_many").groupBy(*by, "_bin").agg(covered.alias("_covered"), F.max("_many").alias("_many"))
+    placed = stored(starts.withColumn("_before", F.coalesce(F.sum(F.col("_many") - F.col("_covered")).over(before), F.lit(0))).drop("_many"))
+    found = looked_up(numbered(), placed(), "_covered", "_before")
+    return found.withColumn("island", F.col("_before") + F.greatest(F.col("_own") - F.col("_covered"), F.lit(0))).drop("_bin", "_new", "_own", "_covered", "_before")
 
 
 def parental_runs(ranked: DataFrame, near_rank: int = 3) -> DataFrame:
