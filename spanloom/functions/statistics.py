@@ -10,13 +10,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from spanloom.session import shuffle_width
+from spanloom.session import many_tasks
 
 #: Differences up to this count as equal.
 EPSILON = 2.220446049250313e-16
 PERMUTATIONS = 1001
 SEED = 17
-TASKS_PER_CORE = 16
 
 
 def equal(a: Column, b: Column) -> Column:
@@ -90,8 +89,7 @@ def spearman_test(pairs: DataFrame, by: str, x: str = "x", y: str = "y") -> Data
     """(by, rho, p_value): with a seed per group, whatever the order of groups.
 
     A group's pairs are at most the reads of one event, held as two arrays.
-    Small groups of pairs are long work, so tasks are many for each core, and
-    as many as asked for: few uneven ones would leave cores idle at the end.
+    Small groups of pairs are long work, so tasks are many.
     """
     kind = pairs.schema[by].dataType
     schema = T.StructType([T.StructField(by, kind), T.StructField("rho", T.DoubleType()), T.StructField("p_value", T.DoubleType())])
@@ -103,8 +101,7 @@ def spearman_test(pairs: DataFrame, by: str, x: str = "x", y: str = "y") -> Data
         rho, p = rho_and_p(a, b, [SEED, int(key) if isinstance(key, (int, np.integer)) else sum(str(key).encode())])
         return pd.DataFrame({by: [key], "rho": [None if math.isnan(rho) else rho], "p_value": [p]})
 
-    tasks = max(shuffle_width(pairs.sparkSession), TASKS_PER_CORE * pairs.sparkSession.sparkContext.defaultParallelism)
-    return pairs.select(by, x, y).repartition(tasks, by).groupBy(by).applyInPandas(test, schema)
+    return pairs.select(by, x, y).repartition(many_tasks(pairs.sparkSession), by).groupBy(by).applyInPandas(test, schema)
 
 
 def _log10(value: Column) -> Column:

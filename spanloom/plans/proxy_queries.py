@@ -20,7 +20,7 @@ from spanloom.operators import fragments as P
 from spanloom.operators import intervals as I
 from spanloom.operators import vcf as V
 from spanloom.plans import proxies as X
-from spanloom.session import shared_folder, stored
+from spanloom.session import many_tasks, shared_folder, stored
 from spanloom.sources import bam as B
 from spanloom.sources import text_formats as T
 
@@ -699,15 +699,17 @@ def bam_parse(spark, d):
     schema = "source_id long, content binary"
 
     def pack(group):
+        import itertools
+
         import pandas as pd
 
         from spanloom.sources import bam
 
         fields = ("qname", "flag", "chr", "pos", "mapq", "cigar", "chr_next", "pos_next")
-        made = bam.encoded(([*r, "ACGT"] for r in group[list(fields)].itertuples(index=False)), CONTIGS)
+        made = bam.encoded(zip(*(group[f].tolist() for f in fields), itertools.repeat("ACGT")), CONTIGS)
         return pd.DataFrame([(group["source_id"].iloc[0], made)], columns=["source_id", "content"])
 
-    files = rows.withColumn("part", F.pmod(F.xxhash64("qname"), F.lit(100))).groupBy("source_id", "part").applyInPandas(pack, schema)
+    files = rows.withColumn("part", F.pmod(F.xxhash64("qname"), F.lit(100))).repartition(many_tasks(spark), "source_id", "part").groupBy("source_id", "part").applyInPandas(pack, schema)
     return B.parse_bam(files, "source_id").select("source_id", "qname", "flag", "chr", "pos", "mapq", "cigar", "chr_next", "pos_next", "seq", "qlen")
 
 

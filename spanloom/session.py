@@ -11,6 +11,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+TASKS_PER_CORE = 16
 _shipped: set[str] = set()
 
 
@@ -55,3 +56,8 @@ def stored(frame: DataFrame) -> Callable[[], DataFrame]:
 
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def many_tasks(spark: SparkSession) -> int:
+    """Tasks for long work on few bytes, which Spark would join into few, uneven ones that leave cores idle at the end."""
+    return max(shuffle_width(spark), TASKS_PER_CORE * spark.sparkContext.defaultParallelism)

@@ -11,6 +11,8 @@ so a wrong start cannot go unseen.
 
 from __future__ import annotations
 
+import functools
+import itertools
 import struct
 import zlib
 from collections.abc import Iterable, Iterator
@@ -30,6 +32,7 @@ BATCH = 10_000
 #: Records that must follow each other for a start to be taken as one.
 CHAIN = 8
 FIXED = struct.Struct("<iiBBHHHiiii")
+RECORD = struct.Struct("<iiiBBHHHiiii")
 
 
 def inflate(data: bytes) -> Iterator[bytes]:
@@ -116,20 +119,36 @@ def whole_records(data: bytes, at: int) -> int:
     return at
 
 
+#: The two bases of each byte, as its two hexadecimal digits name them.
+_LETTERS = str.maketrans("0123456789abcdef", BASES)
+
+
+@functools.lru_cache(1 << 16)
+def _cigar(ops: bytes) -> str:
+    return "".join(f"{op >> 4}{KINDS[op & 15]}" for op in struct.unpack(f"<{len(ops) // 4}I", ops)) or "*"
+
+
+@functools.lru_cache(1 << 16)
+def _ops(cigar: str) -> bytes:
+    ops, length = [], 0
+    for c in "" if cigar == "*" else cigar:
+        if c.isdigit():
+            length = 10 * length + int(c)
+        else:
+            ops.append(length << 4 | KINDS.index(c))
+            length = 0
+    return struct.pack(f"<{len(ops)}I", *ops)
+
+
 def decoded(data: bytes, at: int, end: int) -> Iterator[tuple]:
     """(qname, flag, ref, pos, mapq, cigar, ref_next, pos_next, seq) of each alignment; references are numbers."""
+    fixed = RECORD.unpack_from
     while at < end:
-        (size,) = struct.unpack_from("<i", data, at)
-        ref, pos, l_name, mapq, _, n_ops, flag, l_seq, ref2, pos2, _ = FIXED.unpack_from(data, at + 4)
-        spot = at + 36
-        name = data[spot : spot + l_name - 1].decode()
-        spot += l_name
-        ops = struct.unpack_from(f"<{n_ops}I", data, spot)
-        spot += 4 * n_ops
-        packed = data[spot : spot + (l_seq + 1) // 2]
-        seq = "".join(BASES[b >> 4] + BASES[b & 15] for b in packed)[:l_seq] or "*"
-        cigar = "".join(f"{op >> 4}{KINDS[op & 15]}" for op in ops) or "*"
-        yield name, flag, ref, pos + 1, mapq, cigar, ref2, pos2 + 1, seq
+        size, ref, pos, l_name, mapq, _, n_ops, flag, l_seq, ref2, pos2, _ = fixed(data, at)
+        spot = at + 36 + l_name
+        bases = spot + 4 * n_ops
+        seq = data[bases : bases + (l_seq + 1) // 2].hex().translate(_LETTERS)[:l_seq] or "*"
+        yield data[at + 36 : spot - 1].decode(), flag, ref, pos + 1, mapq, _cigar(data[spot:bases]), ref2, pos2 + 1, seq
         at += 4 + size
 
 
@@ -144,25 +163,23 @@ def records(data: bytes) -> Iterator[tuple]:
         yield name, flag, names[ref] if ref >= 0 else "*", pos, mapq, cigar, names[ref2] if ref2 >= 0 else "*", pos2, seq
 
 
+@functools.lru_cache(1 << 12)
+def _bases(seq: str) -> tuple[int, bytes]:
+    """The number of bases, and them and their missing qualities as bytes."""
+    bases = "" if seq == "*" else seq
+    codes = [BASES.index(b) for b in bases] + [0] * (len(bases) % 2)
+    return len(bases), bytes(a << 4 | b for a, b in zip(codes[::2], codes[1::2], strict=True)) + b"\xff" * len(bases)
+
+
 def encoded(rows: Iterable[tuple], names: list[str], block: int = 60_000) -> bytes:
     """A whole file of rows like those of ``records``."""
     number = {name: k for k, name in enumerate(names)} | {"*": -1}
     out = [b"BAM\x01" + struct.pack("<ii", 0, len(names))]
     out += [struct.pack("<i", len(n) + 1) + n.encode() + b"\0" + struct.pack("<i", (1 << 31) - 1) for n in names]
     for name, flag, ref, pos, mapq, cigar, ref2, pos2, seq in rows:
-        bases = "" if seq == "*" else seq
-        codes = [BASES.index(b) for b in bases] + [0] * (len(bases) % 2)
-        ops, length = [], 0
-        for c in "" if cigar == "*" else cigar:
-            if c.isdigit():
-                length = 10 * length + int(c)
-            else:
-                ops.append(length << 4 | KINDS.index(c))
-                length = 0
-        raw = name.encode() + b"\0"
-        body = FIXED.pack(number[ref], pos - 1, len(raw), mapq, 0, len(ops), flag, len(bases), number[ref2], pos2 - 1, 0) + raw + struct.pack(f"<{len(ops)}I", *ops)
-        body += bytes(a << 4 | b for a, b in zip(codes[::2], codes[1::2], strict=True)) + b"\xff" * len(bases)
-        out.append(struct.pack("<i", len(body)) + body)
+        raw, ops, (n, bases) = name.encode() + b"\0", _ops(cigar), _bases(seq)
+        size = 32 + len(raw) + len(ops) + len(bases)
+        out.append(RECORD.pack(size, number[ref], pos - 1, len(raw), mapq, 0, len(ops) // 4, flag, n, number[ref2], pos2 - 1, 0) + raw + ops + bases)
     plain, packed = b"".join(out), []
     for at in [*range(0, len(plain), block), len(plain)]:
         chunk = plain[at : at + block]
@@ -292,9 +309,14 @@ def parse_bam(files: DataFrame, keep: str = "path") -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for name, content in zip(batch[keep], batch["content"], strict=True):
-                yield pd.DataFrame([(name, *r) for r in records(bytes(content))], columns=[keep, "qname", "flag", "chr", "pos", "mapq", "cigar", "chr_next", "pos_next", "seq"])
+                rows = records(bytes(content))
+                while held := list(itertools.islice(rows, BATCH)):
+                    frame = pd.DataFrame(dict(zip(names, zip(*held, strict=True), strict=True)))
+                    frame.insert(0, keep, name)
+                    yield frame
 
     kind = files.schema[keep].dataType.simpleString()
+    names = ["qname", "flag", "chr", "pos", "mapq", "cigar", "chr_next", "pos_next", "seq"]
     return _standard(files.select(keep, "content").mapInPandas(run, f"{keep} {kind}, {COLUMNS}"), keep)
 
 

@@ -122,3 +122,9 @@ def test_islands_are_cut_into_bins(spark):
             want[k], last[c] = many, (high if reach is None else max(reach, high), many)
         for width in (3, 16, 1000):
             assert {r["id"]: r["island"] for r in E.islands(frame, ["chr"], "low", "high", ["id"], width).collect()} == want
+
+
+def test_binary_files_are_many_even_tasks(spark, tables):
+    found = proxy_queries.queries()["bam_parse"](spark, tables)
+    assert found.rdd.getNumPartitions() >= 8 * spark.sparkContext.defaultParallelism
+    assert found.count() == 900
