@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from spanloom.session import spread
+
 # Reads of one order lie together, so ids are numbered order by order: the order's key times 1000, and the line's place in the order.
 ALN = """
 SELECT l_orderkey * 1000 + row_number() OVER w AS id, qname, source_id, chr, pos, rlen, mapq, flag, cigar,
@@ -35,12 +37,13 @@ FROM supplier
 """
 
 
-def _view(spark: SparkSession, sf_dir: str, sql: str, table: str) -> DataFrame:
-    return spark.sql(sql.replace(f"FROM {table}", "FROM {rows}"), rows=spark.read.parquet(f"{sf_dir}/{table}.parquet"))
+def _view(spark: SparkSession, sf_dir: str, sql: str, table: str, by: str | None = None) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    return spark.sql(sql.replace(f"FROM {table}", "FROM {rows}"), rows=spread(rows, rows, by) if by else rows)
 
 
 def alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _view(spark, sf_dir, ALN, "lineitem")
+    return _view(spark, sf_dir, ALN, "lineitem", "l_orderkey")
 
 
 def exons(spark: SparkSession, sf_dir: str) -> DataFrame:

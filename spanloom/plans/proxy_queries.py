@@ -20,7 +20,7 @@ from spanloom.operators import fragments as P
 from spanloom.operators import intervals as I
 from spanloom.operators import vcf as V
 from spanloom.plans import proxies as X
-from spanloom.session import many_tasks, shared_folder, stored
+from spanloom.session import many_tasks, shared_folder, spread, stored
 from spanloom.sources import bam as B
 from spanloom.sources import text_formats as T
 
@@ -572,9 +572,14 @@ def clip_mode_insertion_point(spark, d):
          rank() OVER (PARTITION BY cluster_id ORDER BY pos_next) + (count(*) OVER (PARTITION BY cluster_id, pos_next) - 1) / 2.0 AS ry
   FROM (SELECT DISTINCT cluster_id, pos, pos_next FROM strip)
 ) SELECT cluster_id, count(*) AS n, CASE WHEN count(*) > 1 AND min(rx) < max(rx) AND min(ry) < max(ry) THEN round(corr(cast(rx AS DOUBLE), cast(ry AS DOUBLE)), 9) END AS rho FROM r GROUP BY cluster_id""")
+@_write_first
 def spearman_rho(spark, d):
-    pairs = _strip(spark, d).join(_alignments(spark, d).select(F.col("id").alias("alignment_id"), "pos", "pos_next"), "alignment_id").select("cluster_id", F.col("pos").alias("x"), F.col("pos_next").alias("y")).distinct()
-    return S.spearman(pairs, ["cluster_id"]).select("cluster_id", "n", F.round("rho", 9).alias("rho"))
+    reads = _alignments(spark, d)
+    own = reads.select(F.col("id").alias("alignment_id"), F.col("pos").alias("x"), F.col("pos_next").alias("y"))
+    listed = _strip(spark, d).select("cluster_id", "alignment_id")
+    # Dealt by read for the join, and once by cluster for the distinct pairs and all their ranks.
+    pairs = spread(listed, reads, "alignment_id").join(spread(own, reads, "alignment_id"), "alignment_id").select("cluster_id", "x", "y")
+    return S.spearman(spread(pairs, reads, "cluster_id").distinct(), ["cluster_id"]).select("cluster_id", "n", F.round("rho", 9).alias("rho"))
 
 
 @query()

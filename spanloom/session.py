@@ -12,6 +12,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 TASKS_PER_CORE = 16
+#: Bytes of a written table, compressed, that one task takes of it.
+TASK_BYTES = 4 << 20
 _shipped: set[str] = set()
 
 
@@ -61,3 +63,10 @@ def shuffle_width(spark: SparkSession) -> int:
 def many_tasks(spark: SparkSession) -> int:
     """Tasks for long work on few bytes, which Spark would join into few, uneven ones that leave cores idle at the end."""
     return max(shuffle_width(spark), TASKS_PER_CORE * spark.sparkContext.defaultParallelism)
+
+
+def spread(rows: DataFrame, table: DataFrame, *by: str) -> DataFrame:
+    """The rows dealt out by columns, to more tasks than usual if the table that they come from is large, so that a task's memory does not grow with it."""
+    size = int(str(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    tasks = -(-size // TASK_BYTES)
+    return rows.repartition(tasks, *by) if tasks > shuffle_width(rows.sparkSession) else rows.repartition(*by)

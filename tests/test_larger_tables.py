@@ -5,6 +5,7 @@ import math
 import numpy as np
 import pytest
 
+from spanloom import session
 from spanloom.functions import statistics as S
 from spanloom.operators import clusters as C
 from spanloom.operators import events as E
@@ -128,3 +129,12 @@ def test_binary_files_are_many_even_tasks(spark, tables):
     found = proxy_queries.queries()["bam_parse"](spark, tables)
     assert found.rdd.getNumPartitions() >= 8 * spark.sparkContext.defaultParallelism
     assert found.count() == 900
+
+
+def test_tasks_grow_with_the_table(spark, tables, monkeypatch):
+    reads = spark.read.parquet(f"{tables}/lineitem.parquet")
+    monkeypatch.setattr(session, "TASK_BYTES", 500)
+    assert session.spread(reads, reads, "l_orderkey").rdd.getNumPartitions() > 4
+    plan = proxy_queries.queries()["spearman_rho"](spark, tables)._jdf.queryExecution().optimizedPlan().toString()
+    # Two by read and one by cluster, which the distinct pairs and the ranks share.
+    assert plan.count("RepartitionByExpression") == 3
